@@ -1 +1,12 @@
+"""The query catalog: every operator applied to the given tables."""
 
+from __future__ import annotations
+
+
+def load_queries():
+    from tallyweave.plans import (  # noqa: F401 - importing registers
+        exact_queries, linear_queries, summary_queries,
+    )
+    from tallyweave.plans.registry import QUERIES
+
+    return QUERIES
