@@ -15,11 +15,12 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
 LANE_MASK = 268435455  # 28 bits
+LANES = ("_l0", "_l1", "_l2")
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,8 @@ class HashFn:
         return (self.a0, self.a1, self.a2, self.b, self.c0, self.c1, self.c2, self.c3)
 
     def column(self, lanes: Sequence[Column]) -> Column:
-        return mix(lanes, [F.lit(c).cast("bigint") for c in self.coefficients()])
+        c = self.coefficients()
+        return cubic_part(linear_part(lanes, c), c)
 
     def sql(self, lanes: Sequence[str]) -> str:
         return mix_sql(lanes, [f"{c}::BIGINT" for c in self.coefficients()])
@@ -51,11 +53,29 @@ def hash_fn(seed: int, role: str, level: int = 0, row: int = 0) -> HashFn:
     return HashFn(*(rng.randrange(1, PRIME) for _ in range(8)))
 
 
-def mix(lanes: Sequence[Column], coef: Sequence[Column]) -> Column:
-    a0, a1, a2, b, c0, c1, c2, c3 = coef
-    p = F.lit(PRIME).cast("bigint")
-    x = (a0 * lanes[0] + a1 * lanes[1] + a2 * lanes[2] + b) % p
-    return (((c3 * x + c2) % p * x + c1) % p * x + c0) % p
+def linear_part(lanes: Sequence[Column], coef: Sequence) -> Column:
+    """Coefficients are ints or BIGINT columns; lanes are BIGINT, so products are too."""
+    return (lanes[0] * coef[0] + lanes[1] * coef[1] + lanes[2] * coef[2] + coef[3]) % PRIME
+
+
+def cubic_part(x: Column, coef: Sequence) -> Column:
+    return (((x * coef[7] + coef[6]) % PRIME * x + coef[5]) % PRIME * x + coef[4]) % PRIME
+
+
+def with_lanes(df: DataFrame, text: bool) -> DataFrame:
+    """Adds the lanes of ``key`` as columns, to be shared by several hashes."""
+    return df.select("*", *[c.alias(n) for c, n in zip(lanes(F.col("key"), text), LANES)])
+
+
+def with_hashes(df: DataFrame, fns: dict[str, Sequence]) -> DataFrame:
+    """Adds one hash column per entry to a table that has lanes.
+
+    The linear part is a projection of its own: it is used three times, and the optimizer keeps
+    such projections apart, so it is computed once.
+    """
+    key_lanes = [F.col(n) for n in LANES]
+    staged = df.select("*", *[linear_part(key_lanes, c).alias(f"_x_{n}") for n, c in fns.items()])
+    return staged.select(*df.columns, *[cubic_part(F.col(f"_x_{n}"), c).alias(n) for n, c in fns.items()])
 
 
 def mix_sql(lanes: Sequence[str], coef: Sequence[str]) -> str:
@@ -100,16 +120,16 @@ def hash_value(key: Column, seed: int, role: str, level: int = 0, row: int = 0,
 
 
 def cell_of(h: Column, width: int) -> Column:
-    return F.shiftright(h, 1) % F.lit(width).cast("bigint")
+    return F.shiftright(h, 1) % width
 
 
 def sign_of(h: Column) -> Column:
-    return F.lit(1).cast("bigint") - F.lit(2).cast("bigint") * h.bitwiseAND(F.lit(1).cast("bigint"))
+    return 1 - (h % 2) * 2
 
 
 def depth_of(h: Column, levels: int) -> Column:
     """Deepest level a key is sampled into: its number of trailing one bits, capped."""
-    ones = F.bit_count(h.bitwiseXOR(h + F.lit(1).cast("bigint"))) - F.lit(1)
+    ones = F.bit_count(h.bitwiseXOR(h + 1)) - 1
     return F.least(ones, F.lit(levels - 1)).cast("int")
 
 
@@ -125,15 +145,14 @@ def hash_sign(key: Column, seed: int, role: str = "sign", level: int = 0, row: i
 
 def hash_bit(key: Column, seed: int, role: str = "bit", level: int = 0, row: int = 0,
              text: bool = False) -> Column:
-    return hash_value(key, seed, role, level, row, text).bitwiseAND(F.lit(1).cast("bigint"))
+    return hash_value(key, seed, role, level, row, text) % 2
 
 
 def hash_two_universal(key: Column, seed: int, width: int, text: bool = False) -> Column:
     """Linear hash of the lanes only (2-universal, cheaper than the cubic)."""
     f = hash_fn(seed, "linear")
     l0, l1, l2 = lanes(key, text)
-    big = lambda v: F.lit(v).cast("bigint")
-    return (big(f.a0) * l0 + big(f.a1) * l1 + big(f.a2) * l2 + big(f.b)) % big(PRIME) % big(width)
+    return linear_part((l0, l1, l2), f.coefficients()) % width
 
 
 def uniform_from_seed(key: Column, seed: int, text: bool = False) -> Column:
@@ -142,9 +161,7 @@ def uniform_from_seed(key: Column, seed: int, text: bool = False) -> Column:
     return (h.cast("double") + F.lit(0.5)) / F.lit(float(PRIME))
 
 
-def coefficient_arrays(fns: Sequence[HashFn]) -> list[Column]:
-    """One literal array per coefficient, to pick a hash function by position in a row."""
-    return [
-        F.array(*[F.lit(c).cast("bigint") for c in column])
-        for column in zip(*(f.coefficients() for f in fns))
-    ]
+def coefficients_at(fns: Sequence[HashFn], position: Column) -> list[Column]:
+    """Coefficients of the function at ``position``, from one literal array per coefficient."""
+    arrays = (",".join(f"{c}L" for c in column) for column in zip(*(f.coefficients() for f in fns)))
+    return [F.get(F.expr(f"array({a})"), position) for a in arrays]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators.folds import SHARD_ROWS
 from tallyweave.operators.heavy import (
-    bounded_split, heavy_fold, heavy_table, lossless_split, merge_shards,
+    bounded_split, heavy_fold, heavy_table, lossless_split, merge_shards, residual_of,
 )
 from tallyweave.operators.exact import key_counts
 from tallyweave.operators.universal import (
@@ -37,17 +37,23 @@ class Summary:
 
 
 def _summarize(heavy: DataFrame, residual: DataFrame, spec: SketchSpec, mode: str) -> Summary:
-    """Sketch a residual stream. ``bounded`` mode never groups it by key."""
-    counters = universal_build(residual, spec)
+    """Sketch a residual stream. ``bounded`` mode never groups it by key.
+
+    Counters and candidates are written once: they are small, fixed by the spec, and every later
+    question would otherwise read the whole stream again.
+    """
+    counters = materialize(universal_build(residual, spec))
     if mode == "bounded":
-        return Summary(heavy, counters, bounded_candidates(residual, counters, spec), spec)
-    counts = residual.groupBy("key").agg(F.sum("weight").alias("f"))
-    return Summary(heavy, counters, universal_candidates(counts, spec, mode, counters), spec)
+        candidates = bounded_candidates(residual, counters, spec)
+    else:
+        counts = residual.groupBy("key").agg(F.sum("weight").alias("f"))
+        candidates = universal_candidates(counts, spec, mode, counters)
+    return Summary(heavy, counters, materialize(candidates), spec)
 
 
 def extract_build(stream: DataFrame, spec: SketchSpec, route: str = "lossless",
                   mode: str = "tracked", shard_rows: int = SHARD_ROWS) -> Summary:
-    """Summary of a stream.
+    """Summary of a stream; runs the jobs and writes each of its tables once.
 
     ``route`` is ``lossless`` (exact counts first), ``bounded`` (two passes, no key shuffle) or
     the name of an ordered strategy, which replays arrivals. With a heavy share of 0 all goes
@@ -59,14 +65,19 @@ def extract_build(stream: DataFrame, spec: SketchSpec, route: str = "lossless",
                                 F.lit(0).cast("bigint").alias("v"), F.lit(False).alias("flag")).limit(0)
         heavy, residual = nothing, stream.select("key", "weight")
         if mode != "bounded":
-            residual = key_counts(residual).select("key", F.col("f").alias("weight"))
+            residual = materialize(key_counts(residual).select("key", F.col("f").alias("weight")))
     elif route == "lossless":
-        heavy, residual = lossless_split(key_counts(stream), spec)
+        # The counts are read three times, so they are written once.
+        counts = materialize(key_counts(stream))
+        heavy = materialize(lossless_split(counts, spec)[0])
+        residual = residual_of(counts, heavy, spec)
     elif route in ("bounded", "spacesaving"):
-        heavy, residual = bounded_split(stream, spec)
+        heavy = materialize(bounded_split(stream, spec)[0])
+        residual = stream.join(heavy_table(heavy.select("key"), spec), "key", "left_anti").select("key", "weight")
     else:
         # Both outputs come from one replay, so it is written once.
         heavy, residual = merge_shards(materialize(heavy_fold(stream, spec, route, shard_rows)), spec)
+        heavy = materialize(heavy)
     if not spec.uses_universal:
         residual = residual.limit(0)
     return _summarize(heavy, residual, spec, mode)

@@ -50,8 +50,13 @@ def lossless_split(counts: DataFrame, spec: SketchSpec) -> tuple[DataFrame, Data
     bucketed = with_bucket(counts.select("key", "f"), spec)
     top = top_per_group(bucketed, ["bucket"], [F.desc("f"), F.col("key")], spec.slots, ["key"])
     heavy = top.select("bucket", "key", F.col("f").alias("v"), F.lit(False).alias("flag"))
+    return heavy, residual_of(counts, heavy, spec)
+
+
+def residual_of(counts: DataFrame, heavy: DataFrame, spec: SketchSpec) -> DataFrame:
+    """Counts of the keys that are not heavy, as a weighted stream."""
     rest = counts.join(heavy_table(heavy.select("key"), spec), "key", "left_anti")
-    return heavy, rest.select("key", F.col("f").alias("weight"))
+    return rest.select("key", F.col("f").alias("weight"))
 
 
 def summary_per_partition(stream: DataFrame, size: int) -> DataFrame:

@@ -8,28 +8,19 @@ broadcast while the size fixed by the spec allows it, joined by cell beyond.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.hashing import (
-    cell_of, coefficient_arrays, hash_fn, hash_value, lanes, mix, sign_of,
-)
-from tallyweave.functions.medians import median_of_array, median_of_columns, median_of_group
+from tallyweave.functions.hashing import cell_of, coefficients_at, hash_fn, sign_of, with_hashes, with_lanes
+from tallyweave.functions.medians import median_of_columns, median_of_group
 from tallyweave.spec import SketchSpec
 
 # A dense array of counters is broadcast up to this many cells (8 bytes each).
 BROADCAST_CELLS = 8_000_000
 
 
-def row_hash(key: Column, row: Column, spec: SketchSpec, role: str, text: bool) -> Column:
-    """Hash of ``key`` under the function of a row number held in a column."""
-    arrays = coefficient_arrays([hash_fn(spec.seed, role, 0, r) for r in range(spec.rows)])
-    return mix(lanes(key, text), [F.get(a, row) for a in arrays])
-
-
 def is_text(df: DataFrame, key: str = "key") -> bool:
     return dict(df.dtypes)[key] == "string"
 
@@ -38,79 +29,73 @@ def _rows(spec: SketchSpec) -> Column:
     return F.explode(F.array(*[F.lit(r) for r in range(spec.rows)]))
 
 
+def row_functions(spec: SketchSpec, role: str) -> list:
+    return [hash_fn(spec.seed, role, 0, r) for r in range(spec.rows)]
+
+
+def with_row_hash(df: DataFrame, spec: SketchSpec, role: str) -> DataFrame:
+    """One row per input row and sketch row: adds ``row`` and its hash ``h``."""
+    spread = with_lanes(df, is_text(df)).withColumn("row", _rows(spec))
+    return with_hashes(spread, {"h": coefficients_at(row_functions(spec, role), F.col("row"))})
+
+
+def _sum_cells(stream: DataFrame, spec: SketchSpec, by: Sequence[str], role: str, signed: bool) -> DataFrame:
+    spread = with_row_hash(stream.select(*by, "key", "weight"), spec, role)
+    value = sign_of(F.col("h")) * F.col("weight") if signed else F.col("weight")
+    return (
+        spread.select(*by, "row", cell_of(F.col("h"), spec.width).alias("idx"), value.alias("v"))
+        .groupBy(*by, "row", "idx").agg(F.sum("v").alias("v")).filter(F.col("v") != 0))
+
+
 def count_sketch_build(stream: DataFrame, spec: SketchSpec, by: Sequence[str] = (),
                        role: str = "count") -> DataFrame:
     """Signed counters ``(by..., row, idx, v)``; cells that cancel to zero are left out."""
-    text = is_text(stream)
-    h = row_hash(F.col("key"), F.col("row"), spec, role, text)
-    return (
-        stream.select(*by, "key", "weight", _rows(spec).alias("row"))
-        .select(*by, "row", "weight", h.alias("h"))
-        .groupBy(*by, "row", cell_of(F.col("h"), spec.width).alias("idx"))
-        .agg(F.sum(sign_of(F.col("h")) * F.col("weight")).alias("v"))
-        .filter(F.col("v") != 0)
-    )
+    return _sum_cells(stream, spec, by, role, True)
 
 
 def unsigned_build(stream: DataFrame, spec: SketchSpec, role: str,
                    by: Sequence[str] = ()) -> DataFrame:
-    text = is_text(stream)
-    h = row_hash(F.col("key"), F.col("row"), spec, role, text)
-    return (
-        stream.select(*by, "key", "weight", _rows(spec).alias("row"))
-        .groupBy(*by, "row", cell_of(h, spec.width).alias("idx"))
-        .agg(F.sum("weight").alias("v"))
-        .filter(F.col("v") != 0)
-    )
+    return _sum_cells(stream, spec, by, role, False)
 
 
-def dense_counters(counters: DataFrame, width: int, rows: int, by: Sequence[str] = (),
-                   empty: DataFrame | None = None) -> DataFrame:
-    """One row per group holding all its cells in order ``row * width + idx``."""
-    spark = counters.sparkSession
-    size = rows * width
-    cells = counters.select(*by, (F.col("row") * F.lit(width) + F.col("idx")).cast("bigint").alias("_cell"), "v")
-    zeros = spark.range(size).select(F.col("id").alias("_cell"), F.lit(0).cast("bigint").alias("v"))
-    if by:
-        groups = counters.select(*by).distinct() if empty is None else empty
-        zeros = groups.withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint")))) \
-            .withColumn("v", F.lit(0).cast("bigint"))
-    full = cells.unionByName(zeros).groupBy(*by, "_cell").agg(F.sum("v").alias("v"))
+def dense_counters(counters: DataFrame, width: int, rows: int) -> DataFrame:
+    """One row holding all cells in order ``row * width + idx``, empty ones as 0."""
+    cells = counters.select((F.col("row") * width + F.col("idx")).cast("bigint").alias("_cell"), "v")
+    zeros = counters.sparkSession.range(rows * width).select(F.col("id").alias("_cell"), F.lit(0).cast("bigint").alias("v"))
+    full = cells.unionByName(zeros).groupBy("_cell").agg(F.sum("v").alias("v"))
     packed = F.array_sort(F.collect_list(F.struct("_cell", "v")))
-    return full.groupBy(*by).agg(packed.getField("v").alias("cells"))
+    return full.agg(packed.getField("v").alias("cells"))
 
 
 def _fits(spec: SketchSpec) -> bool:
     return spec.rows * spec.width <= BROADCAST_CELLS
 
 
-def _with_cells(keys: DataFrame, counters: DataFrame, spec: SketchSpec) -> DataFrame:
-    table = dense_counters(counters, spec.width, spec.rows).withColumn("_one", F.lit(1))
-    return keys.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one")
-
-
-def _row_values(spec: SketchSpec, role: str, text: bool, signed: bool) -> list[Column]:
-    """Value seen by ``key`` in each row of the dense array ``cells``."""
+def _row_values(keys: DataFrame, counters: DataFrame, spec: SketchSpec, role: str, signed: bool,
+                shared_row: bool = False) -> tuple[DataFrame, list[Column]]:
+    """Keys beside what they see in each row of the broadcast dense counters."""
+    hashed = with_hashes(with_lanes(keys, is_text(keys)), {
+        f"_h{r}": fn.coefficients() for r, fn in enumerate(row_functions(spec, role))})
+    table = dense_counters(counters, spec.width, 1 if shared_row else spec.rows).withColumn("_one", F.lit(1))
     values = []
     for r in range(spec.rows):
-        h = hash_value(F.col("key"), spec.seed, role, 0, r, text)
-        v = F.get(F.col("cells"), (F.lit(r * spec.width) + cell_of(h, spec.width)).cast("int"))
+        h = F.col(f"_h{r}")
+        v = F.get(F.col("cells"), (cell_of(h, spec.width) + (0 if shared_row else r * spec.width)).cast("int"))
         values.append(sign_of(h) * v if signed else v)
-    return values
+    return hashed.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one"), values
 
 
 def _cells_by_join(keys: DataFrame, counters: DataFrame, spec: SketchSpec, role: str,
                    signed: bool) -> DataFrame:
-    """``(key columns..., value)`` once per row, for sketches too wide to broadcast."""
-    text = is_text(keys)
-    probe = (
-        keys.withColumn("row", _rows(spec))
-        .withColumn("_h", row_hash(F.col("key"), F.col("row"), spec, role, text))
-        .withColumn("idx", cell_of(F.col("_h"), spec.width))
-    )
+    """``(key columns..., _value)`` once per row, for sketches too wide to broadcast."""
+    probe = with_row_hash(keys, spec, role).withColumn("idx", cell_of(F.col("h"), spec.width))
     value = F.coalesce(F.col("v"), F.lit(0))
     return probe.join(counters.select("row", "idx", "v"), ["row", "idx"], "left").select(
-        *keys.columns, (sign_of(F.col("_h")) * value if signed else value).alias("_value"))
+        *keys.columns, (sign_of(F.col("h")) * value if signed else value).alias("_value"))
+
+
+def _least(values: Sequence[Column]) -> Column:
+    return F.least(*values) if len(values) > 1 else values[0]
 
 
 def count_sketch_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec,
@@ -119,8 +104,8 @@ def count_sketch_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec,
     if not _fits(spec):
         return _cells_by_join(keys, counters, spec, role, True).groupBy(*keys.columns).agg(
             median_of_group(F.col("_value")).alias("est"))
-    values = _row_values(spec, role, is_text(keys), True)
-    return _with_cells(keys, counters, spec).select(*keys.columns, median_of_columns(values).alias("est"))
+    joined, values = _row_values(keys, counters, spec, role, True)
+    return joined.select(*keys.columns, median_of_columns(values).alias("est"))
 
 
 def count_sketch_f2(counters: DataFrame) -> DataFrame:
@@ -148,24 +133,13 @@ def count_min_build(stream: DataFrame, spec: SketchSpec, shared_row: bool = Fals
 def count_min_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec,
                     shared_row: bool = False) -> DataFrame:
     """Adds ``est``: the smallest cell of each key, never below its true count."""
-    text = is_text(keys)
     if not _fits(spec):
         if shared_row:
             counters = counters.select(_rows(spec).alias("row"), "idx", "v")
         return _cells_by_join(keys, counters, spec, "min", False).groupBy(*keys.columns).agg(
             F.min("_value").cast("bigint").alias("est"))
-    if shared_row:
-        table = dense_counters(counters, spec.width, 1).withColumn("_one", F.lit(1))
-        values = [
-            F.get(F.col("cells"), cell_of(hash_value(F.col("key"), spec.seed, "min", 0, r, text), spec.width).cast("int"))
-            for r in range(spec.rows)
-        ]
-        joined = keys.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one")
-    else:
-        values = _row_values(spec, "min", text, False)
-        joined = _with_cells(keys, counters, spec)
-    low = F.least(*values) if len(values) > 1 else values[0]
-    return joined.select(*keys.columns, low.alias("est"))
+    joined, values = _row_values(keys, counters, spec, "min", False, shared_row)
+    return joined.select(*keys.columns, _least(values).alias("est"))
 
 
 def kary_build(stream: DataFrame, spec: SketchSpec) -> DataFrame:
@@ -182,9 +156,9 @@ def kary_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec) -> DataFr
         wide = _cells_by_join(keys, counters, spec, "kary", False).withColumn("_one", F.lit(1))
         return wide.join(F.broadcast(total), "_one").groupBy(*keys.columns).agg(
             median_of_group(correct(F.col("_value"))).alias("est"))
-    values = [correct(v) for v in _row_values(spec, "kary", is_text(keys), False)]
-    joined = _with_cells(keys, counters, spec).join(F.broadcast(total), "_one")
-    return joined.select(*keys.columns, median_of_columns(values).alias("est"))
+    joined, values = _row_values(keys, counters, spec, "kary", False)
+    return joined.join(F.broadcast(total), "_one").select(
+        *keys.columns, median_of_columns([correct(v) for v in values]).alias("est"))
 
 
 def kary_change(keys: DataFrame, before: DataFrame, after: DataFrame, spec: SketchSpec) -> DataFrame:
@@ -202,17 +176,13 @@ def agms_build(stream: DataFrame, rows: int, width: int, seed: int, by: Sequence
     The number of cells is a small constant, so one aggregation holds a sum per cell and no
     row is multiplied.
     """
-    text = is_text(stream)
     # One 31-bit hash serves 30 cells, so the hash is computed once per 30 sums.
     n = rows * width
-    hashed = stream.select(*by, "weight", *[
-        hash_value(F.col("key"), seed, "agms", 0, j, text).alias(f"_h{j}") for j in range((n + 29) // 30)
-    ])
-    one = F.lit(1).cast("bigint")
-    bit = lambda c: F.shiftright(F.col(f"_h{c // 30}"), c % 30).bitwiseAND(one)
+    hashed = with_hashes(with_lanes(stream.select(*by, "key", "weight"), is_text(stream)), {
+        f"_h{j}": hash_fn(seed, "agms", 0, j).coefficients() for j in range((n + 29) // 30)})
     sums = hashed.groupBy(*by).agg(*[
-        F.coalesce(F.sum((one - F.lit(2) * bit(c)) * F.col("weight")), F.lit(0)).alias(f"_c{c}") for c in range(n)
-    ])
+        F.expr(f"coalesce(sum((1 - 2 * (shiftright(_h{c // 30}, {c % 30}) & 1)) * weight), 0)").alias(f"_c{c}")
+        for c in range(n)])
     cells = F.posexplode(F.array(*[F.col(f"_c{c}") for c in range(n)]))
     return sums.select(*by, cells.alias("_cell", "v")).select(
         *by, F.floor(F.col("_cell") / width).cast("int").alias("row"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators.linear import (
-    BROADCAST_CELLS, _cells_by_join, _row_values, _with_cells, is_text, linear_counting, unsigned_build,
+    BROADCAST_CELLS, _cells_by_join, _least, _row_values, linear_counting, unsigned_build,
 )
 from tallyweave.spec import SketchSpec
 
@@ -55,9 +55,8 @@ def salsa_query(keys: DataFrame, blocks: DataFrame, spec: SketchSpec) -> DataFra
     if spec.rows * spec.width > BROADCAST_CELLS:
         return _cells_by_join(keys, blocks, spec, ROLE, False).groupBy(*keys.columns).agg(
             F.min("_value").cast("bigint").alias("est"))
-    values = _row_values(spec, ROLE, is_text(keys), False)
-    low = F.least(*values) if len(values) > 1 else values[0]
-    return _with_cells(keys, blocks, spec).select(*keys.columns, low.alias("est"))
+    joined, values = _row_values(keys, blocks, spec, ROLE, False)
+    return joined.select(*keys.columns, _least(values).alias("est"))
 
 
 def salsa_cardinality(blocks: DataFrame, spec: SketchSpec) -> DataFrame:

@@ -12,7 +12,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.hashing import cell_of, coefficient_arrays, depth_of, hash_fn, hash_value, lanes, mix, sign_of
+from tallyweave.functions.hashing import (
+    cell_of, coefficients_at, depth_of, hash_fn, sign_of, with_hashes, with_lanes,
+)
 from tallyweave.functions.medians import median_of_columns, median_of_group
 from tallyweave.functions.weights import g_cardinality, g_entropy
 from tallyweave.operators.exact import top_per_group
@@ -23,22 +25,24 @@ G = Callable[[Column], Column]
 CELL = ("level", "row", "idx")
 
 
-def depth_column(key: Column, spec: SketchSpec, text: bool) -> Column:
-    """Deepest level of a key; it lives in levels 0 to this one."""
-    return depth_of(hash_value(key, spec.seed, "depth", text=text), spec.levels)
-
-
-def _level_row_hash(key_lanes: Sequence[Column], spec: SketchSpec) -> Column:
-    """Hash of the function belonging to the columns ``level`` and ``row``."""
-    fns = [hash_fn(spec.seed, "univ", level, row) for level in range(spec.levels) for row in range(spec.rows)]
-    position = F.col("level") * F.lit(spec.rows) + F.col("row")
-    return mix(key_lanes, [F.get(a, position) for a in coefficient_arrays(fns)])
+def with_depth(df: DataFrame, spec: SketchSpec) -> DataFrame:
+    """Adds ``_depth``, the deepest level of ``key`` (it lives in levels 0 to this one), and its lanes."""
+    hashed = with_hashes(with_lanes(df, is_text(df)), {"_d": hash_fn(spec.seed, "depth").coefficients()})
+    return hashed.withColumn("_depth", depth_of(F.col("_d"), spec.levels)).drop("_d")
 
 
 def sampled_levels(df: DataFrame, spec: SketchSpec) -> DataFrame:
     """One row per key and level it is sampled into (two per key on average)."""
-    return df.withColumn(
-        "level", F.explode(F.sequence(F.lit(0), depth_column(F.col("key"), spec, is_text(df)))))
+    deep = with_depth(df, spec)
+    return deep.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_depth")))).drop("_depth")
+
+
+def _with_level_row_hash(df: DataFrame, spec: SketchSpec) -> DataFrame:
+    """Adds ``row`` (one output row each) and the hash ``h`` of the columns ``level``, ``row``."""
+    fns = [hash_fn(spec.seed, "univ", level, row) for level in range(spec.levels) for row in range(spec.rows)]
+    spread = df.withColumn("row", F.explode(F.array(*[F.lit(r) for r in range(spec.rows)])))
+    position = F.col("level") * spec.rows + F.col("row")
+    return with_hashes(spread, {"h": coefficients_at(fns, position)})
 
 
 def universal_build(stream: DataFrame, spec: SketchSpec, by: Sequence[str] = ()) -> DataFrame:
@@ -47,15 +51,11 @@ def universal_build(stream: DataFrame, spec: SketchSpec, by: Sequence[str] = ())
     No key shuffle: rows are spread to their cells inside the input partition and summed
     there first, so the shuffle is bounded by partitions x cells.
     """
-    rows = F.explode(F.array(*[F.lit(r) for r in range(spec.rows)]))
-    spread = sampled_levels(stream.select(*by, "key", "weight"), spec).withColumn("row", rows)
-    h = _level_row_hash(lanes(F.col("key"), is_text(stream)), spec)
+    spread = _with_level_row_hash(sampled_levels(stream.select(*by, "key", "weight"), spec), spec)
     return (
-        spread.select(*by, "level", "row", "weight", h.alias("h"))
-        .groupBy(*by, "level", "row", cell_of(F.col("h"), spec.width).alias("idx"))
-        .agg(F.sum(sign_of(F.col("h")) * F.col("weight")).alias("v"))
-        .filter(F.col("v") != 0)
-    )
+        spread.select(*by, "level", "row", cell_of(F.col("h"), spec.width).alias("idx"),
+                      (sign_of(F.col("h")) * F.col("weight")).alias("v"))
+        .groupBy(*by, "level", "row", "idx").agg(F.sum("v").alias("v")).filter(F.col("v") != 0))
 
 
 def universal_merge(*counters: DataFrame) -> DataFrame:
@@ -76,22 +76,19 @@ def _dense_levels(counters: DataFrame, spec: SketchSpec) -> DataFrame:
 
 def universal_estimates(pairs: DataFrame, counters: DataFrame, spec: SketchSpec) -> DataFrame:
     """Adds ``est`` to ``(level, key, ...)`` rows: median of the signed cells of that level."""
-    key_lanes = lanes(F.col("key"), is_text(pairs))
+    keyed = with_lanes(pairs, is_text(pairs))
     if spec.cells > BROADCAST_CELLS:
-        probe = (
-            pairs.withColumn("row", F.explode(F.array(*[F.lit(r) for r in range(spec.rows)])))
-            .withColumn("_h", _level_row_hash(key_lanes, spec))
-            .withColumn("idx", cell_of(F.col("_h"), spec.width))
-        )
-        return probe.join(counters.select(*CELL, "v").withColumnRenamed("v", "_v"), list(CELL), "left").groupBy(
-            *pairs.columns).agg(median_of_group(sign_of(F.col("_h")) * F.coalesce(F.col("_v"), F.lit(0))).alias("est"))
-    fns = [[hash_fn(spec.seed, "univ", level, row) for level in range(spec.levels)] for row in range(spec.rows)]
-    values = []
-    for row in range(spec.rows):
-        h = mix(key_lanes, [F.get(a, F.col("level")) for a in coefficient_arrays(fns[row])])
-        v = F.get(F.col("cells"), (F.lit(row * spec.width) + cell_of(h, spec.width)).cast("int"))
-        values.append(sign_of(h) * v)
-    joined = pairs.join(F.broadcast(_dense_levels(counters, spec)), "level")
+        probe = _with_level_row_hash(keyed, spec).withColumn("idx", cell_of(F.col("h"), spec.width))
+        return probe.join(counters.select(*CELL, F.col("v").alias("_v")), list(CELL), "left").groupBy(
+            *pairs.columns).agg(median_of_group(sign_of(F.col("h")) * F.coalesce(F.col("_v"), F.lit(0))).alias("est"))
+    hashed = with_hashes(keyed, {
+        f"_h{row}": coefficients_at([hash_fn(spec.seed, "univ", level, row) for level in range(spec.levels)], F.col("level"))
+        for row in range(spec.rows)})
+    values = [
+        sign_of(F.col(f"_h{row}"))
+        * F.get(F.col("cells"), (cell_of(F.col(f"_h{row}"), spec.width) + row * spec.width).cast("int"))
+        for row in range(spec.rows)]
+    joined = hashed.join(F.broadcast(_dense_levels(counters, spec)), "level")
     return joined.select(*pairs.columns, median_of_columns(values).alias("est"))
 
 
@@ -103,7 +100,7 @@ def universal_candidates(counts: DataFrame, spec: SketchSpec, mode: str = "track
     ``max(1, estimate)`` from the counters, so it needs no exact count.
     """
     if mode == "tracked":
-        sampled = sampled_levels(counts.select("key", F.col("f").alias("v")), spec)
+        sampled = sampled_levels(counts.select("key", F.col("f").alias("v")), spec).select("level", "key", "v")
     elif mode == "estimated":
         pairs = sampled_levels(counts.select("key"), spec).select("level", "key")
         estimates = universal_estimates(pairs, counters, spec)
@@ -161,21 +158,20 @@ def universal_topk(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order))
 
 
-def level_weight(spec: SketchSpec, text: bool) -> Column:
+def level_weight(spec: SketchSpec) -> Column:
     """Coefficient of a candidate in the closed form of the recursive estimator.
 
     A key living in levels 0..m contributes 2^m - (2^(m-1) + ... + 1) = 1 in total.
     """
-    deeper = depth_column(F.col("key"), spec, text) > F.col("level")
-    coef = F.when(F.col("level") == spec.levels - 1, F.lit(1)).when(deeper, F.lit(-1)).otherwise(F.lit(1))
-    return F.pow(F.lit(2.0), F.col("level")) * coef
+    deeper = (F.col("level") < spec.levels - 1) & (F.col("_depth") > F.col("level"))
+    return F.pow(F.lit(2.0), F.col("level")) * F.when(deeper, F.lit(-1)).otherwise(F.lit(1))
 
 
 def universal_gsum(candidates: DataFrame, spec: SketchSpec, g: G, value: str = "v",
                    by: Sequence[str] = ()) -> DataFrame:
     """``sum g(f)`` estimated from the candidates, as one aggregation."""
-    term = level_weight(spec, is_text(candidates)) * g(F.col(value))
-    return candidates.groupBy(*by).agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("gsum"))
+    terms = with_depth(candidates, spec).select(*by, (level_weight(spec) * g(F.col(value))).alias("_t"))
+    return terms.groupBy(*by).agg(F.coalesce(F.sum("_t"), F.lit(0.0)).alias("gsum"))
 
 
 def universal_gsum_subset(candidates: DataFrame, spec: SketchSpec, g: G, check: G) -> DataFrame:

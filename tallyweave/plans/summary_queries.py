@@ -397,14 +397,14 @@ def ab_summaries(spark, d, spec=PAIR):
 
 
 def ab_ctes(spec: SketchSpec = PAIR) -> dict[str, str]:
-    ctes = {**extract_ctes(A, spec, "a"), **extract_ctes(B, spec, "b")}
-    ctes["hk"] = "SELECT key FROM ah UNION SELECT key FROM bh"
-    ctes["hv"] = (f"SELECT x.key, x.est AS ea, y.est AS eb FROM ({value_sql('SELECT key FROM hk', spec, 'a')}) x "
-                  f"JOIN ({value_sql('SELECT key FROM hk', spec, 'b')}) y USING (key)")
-    ctes["mu"] = ("SELECT level, row, idx, sum(v)::BIGINT AS v FROM (SELECT * FROM au UNION ALL SELECT * FROM bu) GROUP BY ALL")
+    ctes = {**extract_ctes(A, spec, "a_"), **extract_ctes(B, spec, "b_")}
+    ctes["hk"] = "SELECT key FROM a_h UNION SELECT key FROM b_h"
+    ctes["hv"] = (f"SELECT x.key, x.est AS ea, y.est AS eb FROM ({value_sql('SELECT key FROM hk', spec, 'a_')}) x "
+                  f"JOIN ({value_sql('SELECT key FROM hk', spec, 'b_')}) y USING (key)")
+    ctes["mu"] = ("SELECT level, row, idx, sum(v)::BIGINT AS v FROM (SELECT * FROM a_u UNION ALL SELECT * FROM b_u) GROUP BY ALL")
     ctes["mk"] = ("SELECT level, key, est AS v FROM (" + Q.level_estimates(
-        "SELECT level, key FROM ak UNION SELECT level, key FROM bk", "mu", spec) + ")")
-    ctes["pk"] = "SELECT level, key, ak.v * bk.v AS v FROM ak JOIN bk USING (level, key) WHERE ak.v * bk.v > 0"
+        "SELECT level, key FROM a_k UNION SELECT level, key FROM b_k", "mu", spec) + ")")
+    ctes["pk"] = "SELECT level, key, a_k.v * b_k.v AS v FROM a_k JOIN b_k USING (level, key) WHERE a_k.v * b_k.v > 0"
     return ctes
 
 
@@ -425,7 +425,7 @@ def one_side(spec: SketchSpec, g: str, p: str) -> str:
 
 @query("universal_gsum_add", Q.chain(
     f"SELECT round(gsum, 6) AS gsum FROM ({Q.level_gsum('SELECT * FROM mk', PAIR, 'sqr')})",
-    **{f"{p}{n}": b for p, stream in (("a", A), ("b", B)) for n, b in (
+    **{f"{p}{n}": b for p, stream in (("a_", A), ("b_", B)) for n, b in (
         ("c", S.counts_sql(stream)), ("s", Q.sampled(f"SELECT * FROM {p}c", PAIR)), ("u", Q.level_cells(f"{p}s", PAIR)),
         ("k", Q.cut(f"{p}s", PAIR)))},
     mu=ab_ctes()["mu"], mk=ab_ctes()["mk"]))
@@ -457,7 +457,7 @@ def _(spark, d):
     return rounded(E.extract_gsum_mul(*ab_summaries(spark, d), WEIGHTS["sum"]), "gsum")
 
 
-_dot = f"(({add_sql(PAIR, 'sqr')}) - {one_side(PAIR, 'sqr', 'a')} - {one_side(PAIR, 'sqr', 'b')}) / 2"
+_dot = f"(({add_sql(PAIR, 'sqr')}) - {one_side(PAIR, 'sqr', 'a_')} - {one_side(PAIR, 'sqr', 'b_')}) / 2"
 
 
 @query("inner_product_est", Q.chain(f"SELECT round({_dot}, 6) AS inner_product", **ab_ctes()))
@@ -465,7 +465,7 @@ def _(spark, d):
     return rounded(T.inner_product_est(*ab_summaries(spark, d)), "inner_product")
 
 
-@query("cosine_est", Q.chain(f"SELECT round({_dot} / sqrt({one_side(PAIR, 'sqr', 'a')}) / sqrt({one_side(PAIR, 'sqr', 'b')}), 6) AS cosine", **ab_ctes()))
+@query("cosine_est", Q.chain(f"SELECT round({_dot} / sqrt({one_side(PAIR, 'sqr', 'a_')}) / sqrt({one_side(PAIR, 'sqr', 'b_')}), 6) AS cosine", **ab_ctes()))
 def _(spark, d):
     return rounded(T.cosine_est(*ab_summaries(spark, d)), "cosine")
 
@@ -474,12 +474,12 @@ _both = f"({mul_sql(PAIR, 'cardinality')})"
 
 
 @query("jaccard_est", Q.chain(
-    f"SELECT round({_both} / ({one_side(PAIR, 'cardinality', 'a')} + {one_side(PAIR, 'cardinality', 'b')} - {_both}), 6) AS jaccard", **ab_ctes()))
+    f"SELECT round({_both} / ({one_side(PAIR, 'cardinality', 'a_')} + {one_side(PAIR, 'cardinality', 'b_')} - {_both}), 6) AS jaccard", **ab_ctes()))
 def _(spark, d):
     return rounded(T.jaccard_est(*ab_summaries(spark, d)), "jaccard")
 
 
-@query("same_seed_pair", Q.chain("SELECT level, row, idx, a.v + coalesce(b.v, 0) AS v FROM au a LEFT JOIN bu b USING (level, row, idx)", **ab_ctes()))
+@query("same_seed_pair", Q.chain("SELECT level, row, idx, a.v + coalesce(b.v, 0) AS v FROM a_u a LEFT JOIN b_u b USING (level, row, idx)", **ab_ctes()))
 def _(spark, d):
     a, b = ab_summaries(spark, d)
     cells = list(U.CELL)
