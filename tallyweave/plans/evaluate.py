@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.hashing import hash_value
+from tallyweave.functions.hashing import coefficients_at, hash_fn, hash_value, sign_of, with_hashes, with_lanes
+from tallyweave.functions.medians import median_of_group
 from tallyweave.functions.weights import WEIGHTS
 from tallyweave.operators.bundle import (
     bundle_build, bundle_cosine, bundle_gsum, bundle_heavy_hitters, bundle_inner_product,
@@ -104,6 +105,34 @@ def subset_batches(estimates: DataFrame, cut: int, epochs: int, batch: int, seed
         F.avg(F.abs(mean_real - mean_pred)).alias("avg_aae"))
 
 
+# --- sweeps of one linear sketch, all settings in one scan --------------------------------
+
+def _sweep_hash(df: DataFrame, specs: Sequence[SketchSpec]) -> DataFrame:
+    """One row per setting ``cfg`` and sketch row: adds ``row``, ``idx`` and the hash ``h``."""
+    rows = specs[0].rows
+    fns = [hash_fn(spec.seed, "count", 0, r) for spec in specs for r in range(rows)]
+    spread = with_lanes(df, is_text(df)).withColumn(
+        "cfg", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1)))).withColumn(
+        "row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    hashed = with_hashes(spread, {"h": coefficients_at(fns, F.col("cfg") * rows + F.col("row"))})
+    width = F.get(F.expr(f"array({','.join(f'{s.width}L' for s in specs)})"), F.col("cfg"))
+    return hashed.withColumn("idx", F.shiftright("h", 1) % width)
+
+
+def sweep_build(stream: DataFrame, specs: Sequence[SketchSpec]) -> DataFrame:
+    """Count-Sketch counters ``(cfg, row, idx, v)`` of every setting (sizes and seeds may differ)."""
+    cells = _sweep_hash(stream.select("key", "weight"), specs)
+    return cells.groupBy("cfg", "row", "idx").agg(F.sum(sign_of(F.col("h")) * F.col("weight")).alias("v"))
+
+
+def sweep_errors(counts: DataFrame, counters: DataFrame, specs: Sequence[SketchSpec]) -> DataFrame:
+    """Mean absolute error of each setting over the keys of ``(key, f)``: ``(cfg, aae)``."""
+    seen = _sweep_hash(counts.select("key", "f"), specs).join(counters, ["cfg", "row", "idx"], "left").select(
+        "cfg", "key", "f", (sign_of(F.col("h")) * F.coalesce("v", F.lit(0))).alias("x"))
+    estimates = seen.groupBy("cfg", "key", "f").agg(median_of_group(F.col("x")).alias("est"))
+    return estimates.groupBy("cfg").agg(F.avg(F.abs(F.col("est") - F.col("f"))).alias("aae"))
+
+
 # --- jobs -------------------------------------------------------------------------------
 
 def sweep_specs(memory: Iterable[int], trials: int, rows: int = 5, seed: int = 1) -> list[tuple[int, SketchSpec]]:

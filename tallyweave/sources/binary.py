@@ -108,18 +108,22 @@ def write_trace(df: DataFrame, folder: str, layout: str, byte_order: str = "litt
 
         task = TaskContext.get()
         fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        fs.create_dir(base, recursive=True)
         final = f"{base}/part-{task.partitionId():05d}.dat"
         draft = f"{base}/.part-{task.partitionId():05d}-{task.taskAttemptId()}"
-        count = 0
-        with fs.open_output_stream(draft) as out:
-            for batch in batches:
-                rows = np.zeros(len(batch), dtype=dtype)
-                for name in names:
-                    rows[name] = batch[name].to_numpy()
+        out, count = None, 0
+        for batch in batches:
+            if out is None and len(batch):
+                fs.create_dir(base, recursive=True)
+                out = fs.open_output_stream(draft)
+            rows = np.zeros(len(batch), dtype=dtype)
+            for name in names:
+                rows[name] = batch[name].to_numpy()
+            if len(batch):
                 out.write(rows.tobytes())
                 count += len(batch)
-        fs.move(draft, final)
-        yield pd.DataFrame({"file": [final], "records": [count]})
+        if out is not None:
+            out.close()
+            fs.move(draft, final)
+            yield pd.DataFrame({"file": [final], "records": [count]})
 
     return ranged.mapInPandas(write, "file string, records bigint")
