@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 PRIME = 2147483647
 LANE_MASK = 268435455  # 28 bits
 LANES = ("_l0", "_l1", "_l2")
+TEXT_LANES = ((1, 7), (8, 7), (15, 2))  # start and length in the md5 of a text key
 
 
 @dataclass(frozen=True)
@@ -64,18 +65,37 @@ def cubic_part(x: Column, coef: Sequence) -> Column:
 
 def with_lanes(df: DataFrame, text: bool) -> DataFrame:
     """Adds the lanes of ``key`` as columns, to be shared by several hashes."""
-    return df.select("*", *[c.alias(n) for c, n in zip(lanes(F.col("key"), text), LANES)])
+    if text:
+        parts = [f"CAST(conv(substring(md5(CAST(key AS BINARY)), {start}, {size}), 16, 10) AS BIGINT)"
+                 for start, size in TEXT_LANES]
+    else:
+        k = "CAST(key AS BIGINT)"
+        parts = [f"{k} & {LANE_MASK}", f"shiftright({k}, 28) & {LANE_MASK}", f"shiftright({k}, 56) & 255"]
+    return df.selectExpr("*", *[f"{e} AS {n}" for e, n in zip(parts, LANES)])
 
 
 def with_hashes(df: DataFrame, fns: dict[str, Sequence]) -> DataFrame:
     """Adds one hash column per entry to a table that has lanes.
 
-    The linear part is a projection of its own: it is used three times, and the optimizer keeps
-    such projections apart, so it is computed once.
+    Coefficients are ints or SQL text. The linear part is a projection of its own: it is used
+    three times, and the optimizer keeps such projections apart, so it is computed once. Both
+    steps are SQL text because one parsed expression is far cheaper to build than a tree of
+    Column calls.
     """
-    key_lanes = [F.col(n) for n in LANES]
-    staged = df.select("*", *[linear_part(key_lanes, c).alias(f"_x_{n}") for n, c in fns.items()])
-    return staged.select(*df.columns, *[cubic_part(F.col(f"_x_{n}"), c).alias(n) for n, c in fns.items()])
+    l0, l1, l2 = LANES
+    linear = lambda c: f"({l0} * {c[0]} + {l1} * {c[1]} + {l2} * {c[2]} + {c[3]}) % {PRIME}"
+    cubic = lambda x, c: f"((({x} * {c[7]} + {c[6]}) % {PRIME} * {x} + {c[5]}) % {PRIME} * {x} + {c[4]}) % {PRIME}"
+    staged = df.selectExpr("*", *[f"{linear(c)} AS _x{n}" for n, c in fns.items()])
+    names = [f"`{c}`" for c in df.columns]
+    return staged.selectExpr(*names, *[f"{cubic(f'_x{n}', c)} AS {n}" for n, c in fns.items()])
+
+
+def cell_text(h: str, width: int | str) -> str:
+    return f"(shiftright({h}, 1) % {width})"
+
+
+def sign_text(h: str) -> str:
+    return f"(1 - 2 * ({h} % 2))"
 
 
 def mix_sql(lanes: Sequence[str], coef: Sequence[str]) -> str:
@@ -90,7 +110,7 @@ def lanes(key: Column, text: bool = False) -> tuple[Column, Column, Column]:
         digest = F.md5(key.cast("binary"))
         return tuple(
             F.conv(F.substring(digest, start, size), 16, 10).cast("bigint")
-            for start, size in ((1, 7), (8, 7), (15, 2))
+            for start, size in TEXT_LANES
         )
     k = key.cast("bigint")
     mask = F.lit(LANE_MASK).cast("bigint")
@@ -105,7 +125,7 @@ def lanes_sql(key: str, text: bool = False) -> tuple[str, str, str]:
     if text:
         return tuple(
             f"(('0x' || substring(md5({key}), {start}, {size}))::BIGINT)"
-            for start, size in ((1, 7), (8, 7), (15, 2))
+            for start, size in TEXT_LANES
         )
     return (
         f"({key} & {LANE_MASK})",
@@ -127,10 +147,9 @@ def sign_of(h: Column) -> Column:
     return 1 - (h % 2) * 2
 
 
-def depth_of(h: Column, levels: int) -> Column:
+def depth_text(h: str, levels: int) -> str:
     """Deepest level a key is sampled into: its number of trailing one bits, capped."""
-    ones = F.bit_count(h.bitwiseXOR(h + 1)) - 1
-    return F.least(ones, F.lit(levels - 1)).cast("int")
+    return f"least(bit_count({h} ^ ({h} + 1)) - 1, {levels - 1})"
 
 
 def hash_bucket(key: Column, seed: int, width: int, role: str = "bucket", level: int = 0,
@@ -161,7 +180,7 @@ def uniform_from_seed(key: Column, seed: int, text: bool = False) -> Column:
     return (h.cast("double") + F.lit(0.5)) / F.lit(float(PRIME))
 
 
-def coefficients_at(fns: Sequence[HashFn], position: Column) -> list[Column]:
-    """Coefficients of the function at ``position``, from one literal array per coefficient."""
-    arrays = (",".join(f"{c}L" for c in column) for column in zip(*(f.coefficients() for f in fns)))
-    return [F.get(F.expr(f"array({a})"), position) for a in arrays]
+def coefficients_at(fns: Sequence[HashFn], position: str) -> list[str]:
+    """Coefficients, as SQL text, of the function at ``position``: one literal array each."""
+    return [f"get(array({','.join(f'{c}L' for c in column)}), {position})"
+            for column in zip(*(f.coefficients() for f in fns))]

@@ -49,13 +49,13 @@ def elastic_light(folded: DataFrame, spec: SketchSpec, block: int = SHARD_ROWS)
         F.when(raises, zero).otherwise(F.col("f")).alias("a"),
         F.when(raises, F.least(F.col("f"), F.lit(LIGHT_MAX))).otherwise(zero).alias("m"))
     # Inside a block: what each raise is worth at the end of the block.
-    after = Window.partitionBy("idx", "block").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("idx", "block").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         moves.withColumn("after", F.coalesce(F.sum("a").over(after), zero))
         .groupBy("idx", "block")
         .agg(F.sum("a").alias("a"),
              F.max(F.when(F.col("m") > 0, F.col("m") + F.col("after")).otherwise(zero)).alias("m")))
-    later = Window.partitionBy("idx").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("idx").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     return (
         blocks.withColumn("after", F.coalesce(F.sum("a").over(later), zero))
         .groupBy("idx")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.hashing import hash_bucket, hash_fn
 from tallyweave.operators.exact import top_per_group
+from tallyweave.operators.frequent import frequent_per_partition
 from tallyweave.operators.folds import SHARD_ROWS, ordered_fold
 from tallyweave.operators.linear import is_text
 from tallyweave.spec import ELASTIC_FACTOR, GUARDIAN_BASE, STRATEGIES, SketchSpec
@@ -59,38 +60,12 @@ def residual_of(counts: DataFrame, heavy: DataFrame, spec: SketchSpec) -> DataFr
     return rest.select("key", F.col("f").alias("weight"))
 
 
-def summary_per_partition(stream: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` keys per input partition with lower-bound counts.
-
-    Batches are counted, merged into the running summary and cut back to ``size`` by
-    subtracting the first dropped count from all: any key above 1/(size+1) of the partition
-    survives (mergeable frequent-items summary).
-    """
-    key_type = dict(stream.dtypes)["key"]
-
-    def fold(batches):
-        import pandas as pd
-
-        held = None
-        for batch in batches:
-            part = batch.groupby("key")["weight"].sum()
-            held = part if held is None else pd.concat([held, part]).groupby(level=0).sum()
-            if len(held) > size:
-                held = held.sort_values(ascending=False, kind="stable")
-                held = held.iloc[:size] - held.iloc[size]
-                held = held[held > 0]
-        if held is not None and len(held):
-            yield pd.DataFrame({"key": held.index, "weight": held.to_numpy()})
-
-    return stream.select("key", "weight").mapInPandas(fold, f"key {key_type}, weight bigint")
-
-
 def heavy_spacesaving(stream: DataFrame, size: int) -> DataFrame:
     """Mergeable summary of the whole stream: at most ``size`` keys ``(key, v)``.
 
     Per-partition summaries are added per key and cut once more. Counts are lower bounds.
     """
-    merged = summary_per_partition(stream, size).groupBy("key").agg(F.sum("weight").alias("v"))
+    merged = frequent_per_partition(stream, [], size).groupBy("key").agg(F.sum("weight").alias("v"))
     return merged.orderBy(F.desc("v"), F.col("key")).limit(size)
 
 

@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.hashing import cell_of, coefficients_at, hash_fn, sign_of, with_hashes, with_lanes
+from tallyweave.functions.hashing import (
+    cell_text, coefficients_at, hash_fn, sign_text, with_hashes, with_lanes,
+)
 from tallyweave.functions.medians import median_of_columns, median_of_group
 from tallyweave.spec import SketchSpec
 
@@ -25,8 +27,9 @@ def is_text(df: DataFrame, key: str = "key") -> bool:
     return dict(df.dtypes)[key] == "string"
 
 
-def _rows(spec: SketchSpec) -> Column:
-    return F.explode(F.array(*[F.lit(r) for r in range(spec.rows)]))
+def row_list(spec: SketchSpec) -> str:
+    """SQL text that repeats a row once per sketch row."""
+    return f"explode(array({','.join(str(r) for r in range(spec.rows))})) AS row"
 
 
 def row_functions(spec: SketchSpec, role: str) -> list:
@@ -35,16 +38,16 @@ def row_functions(spec: SketchSpec, role: str) -> list:
 
 def with_row_hash(df: DataFrame, spec: SketchSpec, role: str) -> DataFrame:
     """One row per input row and sketch row: adds ``row`` and its hash ``h``."""
-    spread = with_lanes(df, is_text(df)).withColumn("row", _rows(spec))
-    return with_hashes(spread, {"h": coefficients_at(row_functions(spec, role), F.col("row"))})
+    spread = with_lanes(df, is_text(df)).selectExpr("*", row_list(spec))
+    return with_hashes(spread, {"h": coefficients_at(row_functions(spec, role), "row")})
 
 
 def _sum_cells(stream: DataFrame, spec: SketchSpec, by: Sequence[str], role: str, signed: bool) -> DataFrame:
     spread = with_row_hash(stream.select(*by, "key", "weight"), spec, role)
-    value = sign_of(F.col("h")) * F.col("weight") if signed else F.col("weight")
+    value = f"{sign_text('h')} * weight" if signed else "weight"
     return (
-        spread.select(*by, "row", cell_of(F.col("h"), spec.width).alias("idx"), value.alias("v"))
-        .groupBy(*by, "row", "idx").agg(F.sum("v").alias("v")).filter(F.col("v") != 0))
+        spread.selectExpr(*by, "row", f"{cell_text('h', spec.width)} AS idx", f"{value} AS v")
+        .groupBy(*by, "row", "idx").agg(F.sum("v").alias("v")).filter("v != 0"))
 
 
 def count_sketch_build(stream: DataFrame, spec: SketchSpec, by: Sequence[str] = (),
@@ -60,11 +63,10 @@ def unsigned_build(stream: DataFrame, spec: SketchSpec, role: str,
 
 def dense_counters(counters: DataFrame, width: int, rows: int) -> DataFrame:
     """One row holding all cells in order ``row * width + idx``, empty ones as 0."""
-    cells = counters.select((F.col("row") * width + F.col("idx")).cast("bigint").alias("_cell"), "v")
-    zeros = counters.sparkSession.range(rows * width).select(F.col("id").alias("_cell"), F.lit(0).cast("bigint").alias("v"))
+    cells = counters.selectExpr(f"row * {width}L + idx AS _cell", "v")
+    zeros = counters.sparkSession.range(rows * width).selectExpr("id AS _cell", "0L AS v")
     full = cells.unionByName(zeros).groupBy("_cell").agg(F.sum("v").alias("v"))
-    packed = F.array_sort(F.collect_list(F.struct("_cell", "v")))
-    return full.agg(packed.getField("v").alias("cells"))
+    return full.agg(F.expr("array_sort(collect_list(struct(_cell, v))).v AS cells"))
 
 
 def _fits(spec: SketchSpec) -> bool:
@@ -76,22 +78,21 @@ def _row_values(keys: DataFrame, counters: DataFrame, spec: SketchSpec, role: st
     """Keys beside what they see in each row of the broadcast dense counters."""
     hashed = with_hashes(with_lanes(keys, is_text(keys)), {
         f"_h{r}": fn.coefficients() for r, fn in enumerate(row_functions(spec, role))})
-    table = dense_counters(counters, spec.width, 1 if shared_row else spec.rows).withColumn("_one", F.lit(1))
+    table = dense_counters(counters, spec.width, 1 if shared_row else spec.rows).selectExpr("cells", "1 AS _one")
     values = []
     for r in range(spec.rows):
-        h = F.col(f"_h{r}")
-        v = F.get(F.col("cells"), (cell_of(h, spec.width) + (0 if shared_row else r * spec.width)).cast("int"))
-        values.append(sign_of(h) * v if signed else v)
-    return hashed.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one"), values
+        v = f"get(cells, int({cell_text(f'_h{r}', spec.width)} + {0 if shared_row else r * spec.width}))"
+        values.append(F.expr(f"{sign_text(f'_h{r}')} * {v}" if signed else v))
+    return hashed.selectExpr("*", "1 AS _one").join(F.broadcast(table), "_one"), values
 
 
 def _cells_by_join(keys: DataFrame, counters: DataFrame, spec: SketchSpec, role: str,
                    signed: bool) -> DataFrame:
     """``(key columns..., _value)`` once per row, for sketches too wide to broadcast."""
-    probe = with_row_hash(keys, spec, role).withColumn("idx", cell_of(F.col("h"), spec.width))
-    value = F.coalesce(F.col("v"), F.lit(0))
-    return probe.join(counters.select("row", "idx", "v"), ["row", "idx"], "left").select(
-        *keys.columns, (sign_of(F.col("h")) * value if signed else value).alias("_value"))
+    probe = with_row_hash(keys, spec, role).selectExpr("*", f"{cell_text('h', spec.width)} AS idx")
+    value = f"{sign_text('h')} * coalesce(v, 0)" if signed else "coalesce(v, 0)"
+    return probe.join(counters.select("row", "idx", "v"), ["row", "idx"], "left").selectExpr(
+        *keys.columns, f"{value} AS _value")
 
 
 def _least(values: Sequence[Column]) -> Column:
@@ -135,7 +136,7 @@ def count_min_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec,
     """Adds ``est``: the smallest cell of each key, never below its true count."""
     if not _fits(spec):
         if shared_row:
-            counters = counters.select(_rows(spec).alias("row"), "idx", "v")
+            counters = counters.selectExpr(row_list(spec), "idx", "v")
         return _cells_by_join(keys, counters, spec, "min", False).groupBy(*keys.columns).agg(
             F.min("_value").cast("bigint").alias("est"))
     joined, values = _row_values(keys, counters, spec, "min", False, shared_row)

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.hashing import (
-    cell_of, coefficients_at, depth_of, hash_fn, sign_of, with_hashes, with_lanes,
+    LANES, cell_text, coefficients_at, depth_text, hash_fn, sign_text, with_hashes, with_lanes,
 )
 from tallyweave.functions.medians import median_of_columns, median_of_group
 from tallyweave.functions.weights import g_cardinality, g_entropy
 from tallyweave.operators.exact import top_per_group
-from tallyweave.operators.linear import BROADCAST_CELLS, is_text, sketch_merge
+from tallyweave.operators.frequent import frequent_per_partition
+from tallyweave.operators.linear import BROADCAST_CELLS, is_text, row_list, sketch_merge
 from tallyweave.spec import SketchSpec
 
 G = Callable[[Column], Column]
@@ -28,21 +29,19 @@ CELL = ("level", "row", "idx")
 def with_depth(df: DataFrame, spec: SketchSpec) -> DataFrame:
     """Adds ``_depth``, the deepest level of ``key`` (it lives in levels 0 to this one), and its lanes."""
     hashed = with_hashes(with_lanes(df, is_text(df)), {"_d": hash_fn(spec.seed, "depth").coefficients()})
-    return hashed.withColumn("_depth", depth_of(F.col("_d"), spec.levels)).drop("_d")
+    return hashed.selectExpr(*[f"`{c}`" for c in df.columns], *LANES, f"{depth_text('_d', spec.levels)} AS _depth")
 
 
 def sampled_levels(df: DataFrame, spec: SketchSpec) -> DataFrame:
     """One row per key and level it is sampled into (two per key on average)."""
-    deep = with_depth(df, spec)
-    return deep.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_depth")))).drop("_depth")
+    return with_depth(df, spec).selectExpr("*", "explode(sequence(0, _depth)) AS level").drop("_depth")
 
 
 def _with_level_row_hash(df: DataFrame, spec: SketchSpec) -> DataFrame:
     """Adds ``row`` (one output row each) and the hash ``h`` of the columns ``level``, ``row``."""
     fns = [hash_fn(spec.seed, "univ", level, row) for level in range(spec.levels) for row in range(spec.rows)]
-    spread = df.withColumn("row", F.explode(F.array(*[F.lit(r) for r in range(spec.rows)])))
-    position = F.col("level") * spec.rows + F.col("row")
-    return with_hashes(spread, {"h": coefficients_at(fns, position)})
+    spread = df.selectExpr("*", row_list(spec))
+    return with_hashes(spread, {"h": coefficients_at(fns, f"level * {spec.rows} + row")})
 
 
 def universal_build(stream: DataFrame, spec: SketchSpec, by: Sequence[str] = ()) -> DataFrame:
@@ -53,42 +52,43 @@ def universal_build(stream: DataFrame, spec: SketchSpec, by: Sequence[str] = ())
     """
     spread = _with_level_row_hash(sampled_levels(stream.select(*by, "key", "weight"), spec), spec)
     return (
-        spread.select(*by, "level", "row", cell_of(F.col("h"), spec.width).alias("idx"),
-                      (sign_of(F.col("h")) * F.col("weight")).alias("v"))
-        .groupBy(*by, "level", "row", "idx").agg(F.sum("v").alias("v")).filter(F.col("v") != 0))
+        spread.selectExpr(*by, "level", "row", f"{cell_text('h', spec.width)} AS idx", f"{sign_text('h')} * weight AS v")
+        .groupBy(*by, "level", "row", "idx").agg(F.sum("v").alias("v")).filter("v != 0"))
 
 
 def universal_merge(*counters: DataFrame) -> DataFrame:
     return sketch_merge(*counters, cells=CELL)
 
 
-def _dense_levels(counters: DataFrame, spec: SketchSpec) -> DataFrame:
-    """Per level, all its cells as one array (``rows * width`` values)."""
+def _dense_levels(counters: DataFrame, spec: SketchSpec, levels: int) -> DataFrame:
+    """For each of the first ``levels``, all cells as one array (``rows * width`` values)."""
     size = spec.rows * spec.width
-    zeros = counters.sparkSession.range(spec.levels * size).select(
-        F.floor(F.col("id") / size).cast("int").alias("level"),
-        (F.col("id") % size).alias("_cell"), F.lit(0).cast("bigint").alias("v"))
-    cells = counters.select("level", (F.col("row") * F.lit(spec.width) + F.col("idx")).cast("bigint").alias("_cell"), "v")
+    zeros = counters.sparkSession.range(levels * size).selectExpr(
+        f"int(id div {size}) AS level", f"id % {size} AS _cell", "0L AS v")
+    cells = counters.selectExpr("level", f"row * {spec.width}L + idx AS _cell", "v")
     full = cells.unionByName(zeros).groupBy("level", "_cell").agg(F.sum("v").alias("v"))
-    packed = F.array_sort(F.collect_list(F.struct("_cell", "v")))
-    return full.groupBy("level").agg(packed.getField("v").alias("cells"))
+    return full.groupBy("level").agg(F.expr("array_sort(collect_list(struct(_cell, v))).v AS cells"))
 
 
-def universal_estimates(pairs: DataFrame, counters: DataFrame, spec: SketchSpec) -> DataFrame:
-    """Adds ``est`` to ``(level, key, ...)`` rows: median of the signed cells of that level."""
+def universal_estimates(pairs: DataFrame, counters: DataFrame, spec: SketchSpec,
+                        levels: int | None = None) -> DataFrame:
+    """Adds ``est`` to ``(level, key, ...)`` rows: median of the signed cells of that level.
+
+    ``levels`` says that only that many levels are asked for.
+    """
+    levels = levels or spec.levels
     keyed = with_lanes(pairs, is_text(pairs))
-    if spec.cells > BROADCAST_CELLS:
-        probe = _with_level_row_hash(keyed, spec).withColumn("idx", cell_of(F.col("h"), spec.width))
+    if levels * spec.rows * spec.width > BROADCAST_CELLS:
+        probe = _with_level_row_hash(keyed, spec).selectExpr("*", f"{cell_text('h', spec.width)} AS idx")
         return probe.join(counters.select(*CELL, F.col("v").alias("_v")), list(CELL), "left").groupBy(
-            *pairs.columns).agg(median_of_group(sign_of(F.col("h")) * F.coalesce(F.col("_v"), F.lit(0))).alias("est"))
+            *pairs.columns).agg(median_of_group(F.expr(f"{sign_text('h')} * coalesce(_v, 0)")).alias("est"))
     hashed = with_hashes(keyed, {
-        f"_h{row}": coefficients_at([hash_fn(spec.seed, "univ", level, row) for level in range(spec.levels)], F.col("level"))
+        f"_h{row}": coefficients_at([hash_fn(spec.seed, "univ", level, row) for level in range(levels)], "level")
         for row in range(spec.rows)})
     values = [
-        sign_of(F.col(f"_h{row}"))
-        * F.get(F.col("cells"), (cell_of(F.col(f"_h{row}"), spec.width) + row * spec.width).cast("int"))
+        F.expr(f"{sign_text(f'_h{row}')} * get(cells, int({cell_text(f'_h{row}', spec.width)} + {row * spec.width}))")
         for row in range(spec.rows)]
-    joined = hashed.join(F.broadcast(_dense_levels(counters, spec)), "level")
+    joined = hashed.join(F.broadcast(_dense_levels(counters, spec, levels)), "level")
     return joined.select(*pairs.columns, median_of_columns(values).alias("est"))
 
 
@@ -122,24 +122,8 @@ def local_candidates(stream: DataFrame, spec: SketchSpec, share: int = 2) -> Dat
     Each task keeps at most ``share * capacity`` keys per level; the union is bounded by
     partitions x levels x that number and is re-estimated from the merged counters.
     """
-    keep = share * spec.capacity
     sampled = sampled_levels(stream.select("key", "weight"), spec).select("level", "key", "weight")
-
-    def fold(batches):
-        import pandas as pd
-
-        held = None
-        for batch in batches:
-            part = batch.groupby(["level", "key"], as_index=False)["weight"].sum()
-            if held is not None:
-                part = pd.concat([held, part]).groupby(["level", "key"], as_index=False)["weight"].sum()
-            part = part.sort_values(["level", "weight", "key"], ascending=[True, False, True])
-            held = part.groupby("level").head(keep)
-        if held is not None:
-            yield held[["level", "key"]]
-
-    key_type = dict(stream.dtypes)["key"]
-    return sampled.mapInPandas(fold, f"level int, key {key_type}").distinct()
+    return frequent_per_partition(sampled, ["level"], share * spec.capacity).select("level", "key").distinct()
 
 
 def bounded_candidates(stream: DataFrame, counters: DataFrame, spec: SketchSpec) -> DataFrame:
@@ -163,8 +147,7 @@ def level_weight(spec: SketchSpec) -> Column:
 
     A key living in levels 0..m contributes 2^m - (2^(m-1) + ... + 1) = 1 in total.
     """
-    deeper = (F.col("level") < spec.levels - 1) & (F.col("_depth") > F.col("level"))
-    return F.pow(F.lit(2.0), F.col("level")) * F.when(deeper, F.lit(-1)).otherwise(F.lit(1))
+    return F.expr(f"pow(2.0D, level) * CASE WHEN level < {spec.levels - 1} AND _depth > level THEN -1 ELSE 1 END")
 
 
 def universal_gsum(candidates: DataFrame, spec: SketchSpec, g: G, value: str = "v",
@@ -197,7 +180,7 @@ def universal_heavy_hitters(candidates: DataFrame, threshold: int) -> DataFrame:
 def universal_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec) -> DataFrame:
     """Adds ``est``: the level-0 point estimate, floored at 0."""
     pairs = keys.withColumn("level", F.lit(0))
-    estimates = universal_estimates(pairs, counters.filter(F.col("level") == 0), spec)
+    estimates = universal_estimates(pairs, counters.filter(F.col("level") == 0), spec, levels=1)
     return estimates.withColumn("est", F.greatest(F.lit(0.0), F.col("est"))).select(*keys.columns, "est")
 
 

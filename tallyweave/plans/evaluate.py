@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.hashing import coefficients_at, hash_fn, hash_value, sign_of, with_hashes, with_lanes
+from tallyweave.functions.hashing import cell_text, coefficients_at, hash_fn, hash_value, sign_of, with_hashes, with_lanes
 from tallyweave.functions.medians import median_of_group
 from tallyweave.functions.weights import WEIGHTS
 from tallyweave.operators.bundle import (
@@ -111,12 +111,11 @@ def _sweep_hash(df: DataFrame, specs: Sequence[SketchSpec]) -> DataFrame:
     """One row per setting ``cfg`` and sketch row: adds ``row``, ``idx`` and the hash ``h``."""
     rows = specs[0].rows
     fns = [hash_fn(spec.seed, "count", 0, r) for spec in specs for r in range(rows)]
-    spread = with_lanes(df, is_text(df)).withColumn(
-        "cfg", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1)))).withColumn(
-        "row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    hashed = with_hashes(spread, {"h": coefficients_at(fns, F.col("cfg") * rows + F.col("row"))})
-    width = F.get(F.expr(f"array({','.join(f'{s.width}L' for s in specs)})"), F.col("cfg"))
-    return hashed.withColumn("idx", F.shiftright("h", 1) % width)
+    spread = with_lanes(df, is_text(df)).selectExpr("*", f"explode(sequence(0, {len(specs) - 1})) AS cfg").selectExpr(
+        "*", f"explode(sequence(0, {rows - 1})) AS row")
+    hashed = with_hashes(spread, {"h": coefficients_at(fns, f"cfg * {rows} + row")})
+    width = f"get(array({','.join(f'{s.width}L' for s in specs)}), cfg)"
+    return hashed.selectExpr("*", f"{cell_text('h', width)} AS idx")
 
 
 def sweep_build(stream: DataFrame, specs: Sequence[SketchSpec]) -> DataFrame:
