@@ -32,18 +32,20 @@ def bundle_build(stream: DataFrame, spec: SketchSpec, use_elastic: bool = True,
     t: dict[str, DataFrame] = {}
     if "point" in parts and use_elastic:
         folded = materialize(elastic.elastic_fold(stream, spec))
-        t["elastic_heavy"], t["elastic_light"] = elastic.elastic_heavy(folded), elastic.elastic_light(folded, spec)
+        t["elastic_heavy"] = elastic.elastic_heavy(folded)
+        t["elastic_light"] = materialize(elastic.elastic_light(folded, spec))
     elif "point" in parts:
-        t["salsa"] = salsa.salsa_build(stream, spec)
+        t["salsa"] = materialize(salsa.salsa_build(stream, spec))
         folded = materialize(waving.waving_build(stream, spec))
         shards = folded.agg(F.countDistinct("shard").alias("n")).first()["n"]
-        t["slots"], t["casts"] = waving.waving_merge(
+        merged = waving.waving_merge(
             waving.waving_slots(folded), waving.waving_casts(folded), spec, max(1, shards))
+        t["slots"], t["casts"] = (materialize(part) for part in merged)
     if "join" in parts:
         tiers = joinsketch.tiers_of_fold(materialize(joinsketch.three_tier_fold(stream, spec)), spec)
         t["heavy"], t["middle"], t["light"] = tiers.heavy, tiers.middle, tiers.light
     if "registers" in parts:
-        t["registers"] = maxlog_build(stream, spec)
+        t["registers"] = materialize(maxlog_build(stream, spec))
     return Bundle(spec, t, use_elastic)
 
 

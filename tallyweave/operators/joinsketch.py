@@ -14,6 +14,7 @@ from tallyweave.operators.folds import SHARD_ROWS, ordered_fold
 from tallyweave.operators.linear import (
     count_sketch_build, count_sketch_query, counter_gsum, is_text, row_products, sketch_merge,
 )
+from tallyweave.sources.scratch import materialize
 from tallyweave.spec import SketchSpec
 
 # Count at which a key enters the heavy tier, and how many times that a skimmed
@@ -112,10 +113,11 @@ def three_tier_fold(stream: DataFrame, spec: SketchSpec, threshold: int = HEAVY_
 
 
 def tiers_of_fold(folded: DataFrame, spec: SketchSpec) -> Tiers:
+    """The three tables of a fold, each written once: a join reads all of them several times."""
     tier = lambda kind: folded.filter(F.col("kind") == kind)
     per_key = lambda kind: tier(kind).groupBy("key").agg(F.sum("f").alias("v"))
     light = join_sketch_build(tier("light").select("key", F.col("f").alias("weight")), spec)
-    return Tiers(per_key("heavy"), per_key("middle"), light, spec)
+    return Tiers(*(materialize(t) for t in (per_key("heavy"), per_key("middle"), light)), spec)
 
 
 def three_tier_split(counts: DataFrame, spec: SketchSpec, threshold: int = HEAVY_THRESHOLD) -> Tiers:

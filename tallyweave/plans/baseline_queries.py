@@ -38,7 +38,7 @@ ELASTIC_QUERY = (f"SELECT k.key, coalesce(h.v, 0) + CASE WHEN h.v IS NULL OR h.f
 
 def elastic(spark, d):
     folded = materialize(E.elastic_fold(S.users(spark, d), ELASTIC))
-    return E.elastic_heavy(folded), E.elastic_light(folded, ELASTIC)
+    return E.elastic_heavy(folded), materialize(E.elastic_light(folded, ELASTIC))
 
 
 @query("elastic_build", Q.chain("SELECT bucket, key, v, flag FROM h", **ELASTIC_CTES))
@@ -226,9 +226,9 @@ def skim_ctes(stream: str, p: str) -> dict[str, str]:
 
 def skim(spark, d, side):
     stream = S.side(S.customers_ab(spark, d), side)
-    counters = J.join_sketch_build(stream, SKIM)
+    counters = materialize(J.join_sketch_build(stream, SKIM))
     heavy = materialize(J.skim_heavy(stream, counters, SKIM, SKIM_AT))
-    return heavy, J.skim_out(counters, heavy, SKIM)
+    return heavy, materialize(J.skim_out(counters, heavy, SKIM))
 
 
 SKIM_CTES = skim_ctes(A, "a_") | skim_ctes(AB_B, "b_")
