@@ -17,8 +17,12 @@ G = Callable[[Column], Column]
 
 # First-stage groups of a spread-out top-k; keeps the last stage at SPREAD * k rows per group.
 SPREAD = 64
+# Per-group cutoffs are broadcast up to this many groups; more groups are small anyway.
+BROADCAST_GROUPS = 1_000_000
 # Width of the seq bins used to cut a stream at an arrival number.
 LIMIT_BIN = 1_000_000
+# Up to here every task simply hands on its first rows.
+SMALL_LIMIT = 1000
 
 
 def keyed_stream(df: DataFrame, key: str | Column, seq: str | Column | None = None,
@@ -40,7 +44,7 @@ def read_limit(stream: DataFrame, n: int, bin_rows: int = LIMIT_BIN) -> DataFram
     """
     if n < 0:
         return stream
-    if n <= bin_rows:
+    if n <= SMALL_LIMIT:
         return stream.orderBy("seq").limit(n)
     binned = stream.withColumn("_bin", F.floor(F.col("seq") / F.lit(bin_rows)))
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -179,13 +183,31 @@ def topk_exact(counts: DataFrame, k: int) -> DataFrame:
     return counts_sorted(counts).limit(k)
 
 
+def value_cutoffs(df: DataFrame, group: Sequence[str], value: str, k: int) -> DataFrame:
+    """The k-th largest value of every group (or its smallest): ``(group..., _cut)``.
+
+    Found on the histogram of values, which is small for counts: n arrivals have at most about
+    sqrt(2 n) different ones.
+    """
+    larger = Window.partitionBy(*group).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    reached = sizes.withColumn("_larger", F.coalesce(F.sum("_n").over(larger), F.lit(0))).filter(F.col("_larger") < k)
+    return reached.groupBy(*group).agg(F.min(value).alias("_cut"))
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
-                  spread_on: Sequence[str], spread: int = SPREAD) -> DataFrame:
+                  spread_on: Sequence[str], spread: int = SPREAD, value: str | None = None,
+                  groups: int = 0) -> DataFrame:
     """The ``k`` first rows of every group, in two ranked stages.
 
     Groups may be few and huge, so each is first cut inside ``spread`` hash parts; the second
-    stage sees at most ``spread * k`` rows of a group.
+    stage sees at most ``spread * k`` rows of a group. Where the order is by a count ``value``,
+    largest first, rows below the k-th largest value are dropped before anything is sorted;
+    the cutoffs, one row per group, are broadcast while the number of ``groups`` allows.
     """
+    if value is not None and groups <= BROADCAST_GROUPS:
+        cutoffs = F.broadcast(value_cutoffs(df, group, value, k))
+        df = df.join(cutoffs, list(group)).filter(F.col(value) >= F.col("_cut")).drop("_cut")
     part = F.pmod(F.xxhash64(*spread_on), F.lit(spread)).cast("int")
     local = Window.partitionBy(*group, "_part").orderBy(*order)
     whole = Window.partitionBy(*group).orderBy(*order)

@@ -16,6 +16,7 @@ def frequent_per_partition(df: DataFrame, group: Sequence[str], size: int) -> Da
     arrives; counts are lower bounds.
     """
     by = [*group, "key"]
+    df = df.select(*by, "weight")
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in by) + ", weight bigint"
 
@@ -55,4 +56,4 @@ def frequent_per_partition(df: DataFrame, group: Sequence[str], size: int) -> Da
         if held is not None and len(held):
             yield held[[*by, "weight"]]
 
-    return df.select(*by, "weight").mapInPandas(fold, schema)
+    return df.mapInPandas(fold, schema)

@@ -25,6 +25,7 @@ from tallyweave.operators.exact import top_per_group
 from tallyweave.operators.frequent import frequent_per_partition
 from tallyweave.operators.folds import SHARD_ROWS, ordered_fold
 from tallyweave.operators.linear import is_text
+from tallyweave.operators.tasks import long_tasks
 from tallyweave.spec import ELASTIC_FACTOR, GUARDIAN_BASE, STRATEGIES, SketchSpec
 
 # A heavy table is broadcast up to this many rows.
@@ -49,7 +50,8 @@ def lossless_split(counts: DataFrame, spec: SketchSpec) -> tuple[DataFrame, Data
     other key goes to the residual ``(key, weight)``.
     """
     bucketed = with_bucket(counts.select("key", "f"), spec)
-    top = top_per_group(bucketed, ["bucket"], [F.desc("f"), F.col("key")], spec.slots, ["key"])
+    top = top_per_group(bucketed, ["bucket"], [F.desc("f"), F.col("key")], spec.slots, ["key"],
+                        value="f", groups=spec.buckets)
     heavy = top.select("bucket", "key", F.col("f").alias("v"), F.lit(False).alias("flag"))
     return heavy, residual_of(counts, heavy, spec)
 
@@ -65,7 +67,7 @@ def heavy_spacesaving(stream: DataFrame, size: int) -> DataFrame:
 
     Per-partition summaries are added per key and cut once more. Counts are lower bounds.
     """
-    merged = frequent_per_partition(stream, [], size).groupBy("key").agg(F.sum("weight").alias("v"))
+    merged = frequent_per_partition(long_tasks(stream), [], size).groupBy("key").agg(F.sum("weight").alias("v"))
     return merged.orderBy(F.desc("v"), F.col("key")).limit(size)
 
 

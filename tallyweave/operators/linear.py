@@ -1,8 +1,8 @@
 """Linear sketches: tables of counters that add up.
 
 ``count_sketch``, ``count_min``, ``k-ary`` and ``fagms`` share one build: explode the row number,
-sum by cell. Map-side aggregation bounds the shuffle by input partitions x rows x width,
-whatever the number of keys. Point queries read the counters as one dense array per group,
+sum by cell. Map-side aggregation bounds the shuffle by tasks x rows x width, whatever the
+number of keys. Point queries read the counters as one dense array per group,
 broadcast while the size fixed by the spec allows it, joined by cell beyond.
 """
 
@@ -17,6 +17,7 @@ from tallyweave.functions.hashing import (
     cell_text, coefficients_at, hash_fn, sign_text, with_hashes, with_lanes,
 )
 from tallyweave.functions.medians import median_of_columns, median_of_group
+from tallyweave.operators.tasks import long_tasks
 from tallyweave.spec import SketchSpec
 
 # A dense array of counters is broadcast up to this many cells (8 bytes each).
@@ -43,7 +44,7 @@ def with_row_hash(df: DataFrame, spec: SketchSpec, role: str) -> DataFrame:
 
 
 def _sum_cells(stream: DataFrame, spec: SketchSpec, by: Sequence[str], role: str, signed: bool) -> DataFrame:
-    spread = with_row_hash(stream.select(*by, "key", "weight"), spec, role)
+    spread = with_row_hash(long_tasks(stream.select(*by, "key", "weight")), spec, role)
     value = f"{sign_text('h')} * weight" if signed else "weight"
     return (
         spread.selectExpr(*by, "row", f"{cell_text('h', spec.width)} AS idx", f"{value} AS v")

@@ -16,6 +16,7 @@ from tallyweave.functions.weights import g1_one, g1_sqr
 from tallyweave.operators.exact import gsum_exact
 from tallyweave.operators.extract import Summary, extract_gsum, extract_gsum_add, extract_gsum_mul
 from tallyweave.operators.linear import is_text
+from tallyweave.operators.tasks import long_tasks
 from tallyweave.spec import SketchSpec
 
 G = Callable[[Column], Column]
@@ -106,7 +107,7 @@ def maxlog_build(stream: DataFrame, spec: SketchSpec) -> DataFrame:
     text = is_text(stream)
     lvl = maxlog_level(hash_value(F.col("key"), spec.seed, "maxlog", text=text))
     bucket = hash_bucket(F.col("key"), spec.seed, spec.width, role="register", text=text)
-    top = stream.select(bucket.alias("bucket"), lvl.alias("lvl"), "key").groupBy("bucket").agg(
+    top = long_tasks(stream).select(bucket.alias("bucket"), lvl.alias("lvl"), "key").groupBy("bucket").agg(
         F.max(F.struct("lvl", "key")).alias("hi"), F.min(F.struct((-F.col("lvl")).alias("neg"), "key")).alias("lo"))
     return top.select("bucket", F.col("hi.lvl").alias("lvl"), (F.col("hi.key") == F.col("lo.key")).alias("unique"))
 

@@ -20,6 +20,7 @@ from tallyweave.functions.weights import g_cardinality, g_entropy
 from tallyweave.operators.exact import top_per_group
 from tallyweave.operators.frequent import frequent_per_partition
 from tallyweave.operators.linear import BROADCAST_CELLS, is_text, row_list, sketch_merge
+from tallyweave.operators.tasks import long_tasks
 from tallyweave.spec import SketchSpec
 
 G = Callable[[Column], Column]
@@ -48,9 +49,10 @@ def universal_build(stream: DataFrame, spec: SketchSpec, by: Sequence[str] = ())
     """Counters ``(by..., level, row, idx, v)`` of a stream or of key counts.
 
     No key shuffle: rows are spread to their cells inside the input partition and summed
-    there first, so the shuffle is bounded by partitions x cells.
+    there first, so the shuffle is bounded by tasks x cells.
     """
-    spread = _with_level_row_hash(sampled_levels(stream.select(*by, "key", "weight"), spec), spec)
+    arrivals = long_tasks(stream.select(*by, "key", "weight"))
+    spread = _with_level_row_hash(sampled_levels(arrivals, spec), spec)
     return (
         spread.selectExpr(*by, "level", "row", f"{cell_text('h', spec.width)} AS idx", f"{sign_text('h')} * weight AS v")
         .groupBy(*by, "level", "row", "idx").agg(F.sum("v").alias("v")).filter("v != 0"))
@@ -108,11 +110,13 @@ def universal_candidates(counts: DataFrame, spec: SketchSpec, mode: str = "track
             "level", "key", F.greatest(F.lit(1), F.floor("est")).cast("bigint").alias("v"))
     else:
         raise ValueError(f"unknown candidate mode {mode!r}")
-    return cut_candidates(sampled, spec)
+    return cut_candidates(sampled, spec, "v" if mode == "tracked" else None)
 
 
-def cut_candidates(sampled: DataFrame, spec: SketchSpec) -> DataFrame:
-    top = top_per_group(sampled, ["level"], [F.desc("v"), F.col("key")], spec.capacity, ["key"])
+def cut_candidates(sampled: DataFrame, spec: SketchSpec, value: str | None = None) -> DataFrame:
+    """``value`` names a cheap exact count, to drop most keys before any sort."""
+    top = top_per_group(sampled, ["level"], [F.desc("v"), F.col("key")], spec.capacity, ["key"],
+                        value=value, groups=spec.levels)
     return top.select("level", "key", "v")
 
 
@@ -122,7 +126,7 @@ def local_candidates(stream: DataFrame, spec: SketchSpec, share: int = 2) -> Dat
     Each task keeps at most ``share * capacity`` keys per level; the union is bounded by
     partitions x levels x that number and is re-estimated from the merged counters.
     """
-    sampled = sampled_levels(stream.select("key", "weight"), spec).select("level", "key", "weight")
+    sampled = sampled_levels(long_tasks(stream.select("key", "weight")), spec)
     return frequent_per_partition(sampled, ["level"], share * spec.capacity).select("level", "key").distinct()
 
 
