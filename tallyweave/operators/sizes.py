@@ -14,6 +14,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.sources.scratch import materialize
+
 
 def max_parts(value: int) -> int:
     """Most keys tried for one counter. 2 above 600, 3 above 300, 4 above 50, else 6."""
@@ -54,8 +56,11 @@ def flow_size_distribution_em(histogram: DataFrame, width: int, rounds: int = 3)
     values and the table shared with the tasks is bounded by ``width``.
     """
     spark = histogram.sparkSession
+    # Every round reads the histogram, so it is written once; its rows are spread by value
+    # because large values have many more splits.
+    histogram = materialize(histogram)
     current = histogram.select(F.col("v").alias("size"), F.col("n").cast("double").alias("n"))
-    values = histogram.repartition("v")
+    values = histogram.repartition(spark.sparkContext.defaultParallelism, "v")
     for _ in range(rounds):
         estimate = {row["size"]: row["n"] for row in current.collect() if row["n"] > 0}
         shared = spark.sparkContext.broadcast({s: n / width for s, n in estimate.items()})

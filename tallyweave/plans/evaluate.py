@@ -24,6 +24,7 @@ from tallyweave.operators.linear import is_text
 from tallyweave.operators.twostream import (
     cosine_est, cosine_exact, inner_product_est, inner_product_exact, jaccard_est, jaccard_exact, pair_counts,
 )
+from tallyweave.sources.scratch import materialize
 from tallyweave.spec import SketchSpec, sketch_params_from_memory
 
 G = Callable[[Column], Column]
@@ -35,6 +36,8 @@ DEFAULT_MEMORY = range(100_000, 1_000_000, 200_000)
 DEFAULT_HEAVY_RATIO = 0.6
 DEFAULT_COUNTER_RATIO = 0.9
 DEFAULT_LAMBDA = 0.00005
+# Counter rows of a whole sweep that may be broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def relative_error(estimate: DataFrame, real: DataFrame) -> DataFrame:
@@ -126,7 +129,9 @@ def sweep_build(stream: DataFrame, specs: Sequence[SketchSpec]) -> DataFrame:
 
 def sweep_errors(counts: DataFrame, counters: DataFrame, specs: Sequence[SketchSpec]) -> DataFrame:
     """Mean absolute error of each setting over the keys of ``(key, f)``: ``(cfg, aae)``."""
-    seen = _sweep_hash(counts.select("key", "f"), specs).join(counters, ["cfg", "row", "idx"], "left").select(
+    small = sum(s.rows * s.width for s in specs) <= BROADCAST_ROWS
+    seen = _sweep_hash(counts.select("key", "f"), specs).join(
+        F.broadcast(counters) if small else counters, ["cfg", "row", "idx"], "left").select(
         "cfg", "key", "f", (sign_of(F.col("h")) * F.coalesce("v", F.lit(0))).alias("x"))
     estimates = seen.groupBy("cfg", "key", "f").agg(median_of_group(F.col("x")).alias("est"))
     return estimates.groupBy("cfg").agg(F.avg(F.abs(F.col("est") - F.col("f"))).alias("aae"))
@@ -172,7 +177,7 @@ def eval_gsum_job(stream: DataFrame, weight: str, memory: Iterable[int] = DEFAUL
                   algos: Sequence[str] = ALGORITHMS) -> DataFrame:
     """Relative error of ``sum g(f)``. The baseline answers the square sum by its self join."""
     g = WEIGHTS[weight]
-    real = gsum_exact(key_counts(stream), g)
+    real = materialize(gsum_exact(key_counts(stream), g))
 
     def measure(mem, spec, algo):
         if algo != BASELINE:
@@ -188,7 +193,7 @@ def eval_gsum_job(stream: DataFrame, weight: str, memory: Iterable[int] = DEFAUL
 def eval_frequency_job(stream: DataFrame, weight: str, memory: Iterable[int] = DEFAULT_MEMORY, trials: int = 5,
                        algos: Sequence[str] = ALGORITHMS) -> DataFrame:
     """Mean error of ``g`` of the point estimates over all keys."""
-    g, counts = WEIGHTS[weight], key_counts(stream)
+    g, counts = WEIGHTS[weight], materialize(key_counts(stream))
 
     def measure(mem, spec, algo):
         if algo == BASELINE:
@@ -203,9 +208,10 @@ def eval_heavy_hitter_job(stream: DataFrame, weight: str, lam: float = DEFAULT_L
                           algos: Sequence[str] = ALGORITHMS) -> DataFrame:
     """F1 of the keys reported to hold at least the share ``lam`` of the total weight."""
     g = WEIGHTS[weight]
-    truth = heavy_hitters_exact(key_counts(stream), g, lam)
+    counts = materialize(key_counts(stream))
+    truth = materialize(heavy_hitters_exact(counts, g, lam))
     # One number for the whole job: the weight threshold the reported keys must reach.
-    row = gsum_exact(key_counts(stream), g).first()
+    row = gsum_exact(counts, g).first()
     threshold = float(int(row["gsum"] * lam))
 
     def measure(mem, spec, algo):
@@ -230,7 +236,7 @@ def eval_similarity_job(streams: DataFrame, task: str, memory: Iterable[int] = D
                         algos: Sequence[str] = ALGORITHMS) -> DataFrame:
     """Relative error of a similarity of the streams A and B; each gets half the memory."""
     exact, estimate, baseline, part = SIMILARITIES[task]
-    real = exact(pair_counts(streams))
+    real = materialize(exact(pair_counts(streams)))
     a, b = (streams.filter(F.col("stream") == s) for s in ("A", "B"))
 
     def measure(mem, spec, algo):

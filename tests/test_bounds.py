@@ -169,3 +169,24 @@ def test_jobs_report_every_setting(spark, zipf):
     result = A.eval_gsum_job(part, "sum", [20_000, 40_000], trials=2, algos=("E", "S", A.UNIVERSAL, A.BASELINE)).collect()
     assert {(r["mem"], r["algo"]) for r in result} == {(m, a) for m in (20, 40) for a in ("E", "S", A.UNIVERSAL, A.BASELINE)}
     assert all(r["value"] is not None and r["value"] < 0.5 for r in result)
+
+
+def test_hot_key_is_spread_over_shards(spark):
+    """A third of all arrivals in one key: no (shard, bucket) exceeds a shard, and nothing is lost."""
+    n, shard_rows = 30_000, 1_000
+    s = spark.range(n).selectExpr("id AS seq", "CASE WHEN id % 3 = 0 THEN 0 ELSE 1 + id % 499 END AS key", "1L AS weight")
+    spec = SketchSpec(rows=3, width=256, levels=10, capacity=64, buckets=4, slots=4, seed=2)
+    folded = materialize(H.heavy_fold(s, spec, "elastic", shard_rows))
+    assert folded.select("shard").distinct().count() == n // shard_rows
+    heavy, residual = H.merge_shards(folded, spec)
+    assert H.heavy_mass(heavy, residual).first()["total"] == n
+    hot = E.extract_query(spark.createDataFrame([(0,)], "key bigint"), E.extract_build(s, spec, "elastic", shard_rows=shard_rows))
+    assert hot.first()["est"] == pytest.approx(n / 3, rel=0.05)
+
+
+def test_cutoffs_keep_ties(spark):
+    df = spark.createDataFrame([(0, k, v) for k, v in enumerate([5, 5, 5, 3, 3, 1])] + [(1, 9, 7)], "g int, key bigint, v bigint")
+    order = [F.desc("v"), F.col("key")]
+    for k in (1, 3, 4, 10):
+        plain = X.top_per_group(df, ["g"], order, k, ["key"])
+        assert rows(X.top_per_group(df, ["g"], order, k, ["key"], value="v", groups=2)) == rows(plain)
