@@ -142,24 +142,76 @@ def _(spark, d):
 
 # --- jobs -------------------------------------------------------------------------------
 
-MEMORY = [8_000]
+MEMORY = 3_000
+LIKE = A.sweep_specs([MEMORY], 1)[0][1]
+ALONE = A.universal_spec(MEMORY, LIKE)
+ORDERED = ("E", "H", "L")
+USER_COUNTS = S.counts_sql(S.USERS)
 
 
-@query("eval_gsum_job")
+def estimated_ctes(strategy: str) -> dict[str, str]:
+    """An ordered summary whose candidates are ranked by estimates."""
+    ctes = M.replay_ctes(S.USERS, LIKE, strategy)
+    ctes["e"] = Q.level_estimates("SELECT level, key FROM s", "u", LIKE)
+    ctes["w"] = "SELECT level, key, greatest(1, floor(est))::BIGINT AS f FROM e"
+    ctes.pop("k")
+    return ctes | {"k": Q.cut("w", LIKE)}
+
+
+def elastic_ctes() -> dict[str, str]:
+    cell = Q.bucket_sql("key", LIKE.seed, LIKE.width, "light")
+    return {"st": Q.heavy_replay(S.USERS, LIKE, "elastic", slots=BQ.E.ELASTIC_SLOTS), "h": Q.replay_heavy("st"), "m": Q.replay_moved("st"),
+            "li": BQ.ELASTIC_CTES["li"].replace(BQ._cell, cell)}
+
+
+def job_sql(parts: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {MEMORY // 1000}::BIGINT AS mem, '{algo}' AS algo, round(value, 6)::DOUBLE AS value FROM ({body})" for algo, body in parts.items())
+
+
+def _gsum_parts(g: str) -> dict[str, str]:
+    error = f"abs(gsum - (SELECT sum({Q.g_sql(g, 'f')}) FROM ({USER_COUNTS}))) / (SELECT sum({Q.g_sql(g, 'f')}) FROM ({USER_COUNTS})) AS value"
+    parts = {algo: f"SELECT {error} FROM ({Q.chain(M.gsum_sql(LIKE, g), **estimated_ctes(A.ROUTES[algo]))})" for algo in ORDERED}
+    parts[A.UNIVERSAL] = f"SELECT {error} FROM ({Q.chain(Q.level_gsum('SELECT * FROM k', ALONE, g), **M.level_ctes(S.USERS, ALONE, 'estimated'))})"
+    return parts
+
+
+def _frequency_parts(g: str) -> dict[str, str]:
+    error = f"avg(abs({Q.g_sql(g, 'e.est')} - {Q.g_sql(g, 'c.f')})) AS value"
+    over = lambda body: f"SELECT {error} FROM ({body}) e JOIN ({USER_COUNTS}) c ON c.key = e.key"
+    keys = "SELECT DISTINCT user_id AS key FROM events"
+    parts = {algo: over(Q.chain(M.value_sql(keys, LIKE), **estimated_ctes(A.ROUTES[algo]))) for algo in ORDERED}
+    levels = {k: v for k, v in M.level_ctes(S.USERS, ALONE).items() if k in "csu"}
+    parts[A.UNIVERSAL] = over(Q.chain("SELECT key, greatest(0.0, est) AS est FROM p", **levels,
+                                      p=Q.level_estimates("SELECT 0 AS level, key FROM c", "u", ALONE)))
+    cell = Q.bucket_sql("k.key", LIKE.seed, LIKE.width, "light")
+    parts[A.BASELINE] = over(Q.chain(
+        f"SELECT k.key, coalesce(h.v, 0) + CASE WHEN h.v IS NULL OR h.flag THEN coalesce(li.v, 0) ELSE 0 END AS est "
+        f"FROM ({keys}) k LEFT JOIN h ON h.key = k.key LEFT JOIN li ON li.idx = {cell}", **elastic_ctes()))
+    return parts
+
+
+# The sums of the ordered strategies and of the universal sketch alone; the jobs below add the rest.
+@query("eval_gsum_job", job_sql(_gsum_parts("entropy")))
+def _(spark, d):
+    return rounded(A.eval_gsum_job(S.users(spark, d), "entropy", [MEMORY], trials=1, algos=(*ORDERED, A.UNIVERSAL)), "value")
+
+
+@query("eval_frequency_job", job_sql(_frequency_parts("sum")))
 def _(spark, d):
-    return A.eval_gsum_job(S.users(spark, d), "entropy", MEMORY, trials=1)
+    return rounded(A.eval_frequency_job(S.users(spark, d), "sum", [MEMORY], trials=1, algos=(*ORDERED, A.UNIVERSAL, A.BASELINE)), "value")
 
 
-@query("eval_frequency_job")
+@query("eval_gsum_job_self_join")
 def _(spark, d):
-    return A.eval_frequency_job(S.users(spark, d), "sum", MEMORY, trials=1)
+    return A.eval_gsum_job(S.users(spark, d), "sqr", [MEMORY], trials=1, algos=("S", A.BASELINE))
 
 
 @query("eval_heavy_hitter_job")
 def _(spark, d):
-    return A.eval_heavy_hitter_job(S.users(spark, d), "sum", lam=0.007, memory=MEMORY, trials=1)
+    return A.eval_heavy_hitter_job(S.users(spark, d), "sum", lam=0.007, memory=[MEMORY], trials=1)
 
 
 @query("eval_similarity_job")
 def _(spark, d):
-    return A.eval_similarity_job(S.users_ab(spark, d), "cosine", MEMORY, trials=1, algos=("E", "S", A.UNIVERSAL, A.BASELINE))
+    return A.eval_similarity_job(S.users_ab(spark, d), "cosine", [MEMORY], trials=1, algos=("E", "S", A.UNIVERSAL, A.BASELINE))
