@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import blob_ledger, block_names, compression_quality, jump_shards, ngram_toxicity, url_reputation
+from tallyweave.llm import blob_ledger, block_names, compression_quality, jaccard_regions, jump_shards, ngram_toxicity, url_reputation
 from tallyweave.llm.inputs import table
 from tallyweave.llm.sqltext import BLOCK_NAMES_SQL
 from tallyweave.sources.scratch import scratch_path
@@ -46,10 +46,14 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(pages, named.join(labels, "doc_id").select("page_id", "good"), URL_RULES)
 
 
+def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_regions.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op3_compression_quality": op3_compression_quality, "op4_block_names": op4_block_names,
     "op6_jump_shards": op6_jump_shards, "op7_blob_ledger": op7_blob_ledger, "op8_ngram_toxicity": op8_ngram_toxicity,
-    "op9_url_reputation": op9_url_reputation,
+    "op9_url_reputation": op9_url_reputation, "op10_jaccard_regions": op10_jaccard_regions,
 }
 
 SQL = {"op4_block_names": BLOCK_NAMES_SQL}
