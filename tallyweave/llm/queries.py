@@ -5,14 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import blob_ledger, block_names, compression_quality, jaccard_regions, jump_shards, ngram_toxicity, url_reputation
+from tallyweave.llm import (
+    blob_ledger, block_names, compression_quality, jaccard_regions, jump_shards, licence_digests, ngram_toxicity,
+    simhash_windows, source_mixing, url_reputation,
+)
 from tallyweave.llm.inputs import table
-from tallyweave.llm.sqltext import BLOCK_NAMES_SQL
+from tallyweave.llm.sqltext import BLOCK_NAMES_SQL, LICENCE_SQL, MIXING_SQL, WINDOWS_SQL
 from tallyweave.sources.scratch import scratch_path
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
+def op1_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_windows.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame(licence_digests.KNOWN, "licence_id string, text string")
+    return licence_digests.licence_hits(table(spark, sf_dir, "documents"), known)
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mixing.mix(table(spark, sf_dir, "documents"), source_mixing.mix_levels(), source_mixing.MIX_WEIGHTS, source_mixing.MIX_SHARE)
+    return mixed.drop("check")
+
+
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,9 +68,13 @@ def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_windows": op1_simhash_windows, "op2_licence_digests": op2_licence_digests,
     "op3_compression_quality": op3_compression_quality, "op4_block_names": op4_block_names,
-    "op6_jump_shards": op6_jump_shards, "op7_blob_ledger": op7_blob_ledger, "op8_ngram_toxicity": op8_ngram_toxicity,
+    "op5_source_mixing": op5_source_mixing, "op6_jump_shards": op6_jump_shards, "op7_blob_ledger": op7_blob_ledger, "op8_ngram_toxicity": op8_ngram_toxicity,
     "op9_url_reputation": op9_url_reputation, "op10_jaccard_regions": op10_jaccard_regions,
 }
 
-SQL = {"op4_block_names": BLOCK_NAMES_SQL}
+SQL = {
+    "op1_simhash_windows": WINDOWS_SQL, "op2_licence_digests": LICENCE_SQL, "op4_block_names": BLOCK_NAMES_SQL,
+    "op5_source_mixing": MIXING_SQL,
+}

@@ -1,8 +1,96 @@
 """DuckDB SQL that gives the same rows as the queries of this package."""
 
+from __future__ import annotations
+
+from tallyweave.llm.source_mixing import MIX_SHARE, MIX_WEIGHTS
+
 BLOCK_NAMES_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
 """
+
+
+WINDOWS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dn AS (SELECT r, doc_id, w, greatest(len(w) - 4, 1) AS m FROM d WHERE len(w) > 0),
+bn AS (SELECT item, item_id, w, greatest(len(w) - 4, 1) AS n FROM b WHERE len(w) > 0),
+ds AS (SELECT r, doc_id, m, p, w[p + 1 : p + 5] AS s FROM dn, unnest(range(m)) AS t(p)),
+bs AS (SELECT item, item_id, n, w[p + 1 : p + 5] AS s FROM bn, unnest(range(n)) AS t(p)),
+bc AS (SELECT item, item_id, n, s, count(*) AS c FROM bs GROUP BY ALL),
+hit AS (SELECT r, doc_id, m, item, item_id, n, least(m, n) AS size, p, s, c FROM ds JOIN bc USING (s)),
+win AS (SELECT r, doc_id, item, item_id, n, size, s, c, start FROM hit, unnest(range(greatest(p - size + 1, 0), least(p, m - size) + 1)) AS t(start)),
+per AS (SELECT r, doc_id, item, item_id, n, size, start, s, least(count(*), any_value(c)) AS k FROM win GROUP BY r, doc_id, item, item_id, n, size, start, s),
+o AS (SELECT r, doc_id, item, item_id, n, size, start, CAST(sum(k) AS BIGINT) AS o FROM per GROUP BY ALL)
+SELECT doc_id, item_id, count(*) AS windows, CAST(min(start) AS INTEGER) AS first_word, max(round(o / (n + size - o), 6)) AS similarity
+FROM o WHERE 100 * o >= 80 * (n + size - o) GROUP BY r, doc_id, item, item_id
+"""
+
+
+def _mixing(weights: dict[str, dict[str, int]], share: tuple[int, int], epochs: int = 4, seed: int = 42) -> str:
+    """The same budgets by rounds of filling, and prefixes by one running sum per leaf."""
+    levels = ["domain", "language", "source_name"]
+
+    def weight(level: str) -> str:
+        cases = " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in weights[level].items())
+        return f"CASE {cases} ELSE 1 END" if cases else "1"
+
+    steps, parent = [], "(SELECT CAST(sum(tokens) AS BIGINT) * {0} // {1} AS up FROM leaf)".format(*share)
+    for depth, level in enumerate(levels, 1):
+        keys = ", ".join(levels[:depth])
+        above = ", ".join(levels[: depth - 1])
+        part = f"PARTITION BY {above}" if above else ""
+        order = f"{part} ORDER BY cap / w, {level}"
+        ahead = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        join = f"JOIN (SELECT {above}, own AS up FROM b{depth - 1}) USING ({above})" if above else f"CROSS JOIN {parent}"
+        steps.append(f"""
+n{depth} AS (SELECT {keys}, CAST(sum(tokens) AS BIGINT) * {epochs} AS cap, {weight(level)} AS w FROM leaf GROUP BY {keys}),
+f{depth} AS (SELECT *, greatest(CAST(up AS HUGEINT) - coalesce(sum(cap) {ahead}, 0), 0) AS l, sum(w) OVER ({part}) - coalesce(sum(w) {ahead}, 0) AS ws
+             FROM n{depth} {join}),
+g{depth} AS (SELECT *, max(CASE WHEN cap * ws <= w * l THEN 0 ELSE 1 END) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS opened FROM f{depth}),
+h{depth} AS (SELECT *, max(CASE WHEN opened = 1 THEN l END) OVER ({part}) AS pool, max(CASE WHEN opened = 1 THEN ws END) OVER ({part}) AS total FROM g{depth}),
+i{depth} AS (SELECT *, CASE WHEN opened = 1 THEN w * pool // total ELSE cap END AS base,
+             sum(opened) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM h{depth}),
+j{depth} AS (SELECT *, pool - sum(CASE WHEN opened = 1 THEN base END) OVER ({part}) AS lost FROM i{depth}),
+b{depth} AS (SELECT {keys}, CAST(least(base + CASE WHEN opened = 1 AND place <= lost THEN 1 ELSE 0 END, cap) AS BIGINT) AS own FROM j{depth})""")
+    return rf"""
+WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+           coalesce('domain' || CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) // 5 AS VARCHAR), '~') AS domain,
+           coalesce(lang, '~') AS language, coalesce(source, '~') AS source_name FROM documents),
+leaf AS (SELECT domain, language, source_name, sum(tokens) AS tokens FROM d WHERE tokens > 0 GROUP BY ALL),
+{",".join(steps)},
+p AS (SELECT d.*, b3.own AS leaf_budget, b3.own // leaf.tokens AS passes, b3.own % leaf.tokens AS rest
+      FROM d JOIN leaf USING (domain, language, source_name) JOIN b3 USING (domain, language, source_name) WHERE d.tokens > 0),
+q AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, language, source_name
+      ORDER BY md5('{seed}:' || CAST(passes AS BIGINT) || ':' || coalesce(CAST(doc_id AS VARCHAR), '~')), doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM p)
+SELECT doc_id, domain, language, source_name, tokens, CAST(passes + CASE WHEN ahead < rest THEN 1 ELSE 0 END AS BIGINT) AS copies, leaf_budget FROM q
+"""
+
+
+def _licences() -> str:
+    from tallyweave.llm.licence_digests import KNOWN, SPELLINGS
+
+    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+
+    def canonical(text: str) -> str:
+        line = r"(?im)^[^\n\w]*(copyright|\(c\)|©).*(\d{4}|\(c\)|©|\ball rights reserved\b).*$"
+        out = rf"regexp_replace(coalesce({text}, ''), '{line}', '', 'g')"
+        out = rf"' ' || trim(regexp_replace(lower({out}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+        for said, meant in SPELLINGS:
+            out = f"replace({out}, ' {said} ', ' {meant} ')"
+        return f"trim({out})"
+
+    return f"""
+WITH k AS (SELECT DISTINCT licence_id, {canonical("text")} AS form FROM (VALUES {known}) AS v(licence_id, text)),
+u AS (SELECT doc_id, 'document' AS unit, text FROM documents
+      UNION ALL SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents),
+f AS (SELECT doc_id, unit, {canonical("text")} AS form FROM u)
+SELECT doc_id, unit, licence_id, count(*) AS hits FROM f JOIN k USING (form) WHERE form <> '' GROUP BY ALL
+"""
+
+
+LICENCE_SQL = _licences()
+MIXING_SQL = _mixing(MIX_WEIGHTS, MIX_SHARE)
