@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.components import connected_components
+from tallyweave.llm.inputs import row_chunks, text_bytes
 from tallyweave.llm.shingles import mix, shingle_sets
 from tallyweave.sources.scratch import materialize
 
@@ -51,8 +52,8 @@ RANGE_TOKENS = 2_000_000
 REGION_TOKENS = 1_000_000
 #: Pivots of a round, and documents in a pack.
 PIVOTS = 128
-#: Documents that count their shingles together before they are shuffled.
-TOGETHER = 8_000
+#: Bytes of text whose documents count their shingles together before they are shuffled.
+TOGETHER = 4 << 20
 #: Of the hash that parts shingles.
 SEED = 0x51ED270B9F652295
 
@@ -199,37 +200,29 @@ BLOB_TYPES = pa.schema([("r", pa.int32()), ("batch", pa.int64())] + [
     (k, pa.binary()) for k in ("names", "counts", "tokens", "several", "home", "known")])
 
 
-def shared_counts(sets: DataFrame, read, tokens: int) -> DataFrame:
-    """(name, shared): of each named set, how many shingles occur in a set of another name.
+def shared_counts(texts: DataFrame, width: int, tokens: int) -> DataFrame:
+    """(name, shared): of each set, named by its digest, how many shingles occur in another set.
 
-    ``read`` turns a batch of ``sets`` into names and sets; ``tokens`` is the number of shingles in all.
-    Copies of a set have one name; where they are counted apart the largest count holds. Two shingles
-    that look alike in a range only ever raise a count.
+    ``tokens`` is the number of shingles in all. Copies of a set have one name; where they are counted apart
+    the largest count holds. Two shingles that look alike in a range only ever raise a count.
     """
     ranges = max(8, ceil(tokens / RANGE_TOKENS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for i in range(0, batch.num_rows, TOGETHER):
-                names, own = read(batch.slice(i, TOGETHER))
-                rows = range_blobs(own, names, ranges, number)
+            for i, j in row_chunks(text_bytes(batch.column(0))[1], TOGETHER):
+                own = [s for s in shingle_sets(batch.column(0).slice(i, j - i), width) if len(s)]
+                names = np.array([digest(s)[0] for s in own], np.int64)
+                yield pa.RecordBatch.from_pylist(range_blobs(own, names, ranges, number), schema=BLOB_TYPES)
                 number += 1
-                yield pa.RecordBatch.from_pylist(rows, schema=BLOB_TYPES)
 
     return (
-        sets.mapInArrow(spread, BLOBS).groupBy("r").applyInArrow(count_range, "batch long, name long, shared long")
+        texts.mapInArrow(spread, BLOBS).groupBy("r").applyInArrow(count_range, "batch long, name long, shared long")
         .groupBy("batch", "name").agg(F.sum("shared").alias("shared"))
         .groupBy("name").agg(F.max("shared").alias("shared")))
 
 
-def read_texts(width: int):
-    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-        own = [s for s in shingle_sets(batch.column(0), width) if len(s)]
-        return np.array([digest(s)[0] for s in own], np.int64), own
-    return read
-
-
 def read_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
     return batch.column(0).to_numpy(), [np.frombuffer(s.as_py(), np.uint64) for s in batch.column(1)]
 
@@ -469,7 +462,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, **lim
     rows = materialize(document_sets(docs, width))
     classes = materialize(class_table(rows))
     tokens = rows.agg(F.sum("n")).first()[0] or 0
-    counts = shared_counts(docs.select("text"), read_texts(width), tokens)
+    counts = shared_counts(docs.select("text"), width, tokens)
     suspects = materialize(
         classes.join(counts, F.col("d1") == F.col("name")).where(100 * F.col("shared") >= percent * F.col("n"))
         .select("node", "holder", "d1", "d2"))

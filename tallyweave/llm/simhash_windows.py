@@ -42,11 +42,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(own: Column, stride: int = 1) -> Column:
-    """Hashes of the word runs that begin at every ``stride``-th word; a short text is one run."""
-    last = F.size(own) - WIDTH
+def shingles(rows: DataFrame, keys: list[str], name: str, stride: int = 1) -> DataFrame:
+    """``keys`` and hashes of the word runs that begin at every ``stride``-th word; a short text is one run.
+
+    The words are a column of their own, so that they are cut once and not for each run.
+    """
+    own, last = F.col("_words"), F.size("_words") - WIDTH
     many = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), lambda i: F.xxhash64(F.slice(own, i + 1, WIDTH)))
-    return F.when(F.size(own) > 0, many).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(*keys, words(F.col("text")).alias("_words")).select(
+        *keys, F.when(F.size(own) > 0, many).otherwise(F.array().cast("array<bigint>")).alias(name))
 
 
 def longest_stride(sizes: list[int], percent: int) -> int:
@@ -85,7 +89,7 @@ def weighted_overlap(a: Column, b: Column) -> Column:
 
 def anchored(docs: DataFrame, vocabulary: DataFrame, stride: int, small: bool) -> DataFrame:
     """doc_id of the texts with a probed shingle in ``vocabulary`` (h)."""
-    probes = docs.select("doc_id", F.explode(shingles(words(F.col("text")), stride)).alias("h"))
+    probes = shingles(docs, ["doc_id"], "hashes", stride).select("doc_id", F.explode("hashes").alias("h"))
     return probes.join(F.broadcast(vocabulary) if small else vocabulary, "h", "left_semi").select("doc_id").distinct()
 
 
@@ -120,16 +124,15 @@ def contaminations(
     """
     if BITS % blocks:
         raise ValueError("blocks must divide 64")
-    items = benchmark.select("item_id", shingles(words(F.col("text"))).alias("content"))
+    items = shingles(benchmark, ["item_id"], "content")
     items = materialize(items.where(F.size("content") > 0).withColumn("n", F.size("content")).withColumn("item", F.monotonically_increasing_id()))
     index = materialize(items.select(F.explode("content").alias("h"), "n").distinct())
     small = index.count() <= BROADCAST_ROWS
     sizes = [r.n for r in items.select("n").distinct().collect()]  # lengths, not items
     stride = longest_stride(sizes, percent)
     near = materialize(anchored(docs, index.select("h").distinct(), stride, small))
-    texts = materialize(
-        docs.select("doc_id", "text").alias("d").join(near.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")), "left_semi")
-        .select("doc_id", shingles(words(F.col("text"))).alias("hashes")).withColumn("row", F.monotonically_increasing_id()))
+    held = docs.select("doc_id", "text").alias("d").join(near.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")), "left_semi")
+    texts = materialize(shingles(held, ["doc_id"], "hashes").withColumn("row", F.monotonically_increasing_id()))
     laid = windows(texts, index, percent, small).join(texts, "row").select(
         "doc_id", "row", "n", "start", F.slice("hashes", F.col("start") + 1, F.col("size")).alias("content"))
     laid = materialize(laid.withColumn("key", F.xxhash64("content")))
