@@ -88,8 +88,12 @@ def weighted_overlap(a: Column, b: Column) -> Column:
 
 
 def anchored(docs: DataFrame, vocabulary: DataFrame, stride: int, small: bool) -> DataFrame:
-    """doc_id of the texts with a probed shingle in ``vocabulary`` (h)."""
-    probes = shingles(docs, ["doc_id"], "hashes", stride).select("doc_id", F.explode("hashes").alias("h"))
+    """doc_id of the texts with a probed shingle in ``vocabulary`` (h).
+
+    ``explode_outer``, as for ``explode`` Spark puts a filter on the array below the cutting into words,
+    which then cuts anew for every run.
+    """
+    probes = shingles(docs, ["doc_id"], "hashes", stride).select("doc_id", F.explode_outer("hashes").alias("h"))
     return probes.join(F.broadcast(vocabulary) if small else vocabulary, "h", "left_semi").select("doc_id").distinct()
 
 
@@ -124,7 +128,7 @@ def contaminations(
     """
     if BITS % blocks:
         raise ValueError("blocks must divide 64")
-    items = shingles(benchmark, ["item_id"], "content")
+    items = materialize(shingles(benchmark, ["item_id"], "content"))
     items = materialize(items.where(F.size("content") > 0).withColumn("n", F.size("content")).withColumn("item", F.monotonically_increasing_id()))
     index = materialize(items.select(F.explode("content").alias("h"), "n").distinct())
     small = index.count() <= BROADCAST_ROWS
