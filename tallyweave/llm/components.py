@@ -9,21 +9,26 @@ from tallyweave.sources.scratch import materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges`` (a, b): the smallest node it can reach.
+    """(node, label) for every node of ``edges`` (a, b) that has an edge to another: the smallest node in reach.
 
-    Rounds of taking the smallest label among neighbours and then the label's own label, until nothing
-    changes. Labels are minima, combined before each shuffle, and every round is written, so a node
-    with very many neighbours is neither gathered nor recomputed.
+    Every node points to its smallest neighbour or itself, edges are redrawn between what their ends
+    point to, and so on until none is left, so that the edges shrink from round to round; then the
+    pointers are followed back. Smallest neighbours are minima, combined before each shuffle, and
+    every round is written, so a node with very many neighbours is neither gathered nor recomputed.
     """
-    edges = materialize(edges.where("a != b").select("a", "b").distinct())
-    both = edges.union(edges.select("b", "a"))
-    labels = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
-    while True:
-        near = (
-            both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        lower = materialize(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        roots = lower.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = materialize(lower.join(roots, "label").select("node", "old", F.col("root").alias("label")))
-        if not jumped.where("label != old").limit(1).count():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+    rest = materialize(edges.where("a != b").select("a", "b").distinct())
+    rounds = []
+    while not rounds or rest.limit(1).count():
+        both = rest.union(rest.select("b", "a"))
+        up = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("up")))
+        over = up.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        up = materialize(up.join(over, "up").select("node", F.col("root").alias("up")))
+        rounds.append(up)
+        a, b = (up.select(F.col("node").alias(k), F.col("up").alias(f"{k}_up")) for k in "ab")
+        moved = rest.join(a, "a").join(b, "b").where("a_up != b_up")
+        rest = materialize(moved.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
+    labels = rounds.pop().select("node", F.col("up").alias("label"))
+    while rounds:
+        later = labels.select(F.col("node").alias("up"), "label")
+        labels = materialize(rounds.pop().join(later, "up", "left").select("node", F.coalesce("label", "up").alias("label")))
+    return labels

@@ -49,7 +49,9 @@ from tallyweave.sources.scratch import materialize
 #: Shingles of a range of the hash space, which one task counts at a time.
 RANGE_TOKENS = 2_000_000
 #: Shingles of a region that one task joins.
-REGION_TOKENS = 1_000_000
+REGION_TOKENS = 200_000
+#: Classes of four integers that are sent to every task at most; beyond, texts are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Pivots of a round, and documents in a pack.
 PIVOTS = 128
 #: Bytes of text whose documents count their shingles together before they are shuffled.
@@ -229,7 +231,9 @@ def read_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, n, tokens) of the wanted classes (node, holder, d1, d2), read again from their holders' texts."""
-    joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "d1", "d2", "text")
+    few = wanted.count() <= BROADCAST_ROWS
+    joined = docs.select("doc_id", "text").join(
+        F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "d1", "d2", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +326,7 @@ class Overlaps:
 
 
 def join_region(nodes: np.ndarray, sets: list[np.ndarray], similar: Similar) -> list[tuple[int, int]]:
-    """Links that connect what is connected in a region, by pivots, one after the other."""
+    """As few links as connect what is connected in a region, by pivots, one after the other."""
     region = Overlaps(sets)
     label = np.arange(len(nodes))
     active = np.arange(len(nodes))
@@ -333,9 +337,9 @@ def join_region(nodes: np.ndarray, sets: list[np.ndarray], similar: Similar) ->
         overlap = region.of(region.sets[pivot])[active]
         a, b = region.sizes[pivot], region.sizes[active]
         core = similar.links(overlap, a, b)
-        links += [(int(nodes[pivot]), int(nodes[x])) for x in active[core]]
-        joined = np.unique(np.append(label[active[core]], label[pivot]))
-        label[np.isin(label, joined)] = joined[0]
+        others, first = np.unique(label[active[core]], return_index=True)  # one link for each part it connects
+        links += [(int(nodes[pivot]), int(nodes[x])) for k, x in zip(others, active[core][first]) if k != label[pivot]]
+        label[np.isin(label, others)] = label[pivot]
         ring = similar.within_twice(overlap, a, b) & ~core
         distance = 1 - overlap / (a + b - overlap)
         window = distance[ring].min() - radius - 1e-9 if ring.any() else 2.0
