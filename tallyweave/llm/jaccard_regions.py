@@ -49,7 +49,7 @@ from tallyweave.sources.scratch import materialize
 #: Shingles of a range of the hash space, which one task counts at a time.
 RANGE_TOKENS = 2_000_000
 #: Shingles of a region that one task joins.
-REGION_TOKENS = 200_000
+REGION_TOKENS = 1_000_000
 #: Classes of four integers that are sent to every task at most; beyond, texts are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Pivots of a round, and documents in a pack.
@@ -167,7 +167,7 @@ def range_blobs(sets: list[np.ndarray], names: np.ndarray, ranges: int, batch: i
 
 
 def count_range(group: pa.Table) -> pa.Table:
-    """(batch, name, shared) for the documents of one range: how many of their shingles others hold too."""
+    """For the documents of one range, by batch, how many of their shingles others hold too: (batch, names, found)."""
     batches, names, counts, tokens, several, extra = [], [], [], [], [], []
     for row in group.to_pylist():
         who = np.frombuffer(row["names"], np.int64)
@@ -190,11 +190,25 @@ def count_range(group: pa.Table) -> pa.Table:
         shared[order] = np.repeat(more, np.diff(np.append(starts, len(tokens))))
         shared |= np.isin(tokens, several)
     found = np.bincount(entry[shared], minlength=len(names))
+    found, names = np.concatenate([found, *(e[2] for e in extra)]), np.concatenate([names, *(e[1] for e in extra)])
+    batches = np.concatenate([batches, *(e[0] for e in extra)])
     hit = found > 0
+    found, names, batches = found[hit].astype(np.uint32), names[hit], batches[hit]
+    order = np.argsort(batches, kind="stable")
+    cuts = np.flatnonzero(np.diff(batches[order])) + 1
+    parts = [p for p in np.split(order, cuts) if len(p)]
     return pa.table({
-        "batch": np.concatenate([batches[hit], *(e[0] for e in extra)]).astype(np.int64),
-        "name": np.concatenate([names[hit], *(e[1] for e in extra)]),
-        "shared": np.concatenate([found[hit], *(e[2] for e in extra)]).astype(np.int64)})
+        "batch": pa.array([int(batches[p[0]]) for p in parts], pa.int64()),
+        "names": pa.array([names[p].tobytes() for p in parts], pa.binary()),
+        "found": pa.array([found[p].tobytes() for p in parts], pa.binary())})
+
+
+def sum_batch(group: pa.Table) -> pa.Table:
+    """(name, shared) of the documents that were counted together, over all ranges."""
+    names = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group["names"]])
+    found = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group["found"]])
+    names, at = np.unique(names, return_inverse=True)
+    return pa.table({"name": names, "shared": np.bincount(at, weights=found, minlength=len(names)).astype(np.int64)})
 
 
 BLOBS = "r int, batch long, names binary, counts binary, tokens binary, several binary, home binary, known binary"
@@ -220,8 +234,8 @@ def shared_counts(texts: DataFrame, width: int, tokens: int) -> DataFrame:
                 number += 1
 
     return (
-        texts.mapInArrow(spread, BLOBS).groupBy("r").applyInArrow(count_range, "batch long, name long, shared long")
-        .groupBy("batch", "name").agg(F.sum("shared").alias("shared"))
+        texts.mapInArrow(spread, BLOBS).groupBy("r").applyInArrow(count_range, "batch long, names binary, found binary")
+        .groupBy("batch").applyInArrow(sum_batch, "name long, shared long")
         .groupBy("name").agg(F.max("shared").alias("shared")))
 
 
