@@ -23,6 +23,8 @@ from tallyweave.sources.scratch import materialize
 
 #: Known digests that are sent to every task at most; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
+#: Different first words of known licences by which texts are told apart first.
+OPENINGS = 1_000
 
 #: Fixed equivalent spellings, on canonical words.
 SPELLINGS = (
@@ -67,11 +69,18 @@ MPL was not distributed with this file, You can obtain one at https://mozilla.or
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text."""
+def without_notices(text: Column) -> Column:
+    """The text without its copyright lines."""
     text = F.coalesce(text, F.lit(""))
     copyright_line = r"(?im)^\W*(copyright|\(c\)|©)(?=.*(\d{4}|\(c\)|©|\ball rights reserved\b)).*$"
-    text = F.when(F.lower(text).rlike(r"copyright|\(c\)|©"), F.regexp_replace(text, copyright_line, "")).otherwise(text)
+    small = F.lower(text)
+    marked = small.contains("copyright") | small.contains("(c)") | small.contains("©")
+    return F.when(marked, F.regexp_replace(text, copyright_line, "")).otherwise(text)
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text."""
+    text = without_notices(text)
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for said, meant in SPELLINGS:
         out = F.replace(out, F.lit(f" {said} "), F.lit(f" {meant} "))
@@ -83,16 +92,34 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form.cast("binary"), 256))
 
 
+def openings(wanted: DataFrame) -> list[str] | None:
+    """The first words that a text can have if its canonical form is one of ``form``; None if they are many.
+
+    A spelling that is replaced at the start of a text opens it with a word of its own.
+    """
+    first = [r[0] for r in wanted.select(F.substring_index("form", " ", 1)).distinct().limit(OPENINGS + 1).collect()]
+    if len(first) > OPENINGS:
+        return None
+    words = set(first)
+    for _ in SPELLINGS:
+        words |= {said.split()[0] for said, meant in SPELLINGS if meant.split()[0] in words}
+    return sorted(words)
+
+
 def licence_hits(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, unit ('document' or 'line'), licence_id, hits for every match of a whole text.
 
     ``known`` has licence_id and text.
     """
-    wanted = materialize(known.select("licence_id", digest(F.col("text")).alias("digest")).where("digest IS NOT NULL").distinct())
-    small = wanted.count() <= BROADCAST_ROWS
+    wanted = materialize(known.select("licence_id", canonical(F.col("text")).alias("form")).where("form != ''").distinct())
+    small, first = wanted.count() <= BROADCAST_ROWS, openings(wanted)
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select("doc_id", F.explode(F.split(text, "\n")).alias("text")).select("doc_id", F.lit("line").alias("unit"), digest(F.col("text")).alias("digest"))
-    entire = docs.select("doc_id", F.lit("document").alias("unit"), digest(text).alias("digest"))
+    lines = docs.select("doc_id", F.lit("line").alias("unit"), F.explode(F.split(text, "\n")).alias("text"))
+    texts = lines.union(docs.select("doc_id", F.lit("document").alias("unit"), text.alias("text")))
+    if first is not None:  # no other text can match, so no other needs a canonical form
+        texts = texts.where(F.regexp_extract(F.lower(without_notices(F.col("text"))), r"[\p{L}\p{N}]+", 0).isin(first))
+    digests = wanted.select("licence_id", F.sha2(F.col("form").cast("binary"), 256).alias("digest"))
     return (
-        lines.union(entire).join(F.broadcast(wanted) if small else wanted, "digest")
+        texts.select("doc_id", "unit", digest(F.col("text")).alias("digest"))
+        .join(F.broadcast(digests) if small else digests, "digest")
         .groupBy("doc_id", "unit", "licence_id").agg(F.count("*").alias("hits")))
