@@ -123,10 +123,12 @@ def range_blobs(sets: list[np.ndarray], names: np.ndarray, ranges: int, batch: i
     A shingle that several of these documents hold is sent once, as such; one that a single document
     holds is sent with that document's name. Documents learn of the former here, as ``known``.
     """
+    if not sets:
+        return []
     names, picked = np.unique(names, return_index=True)
     sets = [sets[i] for i in picked]
     sizes = np.array([len(s) for s in sets])
-    tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(tokens)
     ordered = tokens[order]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tallyweave.sources.scratch import materialize
 
 #: Documents of a leaf that one bin of the hash order holds on average.
-BIN_ROWS = 20_000
+BIN_ROWS = 4_000
 #: Bins are found by this many leading hex digits of the hash.
 BIN_DIGITS = 6
 
