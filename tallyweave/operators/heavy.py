@@ -26,7 +26,7 @@ from tallyweave.operators.frequent import frequent_per_partition
 from tallyweave.operators.folds import SHARD_ROWS, ordered_fold
 from tallyweave.operators.linear import is_text
 from tallyweave.operators.tasks import long_tasks
-from tallyweave.spec import ELASTIC_FACTOR, GUARDIAN_BASE, STRATEGIES, SketchSpec
+from tallyweave.spec import ELASTIC_FACTOR, GUARDIAN_BASE, GUARDIAN_GAP, STRATEGIES, SketchSpec
 
 # A heavy table is broadcast up to this many rows.
 BROADCAST_HEAVY = 2_000_000
@@ -123,7 +123,7 @@ class GuardianGuard(FrequentGuard):
         self.fn = hash_fn(seed, "coin")
 
     def grow(self, guard, smallest, seq):
-        return coin(self.fn, seq) % int(GUARDIAN_BASE ** (smallest - guard)) == 0
+        return coin(self.fn, seq) % int(GUARDIAN_BASE ** min(smallest - guard, GUARDIAN_GAP)) == 0
 
 
 def coin(fn, seq: int) -> int:

@@ -51,7 +51,7 @@ def skim_join(heavy_a: DataFrame, skimmed_a: DataFrame, heavy_b: DataFrame, skim
     rest_a = sketch_merge(skimmed_a, back(heavy_a, heavy_b))
     rest_b = sketch_merge(skimmed_b, back(heavy_b, heavy_a))
     exact = heavy_a.join(heavy_b.withColumnRenamed("k", "k2"), "key").agg(
-        F.coalesce(F.sum(F.col("k") * F.col("k2")), F.lit(0)).cast("double").alias("t"))
+        F.coalesce(F.sum(F.col("k").cast("double") * F.col("k2")), F.lit(0.0)).alias("t"))
     light = row_products(rest_a, rest_b, spec.rows).agg(median_of_group(F.col("p")).alias("t"))
     return exact.unionByName(light).agg(F.sum("t").alias("join_size"))
 

@@ -96,6 +96,14 @@ def _cells_by_join(keys: DataFrame, counters: DataFrame, spec: SketchSpec, role:
         *keys.columns, f"{value} AS _value")
 
 
+def per_key_by_join(keys: DataFrame, counters: DataFrame, spec: SketchSpec, role: str, signed: bool,
+                    value: Column) -> DataFrame:
+    """Adds ``est``, an aggregate of ``_value``: found once per key and joined back to every row."""
+    cells = _cells_by_join(keys.select("key").distinct(), counters, spec, role, signed)
+    found = cells.groupBy(F.col("key").alias("_key")).agg(value.alias("est"))
+    return keys.join(found, keys["key"].eqNullSafe(found["_key"])).drop("_key")
+
+
 def _least(values: Sequence[Column]) -> Column:
     return F.least(*values) if len(values) > 1 else values[0]
 
@@ -104,15 +112,14 @@ def count_sketch_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec,
                        role: str = "count") -> DataFrame:
     """Adds ``est``: the median over rows of the signed cell of each key."""
     if not _fits(spec):
-        return _cells_by_join(keys, counters, spec, role, True).groupBy(*keys.columns).agg(
-            median_of_group(F.col("_value")).alias("est"))
+        return per_key_by_join(keys, counters, spec, role, True, median_of_group(F.col("_value")))
     joined, values = _row_values(keys, counters, spec, role, True)
     return joined.select(*keys.columns, median_of_columns(values).alias("est"))
 
 
 def count_sketch_f2(counters: DataFrame) -> DataFrame:
     """Second frequency moment: median over rows of the sum of squared counters."""
-    squares = counters.groupBy("row").agg(F.sum(F.col("v") * F.col("v")).alias("s"))
+    squares = counters.groupBy("row").agg(F.sum(F.col("v").cast("double") * F.col("v")).alias("s"))
     return squares.agg(median_of_group(F.col("s")).alias("f2"))
 
 
@@ -138,8 +145,7 @@ def count_min_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec,
     if not _fits(spec):
         if shared_row:
             counters = counters.selectExpr(row_list(spec), "idx", "v")
-        return _cells_by_join(keys, counters, spec, "min", False).groupBy(*keys.columns).agg(
-            F.min("_value").cast("bigint").alias("est"))
+        return per_key_by_join(keys, counters, spec, "min", False, F.min("_value").cast("bigint"))
     joined, values = _row_values(keys, counters, spec, "min", False, shared_row)
     return joined.select(*keys.columns, _least(values).alias("est"))
 
@@ -155,9 +161,9 @@ def kary_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec) -> DataFr
         F.coalesce(F.sum("v"), F.lit(0)).alias("_total")).withColumn("_one", F.lit(1))
     correct = lambda v: (v.cast("double") - F.col("_total") / F.lit(w)) / F.lit(1.0 - 1.0 / w)
     if not _fits(spec):
-        wide = _cells_by_join(keys, counters, spec, "kary", False).withColumn("_one", F.lit(1))
-        return wide.join(F.broadcast(total), "_one").groupBy(*keys.columns).agg(
-            median_of_group(correct(F.col("_value"))).alias("est"))
+        wide = per_key_by_join(keys, counters, spec, "kary", False, median_of_group(F.col("_value").cast("double")))
+        return wide.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select(
+            *keys.columns, correct(F.col("est")).alias("est"))
     joined, values = _row_values(keys, counters, spec, "kary", False)
     return joined.join(F.broadcast(total), "_one").select(
         *keys.columns, median_of_columns([correct(v) for v in values]).alias("est"))
@@ -194,7 +200,7 @@ def agms_build(stream: DataFrame, rows: int, width: int, seed: int, by: Sequence
 def agms_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """Join size: mean over all cells of the product of the two counters."""
     pair = a.join(b.withColumnRenamed("v", "v2"), ["row", "idx"])
-    return pair.agg((F.sum(F.col("v") * F.col("v2")) / F.count(F.lit(1))).alias("join_size"))
+    return pair.agg((F.sum(F.col("v").cast("double") * F.col("v2")) / F.count(F.lit(1))).alias("join_size"))
 
 
 def fagms_build(stream: DataFrame, spec: SketchSpec, by: Sequence[str] = ()) -> DataFrame:
@@ -214,8 +220,8 @@ def fagms_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec) -> DataF
 def row_products(a: DataFrame, b: DataFrame, rows: int) -> DataFrame:
     """Dot product of two counter tables per row; rows without common cells give 0."""
     products = a.join(b.select("row", "idx", F.col("v").alias("v2")), ["row", "idx"]).select(
-        "row", (F.col("v") * F.col("v2")).alias("p"))
-    zeros = a.sparkSession.range(rows).select(F.col("id").cast("int").alias("row"), F.lit(0).cast("bigint").alias("p"))
+        "row", (F.col("v").cast("double") * F.col("v2")).alias("p"))
+    zeros = a.sparkSession.range(rows).select(F.col("id").cast("int").alias("row"), F.lit(0.0).alias("p"))
     return products.unionByName(zeros).groupBy("row").agg(F.sum("p").alias("p"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators.linear import (
-    BROADCAST_CELLS, _cells_by_join, _least, _row_values, linear_counting, unsigned_build,
+    BROADCAST_CELLS, per_key_by_join, _least, _row_values, linear_counting, unsigned_build,
 )
 from tallyweave.spec import SketchSpec
 
@@ -53,8 +53,7 @@ def salsa_build(stream: DataFrame, spec: SketchSpec) -> DataFrame:
 def salsa_query(keys: DataFrame, blocks: DataFrame, spec: SketchSpec) -> DataFrame:
     """Adds ``est``: the smallest block value of each key."""
     if spec.rows * spec.width > BROADCAST_CELLS:
-        return _cells_by_join(keys, blocks, spec, ROLE, False).groupBy(*keys.columns).agg(
-            F.min("_value").cast("bigint").alias("est"))
+        return per_key_by_join(keys, blocks, spec, ROLE, False, F.min("_value").cast("bigint"))
     joined, values = _row_values(keys, blocks, spec, ROLE, False)
     return joined.select(*keys.columns, _least(values).alias("est"))
 

@@ -49,8 +49,9 @@ def inner_product_exact(pairs: DataFrame) -> DataFrame:
 
 
 def cosine_exact(pairs: DataFrame) -> DataFrame:
-    dot = F.sum(F.col("fa") * F.col("fb")).cast("double")
-    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)).cast("double"))
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    dot = F.sum(whole("fa") * whole("fb")).cast("double")
+    norm = lambda c: F.sqrt(F.sum(whole(c) * whole(c)).cast("double"))
     return pairs.agg((dot / norm("fa") / norm("fb")).alias("cosine"))
 
 

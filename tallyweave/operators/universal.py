@@ -79,11 +79,15 @@ def universal_estimates(pairs: DataFrame, counters: DataFrame, spec: SketchSpec,
     ``levels`` says that only that many levels are asked for.
     """
     levels = levels or spec.levels
-    keyed = with_lanes(pairs, is_text(pairs))
-    if levels * spec.rows * spec.width > BROADCAST_CELLS:
+    wide = levels * spec.rows * spec.width > BROADCAST_CELLS
+    keyed = with_lanes(pairs.select("level", "key").distinct() if wide else pairs, is_text(pairs))
+    if wide:
         probe = _with_level_row_hash(keyed, spec).selectExpr("*", f"{cell_text('h', spec.width)} AS idx")
-        return probe.join(counters.select(*CELL, F.col("v").alias("_v")), list(CELL), "left").groupBy(
-            *pairs.columns).agg(median_of_group(F.expr(f"{sign_text('h')} * coalesce(_v, 0)")).alias("est"))
+        found = probe.join(counters.select(*CELL, F.col("v").alias("_v")), list(CELL), "left").groupBy(
+            F.col("level").alias("_level"), F.col("key").alias("_key")).agg(
+            median_of_group(F.expr(f"{sign_text('h')} * coalesce(_v, 0)")).alias("est"))
+        same = pairs["key"].eqNullSafe(found["_key"]) & (pairs["level"] == found["_level"])
+        return pairs.join(found, same).drop("_level", "_key")
     hashed = with_hashes(keyed, {
         f"_h{row}": coefficients_at([hash_fn(spec.seed, "univ", level, row) for level in range(levels)], "level")
         for row in range(spec.rows)})
@@ -194,7 +198,7 @@ def heap_heavy_hitters(candidates: DataFrame, level: int, threshold: int) -> Dat
 
 def level_f2(counters: DataFrame, level: int, rows: int) -> DataFrame:
     one = counters.filter(F.col("level") == level)
-    squares = one.groupBy("row").agg(F.sum(F.col("v") * F.col("v")).alias("s"))
+    squares = one.groupBy("row").agg(F.sum(F.col("v").cast("double") * F.col("v")).alias("s"))
     return squares.agg(median_of_group(F.col("s")).alias("f2"))
 
 

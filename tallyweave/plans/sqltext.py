@@ -141,7 +141,7 @@ def heavy_replay(stream: str, spec: SketchSpec, strategy: str, slots: int | None
     here, low = "list_position(a.ks, x.e.k)", "list_position(a.vs, list_min(a.vs))"
     guard = "a.g + 1"
     if strategy == "guardian":
-        flip = f"{one_hash('x.e.s', spec.seed, 'coin')} % floor(pow(1.08, list_min(a.vs) - a.g))::BIGINT = 0"
+        flip = f"{one_hash('x.e.s', spec.seed, 'coin')} % floor(pow(1.08, least(list_min(a.vs) - a.g, 280)))::BIGINT = 0"
         guard = f"a.g + CASE WHEN {flip} THEN 1 ELSE 0 END"
     moved = lambda kind, key, f, flag: f"list_append(a.o, {struct(kind=kind, seq='x.e.s', key=key, f=f, flag=flag)})"
     keep = lambda **changed: struct(**{**{k: f"a.{k}" for k in ("ks", "vs", "fl", "g", "o", "e")}, **changed})

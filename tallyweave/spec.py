@@ -17,6 +17,8 @@ SLOTS = 8
 BUCKET_BYTES = 64
 COUNTER_BYTES = 4
 GUARDIAN_BASE = 1.08
+#: A gap at which the power passes the 31 bits of the coin; larger ones have the same outcome.
+GUARDIAN_GAP = 280
 ELASTIC_FACTOR = 8
 
 # Below / above these shares of the memory only one of the two parts is used.
@@ -98,7 +100,7 @@ def sketch_params_from_memory(
         width=max(1, counter_bytes // COUNTER_BYTES // rows),
         levels=levels,
         capacity=max(1, list_bytes // COUNTER_BYTES),
-        buckets=heavy_bytes // BUCKET_BYTES,
+        buckets=max(1 if heavy_ratio > ONLY_UNIVERSAL else 0, heavy_bytes // BUCKET_BYTES),
         heavy_ratio=heavy_ratio,
         seed=seed,
     )
