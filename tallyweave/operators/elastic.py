@@ -34,9 +34,14 @@ def elastic_fold(stream: DataFrame, spec: SketchSpec, shard_rows: int = SHARD_RO
 
 
 def elastic_heavy(folded: DataFrame) -> DataFrame:
-    """Residents ``(bucket, key, v, flag)``, added per key when there are several shards."""
-    return folded.filter(F.col("kind") == "heavy").groupBy("bucket", "key").agg(
-        F.sum("f").alias("v"), F.max("flag").alias("flag"))
+    """Residents ``(bucket, key, v, flag)``, added per key when there are several shards.
+
+    A key that is not resident in every shard is flagged, as the rest of it is in the light part.
+    """
+    shards = folded.agg(F.countDistinct("shard").alias("n")).scalar()
+    added = folded.filter(F.col("kind") == "heavy").groupBy("bucket", "key").agg(
+        F.sum("f").alias("v"), F.max("flag").alias("_flag"), F.count(F.lit(1)).alias("_in"))
+    return added.select("bucket", "key", "v", (F.col("_flag") | (F.col("_in") < shards)).alias("flag"))
 
 
 def elastic_light(folded: DataFrame, spec: SketchSpec, block: int = SHARD_ROWS) -> DataFrame:

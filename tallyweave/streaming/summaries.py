@@ -135,8 +135,16 @@ def stream_extract(stream: DataFrame, spec: SketchSpec, strategy: str, path: str
 
 
 def load_stream_extract(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(heavy, counters)`` of everything processed so far."""
+    """``(heavy, counters)`` of everything processed so far, with one resident row per key.
+
+    Where the fold ran in several shards, a key's residents are added, and a key that is not resident in
+    all of them is flagged, as the rest of it is in the counters; ``shard`` is the first that holds it.
+    """
     residents = latest_residents(spark.read.parquet(f"{path}/residents/batch=*"))
+    shards = residents.agg(F.countDistinct("shard").alias("n")).scalar()
+    added = residents.groupBy("bucket", "key").agg(
+        F.min("shard").alias("shard"), F.sum("v").alias("v"), F.max("flag").alias("_flag"), F.count(F.lit(1)).alias("_in"))
+    residents = added.select("shard", "bucket", "key", "v", (F.col("_flag") | (F.col("_in") < shards)).alias("flag"))
     counters = spark.read.parquet(f"{path}/counters/batch=*").groupBy("level", "row", "idx").agg(
         F.sum("v").alias("v")).filter(F.col("v") != 0)
     return residents, counters

@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from tallyweave.operators import elastic as E
 from tallyweave.operators import heavy as H
 from tallyweave.operators import joinsketch as J
 from tallyweave.operators import linear as L
@@ -11,6 +12,7 @@ from tallyweave.operators import salsa as S
 from tallyweave.operators import twostream as T
 from tallyweave.operators import universal as U
 from tallyweave.spec import SketchSpec, sketch_params_from_memory
+from tallyweave.streaming.summaries import load_stream_extract
 
 SPEC = SketchSpec(rows=3, width=64, levels=4, capacity=16, buckets=8, seed=9)
 MANY = 5_000_000_000
@@ -62,3 +64,24 @@ def test_guardian_coin_takes_any_gap():
 
 def test_small_budgets_have_a_bucket():
     assert sketch_params_from_memory(100).buckets == 1 and sketch_params_from_memory(100_000, heavy_ratio=0.0).buckets == 0
+
+
+def test_elastic_counts_what_a_shard_passed_on(spark):
+    spec = SketchSpec(rows=3, width=4096, levels=4, capacity=16, buckets=1, seed=9)
+    first = [k for k in range(1, 8) for _ in range(3)] + [8] * 20
+    arrivals = first + [8] * 10
+    stream = spark.createDataFrame([(k, i, 1) for i, k in enumerate(arrivals)], "key long, seq long, weight long")
+    keys = spark.createDataFrame([(8,)], "key long")
+    for shard_rows in (1_000, len(first)):
+        folded = E.elastic_fold(stream, spec, shard_rows)
+        heavy, light = E.elastic_heavy(folded), E.elastic_light(folded, spec)
+        assert [tuple(r) for r in E.elastic_query(keys, heavy, light, spec).collect()] == [(8, 30)]
+
+
+def test_streamed_residents_are_one_row_per_key(spark, tmp_path):
+    rows = [(0, 0, 1, 5, False, "heavy", 1), (1, 0, 1, 6, False, "heavy", 2), (0, 0, 2, 4, False, "heavy", 1)]
+    spark.createDataFrame(rows, "shard int, bucket long, key long, f long, flag boolean, kind string, seq long").write.parquet(
+        str(tmp_path / "residents" / "batch=0"))
+    spark.createDataFrame([(0, 0, 1, 1)], "level int, row int, idx long, v long").write.parquet(str(tmp_path / "counters" / "batch=0"))
+    heavy, _ = load_stream_extract(spark, str(tmp_path))
+    assert sorted((r.key, r.v, r.flag) for r in heavy.collect()) == [(1, 11, False), (2, 4, True)]
