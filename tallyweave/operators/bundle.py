@@ -10,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyweave.functions.weights import WEIGHTS
 from tallyweave.operators import elastic, joinsketch, salsa, waving
@@ -27,20 +26,21 @@ class Bundle:
 
 
 def bundle_build(stream: DataFrame, spec: SketchSpec, use_elastic: bool = True,
-                 parts: tuple[str, ...] = ("point", "join", "registers")) -> Bundle:
-    """Build the parts a caller is going to ask: ``point`` answers, ``join`` and ``registers``."""
+                 parts: tuple[str, ...] = ("point", "join", "registers"), light_limit: int | None = elastic.LIGHT_MAX) -> Bundle:
+    """Build the parts a caller is going to ask: ``point`` answers, ``join`` and ``registers``.
+
+    ``light_limit`` is the largest value of a light cell of the elastic part, one byte as in the
+    comparisons this bundle is for; None keeps whole sums.
+    """
     t: dict[str, DataFrame] = {}
     if "point" in parts and use_elastic:
         folded = materialize(elastic.elastic_fold(stream, spec))
-        t["elastic_heavy"] = elastic.elastic_heavy(folded)
-        t["elastic_light"] = materialize(elastic.elastic_light(folded, spec))
+        heavy, light = elastic.elastic_tables(folded, spec, limit=light_limit)
+        t["elastic_heavy"], t["elastic_light"] = materialize(heavy), materialize(light)
     elif "point" in parts:
         t["salsa"] = materialize(salsa.salsa_build(stream, spec))
         folded = materialize(waving.waving_build(stream, spec))
-        shards = folded.agg(F.countDistinct("shard").alias("n")).first()["n"]
-        merged = waving.waving_merge(
-            waving.waving_slots(folded), waving.waving_casts(folded), spec, max(1, shards))
-        t["slots"], t["casts"] = (materialize(part) for part in merged)
+        t["slots"], t["casts"] = (materialize(part) for part in waving.waving_tables(folded, spec))
     if "join" in parts:
         tiers = joinsketch.tiers_of_fold(materialize(joinsketch.three_tier_fold(stream, spec)), spec)
         t["heavy"], t["middle"], t["light"] = tiers.heavy, tiers.middle, tiers.light

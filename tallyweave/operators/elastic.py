@@ -4,6 +4,10 @@ What leaves the heavy part updates one light cell per key: an arrival passed on
 eviction are added, an unflagged eviction raises the cell to its count. Both updates have the
 form ``x -> max(x + a, m)``, which composes, so the light part needs no sequential replay: each
 block of arrivals is reduced to one (a, m) per cell, and the blocks are combined in order.
+
+A stream of several shards gives one summary: residents are added per key, each bucket keeps its
+largest ones, and the counts of the others are added to their light cells. An unflagged eviction raises
+its cell in the first shard only; in a later one earlier arrivals of the key may lie in the cell, so it adds.
 """
 
 from __future__ import annotations
@@ -14,13 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.hashing import hash_bucket
-from tallyweave.operators.folds import SHARD_ROWS
-from tallyweave.operators.heavy import heavy_fold, heavy_table
+from tallyweave.operators.heavy import heavy_fold, heavy_table, merge_shards
 from tallyweave.operators.linear import is_text
 from tallyweave.spec import SketchSpec
 
 G = Callable[[Column], Column]
-# Usable slots of a bucket (the eighth holds the guard) and the counter limit.
+# Usable slots of a bucket (the eighth holds the guard), and the largest value of a one-byte
+# counter, for callers who ask for that limit.
 ELASTIC_SLOTS = 7
 LIGHT_MAX = 255
 
@@ -29,30 +33,37 @@ def light_cell(spec: SketchSpec, text: bool) -> Column:
     return hash_bucket(F.col("key"), spec.seed, spec.width, role="light", text=text)
 
 
-def elastic_fold(stream: DataFrame, spec: SketchSpec, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def elastic_fold(stream: DataFrame, spec: SketchSpec, shard_rows: int | None = None) -> DataFrame:
     return heavy_fold(stream, spec.with_sizes(slots=ELASTIC_SLOTS), "elastic", shard_rows)
 
 
-def elastic_heavy(folded: DataFrame) -> DataFrame:
-    """Residents ``(bucket, key, v, flag)``, added per key when there are several shards.
+def elastic_tables(folded: DataFrame, spec: SketchSpec, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(heavy, light)`` of a fold, however many shards it has."""
+    return elastic_heavy(folded, spec), elastic_light(folded, spec, limit=limit)
+
+
+def elastic_heavy(folded: DataFrame, spec: SketchSpec) -> DataFrame:
+    """Residents ``(bucket, key, v, flag)``, one row per key and at most seven a bucket.
 
     A key that is not resident in every shard is flagged, as the rest of it is in the light part.
     """
-    shards = folded.agg(F.countDistinct("shard").alias("n")).scalar()
-    added = folded.filter(F.col("kind") == "heavy").groupBy("bucket", "key").agg(
-        F.sum("f").alias("v"), F.max("flag").alias("_flag"), F.count(F.lit(1)).alias("_in"))
-    return added.select("bucket", "key", "v", (F.col("_flag") | (F.col("_in") < shards)).alias("flag"))
+    return merge_shards(folded, spec.with_sizes(slots=ELASTIC_SLOTS))[0]
 
 
-def elastic_light(folded: DataFrame, spec: SketchSpec, block: int = SHARD_ROWS) -> DataFrame:
-    """Light counters ``(idx, v)`` from the passed and evicted rows of a fold."""
-    raises = (F.col("kind") == "evict") & ~F.col("flag")
+def elastic_light(folded: DataFrame, spec: SketchSpec, block: int | None = None, limit: int | None = None) -> DataFrame:
+    """Light counters ``(idx, v)`` from what a fold has passed on, evicted, and found too small to keep.
+
+    Values stop at ``limit`` where one is given.
+    """
+    capped = (lambda v: F.least(v, F.lit(limit))) if limit else (lambda v: v)
     zero = F.lit(0).cast("bigint")
-    moves = folded.filter(F.col("kind") != "heavy").select(
-        light_cell(spec, is_text(folded)).alias("idx"), "seq",
-        F.floor(F.col("seq") / F.lit(block)).alias("block"),
+    cell = light_cell(spec, is_text(folded)).alias("idx")
+    first = folded.agg(F.min("shard").alias("s")).scalar()
+    raises = (F.col("kind") == "evict") & ~F.col("flag") & (F.col("shard") == F.col("_first"))
+    moves = folded.filter(F.col("kind") != "heavy").withColumn("_first", first).select(
+        cell, "seq", F.floor(F.col("seq") / F.lit(block or spec.shard_rows)).alias("block"),
         F.when(raises, zero).otherwise(F.col("f")).alias("a"),
-        F.when(raises, F.least(F.col("f"), F.lit(LIGHT_MAX))).otherwise(zero).alias("m"))
+        F.when(raises, capped(F.col("f"))).otherwise(zero).alias("m"))
     # Inside a block: what each raise is worth at the end of the block.
     after = Window.partitionBy("idx", "block").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
@@ -61,12 +72,15 @@ def elastic_light(folded: DataFrame, spec: SketchSpec, block: int = SHARD_ROWS)
         .agg(F.sum("a").alias("a"),
              F.max(F.when(F.col("m") > 0, F.col("m") + F.col("after")).otherwise(zero)).alias("m")))
     later = Window.partitionBy("idx").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    return (
+    cells = (
         blocks.withColumn("after", F.coalesce(F.sum("a").over(later), zero))
         .groupBy("idx")
-        .agg(F.least(F.lit(LIGHT_MAX), F.greatest(F.sum("a"), F.max(
-            F.when(F.col("m") > 0, F.col("m") + F.col("after")).otherwise(zero)))).alias("v"))
-        .filter(F.col("v") > 0))
+        .agg(F.greatest(F.sum("a"), F.max(
+            F.when(F.col("m") > 0, F.col("m") + F.col("after")).otherwise(zero))).alias("v")))
+    held = folded.filter(F.col("kind") == "heavy").groupBy("bucket", "key").agg(F.sum("f").alias("v"))
+    kept = heavy_table(elastic_heavy(folded, spec).select("bucket", "key"), spec)
+    lost = held.join(kept, ["bucket", "key"], "left_anti").select(cell, "v")
+    return cells.unionByName(lost).groupBy("idx").agg(capped(F.sum("v")).alias("v")).filter(F.col("v") > 0)
 
 
 def elastic_query(keys: DataFrame, heavy: DataFrame, light: DataFrame, spec: SketchSpec) -> DataFrame:

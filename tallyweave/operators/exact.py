@@ -27,13 +27,17 @@ SMALL_LIMIT = 1000
 
 def keyed_stream(df: DataFrame, key: str | Column, seq: str | Column | None = None,
                  weight: str | Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """Any table becomes a stream: a key, a weight, and optionally an arrival number."""
+    """Any table becomes a stream: a key, a weight, and optionally an arrival number.
+
+    Rows without a key, and without a number where one is asked for, are no arrivals and are left out.
+    """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     cols = [as_col(key).alias("key")]
     if seq is not None:
         cols.append(as_col(seq).cast("bigint").alias("seq"))
     cols.append((F.lit(1) if weight is None else as_col(weight)).cast("bigint").alias("weight"))
-    return df.select(*carry, *cols)
+    stream = df.select(*carry, *cols)
+    return stream.filter("key IS NOT NULL" if seq is None else "key IS NOT NULL AND seq IS NOT NULL")
 
 
 def read_limit(stream: DataFrame, n: int, bin_rows: int = LIMIT_BIN) -> DataFrame:
@@ -111,8 +115,7 @@ def entropy_exact(counts: DataFrame) -> DataFrame:
 
 def with_total(counts: DataFrame, total: Column, name: str) -> DataFrame:
     """Attach a one-row aggregate of ``counts`` to each of its rows."""
-    one = counts.agg(total.alias(name)).withColumn("_one", F.lit(1))
-    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+    return counts.withColumn(name, counts.agg(total.alias(name)).scalar())
 
 
 def g_weight_share(counts: DataFrame, g: G) -> DataFrame:

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.operators.folds import SHARD_ROWS
 from tallyweave.operators.heavy import (
     bounded_split, heavy_fold, heavy_table, lossless_split, merge_shards, residual_of,
 )
@@ -52,7 +51,7 @@ def _summarize(heavy: DataFrame, residual: DataFrame, spec: SketchSpec, mode: st
 
 
 def extract_build(stream: DataFrame, spec: SketchSpec, route: str = "lossless",
-                  mode: str = "tracked", shard_rows: int = SHARD_ROWS) -> Summary:
+                  mode: str = "tracked", shard_rows: int | None = None) -> Summary:
     """Summary of a stream; runs the jobs and writes each of its tables once.
 
     ``route`` is ``lossless`` (exact counts first), ``bounded`` (two passes, no key shuffle) or

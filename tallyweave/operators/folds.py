@@ -13,8 +13,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Arrivals per shard: a few seconds of one core, and the bound on one task's longest bucket.
-SHARD_ROWS = 4_000_000
+from tallyweave.spec import SHARD_ROWS
 
 OUT = ("kind", "seq", "pos", "key", "f", "flag")
 INT_COLUMNS = {"seq": "Int64", "pos": "Int64", "f": "int64"}
@@ -35,7 +34,11 @@ def out_schema(key_type: str) -> str:
 
 def ordered_fold(bucketed: DataFrame, machine: Callable[[], Machine],
                  shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Fold ``(bucket, seq, key, weight)`` rows; the result is independent of partitioning."""
+    """Fold ``(bucket, seq, key, weight)`` rows; the result is independent of partitioning.
+
+    Rows without a key or an arrival number are no arrivals.
+    """
+    bucketed = bucketed.filter("key IS NOT NULL AND seq IS NOT NULL")
     key_type = dict(bucketed.dtypes)["key"]
     types = dict(INT_COLUMNS, **({} if key_type == "string" else {"key": "Int64"}))
     shard = F.floor(F.col("seq") / F.lit(shard_rows)).cast("bigint")

@@ -8,7 +8,7 @@ Three routes give the same kind of result, a ``heavy`` table and what is left ov
 * ``heavy_fold`` replays arrivals in order through one small state machine per bucket.
 
 A fold is sequential inside a bucket, so its unit of work is (shard, bucket), where a shard is
-a fixed-length block of arrivals: no task ever replays more than ``shard_rows`` arrivals of a
+a fixed-length block of arrivals, ``SketchSpec.shard_rows``: no task ever replays more arrivals of a
 bucket, however hot. ``merge_shards`` adds the shards up.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.hashing import hash_bucket, hash_fn
 from tallyweave.operators.exact import top_per_group
 from tallyweave.operators.frequent import frequent_per_partition
-from tallyweave.operators.folds import SHARD_ROWS, ordered_fold
+from tallyweave.operators.folds import ordered_fold
 from tallyweave.operators.linear import is_text
 from tallyweave.operators.tasks import long_tasks
 from tallyweave.spec import ELASTIC_FACTOR, GUARDIAN_BASE, GUARDIAN_GAP, STRATEGIES, SketchSpec
@@ -179,7 +179,7 @@ class BucketState:
 
 
 def heavy_fold(stream: DataFrame, spec: SketchSpec, strategy: str,
-               shard_rows: int = SHARD_ROWS) -> DataFrame:
+               shard_rows: int | None = None) -> DataFrame:
     """Replay a stream in ``seq`` order through its buckets.
 
     Rows of ``kind`` ``heavy`` are the residents at the end (``seq`` null), ``evict`` a resident
@@ -187,7 +187,7 @@ def heavy_fold(stream: DataFrame, spec: SketchSpec, strategy: str,
     the resident had been admitted by a swap.
     """
     rule, slots = heavy_make(strategy, spec.seed), spec.slots
-    return ordered_fold(with_bucket(stream, spec), lambda: BucketState(rule, slots), shard_rows)
+    return ordered_fold(with_bucket(stream, spec), lambda: BucketState(rule, slots), shard_rows or spec.shard_rows)
 
 
 def heavy_query_all(folded: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.hashing import hash_bucket
 from tallyweave.functions.medians import median_of_group
 from tallyweave.operators.exact import top_per_group
-from tallyweave.operators.folds import SHARD_ROWS, ordered_fold
+from tallyweave.operators.folds import ordered_fold
 from tallyweave.operators.linear import (
     count_sketch_build, count_sketch_query, counter_gsum, is_text, row_products, sketch_merge,
 )
@@ -105,19 +105,30 @@ class TierBucket:
 
 
 def three_tier_fold(stream: DataFrame, spec: SketchSpec, threshold: int = HEAVY_THRESHOLD,
-                    shard_rows: int = SHARD_ROWS) -> DataFrame:
+                    shard_rows: int | None = None) -> DataFrame:
     """Replay a stream in order: rows of kind ``heavy``, ``middle`` and ``light``."""
     bucket = hash_bucket(F.col("key"), spec.seed, spec.buckets, role="middle", text=is_text(stream))
     rows = stream.select(bucket.alias("bucket"), "seq", "key", "weight")
-    return ordered_fold(rows, lambda: TierBucket(threshold), shard_rows)
+    return ordered_fold(rows, lambda: TierBucket(threshold), shard_rows or spec.shard_rows)
 
 
-def tiers_of_fold(folded: DataFrame, spec: SketchSpec) -> Tiers:
-    """The three tables of a fold, each written once: a join reads all of them several times."""
-    tier = lambda kind: folded.filter(F.col("kind") == kind)
-    per_key = lambda kind: tier(kind).groupBy("key").agg(F.sum("f").alias("v"))
-    light = join_sketch_build(tier("light").select("key", F.col("f").alias("weight")), spec)
-    return Tiers(*(materialize(t) for t in (per_key("heavy"), per_key("middle"), light)), spec)
+def tiers_of_fold(folded: DataFrame, spec: SketchSpec, threshold: int = HEAVY_THRESHOLD) -> Tiers:
+    """The three tables of a fold, each written once: a join reads all of them several times.
+
+    What shards and slots hold of a key is added up, so that it sits in one tier: heavy where a shard moved
+    it up or the sum reaches the threshold, else middle if among the largest of its bucket, else light.
+    """
+    held = materialize(folded.filter(F.col("kind") != "light").groupBy("bucket", "key").agg(
+        F.sum("f").alias("v"), F.max(F.col("kind") == "heavy").alias("up")))
+    up = F.col("up") | (F.col("v") >= threshold)
+    below = held.filter(~up)
+    middle = materialize(
+        top_per_group(below, ["bucket"], [F.desc("v"), F.col("key")], MIDDLE_SLOTS, ["key"]).select("key", "v"))
+    rest = below.join(middle.select("key"), "key", "left_anti").select("key", F.col("v").alias("weight"))
+    gone = folded.filter(F.col("kind") == "light").select("key", F.col("f").alias("weight"))
+    return Tiers(
+        materialize(held.filter(up).select("key", "v")), middle,
+        materialize(join_sketch_build(gone.unionByName(rest), spec)), spec)
 
 
 def three_tier_split(counts: DataFrame, spec: SketchSpec, threshold: int = HEAVY_THRESHOLD) -> Tiers:

@@ -3,7 +3,8 @@
 Counts only grow, so the final layout depends on the totals alone: a block of size s (1, 2
 or 4 cells) whose total reaches 2^(8s) joins its aligned buddy. Four neighbouring cells decide
 everything, hence one grouped sum per aligned group of four and plain column expressions.
-A block whose buddy would lie beyond the row stays at its largest value.
+A block whose buddy would lie beyond the row stays as it is and keeps its whole
+total, as does a block of four, so that no estimate is below the truth.
 """
 
 from __future__ import annotations
@@ -32,13 +33,11 @@ def salsa_build(stream: DataFrame, spec: SketchSpec) -> DataFrame:
     pair_low = (F.greatest(c[0], c[1]) >= 2**8) & (first + 1 < spec.width)
     pair_high = (F.greatest(c[2], c[3]) >= 2**8) & (first + 3 < spec.width)
     whole = ((pair_low & (low >= 2**16)) | (pair_high & (high >= 2**16))) & (first + 3 < spec.width)
-    cap = lambda v, size: F.least(v, F.lit(2 ** (8 * size) - 1))
 
     def block(j: int):
         pair, total = (pair_low, low) if j < 2 else (pair_high, high)
         size = F.when(F.col("whole"), F.lit(4)).when(pair, F.lit(2)).otherwise(F.lit(1))
-        value = (
-            F.when(F.col("whole"), cap(low + high, 4)).when(pair, cap(total, 2)).otherwise(cap(c[j], 1)))
+        value = F.when(F.col("whole"), low + high).when(pair, total).otherwise(c[j])
         begin = F.when(F.col("whole"), first).when(pair, first + (0 if j < 2 else 2)).otherwise(first + j)
         return F.struct((first + j).alias("idx"), begin.alias("start"), size.alias("size"), value.alias("v"))
 

@@ -36,12 +36,9 @@ def splits(value: int, sizes: list[int], known: set[int], parts: int, least: int
                 yield (first, *rest)
 
 
-def split_weight(split: tuple[int, ...], rate: dict[int, float], scale: float) -> float:
-    """Probability of a split when keys of size s fall in a counter at Poisson rate ``rate[s]``."""
-    p = scale
-    for size, times in Counter(split).items():
-        p *= rate[size] ** times / math.factorial(times)
-    return p
+def log_weight(split: tuple[int, ...], log_rate: dict[int, float]) -> float:
+    """Log-probability of a split, up to a constant, when keys of size s fall in a counter at a Poisson rate."""
+    return sum(times * log_rate[size] - math.lgamma(times + 1) for size, times in Counter(split).items())
 
 
 def counter_histogram(counters: DataFrame) -> DataFrame:
@@ -49,11 +46,13 @@ def counter_histogram(counters: DataFrame) -> DataFrame:
     return counters.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def flow_size_distribution_em(histogram: DataFrame, width: int, rounds: int = 3) -> DataFrame:
+def flow_size_distribution_em(histogram: DataFrame, width: int, rounds: int = 3, parts: int | None = None) -> DataFrame:
     """Estimated number of keys of each size: ``(size, n)``.
 
     A size without weight never gains any, so the support stays within the distinct counter
-    values and the table shared with the tasks is bounded by ``width``.
+    values and the table shared with the tasks is bounded by ``width``. ``parts`` is the most keys tried for
+    one counter; by default it falls with the counter's value, as ``max_parts`` says. Weights are logarithms
+    relative to the likeliest split, so that no load of the counters makes them vanish.
     """
     spark = histogram.sparkSession
     # Every round reads the histogram, so it is written once; its rows are spread by value
@@ -68,16 +67,15 @@ def flow_size_distribution_em(histogram: DataFrame, width: int, rounds: int = 3)
         def share(batches, shared=shared):
             import pandas as pd
 
-            rate = shared.value
-            known, sizes = set(rate), sorted(rate)
-            scale = math.exp(-sum(rate.values()))
+            log_rate = {size: math.log(rate) for size, rate in shared.value.items()}
+            known, sizes = set(log_rate), sorted(log_rate)
             for batch in batches:
                 gained: dict[int, float] = {}
                 for v, n in zip(batch["v"].tolist(), batch["n"].tolist()):
-                    ways = [(s, split_weight(s, rate, scale)) for s in splits(v, sizes, known, max_parts(v))]
+                    ways = [(s, log_weight(s, log_rate)) for s in splits(v, sizes, known, parts or max_parts(v))]
+                    top = max((w for _, w in ways), default=0.0)
+                    ways = [(s, math.exp(w - top)) for s, w in ways]
                     total = sum(p for _, p in ways)
-                    if total <= 0:
-                        continue
                     for split, p in ways:
                         for size in split:
                             gained[size] = gained.get(size, 0.0) + n * p / total

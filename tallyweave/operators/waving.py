@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.hashing import hash_bucket, hash_sign
 from tallyweave.operators.exact import top_per_group
-from tallyweave.operators.folds import SHARD_ROWS, ordered_fold
+from tallyweave.operators.folds import ordered_fold
 from tallyweave.operators.heavy import heavy_table
 from tallyweave.operators.linear import is_text
 from tallyweave.spec import SketchSpec
@@ -93,7 +93,7 @@ class KeyedWave:
         return self.bucket.close()
 
 
-def waving_build(stream: DataFrame, spec: SketchSpec, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def waving_build(stream: DataFrame, spec: SketchSpec, shard_rows: int | None = None) -> DataFrame:
     """Fold of a stream: rows of kind ``slot`` and ``cast`` per shard and bucket.
 
     The cast position and the sign are computed as columns and packed behind the weight.
@@ -103,7 +103,7 @@ def waving_build(stream: DataFrame, spec: SketchSpec, shard_rows: int = SHARD_RO
     packed = F.col("weight") * F.lit(2 * CASTS) + cast_of(spec, text) * F.lit(2) + minus.cast("bigint")
     rows = stream.select(
         waving_bucket(spec, text, spec.buckets).alias("bucket"), "seq", "key", packed.cast("bigint").alias("weight"))
-    return ordered_fold(rows, lambda: KeyedWave(slots), shard_rows)
+    return ordered_fold(rows, lambda: KeyedWave(slots), shard_rows or spec.shard_rows)
 
 
 def waving_slots(folded: DataFrame) -> DataFrame:
@@ -140,6 +140,12 @@ def waving_merge(slots: DataFrame, casts: DataFrame, spec: SketchSpec,
         F.sum("v").alias("v")).filter(F.col("v") != 0)
 
 
+def waving_tables(folded: DataFrame, spec: SketchSpec) -> tuple[DataFrame, DataFrame]:
+    """``(slots, casts)`` of a fold as one summary, one row per key, however many shards it has."""
+    shards = folded.agg(F.countDistinct("shard")).first()[0]
+    return waving_merge(waving_slots(folded), waving_casts(folded), spec, max(1, shards))
+
+
 def waving_shrink(slots: DataFrame, casts: DataFrame, spec: SketchSpec) -> tuple[DataFrame, DataFrame]:
     """Half as many buckets: bucket i + n/2 folds into bucket i."""
     if spec.buckets % 2:

@@ -36,9 +36,9 @@ ELASTIC_QUERY = (f"SELECT k.key, coalesce(h.v, 0) + CASE WHEN h.v IS NULL OR h.f
                  f"FROM ({{keys}}) k LEFT JOIN h ON h.key = k.key LEFT JOIN li ON li.idx = {_cell.replace('key', 'k.key')}")
 
 
-def elastic(spark, d):
-    folded = materialize(E.elastic_fold(S.users(spark, d), ELASTIC))
-    return E.elastic_heavy(folded), materialize(E.elastic_light(folded, ELASTIC))
+def elastic(spark, d, shard_rows=None):
+    folded = materialize(E.elastic_fold(S.users(spark, d), ELASTIC, shard_rows))
+    return tuple(materialize(t) for t in E.elastic_tables(folded, ELASTIC, limit=E.LIGHT_MAX))
 
 
 @query("elastic_build", Q.chain("SELECT bucket, key, v, flag FROM h", **ELASTIC_CTES))
@@ -54,7 +54,7 @@ def _(spark, d):
 @query("elastic_light_blocks", Q.chain("SELECT idx, v FROM li WHERE v > 0", **ELASTIC_CTES))
 def _(spark, d):
     """The same counters from blocks of 700 arrivals."""
-    return E.elastic_light(E.elastic_fold(S.users(spark, d), ELASTIC), ELASTIC, block=700)
+    return E.elastic_light(materialize(E.elastic_fold(S.users(spark, d), ELASTIC)), ELASTIC, block=700, limit=E.LIGHT_MAX)
 
 
 @query("elastic_query", Q.chain(ELASTIC_QUERY.format(keys=KEYS), **ELASTIC_CTES))
@@ -62,9 +62,12 @@ def _(spark, d):
     return E.elastic_query(S.users(spark, d).select("key").distinct(), *elastic(spark, d), ELASTIC)
 
 
-@query("elastic_gsum", Q.chain(
-    f"SELECT round((SELECT coalesce(sum({Q.g_sql('entropy', 'v')}), 0) FROM li) + (SELECT sum({Q.g_sql('entropy', 'v + x')} - {Q.g_sql('entropy', 'x')}) FROM f), 6) AS gsum",
-    **ELASTIC_CTES, f=f"SELECT h.v, CASE WHEN h.flag THEN coalesce(li.v, 0) ELSE 0 END AS x FROM h LEFT JOIN li ON li.idx = {_cell.replace('key', 'h.key')}"))
+ELASTIC_GSUM = (f"SELECT round((SELECT coalesce(sum({Q.g_sql('entropy', 'v')}), 0) FROM li) + "
+                f"(SELECT sum({Q.g_sql('entropy', 'v + x')} - {Q.g_sql('entropy', 'x')}) FROM f), 6) AS gsum")
+ELASTIC_EXTRA = f"SELECT h.v, CASE WHEN h.flag THEN coalesce(li.v, 0) ELSE 0 END AS x FROM h LEFT JOIN li ON li.idx = {_cell.replace('key', 'h.key')}"
+
+
+@query("elastic_gsum", Q.chain(ELASTIC_GSUM, **ELASTIC_CTES, f=ELASTIC_EXTRA))
 def _(spark, d):
     return rounded(E.elastic_gsum(*elastic(spark, d), ELASTIC, WEIGHTS["entropy"]), "gsum")
 
@@ -82,6 +85,35 @@ def _(spark, d):
     return E.elastic_size(*elastic(spark, d), ELASTIC)
 
 
+# The same from shards of 2,500 arrivals, as one summary: residents added and cut, the rest in the light part.
+SHARD = 2500
+_shards = "(SELECT count(DISTINCT bucket // 1000) FROM st)"
+_sharded_bucket = f"(seq // {SHARD}) * 1000 + {Q.bucket_sql('key', ELASTIC.seed, ELASTIC.buckets)}"
+ELASTIC_SHARDED = {
+    "st": Q.heavy_replay(S.USERS, ELASTIC, "elastic", slots=E.ELASTIC_SLOTS, bucket=_sharded_bucket),
+    "ad": f"SELECT bucket % 1000 AS bucket, key, sum(v)::BIGINT AS v, bool_or(flag) OR count(*) < {_shards} AS flag FROM ({Q.replay_heavy('st')}) GROUP BY ALL",
+    "h": f"SELECT * FROM ad QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY v DESC, key) <= {E.ELASTIC_SLOTS}",
+    "m": Q.replay_moved("st"),
+    "li": f"""SELECT idx, list_reduce(list(op ORDER BY seq), lambda x, o: least(255, CASE WHEN o > 0 THEN x + o ELSE greatest(x, -o) END), 0::BIGINT)::BIGINT AS v
+ FROM (SELECT {_cell} AS idx, seq, CASE WHEN kind = 'evict' AND NOT flag AND bucket < 1000 THEN -least(f, 255) ELSE f END AS op FROM m
+ UNION ALL SELECT {_cell}, 9000000000000000000, v FROM ad WHERE key NOT IN (SELECT key FROM h)) GROUP BY idx"""}
+
+
+@query("elastic_build_sharded", Q.chain("SELECT bucket, key, v, flag FROM h", **ELASTIC_SHARDED))
+def _(spark, d):
+    return elastic(spark, d, SHARD)[0]
+
+
+@query("elastic_query_sharded", Q.chain(ELASTIC_QUERY.format(keys=KEYS), **ELASTIC_SHARDED))
+def _(spark, d):
+    return E.elastic_query(S.users(spark, d).select("key").distinct(), *elastic(spark, d, SHARD), ELASTIC)
+
+
+@query("elastic_gsum_sharded", Q.chain(ELASTIC_GSUM, **ELASTIC_SHARDED, f=ELASTIC_EXTRA))
+def _(spark, d):
+    return rounded(E.elastic_gsum(*elastic(spark, d, SHARD), ELASTIC, WEIGHTS["entropy"]), "gsum")
+
+
 # --- waving -----------------------------------------------------------------------------
 
 WAVING = SketchSpec(rows=1, width=1, buckets=8, slots=6, seed=32)
@@ -111,19 +143,24 @@ def waving_ctes(bucket: str = _wave_bucket(WAVING.buckets)) -> dict[str, str]:
             "ca": f"SELECT bucket, pos, v FROM (SELECT bucket, unnest(range({V.CASTS})) AS pos, unnest(state.ca) AS v FROM st)"}
 
 
-def waving(spark, d, **options):
-    folded = materialize(V.waving_build(S.users(spark, d), WAVING, **options))
+def waving(spark, d, shard_rows=None):
+    folded = materialize(V.waving_build(S.users(spark, d), WAVING, shard_rows))
+    return tuple(materialize(t) for t in V.waving_tables(folded, WAVING))
+
+
+def waving_shards(spark, d):
+    folded = materialize(V.waving_build(S.users(spark, d), WAVING, WAVE_SHARD))
     return V.waving_slots(folded), V.waving_casts(folded)
 
 
 @query("waving_build", Q.chain("SELECT bucket, key, v, exact FROM sl", **waving_ctes()))
 def _(spark, d):
-    return waving(spark, d)[0].drop("shard")
+    return waving(spark, d)[0]
 
 
 @query("waving_casts", Q.chain("SELECT bucket, pos, v FROM ca WHERE v <> 0", **waving_ctes()))
 def _(spark, d):
-    return waving(spark, d)[1].drop("shard")
+    return waving(spark, d)[1]
 
 
 _waving_query = (f"SELECT k.key, coalesce(s.v, {{miss}})::BIGINT AS est FROM ({KEYS}) k LEFT JOIN sl s ON s.key = k.key "
@@ -151,12 +188,26 @@ _merge_ctes = waving_ctes(f"(seq // {WAVE_SHARD}) * 1000 + {_wave_bucket(WAVING.
 
 @query("waving_merge", Q.chain("SELECT * FROM ke", **_merge_ctes))
 def _(spark, d):
-    return V.waving_merge(*waving(spark, d, shard_rows=WAVE_SHARD), WAVING, parts=4)[0]
+    return V.waving_merge(*waving_shards(spark, d), WAVING, parts=4)[0]
 
 
 @query("waving_merge_casts", Q.chain("SELECT * FROM cm", **_merge_ctes))
 def _(spark, d):
-    return V.waving_merge(*waving(spark, d, shard_rows=WAVE_SHARD), WAVING, parts=4)[1]
+    return V.waving_merge(*waving_shards(spark, d), WAVING, parts=4)[1]
+
+
+_sharded_ctes = _merge_ctes | {"ad": _merge_ctes["ad"].replace("count(*) = 4", "count(*) = (SELECT count(DISTINCT bucket // 1000) FROM st)")}
+_sharded_query = _waving_query.replace(" sl s ", " ke s ").replace(" ca c ", " cm c ")
+
+
+@query("waving_query_sharded", Q.chain(_sharded_query.format(miss=f"greatest(0, coalesce(c.v, 0) * {_sign('k.key')})"), **_sharded_ctes))
+def _(spark, d):
+    return V.waving_query(S.users(spark, d).select("key").distinct(), *waving(spark, d, WAVE_SHARD), WAVING)
+
+
+@query("waving_gsum_sharded", Q.chain(f"SELECT round(sum({Q.g_sql('entropy', 'v')}), 6) AS gsum FROM ke", **_sharded_ctes))
+def _(spark, d):
+    return rounded(V.waving_gsum(waving(spark, d, WAVE_SHARD)[0], WEIGHTS["entropy"]), "gsum")
 
 
 _half = WAVING.buckets // 2
@@ -186,7 +237,7 @@ _expand_ctes = waving_ctes() | {
 
 @query("waving_expand", Q.chain(f"SELECT {_new} AS bucket, key, v, exact FROM sl", **_expand_ctes))
 def _(spark, d):
-    return V.waving_expand(*waving(spark, d), WAVING)[0].drop("shard")
+    return V.waving_expand(*waving(spark, d), WAVING)[0]
 
 
 @query("waving_expand_casts", Q.chain("SELECT bucket, pos, v FROM cm WHERE v <> 0", **_expand_ctes))
@@ -264,7 +315,7 @@ TIERS = SketchSpec(rows=3, width=128, buckets=6, seed=34)
 TIER_AT = 30
 
 
-def tier_replay(stream: str) -> str:
+def tier_replay(stream: str, shard: int | None = None) -> str:
     heavy = "list_position(a.hk, x.e.k)"
     place = "list_position(list_transform(a.mk, lambda k, i: a.mv[i] = 0 OR k = x.e.k), true)"
     low = "list_position(a.mv, list_min(a.mv))"
@@ -278,14 +329,20 @@ def tier_replay(stream: str) -> str:
     empty = {"mk": f"list_transform(range({J.MIDDLE_SLOTS}), lambda i: -1::BIGINT)", "mv": f"list_transform(range({J.MIDDLE_SLOTS}), lambda i: 0::BIGINT)",
              "hk": "[]::BIGINT[]", "hv": "[]::BIGINT[]", "o": "[]::STRUCT(seq BIGINT, key BIGINT, f BIGINT)[]"}
     bucket = Q.bucket_sql("key", TIERS.seed, TIERS.buckets, "middle")
+    bucket = f"(seq // {shard}) * 1000 + {bucket}" if shard else bucket
     return Q.replay(stream, bucket, empty, {"k": "key", "s": "seq", "f": "weight"}, step)
 
 
-def tier_ctes(stream: str, p: str = "") -> dict[str, str]:
-    return {f"{p}st": tier_replay(stream),
-            f"{p}h": f"SELECT unnest(state.hk) AS key, unnest(state.hv) AS v FROM {p}st",
-            f"{p}m": f"SELECT key, sum(v)::BIGINT AS v FROM (SELECT unnest(state.mk) AS key, unnest(state.mv) AS v FROM {p}st) WHERE v > 0 GROUP BY key",
-            f"{p}o": f"SELECT x.key, x.f AS weight FROM (SELECT unnest(state.o) AS x FROM {p}st)",
+def tier_ctes(stream: str, p: str = "", shard: int | None = None) -> dict[str, str]:
+    """What slots and shards hold of a key is added up, and sits in one tier."""
+    return {f"{p}st": tier_replay(stream, shard),
+            f"{p}a": f"""SELECT bucket % 1000 AS bucket, key, sum(v)::BIGINT AS v, bool_or(up) OR sum(v) >= {TIER_AT} AS up FROM (
+ SELECT bucket, unnest(state.hk) AS key, unnest(state.hv) AS v, true AS up FROM {p}st
+ UNION ALL SELECT bucket, unnest(state.mk), unnest(state.mv), false FROM {p}st) WHERE v > 0 GROUP BY ALL""",
+            f"{p}h": f"SELECT key, v FROM {p}a WHERE up",
+            f"{p}m": f"SELECT key, v FROM {p}a WHERE NOT up QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY v DESC, key) <= {J.MIDDLE_SLOTS}",
+            f"{p}o": f"SELECT x.key, x.f AS weight FROM (SELECT unnest(state.o) AS x FROM {p}st) "
+                     f"UNION ALL SELECT key, v FROM {p}a WHERE NOT up AND key NOT IN (SELECT key FROM {p}m)",
             f"{p}t": Q.cells(f"SELECT * FROM {p}o", TIERS, J.ROLE)}
 
 
@@ -295,9 +352,9 @@ def tier_value(keys: str, p: str, heavy: bool = True, middle: bool = True) -> st
             f"LEFT JOIN {p}h h ON h.key = e.key LEFT JOIN {p}m m ON m.key = e.key")
 
 
-def tiers(spark, d, side=None):
+def tiers(spark, d, side=None, shard_rows=None):
     stream = S.users(spark, d) if side is None else S.side(S.users_ab(spark, d), side)
-    return J.tiers_of_fold(materialize(J.three_tier_fold(stream, TIERS, TIER_AT)), TIERS)
+    return J.tiers_of_fold(materialize(J.three_tier_fold(stream, TIERS, TIER_AT, shard_rows)), TIERS, TIER_AT)
 
 
 @query("three_tier_build", Q.chain("SELECT 'heavy' AS tier, key, v FROM h UNION ALL SELECT 'middle', key, v FROM m", **tier_ctes(S.USERS)))
@@ -362,6 +419,24 @@ def _(spark, d):
     return J.three_tier_gsum(tiers(spark, d), lambda v: v.cast("double") * v.cast("double"))
 
 
+SHARD_TIERS, SHARD_PAIR = tier_ctes(S.USERS, shard=SHARD), tier_ctes(_ua, "a_", SHARD) | tier_ctes(_ub, "b_", SHARD)
+
+
+@query("three_tier_query_sharded", Q.chain(tier_value(KEYS, ""), **SHARD_TIERS))
+def _(spark, d):
+    return J.three_tier_query(S.users(spark, d).select("key").distinct(), tiers(spark, d, shard_rows=SHARD))
+
+
+@query("three_tier_gsum_sharded", Q.chain(f"SELECT {TIER_SQUARES('')} AS gsum", **SHARD_TIERS))
+def _(spark, d):
+    return J.three_tier_gsum(tiers(spark, d, shard_rows=SHARD), lambda v: v.cast("double") * v.cast("double"))
+
+
+@query("three_tier_join_sharded", Q.chain(f"SELECT round({TIER_JOIN}, 6) AS join_size", **SHARD_PAIR))
+def _(spark, d):
+    return rounded(J.three_tier_join(tiers(spark, d, "A", SHARD), tiers(spark, d, "B", SHARD)), "join_size")
+
+
 @query("baseline_inner_product", Q.chain(f"SELECT round({TIER_JOIN}, 6) AS inner_product", **PAIR_TIERS))
 def _(spark, d):
     return rounded(J.baseline_inner_product(tiers(spark, d, "A"), tiers(spark, d, "B")), "inner_product")
@@ -433,7 +508,7 @@ def em_round(p: str, before: str) -> dict[str, str]:
     """One round: sizes of table ``before(size, n)`` to ``{p}n(size, n)``."""
     w = COUNTERS.width
     return {
-        f"{p}w": f"""SELECT id, any_value(total) AS total, exp(sum(ln(pow(r.n / {w}, times) / factorial(times)))) * (SELECT exp(-sum(n) / {w}) FROM {before}) AS p
+        f"{p}w": f"""SELECT id, any_value(total) AS total, exp(sum(ln(pow(r.n / {w}, times) / factorial(times)))) AS p
  FROM (SELECT id, any_value(total) AS total, size, count(*)::INTEGER AS times FROM co GROUP BY id, size) t JOIN {before} r USING (size) GROUP BY id""",
         f"{p}n": f"""SELECT co.size, sum(hi.n * x.p / s.p)::DOUBLE AS n FROM co JOIN {p}w x USING (id)
  JOIN (SELECT total, sum(p) AS p FROM {p}w GROUP BY total) s ON s.total = x.total JOIN hi ON hi.v = x.total GROUP BY co.size"""}

@@ -89,11 +89,17 @@ def _(spark, d):
     return Z.zipf_keys(positions(spark, d), N_KEYS, 1.2, SEED)
 
 
+# Skews from 1 to 3 in steps of a tenth.
+ALPHAS = [round(1 + i / 10, 1) for i in range(21)]
+
+
 @query("zipf_sweep", " UNION ALL ".join(
-    f"SELECT {a}::DOUBLE AS alpha, rank, count(*) AS n FROM ({zipf_sql(a)}) GROUP BY rank" for a in (1.0, 1.5, 2.0)))
+    f"SELECT {a}::DOUBLE AS alpha, rank, count(*) AS n FROM ({zipf_sql(a)}) GROUP BY rank" for a in ALPHAS))
 def _(spark, d):
-    swept = Z.zipf_sweep(positions(spark, d), N_KEYS, (1.0, 1.5, 2.0), SEED)
-    return swept.groupBy("alpha", "rank").agg(F.count(F.lit(1)).alias("n"))
+    """All skews in one scan, one folder each, read back."""
+    path = scratch_path(spark, "zipf")
+    Z.zipf_sweep(positions(spark, d), N_KEYS, ALPHAS, SEED).write.partitionBy("alpha").parquet(path)
+    return spark.read.parquet(path).groupBy(F.col("alpha").cast("double"), "rank").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- sinks ------------------------------------------------------------------------------

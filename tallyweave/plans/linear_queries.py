@@ -290,7 +290,7 @@ def _salsa_sql(stream: str, spec: SketchSpec, text: bool = False) -> str:
     return Q.chain(
         f"""SELECT row, idx, CASE WHEN whole THEN idx // 4 * 4 WHEN pair THEN idx // 2 * 2 ELSE idx END AS start,
  CASE WHEN whole THEN 4 WHEN pair THEN 2 ELSE 1 END AS size,
- CASE WHEN whole THEN least(t4, 4294967295) WHEN pair THEN least(t2, 65535) ELSE least(v, 255) END::BIGINT AS v
+ CASE WHEN whole THEN t4 WHEN pair THEN t2 ELSE v END::BIGINT AS v
  FROM four WHERE v > 0 OR pair OR whole""",
         c=Q.cells(stream, spec, "salsa", signed=False, text=text),
         one=f"SELECT r.row, i.idx, coalesce(c.v, 0) AS v FROM (SELECT DISTINCT row FROM c) r "

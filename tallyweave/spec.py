@@ -20,6 +20,8 @@ GUARDIAN_BASE = 1.08
 #: A gap at which the power passes the 31 bits of the coin; larger ones have the same outcome.
 GUARDIAN_GAP = 280
 ELASTIC_FACTOR = 8
+# Arrivals per shard of an ordered replay: a few seconds of one core, and the bound on one task's longest bucket.
+SHARD_ROWS = 4_000_000
 
 # Below / above these shares of the memory only one of the two parts is used.
 ONLY_UNIVERSAL = 1e-5
@@ -38,9 +40,10 @@ class SketchSpec:
     slots: int = SLOTS
     heavy_ratio: float = 0.6
     seed: int = 1
+    shard_rows: int = SHARD_ROWS
 
     def __post_init__(self):
-        for name in ("rows", "width", "levels", "capacity", "slots"):
+        for name in ("rows", "width", "levels", "capacity", "slots", "shard_rows"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
         if self.levels > 31:

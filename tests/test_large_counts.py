@@ -74,7 +74,7 @@ def test_elastic_counts_what_a_shard_passed_on(spark):
     keys = spark.createDataFrame([(8,)], "key long")
     for shard_rows in (1_000, len(first)):
         folded = E.elastic_fold(stream, spec, shard_rows)
-        heavy, light = E.elastic_heavy(folded), E.elastic_light(folded, spec)
+        heavy, light = E.elastic_tables(folded, spec)
         assert [tuple(r) for r in E.elastic_query(keys, heavy, light, spec).collect()] == [(8, 30)]
 
 
