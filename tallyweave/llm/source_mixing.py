@@ -160,9 +160,29 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, *args, **options) -> DataFrame:
-    """``docs`` as the mixture takes them: each row as many times as it has copies."""
-    taken = mix(docs, *args, **options).where("copies > 0")
-    taken = taken.groupBy("doc_id", "check").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    """``docs`` as the mixture takes them: each row as many times as it has copies.
+
+    Repeated rows have the same copies each, but for those that the last epoch ends among, where so many
+    of them as it takes have one more.
+    """
+    taken = mix(docs, *args, **options).groupBy("doc_id", "check").agg(
+        F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
     match = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.xxhash64("d.text") == F.col("t.check"))
-    rows = docs.alias("d").join(materialize(taken).alias("t"), match).select("d.*", "t._copies", "t._rows")
-    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_copies") / F.col("_rows"))))).drop("_again", "_copies", "_rows")
+    rows = docs.alias("d").join(materialize(taken).alias("t"), match).select("d.*", F.col("t.check").alias("_check"), "t._copies", "t._rows")
+    even = rows.where("_copies % _rows = 0").withColumn("_own", F.expr("_copies div _rows")).drop("_check", "_copies", "_rows")
+    odd = numbered(rows.where("_copies % _rows != 0"), ["doc_id", "_check"])
+    odd = odd.withColumn("_own", F.expr("_copies div _rows + if(_number <= _copies % _rows, 1, 0)")).drop("_check", "_copies", "_rows", "_number")
+    all_rows = even.unionByName(odd).where("_own > 0")
+    return all_rows.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own")))).drop("_again", "_own")
+
+
+def numbered(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with ``_number``, gapless from 1 in each group: numbers inside written parts, after the parts ahead."""
+    rows = materialize(rows.withColumn("_part", F.spark_partition_id()))
+    keys = [*group, "_part"]
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+    ahead = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    placed = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).alias("r")
+    met = same("r", "c") & (F.col("r._check") == F.col("c._check")) & (F.col("r._part") == F.col("c._part"))
+    return placed.join(counts.alias("c"), met).select("r.*", (F.col("r._in") + F.col("c._ahead")).alias("_number")).drop("_in", "_part")

@@ -299,7 +299,7 @@ def test_mixing(spark, awkward, none):
     rows = source_mixing.mix(awkward, levels, source_mixing.MIX_WEIGHTS, (3, 2)).collect()
     assert len(rows) == sum(len((r[1] or "").split()) > 0 for r in ROWS)
     mixed = source_mixing.mixed_documents(awkward, levels, source_mixing.MIX_WEIGHTS, (3, 2))
-    assert mixed.columns == awkward.columns and mixed.count() >= sum(r.copies for r in rows)
+    assert mixed.columns == awkward.columns and mixed.count() == sum(r.copies for r in rows)
     assert source_mixing.mix(none, levels, {}, (1, 2)).count() == 0
 
 
@@ -309,3 +309,13 @@ def test_bins_do_not_change_a_prefix(spark, monkeypatch):
     one = take()
     monkeypatch.setattr(source_mixing, "BIN_ROWS", 1)
     assert take() == one
+
+
+def test_mixing_takes_repeated_rows_as_often_as_it_has_copies(spark):
+    rows = [(1, BASE, "en", "src1")] * 50 + [(2, NEAR, "en", "src1")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    levels = source_mixing.mix_levels()
+    for share in ((1, 3), (7, 10), (13, 10)):
+        copies = sum(r.copies for r in source_mixing.mix(docs, levels, {}, share).collect())
+        assert copies == -(-100 * share[0] // share[1])
+        assert source_mixing.mixed_documents(docs, levels, {}, share).count() == copies
