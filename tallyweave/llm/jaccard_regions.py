@@ -48,6 +48,8 @@ from tallyweave.sources.scratch import materialize
 
 #: Shingles of a range of the hash space, which one task counts at a time.
 RANGE_TOKENS = 2_000_000
+#: Ranges that a batch of texts writes rows for at most.
+HOP = 4_096
 #: Shingles of a region that one task joins.
 REGION_TOKENS = 1_000_000
 #: Classes of four integers that are sent to every task at most; beyond, texts are joined by shuffle.
@@ -117,11 +119,41 @@ def class_table(rows: DataFrame) -> DataFrame:
 # ---- lone documents
 
 
-def range_blobs(sets: list[np.ndarray], names: np.ndarray, ranges: int, batch: int) -> list[dict]:
+def range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of ``ranges`` equal ranges of the hash space holds each shingle."""
+    return (((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
+
+
+def pack_ranges(
+    own: np.ndarray, who: np.ndarray, at: np.ndarray, several: np.ndarray, several_at: np.ndarray,
+    home: np.ndarray, known: np.ndarray, home_at: np.ndarray, batch: int, kept: type,
+) -> list[dict]:
+    """One row for each range that has something: shingles by holder, shared shingles, and what is known already.
+
+    ``own`` and ``who`` are in order of range and holder. ``kept`` is the type of a shingle in a row.
+    """
+    order, home_order = np.argsort(several_at, kind="stable"), np.argsort(home_at, kind="stable")
+    several, several_at = several[order], several_at[order]
+    home, known, home_at = home[home_order], known[home_order], home_at[home_order]
+    used = np.unique(np.concatenate([at, several_at, home_at]).astype(np.int64))
+    cuts = [(np.searchsorted(x, used, "left"), np.searchsorted(x, used, "right")) for x in (at, several_at, home_at)]
+    out = []
+    for k, r in enumerate(used.tolist()):
+        mine, shared, homes = (slice(int(low[k]), int(high[k])) for low, high in cuts)
+        owners, counts = np.unique(who[mine], return_counts=True)
+        out.append({
+            "r": r, "batch": batch, "names": owners.tobytes(), "counts": counts.astype(np.uint32).tobytes(),
+            "tokens": own[mine].astype(kept).tobytes(), "several": several[shared].astype(kept).tobytes(),
+            "home": home[homes].tobytes(), "known": known[homes].astype(np.uint32).tobytes()})
+    return out
+
+
+def range_blobs(sets: list[np.ndarray], names: np.ndarray, ranges: int, batch: int, finer: int = 1) -> list[dict]:
     """What some documents' shingles say to each range of the hash space.
 
     A shingle that several of these documents hold is sent once, as such; one that a single document
-    holds is sent with that document's name. Documents learn of the former here, as ``known``.
+    holds is sent with that document's name. Documents learn of the former here, as ``known``. Where the
+    ranges will be cut ``finer``, shingles are sent whole.
     """
     if not sets:
         return []
@@ -139,33 +171,36 @@ def range_blobs(sets: list[np.ndarray], names: np.ndarray, ranges: int, batch: i
     single[order[starts[lengths == 1]]] = True
     several = ordered[starts[lengths > 1]]
     known = np.bincount(owner[~single], minlength=len(sets))
-
-    def range_of(x: np.ndarray) -> np.ndarray:
-        return (((x >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
-
     own, who = tokens[single], owner[single]
-    at = range_of(own)
+    at = range_of(own, ranges * finer) // finer
     order = np.argsort(at, kind="stable")  # by range and then by owner
+    told = known > 0
+    return pack_ranges(
+        own[order], names[who[order]], at[order], several, range_of(several, ranges * finer) // finer,
+        names[told], known[told], names[told].view(np.uint64) % np.uint64(ranges), batch, np.uint64 if finer > 1 else np.uint32)
+
+
+def refine_range(group: pa.Table, ranges: int, finer: int) -> list[dict]:
+    """The rows of one range from a group of batches, as rows of ``finer`` ranges from one larger batch.
+
+    A copy that was counted in several batches is counted once from here on, with the most that one of them knew.
+    """
+    rows = group.to_pylist()
+    r, batch = rows[0]["r"], rows[0]["batch_group"]
+    joined = lambda k, kind: np.frombuffer(b"".join(row[k] for row in rows), kind)
+    own, several = joined("tokens", np.uint64), np.unique(joined("several", np.uint64))
+    who = np.repeat(joined("names", np.int64), joined("counts", np.uint32))
+    at = range_of(own, ranges * finer)
+    order = np.lexsort((own, who, at))
     own, who, at = own[order], who[order], at[order]
-    cuts = np.searchsorted(at, np.arange(ranges + 1))
-    several_cuts = np.searchsorted(range_of(several), np.arange(ranges + 1))
-    home = names.view(np.uint64) % np.uint64(ranges)
-    home_order = np.argsort(home, kind="stable")
-    home_cuts = np.searchsorted(home[home_order], np.arange(ranges + 1))
-    out = []
-    for r in range(ranges):
-        a, b = cuts[r], cuts[r + 1]
-        c, d = several_cuts[r], several_cuts[r + 1]
-        mine = home_order[home_cuts[r]: home_cuts[r + 1]]
-        mine = mine[known[mine] > 0]
-        if a == b and c == d and not len(mine):
-            continue
-        owners, counts = np.unique(who[a:b], return_counts=True)
-        out.append({
-            "r": r, "batch": batch, "names": names[owners].tobytes(), "counts": counts.astype(np.uint32).tobytes(),
-            "tokens": own[a:b].astype(np.uint32).tobytes(), "several": several[c:d].astype(np.uint32).tobytes(),
-            "home": names[mine].tobytes(), "known": known[mine].astype(np.uint32).tobytes()})
-    return out
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (who[1:] != who[:-1])
+    home, place = np.unique(joined("home", np.int64), return_inverse=True)
+    known = np.zeros(len(home), np.uint32)
+    np.maximum.at(known, place, joined("known", np.uint32))
+    home_at = home.view(np.uint64) % np.uint64(finer) + np.uint64(r * finer)
+    return pack_ranges(
+        own[new], who[new], at[new], several, range_of(several, ranges * finer), home, known, home_at, batch, np.uint32)
 
 
 def count_range(group: pa.Table) -> pa.Table:
@@ -218,13 +253,18 @@ BLOB_TYPES = pa.schema([("r", pa.int32()), ("batch", pa.int64())] + [
     (k, pa.binary()) for k in ("names", "counts", "tokens", "several", "home", "known")])
 
 
-def shared_counts(texts: DataFrame, width: int, tokens: int) -> DataFrame:
+def shared_counts(texts: DataFrame, width: int, tokens: int, range_tokens: int = RANGE_TOKENS, hop: int = HOP) -> DataFrame:
     """(name, shared): of each set, named by its digest, how many shingles occur in another set.
 
     ``tokens`` is the number of shingles in all. Copies of a set have one name; where they are counted apart
     the largest count holds. Two shingles that look alike in a range only ever raise a count.
+
+    A batch of texts writes a row for each range. Beyond ``hop`` ranges such rows would hold next to nothing, so
+    there batches go to ``hop`` wide ranges first, where groups of batches are cut to the narrow ones together.
     """
-    ranges = max(8, ceil(tokens / RANGE_TOKENS))
+    ranges = max(8, ceil(tokens / range_tokens))
+    finer = ceil(ranges / hop)
+    ranges = ceil(ranges / finer)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -232,13 +272,31 @@ def shared_counts(texts: DataFrame, width: int, tokens: int) -> DataFrame:
             for i, j in row_chunks(text_bytes(batch.column(0))[1], TOGETHER):
                 own = [s for s in shingle_sets(batch.column(0).slice(i, j - i), width) if len(s)]
                 names = np.array([digest(s)[0] for s in own], np.int64)
-                yield pa.RecordBatch.from_pylist(range_blobs(own, names, ranges, number), schema=BLOB_TYPES)
+                yield pa.RecordBatch.from_pylist(range_blobs(own, names, ranges, number, finer), schema=BLOB_TYPES)
                 number += 1
 
-    return (
-        texts.mapInArrow(spread, BLOBS).groupBy("r").applyInArrow(count_range, "batch long, names binary, found binary")
-        .groupBy("batch").applyInArrow(sum_batch, "name long, shared long")
-        .groupBy("name").agg(F.max("shared").alias("shared")))
+    def refine(group: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(refine_range(group, ranges, finer), schema=BLOB_TYPES)
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+            found = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in names])),
+                 pa.array(np.concatenate([np.zeros(0, np.int64), *names])),
+                 pa.array(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64))], ["batch", "name", "shared"])
+
+    blobs = texts.mapInArrow(spread, BLOBS)
+    if finer > 1:
+        group = F.pmod(F.xxhash64("batch"), F.lit(finer)).alias("batch_group")
+        blobs = blobs.select("*", group).groupBy("r", "batch_group").applyInArrow(refine, BLOBS)
+    found = blobs.groupBy("r").applyInArrow(count_range, "batch long, names binary, found binary")
+    if finer > 1:
+        counts = found.mapInArrow(one_by_one, "batch long, name long, shared long").groupBy("batch", "name").agg(F.sum("shared").alias("shared"))
+    else:
+        counts = found.groupBy("batch").applyInArrow(sum_batch, "name long, shared long")
+    return counts.groupBy("name").agg(F.max("shared").alias("shared"))
 
 
 def read_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:

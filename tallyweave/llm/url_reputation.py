@@ -10,8 +10,8 @@ table of reputations is written, so the join back to the pages can be split wher
 
 A url that is null or lacks ``://`` has the empty host and path. Pages without a labelled outcome count
 for nothing and get the reputation of their host, or of the nearest level that has outcomes; without
-any outcome at all the good share is ``start``. Repeated rows are repeated outcomes. Columns named
-like a result are replaced; others are dropped. An empty table gives no rows.
+any outcome at all the good share is ``start``. Repeated pages are repeated outcomes; of several outcomes
+of one page the worst holds. Columns named like a result are replaced; others are dropped. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,11 +99,11 @@ def judge_urls(
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, labelled, bound for every page.
 
-    ``outcomes`` has page_id and good (0/1, or null where unlabelled), at most one row per page.
+    ``outcomes`` has page_id and good (0/1, or null where unlabelled).
     """
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    seen = parts.join(outcomes.where("good IS NOT NULL").select("page_id", "good"), "page_id", "left")
+    seen = parts.join(outcomes.where("good IS NOT NULL").groupBy("page_id").agg(F.min("good").alias("good")), "page_id", "left")
     known = materialize(reputations(seen.select("host", "good"), start, top_strength, deviations))
     rule, said = rule_column(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("bound") >= least, "allow").otherwise("block")

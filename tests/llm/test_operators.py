@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,9 +117,29 @@ def test_linked_sets_name_a_part_in_common():
                 assert len(np.intersect1d(jaccard_regions.part_names(a, similar, seed), jaccard_regions.part_names(b, similar, seed)))
 
 
-def test_long_rows_have_the_shingles_of_their_words():
-    import pyarrow as pa
+def test_counts_by_wide_and_narrow_ranges_are_the_same(spark):
+    docs = table(spark, SF_DIR, "documents").select("text").repartition(5)
+    sets = {frozenset(word_set(r.text)) for r in docs.collect()} - {frozenset()}
+    holders = {}
+    for own in sets:
+        for x in own:
+            holders[x] = holders.get(x, 0) + 1
+    truth = sorted((len(own), sum(holders[x] > 1 for x in own)) for own in sets)
+    sizes = {jaccard_regions.digest(s)[0]: len(s) for s in (
+        s for r in docs.collect() for s in shingles.shingle_sets(pa.array([r.text]))) if len(s)}
+    tokens = sum(map(len, sets))
+    for options in ({}, {"range_tokens": tokens // 40, "hop": 64}, {"range_tokens": tokens // 40, "hop": 6}):
+        rows = jaccard_regions.shared_counts(docs, 5, tokens, **options).collect()
+        found = {r.name: r.shared for r in rows}
+        assert len(found) == len(rows)
+        # copies that were counted in several batches can raise a count, nothing lowers one
+        counts = sorted((n, found.get(name, 0)) for name, n in sizes.items())
+        assert len(counts) == len(truth)
+        assert all(a[0] == b[0] and a[1] >= b[1] for a, b in zip(counts, truth))
+        assert sum(b for _, b in counts) <= 1.02 * sum(b for _, b in truth)
+
 
+def test_long_rows_have_the_shingles_of_their_words():
     text = "a" * (3 << 20) + " " + LONG + "\n" + "b" * 10
     whole = shingles.shingle_sets(pa.array(["x y", text, None]))
     assert [len(s) for s in whole] == [1, len(word_set(text)), 0]
