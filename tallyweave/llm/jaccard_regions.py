@@ -135,7 +135,8 @@ def pack_ranges(
     order, home_order = np.argsort(several_at, kind="stable"), np.argsort(home_at, kind="stable")
     several, several_at = several[order], several_at[order]
     home, known, home_at = home[home_order], known[home_order], home_at[home_order]
-    used = np.unique(np.concatenate([at, several_at, home_at]).astype(np.int64))
+    firsts = [x[np.concatenate(([True], x[1:] != x[:-1]))[: len(x)]] for x in (at, several_at, home_at)]  # all are sorted
+    used = np.unique(np.concatenate(firsts).astype(np.int64))
     cuts = [(np.searchsorted(x, used, "left"), np.searchsorted(x, used, "right")) for x in (at, several_at, home_at)]
     out = []
     for k, r in enumerate(used.tolist()):
