@@ -88,13 +88,18 @@ def weighted_overlap(a: Column, b: Column) -> Column:
 
 
 def anchored(docs: DataFrame, vocabulary: DataFrame, stride: int, small: bool) -> DataFrame:
-    """doc_id of the texts with a probed shingle in ``vocabulary`` (h).
+    """doc_id and check of the texts with a probed shingle in ``vocabulary`` (h).
 
     ``explode_outer``, as for ``explode`` Spark puts a filter on the array below the cutting into words,
     which then cuts anew for every run.
     """
-    probes = shingles(docs, ["doc_id"], "hashes", stride).select("doc_id", F.explode_outer("hashes").alias("h"))
-    return probes.join(F.broadcast(vocabulary) if small else vocabulary, "h", "left_semi").select("doc_id").distinct()
+    probes = shingles(docs, ["doc_id", "check"], "hashes", stride).select("doc_id", "check", F.explode_outer("hashes").alias("h"))
+    return probes.join(F.broadcast(vocabulary) if small else vocabulary, "h", "left_semi").select("doc_id", "check").distinct()
+
+
+def same_text(a: str, b: str) -> Column:
+    """Whether rows of ``a`` and ``b`` are one text of one doc_id, told by the hash ``check``: a doc_id alone may be null or repeated."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.check") == F.col(f"{b}.check"))
 
 
 def windows(texts: DataFrame, index: DataFrame, percent: int, small: bool) -> DataFrame:
@@ -119,13 +124,23 @@ def windows(texts: DataFrame, index: DataFrame, percent: int, small: bool) -> Da
     return hits.select("row", "n", "size", F.explode(found).alias("start"))
 
 
-def contaminations(
-    docs: DataFrame, benchmark: DataFrame, *, percent: int = 80, radius: int = 20, blocks: int = 8,
-) -> DataFrame:
+def checked(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``check``, a hash of the text."""
+    return docs.withColumn("check", F.xxhash64("text"))
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, windows, first_word, similarity: each text and item with similar windows.
 
     ``windows`` is their number, ``similarity`` the best of them, ``first_word`` the first word of the first.
     """
+    return leaks(docs, benchmark, **options).drop("check")
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, *, percent: int = 80, radius: int = 20, blocks: int = 8,
+) -> DataFrame:
+    """``contaminations`` with ``check`` beside the doc_id, so that a text can be told from others of its doc_id."""
     if BITS % blocks:
         raise ValueError("blocks must divide 64")
     items = materialize(shingles(benchmark, ["item_id"], "content"))
@@ -134,11 +149,12 @@ def contaminations(
     small = index.count() <= BROADCAST_ROWS
     sizes = [r.n for r in items.select("n").distinct().collect()]  # lengths, not items
     stride = longest_stride(sizes, percent)
+    docs = checked(docs.select("doc_id", "text"))
     near = materialize(anchored(docs, index.select("h").distinct(), stride, small))
-    held = docs.select("doc_id", "text").alias("d").join(near.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")), "left_semi")
-    texts = materialize(shingles(held, ["doc_id"], "hashes").withColumn("row", F.monotonically_increasing_id()))
+    held = docs.alias("d").join(near.alias("a"), same_text("d", "a"), "left_semi")
+    texts = materialize(shingles(held, ["doc_id", "check"], "hashes").withColumn("row", F.monotonically_increasing_id()))
     laid = windows(texts, index, percent, small).join(texts, "row").select(
-        "doc_id", "row", "n", "start", F.slice("hashes", F.col("start") + 1, F.col("size")).alias("content"))
+        "doc_id", "check", "row", "n", "start", F.slice("hashes", F.col("start") + 1, F.col("size")).alias("content"))
     laid = materialize(laid.withColumn("key", F.xxhash64("content")))
     contents = materialize(laid.groupBy("n", "key").agg(F.first("content").alias("content")))
     flips = radius // blocks
@@ -154,12 +170,13 @@ def contaminations(
         .where(100 * F.col("overlap") >= percent * F.col("union"))
         .select("n", "key", "item", "item_id", F.round(F.col("overlap") / F.col("union"), 6).alias("similarity")))
     return (
-        laid.select("doc_id", "row", "n", "start", "key").join(similar, ["n", "key"]).groupBy("row", "doc_id", "item", "item_id")
+        laid.select("doc_id", "check", "row", "n", "start", "key").join(similar, ["n", "key"]).groupBy("row", "doc_id", "check", "item", "item_id")
         .agg(F.count("*").alias("windows"), F.min("start").cast("int").alias("first_word"), F.max("similarity").alias("similarity"))
         .drop("row", "item"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows of the doc_ids that hold a similar window."""
-    found = materialize(contaminations(docs, benchmark, **options).select("doc_id").distinct())
-    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_anti")
+    """``docs`` without the rows that hold a similar window; other texts of their doc_id stay."""
+    found = materialize(leaks(docs, benchmark, **options).select("doc_id", "check").distinct())
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.check"))
+    return docs.alias("d").join(found.alias("f"), same, "left_anti")

@@ -291,6 +291,16 @@ def test_decontamination(spark, awkward, none):
     assert simhash_windows.contaminations(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_keeps_clean_texts_of_null_and_repeated_ids(spark):
+    item = " ".join(f"leak{i}" for i in range(40))
+    rows = [(None, "noise " + item), (None, "a clean text without id"), (None, None), (7, item), (7, item), (7, "a clean text of the same id"), (8, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = [tuple(r) for r in simhash_windows.decontaminate(docs, bench).collect()]
+    assert sorted(kept, key=str) == sorted([rows[1], rows[2], rows[5], rows[6]], key=str)
+    assert sorted(str(r.doc_id) for r in simhash_windows.contaminations(docs, bench).collect()) == ["7", "7", "None"]
+
+
 def test_blocks_find_every_print_within_the_radius(spark):
     rng = random.Random(2)
     prints = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
