@@ -191,7 +191,7 @@ def _frequency_parts(g: str) -> dict[str, str]:
     return parts
 
 
-# The sums of the ordered strategies and of the universal sketch alone; the jobs below add the rest.
+# The sums of the ordered strategies and of the universal sketch alone, at one memory; the jobs below add the rest.
 @query("eval_gsum_job", job_sql(_gsum_parts("entropy")))
 def _(spark, d):
     return rounded(A.eval_gsum_job(S.users(spark, d), "entropy", [MEMORY], trials=1, algos=(*ORDERED, A.UNIVERSAL)), "value")
@@ -202,16 +202,27 @@ def _(spark, d):
     return rounded(A.eval_frequency_job(S.users(spark, d), "sum", [MEMORY], trials=1, algos=(*ORDERED, A.UNIVERSAL, A.BASELINE)), "value")
 
 
+# The two jobs above are the one setting that their SQL can say; these are whole: every memory, trial and algorithm.
+@query("eval_gsum_job_grid")
+def _(spark, d):
+    return A.eval_gsum_job(S.users(spark, d), "entropy")
+
+
+@query("eval_frequency_job_grid")
+def _(spark, d):
+    return A.eval_frequency_job(S.users(spark, d), "sum")
+
+
 @query("eval_gsum_job_self_join")
 def _(spark, d):
-    return A.eval_gsum_job(S.users(spark, d), "sqr", [MEMORY], trials=1, algos=("S", A.BASELINE))
+    return A.eval_gsum_job(S.users(spark, d), "sqr")
 
 
 @query("eval_heavy_hitter_job")
 def _(spark, d):
-    return A.eval_heavy_hitter_job(S.users(spark, d), "sum", lam=0.007, memory=[MEMORY], trials=1)
+    return A.eval_heavy_hitter_job(S.users(spark, d), "sum", lam=0.007)
 
 
 @query("eval_similarity_job")
 def _(spark, d):
-    return A.eval_similarity_job(S.users_ab(spark, d), "cosine", [MEMORY], trials=1, algos=("E", "S", A.UNIVERSAL, A.BASELINE))
+    return A.eval_similarity_job(S.users_ab(spark, d), "cosine")

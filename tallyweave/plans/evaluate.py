@@ -7,8 +7,10 @@ column per algorithm. The loops run over settings, never over data.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.hashing import cell_text, coefficients_at, hash_fn, hash_value, sign_of, with_hashes, with_lanes
@@ -38,6 +40,8 @@ DEFAULT_COUNTER_RATIO = 0.9
 DEFAULT_LAMBDA = 0.00005
 # Counter rows of a whole sweep that may be broadcast.
 BROADCAST_ROWS = 2_000_000
+# Settings of a job that run at the same time: each is a row of small steps, which leave most cores idle.
+SETTINGS_AT_ONCE = 6
 
 
 def relative_error(estimate: DataFrame, real: DataFrame) -> DataFrame:
@@ -151,16 +155,18 @@ def universal_spec(mem: int, like: SketchSpec) -> SketchSpec:
     return sketch_params_from_memory(mem, 0.0, seed=like.seed)
 
 
-def run_sweep(specs: list[tuple[int, SketchSpec]], algos: Sequence[str],
+def run_sweep(spark: SparkSession, specs: list[tuple[int, SketchSpec]], algos: Sequence[str],
               measure: Callable[[int, SketchSpec, str], DataFrame]) -> DataFrame:
-    """``measure`` gives one value per setting; the result averages the trials."""
-    parts = None
-    for mem, spec in specs:
-        for algo in algos:
-            one = measure(mem, spec, algo).toDF("value").select(
-                F.lit(mem // 1000).cast("bigint").alias("mem"), F.lit(algo).alias("algo"),
-                F.col("value").cast("double").alias("value"))
-            parts = one if parts is None else parts.unionByName(one)
+    """``measure`` gives one value per setting; the result averages the trials.
+
+    Only that number of each setting comes to the driver, where a plan of all settings would not end.
+    """
+    settings = [(mem, spec, algo) for mem, spec in specs for algo in algos]
+    one = inheritable_thread_target(spark)(lambda setting: measure(*setting).first()[0])
+    with ThreadPoolExecutor(SETTINGS_AT_ONCE) as pool:
+        values = list(pool.map(one, settings))
+    rows = [(mem // 1000, algo, None if v is None else float(v)) for (mem, _, algo), v in zip(settings, values)]
+    parts = spark.createDataFrame(rows, "mem bigint, algo string, value double")
     return parts.groupBy("mem", "algo").agg(F.avg("value").alias("value"))
 
 
@@ -187,7 +193,7 @@ def eval_gsum_job(stream: DataFrame, weight: str, memory: Iterable[int] = DEFAUL
             return relative_error(bundle_inner_product(b, b), real)
         return relative_error(bundle_gsum(bundle_build(stream, spec, parts=("point",)), weight), real)
 
-    return run_sweep(sweep_specs(memory, trials), algos, measure)
+    return run_sweep(stream.sparkSession, sweep_specs(memory, trials), algos, measure)
 
 
 def eval_frequency_job(stream: DataFrame, weight: str, memory: Iterable[int] = DEFAULT_MEMORY, trials: int = 5,
@@ -200,7 +206,7 @@ def eval_frequency_job(stream: DataFrame, weight: str, memory: Iterable[int] = D
             return frequency_error(bundle_query(counts, bundle_build(stream, spec, parts=("point",))), g)
         return frequency_error(extract_query(counts, _summary(stream, mem, spec, algo)), g)
 
-    return run_sweep(sweep_specs(memory, trials), algos, measure)
+    return run_sweep(stream.sparkSession, sweep_specs(memory, trials), algos, measure)
 
 
 def eval_heavy_hitter_job(stream: DataFrame, weight: str, lam: float = DEFAULT_LAMBDA,
@@ -222,7 +228,7 @@ def eval_heavy_hitter_job(stream: DataFrame, weight: str, lam: float = DEFAULT_L
             reported = extract_g_heavy_hitters(_summary(stream, mem, spec, algo), g, threshold)
         return heavy_hitter_scores(reported, truth).select("f1")
 
-    return run_sweep(sweep_specs(memory, trials), algos, measure)
+    return run_sweep(stream.sparkSession, sweep_specs(memory, trials), algos, measure)
 
 
 SIMILARITIES = {
@@ -246,4 +252,4 @@ def eval_similarity_job(streams: DataFrame, task: str, memory: Iterable[int] = D
 
     halves = [(mem, spec) for mem, (_, spec) in zip(
         [m for m in memory for _ in range(trials)], sweep_specs([m // 2 for m in memory], trials))]
-    return run_sweep(halves, algos, measure)
+    return run_sweep(streams.sparkSession, halves, algos, measure)
