@@ -21,6 +21,8 @@ SPREAD = 64
 BROADCAST_GROUPS = 1_000_000
 # Width of the seq bins used to cut a stream at an arrival number.
 LIMIT_BIN = 1_000_000
+# Keys of a hash part, about; the frequent-items aggregate tracks at most a million.
+PART_KEYS = 200_000
 # Up to here every task simply hands on its first rows.
 SMALL_LIMIT = 1000
 
@@ -222,23 +224,36 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     )
 
 
-def topk_builtin(stream: DataFrame, k: int, tracked: int) -> DataFrame:
-    """Spark's own frequent-items aggregate; exact while ``tracked`` covers the distinct keys."""
-    tops = stream.agg(F.expr(f"approx_top_k(key, {int(k)}, {int(tracked)})").alias("top"))
+def topk_builtin(stream: DataFrame, k: int, tracked: int, by: Sequence[str] = ()) -> DataFrame:
+    """Spark's own frequent-items aggregate; exact while ``tracked`` covers the distinct keys of each ``by``."""
+    tops = stream.groupBy(*by).agg(F.expr(f"approx_top_k(key, {int(k)}, {int(tracked)})").alias("top"))
     return tops.select(F.inline("top")).select(
         F.col("item").alias("key"), F.col("count").cast("bigint").alias("f"))
 
 
-def topk_builtin_merged(stream: DataFrame, by: str, k: int, tracked: int) -> DataFrame:
-    """The same through stored per-group states, combined afterwards."""
-    states = stream.groupBy(by).agg(
+def topk_builtin_merged(stream: DataFrame, by: str, k: int, tracked: int, parts: Sequence[str] = ()) -> DataFrame:
+    """The same through stored per-group states, combined afterwards (within each of ``parts``)."""
+    states = stream.groupBy(*parts, by).agg(
         F.expr(f"approx_top_k_accumulate(key, {int(tracked)})").alias("state"))
-    merged = states.agg(F.expr(f"approx_top_k_combine(state, {int(tracked)})").alias("state"))
+    merged = states.groupBy(*parts).agg(F.expr(f"approx_top_k_combine(state, {int(tracked)})").alias("state"))
     return merged.select(
         F.explode(F.expr(f"approx_top_k_estimate(state, {int(k)})")).alias("top")
     ).select(F.col("top.item").alias("key"), F.col("top.count").cast("bigint").alias("f"))
 
 
+def distinct_keys(stream: DataFrame) -> int:
+    """How many keys a stream has, 1 at least: the room in which a bounded summary keeps all of them."""
+    return max(1, stream.select("key").distinct().count())
+
+
+def dealt_keys(stream: DataFrame, part_keys: int = PART_KEYS) -> tuple[DataFrame, int]:
+    """``stream`` with the hash part of its key, ``_part``, and the distinct keys of the fullest part, 1 at least."""
+    parts = -(-distinct_keys(stream) // part_keys)
+    dealt = stream.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    fullest = dealt.select("_part", "key").distinct().groupBy("_part").count().agg(F.max("count")).first()[0]
+    return dealt, fullest or 1
+
+
 def keys_distinct(stream: DataFrame) -> DataFrame:
     return stream.select("key").distinct()
 

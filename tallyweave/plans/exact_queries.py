@@ -225,14 +225,17 @@ def _(spark, d):
 
 @query("topk_builtin", S.counts_sql(S.SUPPLIERS))
 def _(spark, d):
-    return X.topk_builtin(S.suppliers(spark, d), k=5000, tracked=20000)
+    """Room for every key, however many there are, as all counts are asked for."""
+    dealt, most = X.dealt_keys(S.suppliers(spark, d))
+    return X.topk_builtin(dealt, k=most, tracked=most, by=["_part"])
 
 
 @query("topk_builtin_merged", S.counts_sql("SELECT event_type AS key, 1::BIGINT AS weight FROM events"))
 def _(spark, d):
     events = S.table(spark, d, "events")
     stream = X.keyed_stream(events.withColumn("part", F.col("event_id") % 16), "event_type", carry=["part"])
-    return X.topk_builtin_merged(stream, "part", k=100, tracked=1000)
+    dealt, most = X.dealt_keys(stream)
+    return X.topk_builtin_merged(dealt, "part", k=most, tracked=most, parts=["_part"])
 
 
 def _ab_keys(spark, d):

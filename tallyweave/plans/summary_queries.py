@@ -9,7 +9,7 @@ from tallyweave.operators import extract as E
 from tallyweave.operators import heavy as P
 from tallyweave.operators import twostream as T
 from tallyweave.operators import universal as U
-from tallyweave.operators.exact import key_counts, stream_totals
+from tallyweave.operators.exact import distinct_keys, key_counts, stream_totals
 from tallyweave.plans import sqltext as Q
 from tallyweave.plans import streams as S
 from tallyweave.plans.exact_queries import ENTROPY_SQL, PART_COUNTS, part_counts, rounded
@@ -22,6 +22,11 @@ CUT = SketchSpec(rows=5, width=128, levels=10, capacity=100, buckets=16, seed=22
 WORD_CUT = SketchSpec(rows=3, width=256, levels=12, capacity=200, buckets=16, seed=23)
 
 
+def full(stream):
+    """FULL with room for every key of ``stream``, where the SQL has no cut."""
+    return FULL.with_sizes(capacity=max(FULL.capacity, distinct_keys(stream)))
+
+
 def as_stream(counts):
     return counts.select("key", F.col("f").alias("weight"))
 
@@ -91,7 +96,8 @@ def _(spark, d):
 for _g in WEIGHTS:
     @query(f"universal_gsum_{_g}", f"SELECT round(sum({Q.g_sql(_g, 'f')}), 6) AS gsum FROM ({PART_COUNTS})")
     def _(spark, d, g=_g):
-        return rounded(U.universal_gsum(tracked(spark, d, FULL), FULL, WEIGHTS[g]), "gsum")
+        spec = full(S.parts(spark, d))
+        return rounded(U.universal_gsum(tracked(spark, d, spec), spec, WEIGHTS[g]), "gsum")
 
 
 @query("universal_gsum", Q.chain(f"SELECT round(gsum, 6) AS gsum FROM ({Q.level_gsum('SELECT * FROM k', CUT, 'entropy')})", **PART_LEVELS))
@@ -116,7 +122,8 @@ def _(spark, d):
 
 @query("universal_gsum_subset", f"SELECT round(sum({Q.g_sql('sqr', 'f')}), 6) AS gsum FROM ({PART_COUNTS}) WHERE key % 4 = 0")
 def _(spark, d):
-    return rounded(U.universal_gsum_subset(tracked(spark, d, FULL), FULL, WEIGHTS["sqr"], lambda k: k % 4 == 0), "gsum")
+    spec = full(S.parts(spark, d))
+    return rounded(U.universal_gsum_subset(tracked(spark, d, spec), spec, WEIGHTS["sqr"], lambda k: k % 4 == 0), "gsum")
 
 
 @query("universal_cardinality", Q.chain(
@@ -127,8 +134,8 @@ def _(spark, d):
 
 @query("universal_entropy", ENTROPY_SQL.format(PART_COUNTS))
 def _(spark, d):
-    counts = part_counts(spark, d)
-    return rounded(U.universal_entropy(tracked(spark, d, FULL), FULL, stream_totals(counts)), "entropy")
+    counts, spec = part_counts(spark, d), full(S.parts(spark, d))
+    return rounded(U.universal_entropy(tracked(spark, d, spec), spec, stream_totals(counts)), "entropy")
 
 
 @query("universal_heavy_hitters", Q.chain("SELECT key, max(v) AS v FROM k GROUP BY key HAVING max(v) >= 40", **PART_LEVELS))
@@ -248,7 +255,8 @@ def _(spark, d):
 # Room for all keys: the merged summary is exact.
 @query("heavy_spacesaving", "SELECT user_id AS key, count(*) AS v FROM events GROUP BY 1")
 def _(spark, d):
-    return P.heavy_spacesaving(S.users(spark, d), 200_000)
+    stream = S.users(spark, d)
+    return P.heavy_spacesaving(stream, distinct_keys(stream))
 
 
 # Whichever candidates a layout finds, their counts are exact and nothing is lost.
@@ -267,8 +275,8 @@ def _(spark, d):
 @query("heavy_make", "SELECT user_id AS key, count(*) AS elastic, count(*) AS guardian, count(*) AS frequent FROM events GROUP BY 1")
 def _(spark, d):
     """With a slot for every key all strategies keep everything."""
-    roomy = FOLD.with_sizes(slots=100_000)
     stream, joined = S.users(spark, d), None
+    roomy = FOLD.with_sizes(slots=distinct_keys(stream))
     for strategy in ("elastic", "guardian", "frequent"):
         kept = P.heavy_query_all(P.heavy_fold(stream, roomy, strategy)).select("key", F.col("v").alias(strategy))
         joined = kept if joined is None else joined.join(kept, "key")
@@ -328,12 +336,12 @@ def _(spark, d):
 
 @query("extract_gsum_full", f"SELECT round(sum({Q.g_sql('sqr', 'f')}), 6) AS gsum FROM ({PART_COUNTS})")
 def _(spark, d):
-    return rounded(E.extract_gsum(summary(spark, d, FULL), WEIGHTS["sqr"]), "gsum")
+    return rounded(E.extract_gsum(summary(spark, d, full(S.parts(spark, d))), WEIGHTS["sqr"]), "gsum")
 
 
 @query("extract_gsum_subset", f"SELECT round(sum({Q.g_sql('sqr', 'f')}), 6) AS gsum FROM ({PART_COUNTS}) WHERE key % 4 = 0")
 def _(spark, d):
-    return rounded(E.extract_gsum_subset(summary(spark, d, FULL), WEIGHTS["sqr"], lambda k: k % 4 == 0), "gsum")
+    return rounded(E.extract_gsum_subset(summary(spark, d, full(S.parts(spark, d))), WEIGHTS["sqr"], lambda k: k % 4 == 0), "gsum")
 
 
 @query("extract_heavy_hitters", Q.chain(
@@ -357,7 +365,7 @@ def _(spark, d):
 
 @query("extract_only_universal", f"SELECT round(sum({Q.g_sql('entropy', 'f')}), 6) AS gsum FROM ({PART_COUNTS})")
 def _(spark, d):
-    return rounded(E.extract_gsum(summary(spark, d, FULL.with_sizes(heavy_ratio=0.0)), WEIGHTS["entropy"]), "gsum")
+    return rounded(E.extract_gsum(summary(spark, d, full(S.parts(spark, d)).with_sizes(heavy_ratio=0.0)), WEIGHTS["entropy"]), "gsum")
 
 
 @query("extract_only_heavy", Q.chain(
@@ -381,7 +389,8 @@ for _strategy in STRATEGY_QUERIES:
 # All candidates tracked and every key either exactly counted or fully listed: exact.
 @query("extract_bounded_gsum", f"SELECT round(sum({Q.g_sql('sqr', 'f')}), 6) AS gsum FROM ({PART_COUNTS})")
 def _(spark, d):
-    return rounded(E.extract_gsum(E.extract_build(S.parts(spark, d), FULL, "bounded"), WEIGHTS["sqr"]), "gsum")
+    stream = S.parts(spark, d)
+    return rounded(E.extract_gsum(E.extract_build(stream, full(stream), "bounded"), WEIGHTS["sqr"]), "gsum")
 
 
 # --- two streams from summaries ---------------------------------------------------------
@@ -443,8 +452,9 @@ def _(spark, d):
        f"({S.counts_sql(A)}) a JOIN ({S.counts_sql(B)}) b USING (key)")
 def _(spark, d):
     both = S.customers_ab(spark, d)
-    a, b = (U.universal_candidates(key_counts(S.side(both, s)), FULL) for s in ("A", "B"))
-    return rounded(U.universal_gsum_mul(a, b, FULL, WEIGHTS["sum"]), "gsum")
+    spec = full(both)
+    a, b = (U.universal_candidates(key_counts(S.side(both, s)), spec) for s in ("A", "B"))
+    return rounded(U.universal_gsum_mul(a, b, spec, WEIGHTS["sum"]), "gsum")
 
 
 @query("extract_gsum_add", Q.chain(f"SELECT round({add_sql(PAIR, 'entropy')}, 6) AS gsum", **ab_ctes()))
