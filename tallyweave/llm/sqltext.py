@@ -92,5 +92,47 @@ SELECT doc_id, unit, licence_id, count(*) AS hits FROM f JOIN k USING (form) WHE
 """
 
 
+LINES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+k AS (SELECT r, pos, line, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+m AS (SELECT r, count(*) FILTER (WHERE s.key IS NOT NULL) AS n_dropped,
+      string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL) AS kept FROM k LEFT JOIN s USING (key) GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN m USING (r)
+"""
+
+
+def _clusters(dims: int = 64, k: int = 8, rounds: int = 10, scale: int = 1024, salt: str = "3") -> str:
+    """Every vector beside every centroid, round after round; means are floored also where they are negative."""
+
+    def nearest(of: str) -> str:
+        return f"""SELECT vec_id, any_value(v) AS v, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (
+    SELECT x.r, x.vec_id, x.v, c.cluster, CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+    FROM x CROSS JOIN {of} AS c) GROUP BY r, vec_id"""
+
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""
+a{i} AS MATERIALIZED ({nearest(f"c{i}")}),
+m{i} AS (SELECT cluster, d, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (
+    SELECT cluster, unnest(v) AS e, unnest(range({dims})) AS d FROM a{i}) GROUP BY cluster, d),
+g{i} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY d) AS v FROM m{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, CAST(coalesce(g{i}.v, c{i}.v) AS BIGINT[]) AS v FROM c{i} LEFT JOIN g{i} USING (cluster))""")
+    return f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('{salt}:' || CAST(vec_id AS VARCHAR)), v) - 1 AS INTEGER) AS cluster, v
+    FROM x ORDER BY cluster LIMIT {k}),
+{",".join(steps)},
+z AS MATERIALIZED ({nearest(f"c{rounds}")})
+SELECT z.vec_id, cluster, z.distance, CAST(sum(z.distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(z.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM z JOIN c{rounds} AS c USING (cluster)
+"""
+
+
 LICENCE_SQL = _licences()
+CLUSTERS_SQL = _clusters()
 MIXING_SQL = _mixing(MIX_WEIGHTS, MIX_SHARE)
