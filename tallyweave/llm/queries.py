@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import (
     blob_ledger, block_names, compression_quality, jaccard_regions, jump_shards, licence_digests, line_dedup, ngram_toxicity,
-    simhash_windows, source_mixing, threshold_clusters, url_reputation,
+    phrase_automata, simhash_windows, source_mixing, threshold_clusters, url_reputation,
 )
 from tallyweave.llm.inputs import table
-from tallyweave.llm.sqltext import BLOCK_NAMES_SQL, CLUSTERS_SQL, LICENCE_SQL, LINES_SQL, MIXING_SQL, WINDOWS_SQL
+from tallyweave.llm.sqltext import BLOCK_NAMES_SQL, CLUSTERS_SQL, LICENCE_SQL, LINES_SQL, MIXING_SQL, PHRASES_SQL, WINDOWS_SQL
 from tallyweave.sources.scratch import scratch_path
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -75,15 +75,21 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_windows": op1_simhash_windows, "op2_licence_digests": op2_licence_digests,
     "op3_compression_quality": op3_compression_quality, "op4_block_names": op4_block_names,
     "op5_source_mixing": op5_source_mixing, "op6_jump_shards": op6_jump_shards, "op7_blob_ledger": op7_blob_ledger, "op8_ngram_toxicity": op8_ngram_toxicity,
     "op9_url_reputation": op9_url_reputation, "op10_jaccard_regions": op10_jaccard_regions,
     "op11_threshold_clusters": op11_threshold_clusters, "op12_line_dedup": op12_line_dedup,
+    "op13_phrase_automata": op13_phrase_automata,
 }
 
 SQL = {
     "op1_simhash_windows": WINDOWS_SQL, "op2_licence_digests": LICENCE_SQL, "op4_block_names": BLOCK_NAMES_SQL,
     "op5_source_mixing": MIXING_SQL, "op11_threshold_clusters": CLUSTERS_SQL, "op12_line_dedup": LINES_SQL,
+    "op13_phrase_automata": PHRASES_SQL,
 }

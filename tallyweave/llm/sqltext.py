@@ -104,6 +104,28 @@ SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, n_dropped, sha256(coalesce
 """
 
 
+PHRASES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+g AS (SELECT lang, words[i : i + m - 1] AS g FROM w, unnest(range(1, len(words) + 1)) AS a(i), unnest([1, 2, 3, 4]) AS b(m) WHERE i + m - 1 <= len(words)),
+f AS MATERIALIZED (SELECT lang, g, len(g) AS m, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, g, m, f FROM f WHERE m >= 2 AND f >= 30),
+held AS (SELECT lang, g[i : i + k - 1] AS g, max(f) AS longer FROM c, unnest([2, 3]) AS a(k), unnest([1, 2, 3]) AS b(i)
+         WHERE k < m AND i + k - 1 <= m GROUP BY ALL),
+cut AS (SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+        FROM c, unnest([1, 2, 3]) AS a(k) JOIN f AS l ON l.lang = c.lang AND l.g = c.g[1 : k] JOIN f AS r ON r.lang = c.lang AND r.g = c.g[k + 1 :]
+        WHERE k < c.m),
+best AS (SELECT lang, g, any_value(a) AS a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cut GROUP BY lang, g),
+s AS (SELECT best.lang, array_to_string(best.g, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN held ON held.lang = best.lang AND held.g = best.g
+      WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM s JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def _clusters(dims: int = 64, k: int = 8, rounds: int = 10, scale: int = 1024, salt: str = "3") -> str:
     """Every vector beside every centroid, round after round; means are floored also where they are negative."""
 
