@@ -45,9 +45,9 @@ from tallyweave.sources.scratch import materialize
 #: Words of a window, the longest phrase.
 WORDS = 4
 #: Words that a shard holds before it is sorted and sent.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: Bytes of text behind one prefix range.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 16 << 20
 #: Ranges that a shard is cut into at most; beyond, shards go to that many wide ranges, where groups of them are cut again.
 HOP = 4_096
 #: Sampled documents for each range, 2000 in all at least, and windows of each.
@@ -149,12 +149,17 @@ class Windows:
         return np.uint64(max(1, len(vocabulary).bit_length()))
 
     @classmethod
-    def summed(cls, langs, vocabulary, high, low, counts) -> Windows:
+    def summed(cls, langs, vocabulary, high, low, counts=None) -> Windows:
+        """Equal windows put together; without ``counts`` each counts once."""
         order = np.lexsort((low, high))
         high, low = high[order], low[order]
-        new = np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))[: len(high)]
+        new = np.ones(len(high), bool)
+        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
         at = np.flatnonzero(new)
-        counts = np.add.reduceat(counts[order], at) if len(at) else counts
+        if counts is None:
+            counts = np.diff(np.append(at, len(high)))
+        elif len(at):
+            counts = np.add.reduceat(counts[order], at)
         return cls(langs, vocabulary, high[at], low[at], counts)
 
     @classmethod
@@ -163,15 +168,14 @@ class Windows:
         vocabulary, ids = np.unique(np.append(symbols, np.uint64(0)), return_inverse=True)
         named, lang = np.unique(langs, return_inverse=True)
         b = cls.bits(vocabulary)
-        ids, lang = ids[:-1].astype(np.uint64), lang.astype(np.uint64)
-        columns = []
+        ids, high = ids[:-1].astype(np.uint32), lang[:starts].astype(np.uint64)
+        low = np.zeros(starts, np.uint64)
         for k in range(WORDS):
-            column = np.zeros(starts, np.uint64)
             n = max(0, min(starts, len(ids) - k))
-            column[:n] = np.where(pieces[k: k + n] == pieces[:n], ids[k: k + n], np.uint64(0))
-            columns.append(column)
-        high = ((lang[:starts] << b) | columns[0]) << b | columns[1]
-        return cls.summed(named, vocabulary, high, columns[2] << b | columns[3], np.ones(starts, np.int64))
+            number = high if k < 2 else low
+            number <<= b
+            number[:n] |= np.where(pieces[k: k + n] == pieces[:n], ids[k: k + n], 0).astype(np.uint64)
+        return cls.summed(named, vocabulary, high, low)
 
     def columns(self, part: slice = slice(None)) -> list[np.ndarray]:
         b = self.bits(self.vocabulary)
@@ -425,7 +429,7 @@ def phrase_counts(docs: DataFrame, limits: np.ndarray, threshold: int, seed: int
             named = dict(zip(code.tolist(), (x.encode() for x in known)))
             names |= named
             for symbols, pieces, rows in reader.read(batch.column(1), texts):
-                held.append((symbols, pieces, row_lang[rows]))
+                held.append((symbols, pieces.astype(np.uint32), row_lang[rows]))  # only neighbours' pieces are compared
                 size += len(symbols)
                 if size > shard_words:
                     yield from flush(False)

@@ -105,24 +105,30 @@ SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, n_dropped, sha256(coalesce
 
 
 PHRASES_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
-           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
-g AS (SELECT lang, words[i : i + m - 1] AS g FROM w, unnest(range(1, len(words) + 1)) AS a(i), unnest([1, 2, 3, 4]) AS b(m) WHERE i + m - 1 <= len(words)),
-f AS MATERIALIZED (SELECT lang, g, len(g) AS m, count(*) AS f FROM g GROUP BY ALL),
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9), 'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9) || ' ') AS t FROM documents),
+p AS MATERIALIZED (SELECT row_number() OVER () AS p, lang, piece FROM (SELECT lang, unnest(string_split(t, chr(10))) AS piece FROM d)),
+w AS MATERIALIZED (SELECT p, lang, w, i FROM (
+    SELECT p, lang, unnest(words) AS w, unnest(range(len(words))) AS i FROM (SELECT p, lang, string_split(piece, ' ') AS words FROM p)) WHERE w <> ''),
+s AS MATERIALIZED (SELECT lang, w AS a, lead(w) OVER x AS b, lead(w, 2) OVER x AS c, lead(w, 3) OVER x AS d FROM w WINDOW x AS (PARTITION BY p ORDER BY i)),
+f AS MATERIALIZED (
+    SELECT lang, a AS g, 1 AS m, count(*) AS f FROM s GROUP BY ALL
+    UNION ALL SELECT lang, a || ' ' || b, 2, count(*) FROM s WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, a || ' ' || b || ' ' || c, 3, count(*) FROM s WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, a || ' ' || b || ' ' || c || ' ' || d, 4, count(*) FROM s WHERE d IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
-c AS MATERIALIZED (SELECT lang, g, m, f FROM f WHERE m >= 2 AND f >= 30),
-held AS (SELECT lang, g[i : i + k - 1] AS g, max(f) AS longer FROM c, unnest([2, 3]) AS a(k), unnest([1, 2, 3]) AS b(i)
-         WHERE k < m AND i + k - 1 <= m GROUP BY ALL),
-cut AS (SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
-        FROM c, unnest([1, 2, 3]) AS a(k) JOIN f AS l ON l.lang = c.lang AND l.g = c.g[1 : k] JOIN f AS r ON r.lang = c.lang AND r.g = c.g[k + 1 :]
-        WHERE k < c.m),
-best AS (SELECT lang, g, any_value(a) AS a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cut GROUP BY lang, g),
-s AS (SELECT best.lang, array_to_string(best.g, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN held ON held.lang = best.lang AND held.g = best.g
-      WHERE longer IS NULL OR 100 * longer < 80 * a)
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
-FROM s JOIN n USING (lang) QUALIFY rank <= 2000
+c AS MATERIALIZED (SELECT lang, g, m, f, string_split(g, ' ') AS v FROM f WHERE m >= 2 AND f >= 30),
+held AS MATERIALIZED (SELECT lang, array_to_string(v[i : i + k - 1], ' ') AS g, max(f) AS longer
+    FROM c CROSS JOIN (VALUES (2, 1), (2, 2), (2, 3), (3, 1), (3, 2)) AS a(k, i) WHERE k < m AND i + k - 1 <= m GROUP BY ALL),
+named AS MATERIALIZED (SELECT lang || chr(10) || g AS name, f FROM f),
+cut AS MATERIALIZED (SELECT lang, g, f AS a, k, lang || chr(10) || array_to_string(v[1 : k], ' ') AS left_part, lang || chr(10) || array_to_string(v[k + 1 : m], ' ') AS right_part
+    FROM c CROSS JOIN (VALUES (1), (2), (3)) AS a(k) WHERE k < m),
+scored AS (SELECT cut.lang, cut.g, cut.a, k, l.f AS l, r.f AS r, CAST(2000000 * CAST(cut.a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+    FROM cut JOIN named AS l ON l.name = left_part JOIN named AS r ON r.name = right_part),
+best AS (SELECT lang, g, any_value(a) AS a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM scored GROUP BY lang, g)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM best LEFT JOIN held USING (lang, g) JOIN n USING (lang) WHERE longer IS NULL OR 100 * longer < 80 * a
+QUALIFY rank <= 2000
 """
 
 
