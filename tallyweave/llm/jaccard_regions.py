@@ -549,21 +549,31 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, **lim
     linked = connected_components(all_links(sets, similar, **limits))
     linked = materialize(linked.join(classes.select("node", "first_doc"), "node"))
     ids = materialize(linked.groupBy("label").agg(F.min("first_doc").alias("component_id")))
-    named = linked.join(ids, "label").select("node", "component_id")
-    named = materialize(
-        classes.join(named, "node", "left").select("d1", "d2", F.coalesce("component_id", "first_doc").alias("component_id")))
+    named = linked.join(ids, "label").select("node", "label", "component_id")
+    named = materialize(classes.join(named, "node", "left").select(
+        "d1", "d2", F.coalesce("label", "node").alias("component"), F.coalesce("component_id", "first_doc").alias("component_id")))
     return rows.join(named, ["d1", "d2"], "left").select(
-        "row", "doc_id", "check", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "row", "doc_id", "check", F.col("n").cast("long").alias("n_shingles"), "component",
+        F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that are linked to a row of smaller doc_id; of equal rows one stays."""
-    found = jaccard_components(docs, **options)
-    same = Window.partitionBy("doc_id", "check")
-    kept = materialize(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("again", F.row_number().over(same.orderBy("row")))
-        .withColumn("times", F.count("*").over(same)).where("again = 1").select("doc_id", "check", "times"))
-    match = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.check"))
-    stays = docs.alias("d").join(kept.alias("k"), match).select("d.*", "k.times")
-    single = stays.where("times = 1").drop("times")
-    return single.union(stays.where("times > 1").drop("times").dropDuplicates(["doc_id", "text"]))
+    """``docs`` with one row of each component: the one of smallest doc_id, null ids last, and of those the first row.
+
+    Rows without a shingle are linked with nothing and stay, but for rows of equal doc_id and text, of which one stays.
+    No text is moved while the (doc_id, text hash) pairs that go, or that stay once of several times, can be broadcast.
+    """
+    found = materialize(jaccard_components(docs, **options).select("row", "doc_id", "check", "component"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min_by(F.struct("doc_id", "check"), order).alias("stay"))
+    alone = found.where("component IS NULL").select(F.struct("doc_id", "check").alias("stay"))
+    stay = first.select("stay").union(alone).distinct()
+    pairs = found.groupBy(F.struct("doc_id", "check").alias("pair")).agg(F.count(F.lit(1)).alias("times"))
+    decided = materialize(
+        pairs.join(stay, F.col("pair") == F.col("stay"), "left").where("stay IS NULL OR times > 1")
+        .select(F.col("pair.doc_id").alias("id"), F.col("pair.check").alias("check"), F.col("stay").isNotNull().alias("stays")))
+    few = decided.count() <= BROADCAST_ROWS
+    match = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("doc.text") == F.col("check"))
+    met = docs.select(F.struct(*docs.columns).alias("doc")).join(F.broadcast(decided) if few else decided, match, "left")
+    several = met.where("stays").select("doc.*")
+    return met.where("stays IS NULL").select("doc.*").union(several.dropDuplicates(["doc_id", "text"]))
