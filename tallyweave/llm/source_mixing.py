@@ -13,6 +13,7 @@ Only DataFrame functions are used. A leaf may hold any share of all rows: its do
 the hash order first, whole bins are taken or left by their sums, and only inside the one bin that the
 budget ends in are documents put in order. The number of bins follows the number of rows.
 
+A node of weight 0 (or less) is left out with all below it: it has no capacity and gets no budget.
 Null texts have no tokens; documents without tokens are never selected. Null domain, language or source
 values are a child of their own, written '~', with the default weight. Repeated rows count and are
 taken each, in adjacent places. Other columns are kept; those named like a result are replaced. An empty table
@@ -32,6 +33,10 @@ from tallyweave.sources.scratch import materialize
 BIN_ROWS = 4_000
 #: Bins are found by this many leading hex digits of the hash.
 BIN_DIGITS = 6
+#: Taken documents, with five small values each, that are sent to all executors at most.
+BROADCAST_ROWS = 2_000_000
+#: Copies of one row that a task writes at once, where repeated rows do not part evenly.
+COPIES_AT_ONCE = 1_000
 
 
 #: The mixture: domains are the sources in blocks of five, the budget is three fifths of all tokens.
@@ -97,12 +102,14 @@ def leaf_budgets(
     nodes, parents = {}, list(levels)
     current = leaves.select(*levels, (F.col("tokens") * epochs).alias("capacity"))
     for depth in range(len(levels), 0, -1):
+        weight = weight_of(parents[depth - 1], weights.get(parents[depth - 1], {}), default)
+        current = current.withColumn("capacity", F.when(weight > 0, F.col("capacity")).otherwise(F.lit(0).cast("long")))
         nodes[depth] = current
         current = current.groupBy(*parents[: depth - 1]).agg(F.sum("capacity").alias("capacity")) if depth > 1 else current
     down = None
     for depth, level in enumerate(levels, 1):
         parent = parents[: depth - 1]
-        own = nodes[depth].withColumn("weight", weight_of(level, weights.get(level, {}), default))
+        own = nodes[depth].withColumn("weight", F.greatest(weight_of(level, weights.get(level, {}), default), F.lit(1).cast("long")))
         own = own.withColumn("budget", budget if isinstance(budget, Column) else F.lit(budget).cast("long")) if not parent else own.join(down, parent)
         down = materialize(part_budget(own, parent, level).select(*parents[:depth], F.col("own").alias("budget")))
     return leaves.join(down, list(levels))
@@ -117,7 +124,7 @@ def take_prefixes(docs: DataFrame, budgets: DataFrame, levels: Sequence[str], se
     epoch = F.expr("budget div tokens")
     plan = budgets.select(*keys, epoch.alias("passes"), (F.col("budget") - epoch * F.col("tokens")).alias("rest"))
     plan = materialize(plan)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("passes"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("passes"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.col("check")))))
     placed = docs.join(plan, keys).withColumn("_order", order)
     value = F.conv(F.substring("_order", 1, BIN_DIGITS), 16, 10).cast("long")
     placed = materialize(placed.withColumn("_bin", F.floor(value * bins / 16**BIN_DIGITS).cast("int")))
@@ -159,30 +166,36 @@ def mix(
         "doc_id", "check", *keys, "tokens", "copies", "leaf_budget")
 
 
-def mixed_documents(docs: DataFrame, *args, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, levels: dict[str, Column], *args, **options) -> DataFrame:
     """``docs`` as the mixture takes them: each row as many times as it has copies.
 
-    Repeated rows have the same copies each, but for those that the last epoch ends among, where so many
-    of them as it takes have one more.
+    Repeated rows, equal in doc_id, text and levels, have the same copies each; what does not part evenly among
+    them comes from one of them. What each text gets is settled on hashes; texts stay where they
+    are while the (doc_id, hash, levels) that are taken can be broadcast.
     """
-    taken = mix(docs, *args, **options).groupBy("doc_id", "check").agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    match = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.xxhash64("d.text") == F.col("t.check"))
-    rows = docs.alias("d").join(materialize(taken).alias("t"), match).select("d.*", F.col("t.check").alias("_check"), "t._copies", "t._rows")
-    even = rows.where("_copies % _rows = 0").withColumn("_own", F.expr("_copies div _rows")).drop("_check", "_copies", "_rows")
-    odd = numbered(rows.where("_copies % _rows != 0"), ["doc_id", "_check"])
-    odd = odd.withColumn("_own", F.expr("_copies div _rows + if(_number <= _copies % _rows, 1, 0)")).drop("_check", "_copies", "_rows", "_number")
-    all_rows = even.unionByName(odd).where("_own > 0")
-    return all_rows.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own")))).drop("_again", "_own")
-
-
-def numbered(rows: DataFrame, group: list[str]) -> DataFrame:
-    """``rows`` with ``_number``, gapless from 1 in each group: numbers inside written parts, after the parts ahead."""
-    rows = materialize(rows.withColumn("_part", F.spark_partition_id()))
-    keys = [*group, "_part"]
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
-    ahead = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-    placed = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).alias("r")
-    met = same("r", "c") & (F.col("r._check") == F.col("c._check")) & (F.col("r._part") == F.col("c._part"))
-    return placed.join(counts.alias("c"), met).select("r.*", (F.col("r._in") + F.col("c._ahead")).alias("_number")).drop("_in", "_part")
+    keys = list(levels)
+    taken = materialize(mix(docs, levels, *args, **options).groupBy("doc_id", "check", *keys).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0"))
+    few = taken.count() <= BROADCAST_ROWS
+    named = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("_check"),
+        *[F.coalesce(c.cast("string"), F.lit("~")).alias(f"_{k}") for k, c in levels.items()])
+
+    def met(part: DataFrame) -> DataFrame:
+        match = F.col("doc.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("_check") == F.col("t.check"))
+        for k in keys:
+            match = match & (F.col(f"_{k}") == F.col(f"t.{k}"))
+        return named.join((F.broadcast(part) if few else part).alias("t"), match)
+
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    whole_share = met(taken.where("copies >= rows")).select("doc", times(F.expr("t.copies div t.rows"))).select("doc.*")
+    uneven = taken.where("copies % rows != 0")
+    if not uneven.limit(1).count():
+        return whole_share
+    one = met(uneven).groupBy("t.doc_id", "t.check", *[f"t.{k}" for k in keys], "t.copies", "t.rows").agg(F.first("doc").alias("doc"))
+    blocks = one.select("doc", F.expr("copies % rows").alias("rest")).select(
+        "doc", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(rest - 1) div %d" % COPIES_AT_ONCE))).alias("block"))
+    dealt = blocks.repartition(F.xxhash64("block", "doc.doc_id"))  # the copies of one text over several tasks
+    ahead = F.col("block") * COPIES_AT_ONCE
+    rest = dealt.select("doc", times(F.least(F.lit(COPIES_AT_ONCE).cast("long"), F.col("rest") - ahead))).select("doc.*")
+    return whole_share.union(rest)
