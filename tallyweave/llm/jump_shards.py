@@ -68,9 +68,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, grown: int | None = None,
     ``grown_shard`` is the shard with ``grown`` shards, one more than ``shards`` unless said otherwise.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    placed = materialize(docs.select(
+    placed = docs.select(
         "doc_id", *(["text"] if keep_text else []),
         (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"), jump_shard(F.col("doc_id"), shards).alias("shard"),
-        jump_shard(F.col("doc_id"), grown or shards + 1).alias("grown_shard")))
+        jump_shard(F.col("doc_id"), grown or shards + 1).alias("grown_shard"))
+    if not keep_text:
+        placed = materialize(placed)  # small; texts are rather read again than written
     return with_slots(placed, "shard", ["doc_id", "text_crc32", "size"])
