@@ -54,7 +54,7 @@ def extract_build(stream: DataFrame, spec: SketchSpec, route: str = "lossless",
                   mode: str = "tracked", shard_rows: int | None = None) -> Summary:
     """Summary of a stream; runs the jobs and writes each of its tables once.
 
-    ``route`` is ``lossless`` (exact counts first), ``bounded`` (two passes, no key shuffle) or
+    ``route`` is ``lossless`` (exact counts first), ``bounded`` (candidates from bounded summaries, then counts) or
     the name of an ordered strategy, which replays arrivals. With a heavy share of 0 all goes
     to the sketch; with a share of 1 the sketch stays empty and what the heavy part hands on is
     dropped.
@@ -71,7 +71,7 @@ def extract_build(stream: DataFrame, spec: SketchSpec, route: str = "lossless",
         heavy = materialize(lossless_split(counts, spec)[0])
         residual = residual_of(counts, heavy, spec)
     elif route in ("bounded", "spacesaving"):
-        heavy = materialize(bounded_split(stream, spec)[0])
+        heavy = materialize(bounded_split(stream, spec, shard_rows=shard_rows)[0])
         residual = stream.join(heavy_table(heavy.select("key"), spec), "key", "left_anti").select("key", "weight")
     else:
         # Both outputs come from one replay, so it is written once.

@@ -3,8 +3,8 @@
 Three routes give the same kind of result, a ``heavy`` table and what is left over:
 
 * ``lossless_split`` ranks exact counts inside each bucket;
-* ``bounded_split`` finds candidates with one small summary per partition and then counts
-  them exactly, without ever shuffling all keys;
+* ``bounded_split`` finds candidates with small mergeable summaries and then counts
+  them exactly;
 * ``heavy_fold`` replays arrivals in order through one small state machine per bucket.
 
 A fold is sequential inside a bucket, so its unit of work is (shard, bucket), where a shard is
@@ -25,8 +25,9 @@ from tallyweave.operators.exact import top_per_group
 from tallyweave.operators.frequent import frequent_per_partition
 from tallyweave.operators.folds import ordered_fold
 from tallyweave.operators.linear import is_text
+from tallyweave.operators.spacesaving import FAN, spacesaving_tree
 from tallyweave.operators.tasks import long_tasks
-from tallyweave.spec import ELASTIC_FACTOR, GUARDIAN_BASE, GUARDIAN_GAP, STRATEGIES, SketchSpec
+from tallyweave.spec import ELASTIC_FACTOR, GUARDIAN_BASE, GUARDIAN_GAP, SHARD_ROWS, STRATEGIES, SketchSpec
 
 # A heavy table is broadcast up to this many rows.
 BROADCAST_HEAVY = 2_000_000
@@ -62,23 +63,33 @@ def residual_of(counts: DataFrame, heavy: DataFrame, spec: SketchSpec) -> DataFr
     return rest.select("key", F.col("f").alias("weight"))
 
 
-def heavy_spacesaving(stream: DataFrame, size: int) -> DataFrame:
-    """Mergeable summary of the whole stream: at most ``size`` keys ``(key, v)``.
+def heavy_spacesaving(stream: DataFrame, size: int, shard_rows: int = SHARD_ROWS, fan: int = FAN) -> DataFrame:
+    """Mergeable summary of the whole stream: at most ``size`` keys ``(key, v, upper, floor)``.
 
-    Per-partition summaries are added per key and cut once more. Counts are lower bounds.
+    A key has from ``v`` to ``upper`` arrivals; one that isn't listed has ``floor`` at most.
     """
+    found = spacesaving_tree(stream, size, shard_rows, fan)
+    return found.select("key", F.col("low").alias("v"), F.col("high").alias("upper"), "floor")
+
+
+def partition_candidates(stream: DataFrame, size: int) -> DataFrame:
+    """Frequent keys from lists of one task each, for streams without arrival numbers: ``(key,)``."""
     merged = frequent_per_partition(long_tasks(stream), [], size).groupBy("key").agg(F.sum("weight").alias("v"))
-    return merged.orderBy(F.desc("v"), F.col("key")).limit(size)
+    return merged.orderBy(F.desc("v"), F.col("key")).limit(size).select("key")
 
 
-def bounded_split(stream: DataFrame, spec: SketchSpec, size: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two passes, no key shuffle: ``(heavy, residual)`` with exact heavy counts.
+def bounded_split(stream: DataFrame, spec: SketchSpec, size: int | None = None,
+                  shard_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two passes: ``(heavy, residual)`` with exact heavy counts.
 
-    Pass one finds candidates, pass two counts them. The residual is the untouched rest of
-    the stream, ready for ``universal_build``.
+    Pass one finds candidates, by the summaries of shards where arrivals have numbers and by those of partitions
+    where not; pass two counts them. The residual is the untouched rest of the stream, ready for ``universal_build``.
     """
     size = size or max(1, spec.heavy_rows)
-    found = heavy_spacesaving(stream, size).select("key")
+    if "seq" in stream.columns:
+        found = spacesaving_tree(stream, size, shard_rows or spec.shard_rows).select("key")
+    else:
+        found = partition_candidates(stream, size)
     small = F.broadcast(found) if size <= BROADCAST_HEAVY else found
     inside = stream.join(small, "key", "left_semi")
     heavy = inside.groupBy("key").agg(F.sum("weight").alias("v"))

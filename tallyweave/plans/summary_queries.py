@@ -9,10 +9,10 @@ from tallyweave.operators import extract as E
 from tallyweave.operators import heavy as P
 from tallyweave.operators import twostream as T
 from tallyweave.operators import universal as U
-from tallyweave.operators.exact import distinct_keys, key_counts, stream_totals
+from tallyweave.operators.exact import key_counts, stream_totals
 from tallyweave.plans import sqltext as Q
 from tallyweave.plans import streams as S
-from tallyweave.plans.exact_queries import ENTROPY_SQL, PART_COUNTS, part_counts, rounded
+from tallyweave.plans.exact_queries import part_counts, rounded
 from tallyweave.plans.registry import query
 from tallyweave.sources.scratch import materialize
 from tallyweave.spec import SketchSpec
@@ -22,9 +22,8 @@ CUT = SketchSpec(rows=5, width=128, levels=10, capacity=100, buckets=16, seed=22
 WORD_CUT = SketchSpec(rows=3, width=256, levels=12, capacity=200, buckets=16, seed=23)
 
 
-def full(stream):
-    """FULL with room for every key of ``stream``, where the SQL has no cut."""
-    return FULL.with_sizes(capacity=max(FULL.capacity, distinct_keys(stream)))
+#: Room for about a tenth of the parts at sf0.01 in each level; the SQL makes the same cut.
+TENTH = FULL.with_sizes(capacity=200)
 
 
 def as_stream(counts):
@@ -93,11 +92,13 @@ def _(spark, d):
     return U.universal_topk(tracked(spark, d))
 
 
+TENTH_LEVELS = level_ctes(S.PARTS, TENTH)
+
+
 for _g in WEIGHTS:
-    @query(f"universal_gsum_{_g}", f"SELECT round(sum({Q.g_sql(_g, 'f')}), 6) AS gsum FROM ({PART_COUNTS})")
+    @query(f"universal_gsum_{_g}", Q.chain(f"SELECT round(gsum, 6) AS gsum FROM ({Q.level_gsum('SELECT * FROM k', TENTH, _g)})", **TENTH_LEVELS))
     def _(spark, d, g=_g):
-        spec = full(S.parts(spark, d))
-        return rounded(U.universal_gsum(tracked(spark, d, spec), spec, WEIGHTS[g]), "gsum")
+        return rounded(U.universal_gsum(tracked(spark, d, TENTH), TENTH, WEIGHTS[g]), "gsum")
 
 
 @query("universal_gsum", Q.chain(f"SELECT round(gsum, 6) AS gsum FROM ({Q.level_gsum('SELECT * FROM k', CUT, 'entropy')})", **PART_LEVELS))
@@ -120,10 +121,10 @@ def _(spark, d):
     return rounded(U.universal_gsum(found, CUT, WEIGHTS["sqr"]), "gsum")
 
 
-@query("universal_gsum_subset", f"SELECT round(sum({Q.g_sql('sqr', 'f')}), 6) AS gsum FROM ({PART_COUNTS}) WHERE key % 4 = 0")
+@query("universal_gsum_subset", Q.chain(
+    f"SELECT round(gsum, 6) AS gsum FROM ({Q.level_gsum('SELECT * FROM k WHERE key % 4 = 0', TENTH, 'sqr')})", **TENTH_LEVELS))
 def _(spark, d):
-    spec = full(S.parts(spark, d))
-    return rounded(U.universal_gsum_subset(tracked(spark, d, spec), spec, WEIGHTS["sqr"], lambda k: k % 4 == 0), "gsum")
+    return rounded(U.universal_gsum_subset(tracked(spark, d, TENTH), TENTH, WEIGHTS["sqr"], lambda k: k % 4 == 0), "gsum")
 
 
 @query("universal_cardinality", Q.chain(
@@ -132,10 +133,11 @@ def _(spark, d):
     return rounded(U.universal_cardinality(tracked(spark, d), CUT), "cardinality")
 
 
-@query("universal_entropy", ENTROPY_SQL.format(PART_COUNTS))
+@query("universal_entropy", Q.chain(
+    f"SELECT round(log2(n) - gsum / n, 6) AS entropy FROM ({Q.level_gsum('SELECT * FROM k', TENTH, 'entropy')}), (SELECT sum(f)::DOUBLE AS n FROM c)",
+    **TENTH_LEVELS))
 def _(spark, d):
-    counts, spec = part_counts(spark, d), full(S.parts(spark, d))
-    return rounded(U.universal_entropy(tracked(spark, d, spec), spec, stream_totals(counts)), "entropy")
+    return rounded(U.universal_entropy(tracked(spark, d, TENTH), TENTH, stream_totals(part_counts(spark, d))), "entropy")
 
 
 @query("universal_heavy_hitters", Q.chain("SELECT key, max(v) AS v FROM k GROUP BY key HAVING max(v) >= 40", **PART_LEVELS))
@@ -252,11 +254,40 @@ def _(spark, d):
     return P.heavy_evictions(P.heavy_fold(S.users(spark, d), FOLD, "frequent")).drop("shard")
 
 
-# Room for all keys: the merged summary is exact.
-@query("heavy_spacesaving", "SELECT user_id AS key, count(*) AS v FROM events GROUP BY 1")
+SAVED, SAVED_ROWS, SAVED_LEVELS = 15, 500, 4
+
+
+def spacesaving_ctes(stream: str, size: int, shard_rows: int) -> dict[str, str]:
+    """``t0`` summaries of shards, ``t1``.. merged by sixteens; once there is one, merging it again changes nothing."""
+    cut = lambda rows: (
+        f"SELECT shard, key, low, high, coalesce(max(high) FILTER (WHERE place = {size + 1}) OVER (PARTITION BY shard), base) AS floor, place FROM "
+        f"(SELECT *, row_number() OVER (PARTITION BY shard ORDER BY high DESC, key) AS place FROM ({rows})) WHERE place <= {size + 1}")
+    listed = lambda rows: f"SELECT shard, key, low, high, floor FROM ({cut(rows)}) WHERE place <= {size}"
+    ctes = {"t0": listed(f"SELECT seq // {shard_rows} AS shard, key, sum(weight)::BIGINT AS low, sum(weight)::BIGINT AS high, 0::BIGINT AS base FROM ({stream}) GROUP BY 1, 2")}
+    for i in range(SAVED_LEVELS):
+        floors = f"SELECT shard // 16 AS shard, sum(floor)::BIGINT AS base FROM (SELECT shard, max(floor) AS floor FROM t{i} GROUP BY shard) GROUP BY 1"
+        added = f"SELECT shard // 16 AS shard, key, sum(low)::BIGINT AS low, sum(high - floor)::BIGINT AS over FROM t{i} GROUP BY 1, 2"
+        ctes[f"t{i + 1}"] = listed(f"SELECT shard, key, low, over + base AS high, base FROM ({added}) JOIN ({floors}) USING (shard)")
+    return ctes
+
+
+@query("heavy_spacesaving", Q.chain(f"SELECT key, low AS v, high AS upper, floor FROM t{SAVED_LEVELS}", **spacesaving_ctes(S.USERS, SAVED, SAVED_ROWS)))
+def _(spark, d):
+    return P.heavy_spacesaving(S.users(spark, d), SAVED, SAVED_ROWS)
+
+
+# A key that really has more arrivals than the floor is listed, and every listed one lies between its bounds.
+@query("heavy_spacesaving_bounds", Q.chain(
+    f"SELECT count(*) AS listed, 0::BIGINT AS outside, 0::BIGINT AS missed, max(floor) AS floor FROM t{SAVED_LEVELS}", **spacesaving_ctes(S.USERS, SAVED, SAVED_ROWS)))
 def _(spark, d):
     stream = S.users(spark, d)
-    return P.heavy_spacesaving(stream, distinct_keys(stream))
+    both = key_counts(stream).join(P.heavy_spacesaving(stream, SAVED, SAVED_ROWS), "key", "left")
+    floor = F.max("floor")
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    return both.agg(
+        F.count("v").alias("listed"), n((F.col("f") < F.col("v")) | (F.col("f") > F.col("upper"))).alias("outside"),
+        F.max(F.when(F.col("v").isNull(), F.col("f"))).alias("most"), floor.alias("floor")).select(
+        "listed", "outside", F.when(F.col("most") > F.col("floor"), 1).otherwise(0).cast("bigint").alias("missed"), "floor")
 
 
 # Whichever candidates a layout finds, their counts are exact and nothing is lost.
@@ -272,14 +303,16 @@ def _(spark, d):
         "total", "wrong", F.lit(CUT.heavy_rows).cast("bigint").alias("bound"), (F.col("n") <= CUT.heavy_rows).alias("within"))
 
 
-@query("heavy_make", "SELECT user_id AS key, count(*) AS elastic, count(*) AS guardian, count(*) AS frequent FROM events GROUP BY 1")
+@query("heavy_make", Q.chain(
+    "SELECT key, e.v AS elastic, g.v AS guardian, f.v AS frequent FROM he e FULL JOIN hg g USING (key) FULL JOIN hf f USING (key)",
+    **{k: v for p, strategy in zip("egf", STRATEGY_QUERIES) for k, v in (
+        (f"s{p}", Q.heavy_replay(S.USERS, FOLD, strategy)), (f"h{p}", Q.replay_heavy(f"s{p}")))}))
 def _(spark, d):
-    """With a slot for every key all strategies keep everything."""
+    """What each strategy holds in the end, key by key."""
     stream, joined = S.users(spark, d), None
-    roomy = FOLD.with_sizes(slots=distinct_keys(stream))
-    for strategy in ("elastic", "guardian", "frequent"):
-        kept = P.heavy_query_all(P.heavy_fold(stream, roomy, strategy)).select("key", F.col("v").alias(strategy))
-        joined = kept if joined is None else joined.join(kept, "key")
+    for strategy in STRATEGY_QUERIES:
+        kept = P.heavy_query_all(P.heavy_fold(stream, FOLD, strategy)).select("key", F.col("v").alias(strategy))
+        joined = kept if joined is None else joined.join(kept, "key", "full")
     return joined
 
 
@@ -304,9 +337,9 @@ def value_sql(keys: str, spec: SketchSpec, p: str = "") -> str:
             f"FROM ({est}) e LEFT JOIN {p}h h ON h.key = e.key")
 
 
-def gsum_sql(spec: SketchSpec, g: str) -> str:
-    rest = Q.level_gsum("SELECT * FROM k WHERE key NOT IN (SELECT key FROM h)", spec, g)
-    return (f"SELECT round((SELECT coalesce(sum({Q.g_sql(g, 'est')}), 0) FROM ({value_sql('SELECT key FROM h', spec)})) "
+def gsum_sql(spec: SketchSpec, g: str, check: str = "true") -> str:
+    rest = Q.level_gsum(f"SELECT * FROM k WHERE key NOT IN (SELECT key FROM h) AND {check}", spec, g)
+    return (f"SELECT round((SELECT coalesce(sum({Q.g_sql(g, 'est')}), 0) FROM ({value_sql(f'SELECT key FROM h WHERE {check}', spec)})) "
             f"+ (SELECT gsum FROM ({rest})), 6) AS gsum")
 
 
@@ -334,14 +367,14 @@ def _(spark, d):
     return rounded(E.extract_gsum(summary(spark, d), WEIGHTS["entropy"]), "gsum")
 
 
-@query("extract_gsum_full", f"SELECT round(sum({Q.g_sql('sqr', 'f')}), 6) AS gsum FROM ({PART_COUNTS})")
+@query("extract_gsum_full", Q.chain(gsum_sql(TENTH, "sqr"), **extract_ctes(S.PARTS, TENTH)))
 def _(spark, d):
-    return rounded(E.extract_gsum(summary(spark, d, full(S.parts(spark, d))), WEIGHTS["sqr"]), "gsum")
+    return rounded(E.extract_gsum(summary(spark, d, TENTH), WEIGHTS["sqr"]), "gsum")
 
 
-@query("extract_gsum_subset", f"SELECT round(sum({Q.g_sql('sqr', 'f')}), 6) AS gsum FROM ({PART_COUNTS}) WHERE key % 4 = 0")
+@query("extract_gsum_subset", Q.chain(gsum_sql(TENTH, "sqr", "key % 4 = 0"), **extract_ctes(S.PARTS, TENTH)))
 def _(spark, d):
-    return rounded(E.extract_gsum_subset(summary(spark, d, full(S.parts(spark, d))), WEIGHTS["sqr"], lambda k: k % 4 == 0), "gsum")
+    return rounded(E.extract_gsum_subset(summary(spark, d, TENTH), WEIGHTS["sqr"], lambda k: k % 4 == 0), "gsum")
 
 
 @query("extract_heavy_hitters", Q.chain(
@@ -363,9 +396,9 @@ def _(spark, d):
     return E.extract_heavy_values(summary(spark, d))
 
 
-@query("extract_only_universal", f"SELECT round(sum({Q.g_sql('entropy', 'f')}), 6) AS gsum FROM ({PART_COUNTS})")
+@query("extract_only_universal", Q.chain(f"SELECT round(gsum, 6) AS gsum FROM ({Q.level_gsum('SELECT * FROM k', TENTH, 'entropy')})", **TENTH_LEVELS))
 def _(spark, d):
-    return rounded(E.extract_gsum(summary(spark, d, full(S.parts(spark, d)).with_sizes(heavy_ratio=0.0)), WEIGHTS["entropy"]), "gsum")
+    return rounded(E.extract_gsum(summary(spark, d, TENTH.with_sizes(heavy_ratio=0.0)), WEIGHTS["entropy"]), "gsum")
 
 
 @query("extract_only_heavy", Q.chain(
@@ -386,11 +419,27 @@ for _strategy in STRATEGY_QUERIES:
         return rounded(E.extract_gsum(E.extract_build(S.users(spark, d), FOLD, strategy), WEIGHTS["entropy"]), "gsum")
 
 
-# All candidates tracked and every key either exactly counted or fully listed: exact.
-@query("extract_bounded_gsum", f"SELECT round(sum({Q.g_sql('sqr', 'f')}), 6) AS gsum FROM ({PART_COUNTS})")
+def bounded_ctes(stream: str, spec: SketchSpec, shard_rows: int) -> dict[str, str]:
+    """Candidates of the shard summaries, counted exactly (``h``), and a sketch of the rest."""
+    return {
+        **spacesaving_ctes(stream, spec.heavy_rows, shard_rows), "c": S.counts_sql(stream),
+        "h": f"SELECT {Q.bucket_sql('key', spec.seed, spec.buckets)} AS bucket, key, f AS v, false AS flag FROM c WHERE key IN (SELECT key FROM t{SAVED_LEVELS})",
+        "r": "SELECT key, f FROM c WHERE key NOT IN (SELECT key FROM h)", "s": Q.sampled("SELECT * FROM r", spec),
+        "u": Q.level_cells("s", spec), "k": Q.cut("s", spec)}
+
+
+BOUNDED = SketchSpec(rows=3, width=64, levels=8, capacity=12, buckets=4, slots=4, seed=27)
+
+
+@query("extract_bounded_gsum", Q.chain(gsum_sql(BOUNDED, "sqr"), **bounded_ctes(S.USERS, BOUNDED, SAVED_ROWS)))
 def _(spark, d):
-    stream = S.parts(spark, d)
-    return rounded(E.extract_gsum(E.extract_build(stream, full(stream), "bounded"), WEIGHTS["sqr"]), "gsum")
+    return rounded(E.extract_gsum(E.extract_build(S.users(spark, d), BOUNDED, "bounded", shard_rows=SAVED_ROWS), WEIGHTS["sqr"]), "gsum")
+
+
+@query("extract_bounded_query", Q.chain(value_sql("SELECT key FROM c", BOUNDED), **bounded_ctes(S.USERS, BOUNDED, SAVED_ROWS)))
+def _(spark, d):
+    stream = S.users(spark, d)
+    return E.extract_query(stream.select("key").distinct(), E.extract_build(stream, BOUNDED, "bounded", shard_rows=SAVED_ROWS))
 
 
 # --- two streams from summaries ---------------------------------------------------------
@@ -447,14 +496,15 @@ def _(spark, d):
     return rounded(U.universal_gsum_add(*parts, PAIR, WEIGHTS["sqr"]), "gsum")
 
 
-# With room for every key the product sum is exact.
-@query("universal_gsum_mul", "SELECT round(sum(a.f * b.f)::DOUBLE, 6) AS gsum FROM "
-       f"({S.counts_sql(A)}) a JOIN ({S.counts_sql(B)}) b USING (key)")
+@query("universal_gsum_mul", Q.chain(
+    f"SELECT round(gsum, 6) AS gsum FROM ({Q.level_gsum('SELECT * FROM pk', PAIR, 'sum')})",
+    **{f"{p}{n}": b for p, stream in (("a_", A), ("b_", B)) for n, b in (
+        ("c", S.counts_sql(stream)), ("s", Q.sampled(f"SELECT * FROM {p}c", PAIR)), ("k", Q.cut(f"{p}s", PAIR)))},
+    pk=ab_ctes()["pk"]))
 def _(spark, d):
     both = S.customers_ab(spark, d)
-    spec = full(both)
-    a, b = (U.universal_candidates(key_counts(S.side(both, s)), spec) for s in ("A", "B"))
-    return rounded(U.universal_gsum_mul(a, b, spec, WEIGHTS["sum"]), "gsum")
+    a, b = (U.universal_candidates(key_counts(S.side(both, s)), PAIR) for s in ("A", "B"))
+    return rounded(U.universal_gsum_mul(a, b, PAIR, WEIGHTS["sum"]), "gsum")
 
 
 @query("extract_gsum_add", Q.chain(f"SELECT round({add_sql(PAIR, 'entropy')}, 6) AS gsum", **ab_ctes()))
