@@ -2,8 +2,11 @@
 
 Every word of a text begins one window: its language, itself and up to three words after it inside its piece. The
 count of a phrase is the number of windows that it begins, so one weighted automaton over windows holds the counts of
-all phrases, of single words and of languages.
+all phrases.
 
+* Single words are counted first. No phrase that counts holds a word below the threshold, so while the words that
+  reach it can be broadcast, windows end before any other word and begin with none. Beyond that they are not cut; the
+  result is the same.
 * A task reads texts into *shards* of a bounded number of words. A shard's windows are sorted and summed, cut at the
   limits of prefix ranges, and each stretch becomes an acyclic automaton: states are shared from the end
   inwards where a single arc with one label and one weight (or target) leads on, final arcs carry the counts.
@@ -37,13 +40,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.inputs import CHUNK_BYTES, row_chunks, text_bytes
+from tallyweave.llm.inputs import row_chunks, text_bytes
 from tallyweave.llm.shingles import mix
 from tallyweave.operators.exact import top_per_group
 from tallyweave.sources.scratch import materialize
 
 #: Words of a window, the longest phrase.
 WORDS = 4
+#: Bytes of text that are cut into words at once.
+CHUNK_BYTES = 1 << 18
+#: Words of eight bytes each that are sent to all executors at most, to end windows at rarer ones.
+BROADCAST_WORDS = 4_000_000
 #: Words that a shard holds before it is sorted and sent.
 SHARD_WORDS = 1_000_000
 #: Bytes of text behind one prefix range.
@@ -75,8 +82,8 @@ class Reader:
         self.pieces = 0
         self.clash = False
 
-    def words(self, data: np.ndarray, offsets: np.ndarray, texts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbol, piece and row of each word. ``texts`` learns the word behind each symbol; words of one symbol are compared."""
+    def words(self, data: np.ndarray, offsets: np.ndarray, texts: dict[int, bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol, piece and row of each word. ``texts``, if given, learns the word of each symbol, and words of one symbol are compared."""
         kind, lower = KIND[data], LOWER[data]
         letter = kind == 0
         first = np.zeros(len(data) + 1, bool)
@@ -95,23 +102,23 @@ class Reader:
         if late.any():
             value = np.where(late > 0, mix(value + late.astype(np.uint64)), value)
         symbols = mix(np.add.reduceat(value, begins) ^ sizes.astype(np.uint64)) | np.uint64(1)
-        unique, sample, place = np.unique(symbols, return_index=True, return_inverse=True)
-        same = starts[sample][place]
-        if (sizes != sizes[sample][place]).any():
-            self.clash = True
-        elif (own != lower[np.repeat(same, sizes) + inside]).any():
-            self.clash = True
-        for symbol, k in zip(unique.tolist(), sample.tolist()):
-            if symbol not in texts:
-                texts[symbol] = lower[starts[k]: stops[k]].tobytes()
+        if texts is not None:
+            unique, sample, place = np.unique(symbols, return_index=True, return_inverse=True)
+            if (sizes != sizes[sample][place]).any():
+                self.clash = True
+            elif (own != lower[np.repeat(starts[sample][place], sizes) + inside]).any():
+                self.clash = True
+            for symbol, a, z in zip(unique.tolist(), starts[sample].tolist(), stops[sample].tolist()):
+                word = lower[a:z].tobytes()
+                self.clash |= texts.setdefault(symbol, word) != word
         rows = np.searchsorted(offsets, starts, "right") - 1
         pieces = self.pieces + np.cumsum(kind == 2)[starts] + rows
         return symbols, pieces, rows
 
-    def read(self, column: pa.Array, texts: dict[int, bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def read(self, column: pa.Array, texts: dict[int, bytes] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Symbols, pieces and rows, chunk by chunk; a long text is cut between words."""
         data, offsets = text_bytes(column)
-        for i, j in row_chunks(offsets):
+        for i, j in row_chunks(offsets, CHUNK_BYTES):
             end = int(offsets[j])
             at = int(offsets[i])
             while at < end:
@@ -131,8 +138,25 @@ class Reader:
                 at = stop
 
 
-def language_symbol(lang: str, seed: int) -> int:
-    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little") | 1
+def language_symbol(lang: bytes, seed: int) -> int:
+    return int.from_bytes(hashlib.blake2b(lang, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little") | 1
+
+
+def languages(column: pa.Array, seed: int) -> tuple[dict[int, bytes], np.ndarray]:
+    """The languages of a batch by symbol, and the symbol of each row's."""
+    spoken = column.dictionary_encode()
+    names = [x.encode() for x in spoken.dictionary.to_pylist()]
+    codes = [language_symbol(x, seed) for x in names]
+    return dict(zip(codes, names)), np.array(codes, np.uint64)[spoken.indices.to_numpy()] if names else np.zeros(0, np.uint64)
+
+
+def usual(symbols: np.ndarray, pieces: np.ndarray, langs: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words whose sorted keys are ``wanted``; every other word ends a piece."""
+    if wanted is None:
+        return symbols, pieces, langs
+    key = word_key(langs, symbols)
+    keep = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key if len(wanted) else np.zeros(len(key), bool)
+    return symbols[keep], (pieces + np.cumsum(~keep))[keep], langs[keep]
 
 
 # ---- windows and automata
@@ -164,7 +188,7 @@ class Windows:
 
     @classmethod
     def of_words(cls, symbols: np.ndarray, pieces: np.ndarray, langs: np.ndarray, starts: int) -> Windows:
-        """Of the windows that the first ``starts`` words begin."""
+        """Of the windows of two words and more that the first ``starts`` words begin."""
         vocabulary, ids = np.unique(np.append(symbols, np.uint64(0)), return_inverse=True)
         named, lang = np.unique(langs, return_inverse=True)
         b = cls.bits(vocabulary)
@@ -175,7 +199,8 @@ class Windows:
             number = high if k < 2 else low
             number <<= b
             number[:n] |= np.where(pieces[k: k + n] == pieces[:n], ids[k: k + n], 0).astype(np.uint64)
-        return cls.summed(named, vocabulary, high, low)
+        several = (high & ((np.uint64(1) << b) - np.uint64(1))) > 0
+        return cls.summed(named, vocabulary, high[several], low[several])
 
     def columns(self, part: slice = slice(None)) -> list[np.ndarray]:
         b = self.bits(self.vocabulary)
@@ -299,29 +324,86 @@ GRAM_TYPES = pa.schema([(c, pa.int64()) for c in PATH] + [
     ("size", pa.int32()), ("f", pa.int64()), ("word", pa.string()), ("clash", pa.bool_())])
 
 
-def pack_words(texts: dict[int, bytes], symbols: np.ndarray, counts: np.ndarray, clash: bool) -> bytes:
-    said = [texts[s] for s in symbols.tolist()]
-    sizes = np.array([len(w) for w in said], np.int64)
-    return pack([symbols, counts, narrow(sizes), np.frombuffer(b"".join(said), np.uint8), np.array([clash])])
+def word_key(langs: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """One number for a word of a language. Where two agree, windows are only cut less."""
+    return mix(symbols ^ mix(langs))
+
+
+def pack_words(lang: bytes, words: list[bytes], counts: np.ndarray, clash: bool) -> bytes:
+    """Words hold no blank, so blanks part them."""
+    return pack([np.frombuffer(lang, np.uint8), np.frombuffer(b" ".join(words), np.uint8), narrow(counts), np.array([clash])])
 
 
-def told_words(payloads: list[bytes], threshold: int) -> pa.Table:
-    """Words with their symbols, where they can reach the threshold; whether a symbol has several words."""
-    words, counts, clash = {}, {}, False
+def told_words(payloads: list[bytes], threshold: int, seed: int) -> pa.Table:
+    """Words that reach the threshold, the words of each language in all (size 0), and whether a symbol has several words."""
+    counts: dict[tuple[bytes, bytes], int] = {}
+    totals: dict[bytes, int] = {}
+    clash = False
     for payload in payloads:
-        symbols, n, sizes, said, clashed = unpack(payload)
+        lang, said, n, clashed = unpack(payload)
         clash |= bool(clashed[0])
-        said, ends = said.tobytes(), np.cumsum(sizes.astype(np.int64)).tolist()
-        for symbol, a, z, count in zip(symbols.tolist(), [0, *ends[:-1]], ends, n.tolist()):
-            word = said[a:z]
-            clash |= words.setdefault(symbol, word) != word
-            counts[symbol] = counts.get(symbol, 0) + count
-    kept = [s for s in words if counts[s] >= threshold]
-    columns = [np.zeros(len(kept), np.int64), np.array(kept, np.uint64).view(np.int64), *[np.zeros(len(kept), np.int64)] * 3]
+        lang, n = lang.tobytes(), n.tolist()
+        totals[lang] = totals.get(lang, 0) + sum(n)
+        for word, count in zip(said.tobytes().split(b" "), n):
+            counts[lang, word] = counts.get((lang, word), 0) + count
+    words = list({word for _, word in counts})
+    said = np.frombuffer(b" ".join(words), np.uint8)
+    symbols, _, _ = Reader(seed).words(said, np.array([0, len(said)]))
+    clash |= len(np.unique(symbols)) < len(words)
+    names = dict(zip(words, symbols.view(np.int64).tolist()))
+    code = {lang: int(np.uint64(language_symbol(lang, seed)).view(np.int64)) for lang in totals}
+    rows = [(code[lang], names[word], 1, n, word) for (lang, word), n in counts.items() if n >= threshold]
+    rows += [(code[lang], 0, 0, n, lang) for lang, n in totals.items()]
+    lang, symbol, size, f, word = zip(*rows)
+    nothing = pa.array(np.zeros(len(rows), np.int64))
     return pa.Table.from_arrays(
-        [*map(pa.array, columns), pa.array(np.full(len(kept), -1, np.int32)), pa.array(np.array([counts[s] for s in kept], np.int64)),
-         pa.array([words[s].decode("utf-8", "replace") for s in kept], pa.string()), pa.array(np.full(len(kept), clash))],
-        schema=GRAM_TYPES) if kept or not clash else pa.Table.from_pylist([{"size": -1, "clash": True}], schema=GRAM_TYPES)
+        [pa.array(lang, pa.int64()), pa.array(symbol, pa.int64()), nothing, nothing, nothing, pa.array(size, pa.int32()), pa.array(f, pa.int64()),
+         pa.array([w.decode("utf-8", "replace") for w in word]), pa.array(np.full(len(rows), clash))], schema=GRAM_TYPES)
+
+
+def word_counts(docs: DataFrame, buckets: int, threshold: int, seed: int, shard_words: int) -> DataFrame:
+    """Rows of GRAMS: single words with their counts and names, and for each language its words in parts (size 0)."""
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, texts, names, held, size = Reader(seed), {}, {}, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            symbols, langs = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            order = np.lexsort((symbols, langs))
+            symbols, langs = symbols[order], langs[order]
+            new = np.ones(len(symbols), bool)
+            new[1:] = (symbols[1:] != symbols[:-1]) | (langs[1:] != langs[:-1])
+            at = np.flatnonzero(new)
+            counts, symbols, langs = np.diff(np.append(at, len(new))), symbols[at], langs[at]
+            bucket = (symbols % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((langs, bucket))
+            counts, symbols, langs, bucket = counts[order], symbols[order], langs[order], bucket[order]
+            ends = np.flatnonzero(np.append((bucket[1:] != bucket[:-1]) | (langs[1:] != langs[:-1]), True)) + 1
+            rows = []
+            for a, z in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                words = [texts[x] for x in symbols[a:z].tolist()]
+                rows.append((int(bucket[a]), pack_words(names[int(langs[a])], words, counts[a:z], reader.clash)))
+            held, size = [], 0
+            texts.clear()
+            for i in range(0, len(rows), 64):
+                r, payload = zip(*rows[i: i + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(payload, pa.binary())], ["r", "payload"])
+
+        for batch in batches:
+            spoken, codes = languages(batch.column(0), seed)
+            for symbols, _, rows in reader.read(batch.column(1), texts):
+                held.append((symbols, codes[rows]))
+                size += len(symbols)
+                names |= spoken
+                if size > shard_words:
+                    yield from flush()
+        if size:
+            yield from flush()
+
+    def count(group: pa.Table) -> pa.Table:
+        return told_words(group["payload"].to_pylist(), threshold, seed)
+
+    return docs.mapInArrow(build, "r int, payload binary").groupBy("r").applyInArrow(count, GRAMS)
 
 
 def counted_phrases(windows: Windows, threshold: int) -> pa.Table:
@@ -332,12 +414,13 @@ def counted_phrases(windows: Windows, threshold: int) -> pa.Table:
     changed[0] = True
     for depth, column in enumerate(columns):
         changed[1:] |= column[1:] != column[:-1]
+        if depth < 2:  # languages and single words have been counted
+            continue
         at = np.flatnonzero(changed)
         f = np.add.reduceat(windows.counts, at)
         keep = f >= threshold
         keep[[0, -1]] = True
-        if depth:
-            keep &= column[at] != 0  # rank 0 is the end of a piece
+        keep &= column[at] != 0  # rank 0 is the end of a piece
         at, f = at[keep], f[keep]
         for k in range(WORDS + 1):
             names = windows.langs if k == 0 else windows.vocabulary
@@ -351,20 +434,22 @@ def counted_phrases(windows: Windows, threshold: int) -> pa.Table:
          pa.nulls(n, pa.string()), pa.array(np.zeros(n, bool))], schema=GRAM_TYPES)
 
 
-def sampled_limits(docs: DataFrame, rows: int, ranges: int, seed: int) -> np.ndarray:
+def sampled_limits(docs: DataFrame, rows: int, ranges: int, seed: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Windows that part all windows in about equal ranges, from sampled documents; they settle balance only."""
     if ranges < 2:
         return np.zeros((0, WORDS + 1), np.uint64)
-    wanted = max(2_000, SAMPLE_DOCS * ranges)
+    sampled = max(2_000, SAMPLE_DOCS * ranges)
     columns = [*PATH, "weight"]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(seed)
         for batch in batches:
+            _, codes = languages(batch.column(0), seed)
             for k in range(batch.num_rows):
-                lang = language_symbol(batch.column(0)[k].as_py(), seed)
-                parts = list(reader.read(batch.column(1).slice(k, 1), {}))
+                lang = int(codes[k])
+                parts = list(reader.read(batch.column(1).slice(k, 1)))
                 symbols, pieces = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in (0, 1))
+                symbols, pieces, _ = usual(symbols, pieces, np.full(len(symbols), lang, np.uint64), wanted)
                 at = np.unique(np.linspace(0, len(symbols) - 1, min(SAMPLE_WINDOWS, len(symbols))).astype(np.int64)) if len(symbols) else []
                 out = [
                     [lang, *(int(symbols[x + d]) if x + d < len(symbols) and pieces[x + d] == pieces[x] else 0 for d in range(WORDS)), -(-len(symbols) // len(at))]
@@ -372,7 +457,7 @@ def sampled_limits(docs: DataFrame, rows: int, ranges: int, seed: int) -> np.nda
                 table = np.array(out, np.uint64).reshape(-1, len(columns)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], columns)
 
-    picked = docs.sample(min(1.0, wanted / max(rows, 1)), 7).mapInArrow(pick, ", ".join(f"{c} long" for c in columns)).toArrow()
+    picked = docs.sample(min(1.0, sampled / max(rows, 1)), 7).mapInArrow(pick, ", ".join(f"{c} long" for c in columns)).toArrow()
     sample = np.stack([c.to_numpy() for c in picked.columns], axis=1).view(np.uint64) if picked.num_rows else np.zeros((0, len(columns)), np.uint64)
     sample = sample[np.lexsort(sample[:, WORDS::-1].T)]
     reached = np.cumsum(sample[:, -1].astype(np.float64))
@@ -380,76 +465,48 @@ def sampled_limits(docs: DataFrame, rows: int, ranges: int, seed: int) -> np.nda
     return np.unique(sample[at, : WORDS + 1], axis=0) if len(sample) else sample[:, : WORDS + 1]
 
 
-def phrase_counts(docs: DataFrame, limits: np.ndarray, threshold: int, seed: int, shard_words: int = SHARD_WORDS, hop: int = HOP) -> DataFrame:
-    """Rows of GRAMS: phrases with their counts (size 0: a language), and with size -1 the word of a symbol.
+def phrase_counts(docs: DataFrame, limits: np.ndarray, threshold: int, seed: int, wanted: np.ndarray | None = None,
+                  shard_words: int = SHARD_WORDS, hop: int = HOP) -> DataFrame:
+    """Rows of GRAMS: phrases of two words and more with their counts; those at the ends of ranges come in several rows.
 
-    ``docs`` has lang and text. Prefixes at the ends of ranges come in several rows.
+    ``docs`` has lang and text; ``wanted`` are the sorted keys of the words that can be in such a phrase.
     """
-    ranges = len(limits) + 1
-    finer = ceil(ranges / hop)
+    finer = ceil((len(limits) + 1) / hop)
     coarse = limits[finer - 1:: finer]
-    buckets = np.uint64(min(ranges, hop))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, texts, held, size = Reader(seed), {}, [], 0
-        names: dict[int, bytes] = {}
+        reader, held, size = Reader(seed), [], 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, names
+            nonlocal held, size
             symbols, pieces, langs = (np.concatenate([h[k] for h in held]) for k in range(3))
             starts = len(symbols) if last else len(symbols) - (WORDS - 1)
-            rows = []
-            if starts > 0:
-                windows = Windows.of_words(symbols, pieces, langs, starts)
-                rows = list(windows.stretches(coarse))
-                known, counts = np.unique(symbols[:starts], return_counts=True)
-                known = np.append(known, np.array(list(names), np.uint64))
-                counts = np.append(counts, np.full(len(names), threshold))  # the name of a language is always wanted
-                order = np.argsort(known % buckets, kind="stable")
-                known, counts, bucket = known[order], counts[order], (known[order] % buckets).astype(np.int64)
-                both = texts | names
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
-                for a, z in zip(cuts[:-1], cuts[1:]):
-                    rows.append((-1 - int(bucket[a]), pack_words(both, known[a:z], counts[a:z], reader.clash)))
+            rows = list(Windows.of_words(symbols, pieces, langs, starts).stretches(coarse)) if starts > 0 else []
             held = [(symbols[starts:], pieces[starts:], langs[starts:])]
             size = len(symbols) - starts
-            open_words = {s: texts[s] for s in symbols[starts:].tolist()}
-            texts.clear()  # the reader goes on filling it
-            texts.update(open_words)
-            names = {s: names[s] for s in set(langs[starts:].tolist())}
             for i in range(0, len(rows), 64):
                 r, payload = zip(*rows[i: i + 64])
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(payload, pa.binary())], ["r", "payload"])
 
         for batch in batches:
-            spoken = batch.column(0).dictionary_encode()
-            known = spoken.dictionary.to_pylist()
-            code = np.array([language_symbol(x, seed) for x in known], np.uint64)
-            row_lang = code[spoken.indices.to_numpy()]
-            named = dict(zip(code.tolist(), (x.encode() for x in known)))
-            names |= named
-            for symbols, pieces, rows in reader.read(batch.column(1), texts):
-                held.append((symbols, pieces.astype(np.uint32), row_lang[rows]))  # only neighbours' pieces are compared
+            _, codes = languages(batch.column(0), seed)
+            for symbols, pieces, rows in reader.read(batch.column(1)):
+                symbols, pieces, langs = usual(symbols, pieces, codes[rows], wanted)
+                reader.pieces += len(rows) - len(symbols)  # the words left out have ended pieces, too
+                held.append((symbols, pieces.astype(np.uint32), langs))  # only neighbours' pieces are compared
                 size += len(symbols)
                 if size > shard_words:
                     yield from flush(False)
-                    names |= named
         if held and size:
             yield from flush(True)
 
     def refine(group: pa.Table) -> pa.Table:
-        r, payloads = group["r"][0].as_py(), group["payload"].to_pylist()
-        if r < 0:
-            return group.select(["r", "payload"])
-        own = limits[r * finer: (r + 1) * finer - 1]
-        cut = list(united(payloads).stretches(own, r * finer))
+        r = group["r"][0].as_py()
+        cut = list(united(group["payload"].to_pylist()).stretches(limits[r * finer: (r + 1) * finer - 1], r * finer))
         return pa.table({"r": pa.array([c[0] for c in cut], pa.int32()), "payload": pa.array([c[1] for c in cut], pa.binary())})
 
     def count(group: pa.Table) -> pa.Table:
-        payloads = group["payload"].to_pylist()
-        if group["r"][0].as_py() < 0:
-            return told_words(payloads, threshold)
-        return counted_phrases(united(payloads), threshold)
+        return counted_phrases(united(group["payload"].to_pylist()), threshold)
 
     blobs = docs.mapInArrow(build, "r int, payload binary")
     if finer > 1:
@@ -582,19 +639,23 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     """lang, rank, phrase, a, l, r, n and score of each language's ``top`` collocations of two to four words."""
     docs = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    ranges = ceil((size.bytes or 0) / range_bytes)
     while True:
-        limits = sampled_limits(docs, size.rows, ceil((size.bytes or 0) / range_bytes), seed)
-        counted = materialize(phrase_counts(docs, limits, least, seed, shard_words, hop))
-        if not counted.where("clash").limit(1).count():
+        words = materialize(word_counts(docs, max(1, min(ranges, hop)), least, seed, shard_words))
+        if not words.where("clash").limit(1).count():
             break
         seed += 1
-    words = counted.where("size = -1").select(F.col("w1").alias("symbol"), "word")
-    grams = materialize(
-        counted.where("size >= 0").groupBy(*PATH, "size").agg(F.sum("f").alias("f")).where(f"f >= {int(least)} OR size = 0"))
-    candidates = materialize(uncovered(grams.where("size >= 2"), covered))
-    single = grams.where("size = 1").join(words, F.col("w1") == F.col("symbol"), "left").select(*PATH, "size", "f", "word")
-    several = grams.where(f"size BETWEEN 2 AND {WORDS - 1}").select(*PATH, "size", "f", F.lit(None).cast("string").alias("word"))
-    found = looked_up(candidates, materialize(single.union(several)), limits, asked)
+    wanted = None
+    if words.where("size = 1").count() <= BROADCAST_WORDS:
+        keys = words.where("size = 1").select("lang", "w1").toArrow()
+        wanted = np.sort(word_key(*(c.to_numpy().view(np.uint64) for c in keys.columns)))
+    limits = sampled_limits(docs, size.rows, ranges, seed, wanted)
+    counted = phrase_counts(docs, limits, least, seed, wanted, shard_words, hop)
+    phrases = materialize(counted.groupBy(*PATH, "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    candidates = materialize(uncovered(phrases, covered))
+    several = phrases.where(F.col("size") < WORDS).select(*PATH, "size", "f", F.lit(None).cast("string").alias("word"))
+    single = words.where("size = 1").select(*PATH, "size", "f", "word")
+    found = looked_up(candidates, single.union(several), limits, asked)
     at = lambda slot, value: F.max(F.when(F.col("slot") == slot, F.col(value)))
     rows = found.groupBy("candidate").agg(
         *[at(f"{side}{k}", "f").alias(f"{side}{k}") for k in range(1, WORDS) for side in "lr"],
@@ -610,7 +671,6 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
         a.alias("a"), F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     best = top_per_group(scored, ["symbol"], order, top, ["phrase"])
-    totals = grams.where("size = 0").select(F.col("lang").alias("symbol"), F.col("f").alias("n"))
-    names = words.select("symbol", F.col("word").alias("lang"))
-    return best.join(totals, "symbol").join(names, "symbol").select(
+    totals = words.where("size = 0").groupBy(F.col("lang").alias("symbol")).agg(F.sum("f").alias("n"), F.min("word").alias("lang"))
+    return best.join(totals, "symbol").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
