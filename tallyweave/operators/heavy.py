@@ -219,22 +219,25 @@ def heavy_query(keys: DataFrame, heavy: DataFrame, spec: SketchSpec) -> DataFram
     return keys.join(table, "key", "left").withColumn("v", F.coalesce("v", F.lit(0)))
 
 
-def merge_shards(folded: DataFrame, spec: SketchSpec) -> tuple[DataFrame, DataFrame]:
-    """Heavy and residual tables of a fold: ``(heavy, residual)``.
+def merge_residents(residents: DataFrame, spec: SketchSpec) -> tuple[DataFrame, DataFrame]:
+    """One heavy table from the residents ``(shard, bucket, key, v, flag)`` of several shards, and what it can't hold.
 
-    Residents are added per key over the shards and each bucket keeps its ``slots`` largest;
-    the others join the residual, so no weight is lost. A key is flagged when it was admitted
-    by a swap or was not resident in every shard, because part of it may then be residual.
+    Residents are added per key over the shards and each bucket keeps its ``slots`` largest; the others
+    are handed on as ``(key, weight)``. A key is flagged when it was admitted by a swap or was not
+    resident in every shard, because part of it may then be elsewhere.
     """
-    n = folded.agg(F.countDistinct("shard").alias("_shards")).withColumn("_one", F.lit(1))
-    added = heavy_query_all(folded).groupBy("bucket", "key").agg(
-        F.sum("v").alias("v"), F.max("flag").alias("_flag"), F.count(F.lit(1)).alias("_in"))
-    marked = added.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").select(
-        "bucket", "key", "v", (F.col("_flag") | (F.col("_in") < F.col("_shards"))).alias("flag"))
+    shards = residents.agg(F.countDistinct("shard")).scalar()
+    marked = residents.groupBy("bucket", "key").agg(
+        F.sum("v").alias("v"), F.max("flag").alias("_flag"), F.count(F.lit(1)).alias("_in")).select(
+        "bucket", "key", "v", (F.col("_flag") | (F.col("_in") < shards)).alias("flag"))
     top = top_per_group(marked, ["bucket"], [F.desc("v"), F.col("key")], spec.slots, ["key"])
     heavy = top.select("bucket", "key", "v", "flag")
-    losers = marked.join(heavy_table(heavy.select("key"), spec), "key", "left_anti").select(
-        "key", F.col("v").alias("weight"))
+    return heavy, marked.join(heavy_table(heavy.select("key"), spec), "key", "left_anti").select("key", F.col("v").alias("weight"))
+
+
+def merge_shards(folded: DataFrame, spec: SketchSpec) -> tuple[DataFrame, DataFrame]:
+    """Heavy and residual tables of a fold: ``(heavy, residual)``; no weight is lost."""
+    heavy, losers = merge_residents(heavy_query_all(folded), spec)
     return heavy, heavy_evictions(folded).select("key", "weight").unionByName(losers)
 
 

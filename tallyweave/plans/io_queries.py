@@ -199,28 +199,47 @@ _fold = {"s": Q.heavy_replay(S.USERS, M.FOLD, "elastic"), "h": Q.replay_heavy("s
 
 @query("stream_heavy_fold", Q.chain("SELECT bucket, key, v, flag FROM h", **_fold))
 def _(spark, d):
-    return G.latest_residents(G.drain(G.stream_heavy_fold(user_stream(spark, d), M.FOLD, "elastic"))).drop("shard")
+    return G.latest_residents(G.drain(G.stream_heavy_fold(user_stream(spark, d), M.FOLD, "elastic", shards=1))).drop("shard")
 
 
 @query("stream_heavy_evictions", Q.chain("SELECT kind, bucket, seq, key, f FROM m", **_fold))
 def _(spark, d):
-    rows = G.drain(G.stream_heavy_fold(user_stream(spark, d), M.FOLD, "elastic"))
+    rows = G.drain(G.stream_heavy_fold(user_stream(spark, d), M.FOLD, "elastic", shards=1))
     return rows.filter(F.col("kind") != "heavy").select("kind", "bucket", "seq", "key", "f")
 
 
-def _streamed(spark, d):
+_dealt = f"(seq % {G.STREAM_SHARDS}) * 1000 + {Q.bucket_sql('key', M.FOLD.seed, M.FOLD.buckets)}"
+_sharded = {"st": Q.heavy_replay(S.USERS, M.FOLD, "frequent", bucket=_dealt), "hs": Q.replay_heavy("st"), "m": Q.replay_moved("st"),
+            "g": "SELECT bucket % 1000 AS bucket, key, sum(v)::BIGINT AS v, bool_or(flag) OR count(*) < (SELECT count(DISTINCT bucket // 1000) FROM hs) AS flag FROM hs GROUP BY ALL",
+            "h": f"SELECT bucket, key, v, flag FROM g QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY v DESC, key) <= {M.FOLD.slots}",
+            "r": "SELECT key, sum(f)::BIGINT AS f FROM (SELECT key, f FROM m UNION ALL SELECT key, v FROM g WHERE key NOT IN (SELECT key FROM h)) GROUP BY key",
+            "s": Q.sampled("SELECT * FROM r", M.FOLD), "u": Q.level_cells("s", M.FOLD)}
+
+
+@query("stream_heavy_fold_sharded", Q.chain("SELECT bucket // 1000 AS shard, bucket % 1000 AS bucket, key, v, flag FROM hs", **{k: _sharded[k] for k in ("st", "hs")}))
+def _(spark, d):
+    return G.latest_residents(G.drain(G.stream_heavy_fold(user_stream(spark, d), M.FOLD, "frequent")))
+
+
+def _streamed(spark, d, strategy="elastic", **options):
     path = scratch_path(spark, "extract")
-    G.stream_extract(user_stream(spark, d), M.FOLD, "elastic", path)
-    return G.load_stream_extract(spark, path)
+    G.stream_extract(user_stream(spark, d), M.FOLD, strategy, path, **options)
+    return G.load_stream_extract(spark, path, M.FOLD)
 
 
 @query("stream_extract", Q.chain("SELECT * FROM u", **M.replay_ctes(S.USERS, M.FOLD, "elastic")))
 def _(spark, d):
-    return _streamed(spark, d)[1]
+    return _streamed(spark, d, shards=1)[1]
 
 
 @query("stream_extract_query", Q.chain(M.value_sql("SELECT DISTINCT user_id AS key FROM events", M.FOLD), **M.replay_ctes(S.USERS, M.FOLD, "elastic")))
 def _(spark, d):
-    heavy, counters = _streamed(spark, d)
+    heavy, counters = _streamed(spark, d, shards=1)
     s = E.Summary(heavy, counters, None, M.FOLD)
     return E.extract_query(S.users(spark, d).select("key").distinct(), s)
+
+
+@query("stream_extract_sharded", Q.chain(M.value_sql("SELECT DISTINCT user_id AS key FROM events", M.FOLD), **_sharded))
+def _(spark, d):
+    heavy, counters = _streamed(spark, d, "frequent")
+    return E.extract_query(S.users(spark, d).select("key").distinct(), E.Summary(heavy, counters, None, M.FOLD))

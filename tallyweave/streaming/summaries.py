@@ -11,16 +11,21 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyweave.operators.exact import key_counts
 from tallyweave.operators.folds import INT_COLUMNS, OUT, out_schema
-from tallyweave.operators.heavy import BucketState, heavy_make, with_bucket
+from tallyweave.operators.heavy import BucketState, heavy_make, merge_residents, with_bucket
 from tallyweave.operators.linear import count_sketch_build
-from tallyweave.operators.universal import universal_build
+from tallyweave.operators.universal import CELL, universal_build
 from tallyweave.sources.scratch import scratch_path
 from tallyweave.spec import SketchSpec
 
+#: Independent states that the arrivals of each bucket are dealt to.
+STREAM_SHARDS = 4
+# Fixed value: the state store that has map state.
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_key_counts(stream: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Running exact counts; write in ``complete`` or ``update`` mode."""
@@ -33,54 +38,67 @@ def stream_linear_sketch(stream: DataFrame, spec: SketchSpec, kind: str = "count
     return builds[kind](stream, spec)
 
 
-def stream_heavy_fold(stream: DataFrame, spec: SketchSpec, strategy: str, shards: int = 1) -> DataFrame:
-    """Ordered heavy part with state: emits hand-ons, and the residents after every trigger.
+class HeavyProcessor(StatefulProcessor):
+    """Heavy part of one (shard, bucket): its slots as map state, and the guard."""
 
-    A micro-batch is sorted by ``seq`` inside its group. ``shards`` spreads every bucket over
-    that many independent states (by arrival number), for streams with a hot bucket. Rows of
-    kind ``heavy`` carry a growing ``version`` in ``seq``: the newest per bucket holds.
-    """
-    key_type = dict(stream.dtypes)["key"]
-    types = dict(INT_COLUMNS, **({} if key_type == "string" else {"key": "Int64"}))
-    rule, slots = heavy_make(strategy, spec.seed), spec.slots
-    shard = (F.col("seq") % F.lit(shards)).cast("bigint")
-    rows = with_bucket(stream.select("key", "seq", "weight"), spec).select(
-        shard.alias("shard"), "bucket", "seq", "key", "weight")
-    state_schema = (f"version bigint, guard bigint, keys array<{key_type}>, counts array<bigint>, "
-                    "admitted array<boolean>, slots array<bigint>")
+    def __init__(self, strategy: str, seed: int, slots: int, key_type: str):
+        self.strategy, self.seed, self.slots, self.key_type = strategy, seed, slots, key_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.places = handle.getMapState("places", "slot bigint", f"key {self.key_type}, count bigint, admitted boolean")
+        self.guard = handle.getValueState("guard", "guard bigint, version bigint")
 
-    def fold(unit, batches, state: GroupState):
+    def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        bucket = BucketState(rule, slots)
-        version = 0
-        if state.exists:
-            version, bucket.guard, keys, counts, admitted, places = state.get
-            bucket.held = {k: [int(c), bool(a), int(p)] for k, c, a, p in zip(keys, counts, admitted, places)}
-        arrivals = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, key, f in zip(*(arrivals[c].tolist() for c in ("seq", "key", "weight"))):
-            row = bucket.step(seq, key, f)
+        bucket = BucketState(heavy_make(self.strategy, self.seed), self.slots)
+        guard, version = self.guard.get() if self.guard.exists() else (0, 0)
+        bucket.guard = int(guard)
+        before = {int(slot[0]): (place[0], int(place[1]), bool(place[2])) for slot, place in self.places.iterator()}
+        bucket.held = {k: [count, admitted, slot] for slot, (k, count, admitted) in before.items()}
+        arrivals = pd.concat(list(rows)).sort_values("seq")
+        unit, out = tuple(int(x) for x in key), []
+        for seq, k, f in zip(*(arrivals[c].tolist() for c in ("seq", "key", "weight"))):
+            row = bucket.step(seq, k, f)
             if row is not None:
-                out.append(tuple(unit) + row)
-        version += 1
-        for kind, _, slot, key, count, flag in bucket.close():
-            out.append(tuple(unit) + (kind, version, slot, key, count, flag))
-        held = bucket.held
-        state.update((version, bucket.guard, list(held), [h[0] for h in held.values()],
-                      [h[1] for h in held.values()], [h[2] for h in held.values()]))
+                out.append(unit + row)
+        version = int(version) + 1
+        for k, (count, admitted, slot) in bucket.held.items():
+            place = (k, count, admitted)
+            if before.get(slot) != place:
+                self.places.updateValue((slot,), place)
+                out.append(unit + ("heavy", version, slot, k, count, admitted))
+        self.guard.update((bucket.guard, version))
+        types = dict(INT_COLUMNS, **({} if self.key_type == "string" else {"key": "Int64"}))
         yield pd.DataFrame(out, columns=("shard", "bucket", *OUT)).astype(types)
 
-    return rows.groupBy("shard", "bucket").applyInPandasWithState(
-        fold, out_schema(key_type), state_schema, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_heavy_fold(stream: DataFrame, spec: SketchSpec, strategy: str, shards: int = STREAM_SHARDS) -> DataFrame:
+    """Ordered heavy part with state: emits hand-ons, and after every trigger the slots that changed in it.
+
+    Arrivals are dealt to ``shards`` independent states of each bucket by their number, so a hot bucket is as many
+    groups; a micro-batch is sorted by ``seq`` inside its group. State is one small row for each slot, of which only
+    changed ones are written and emitted. Rows of kind ``heavy`` carry a growing ``version`` in ``seq`` and the
+    slot in ``pos``: the newest of each slot holds. Map state lives in the RocksDB state store, which this selects.
+    """
+    key_type = dict(stream.dtypes)["key"]
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    shard = F.pmod(F.col("seq"), F.lit(shards)).cast("bigint")
+    rows = with_bucket(stream.select("key", "seq", "weight"), spec).select(
+        shard.alias("shard"), "bucket", "seq", "key", "weight")
+    heavy_make(strategy, spec.seed)  # an unknown strategy is told here and not by a task
+    return rows.groupBy("shard", "bucket").transformWithStateInPandas(
+        HeavyProcessor(strategy, spec.seed, spec.slots, key_type), out_schema(key_type), "Append", "None")
 
 
 def latest_residents(rows: DataFrame) -> DataFrame:
-    """Residents ``(shard, bucket, key, v, flag)`` at the newest version of every bucket."""
+    """Residents ``(shard, bucket, key, v, flag)``: the newest row of every slot."""
     heavy = rows.filter(F.col("kind") == "heavy")
-    newest = heavy.groupBy("shard", "bucket").agg(F.max("seq").alias("seq"))
-    return heavy.join(newest, ["shard", "bucket", "seq"]).select(
-        "shard", "bucket", "key", F.col("f").alias("v"), "flag")
+    newest = F.max_by(F.struct("key", F.col("f").alias("v"), "flag"), "seq")
+    return heavy.groupBy("shard", "bucket", "pos").agg(newest.alias("_new")).select("shard", "bucket", "_new.*")
 
 
 def run_available(stream: DataFrame, mode: str, path: str) -> None:
@@ -115,7 +133,7 @@ def last_update(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(value.alias("_new")).select(*key, "_new.*")
 
 
-def stream_extract(stream: DataFrame, spec: SketchSpec, strategy: str, path: str, shards: int = 1) -> None:
+def stream_extract(stream: DataFrame, spec: SketchSpec, strategy: str, path: str, shards: int = STREAM_SHARDS) -> None:
     """Heavy part and sketch chained: per batch, residents and the counters of its hand-ons.
 
     ``residents/batch=N`` and ``counters/batch=N`` are rewritten whole if batch N is repeated.
@@ -134,20 +152,16 @@ def stream_extract(stream: DataFrame, spec: SketchSpec, strategy: str, path: str
     query.awaitTermination()
 
 
-def load_stream_extract(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_stream_extract(spark: SparkSession, path: str, spec: SketchSpec) -> tuple[DataFrame, DataFrame]:
     """``(heavy, counters)`` of everything processed so far, with one resident row per key.
 
-    Where the fold ran in several shards, a key's residents are added, and a key that is not resident in
-    all of them is flagged, as the rest of it is in the counters; ``shard`` is the first that holds it.
+    Where the fold ran in several shards their residents are merged into the slots of one, and the counters
+    take what these can't hold.
     """
-    residents = latest_residents(spark.read.parquet(f"{path}/residents/batch=*"))
-    shards = residents.agg(F.countDistinct("shard").alias("n")).scalar()
-    added = residents.groupBy("bucket", "key").agg(
-        F.min("shard").alias("shard"), F.sum("v").alias("v"), F.max("flag").alias("_flag"), F.count(F.lit(1)).alias("_in"))
-    residents = added.select("shard", "bucket", "key", "v", (F.col("_flag") | (F.col("_in") < shards)).alias("flag"))
-    counters = spark.read.parquet(f"{path}/counters/batch=*").groupBy("level", "row", "idx").agg(
-        F.sum("v").alias("v")).filter(F.col("v") != 0)
-    return residents, counters
+    heavy, losers = merge_residents(latest_residents(spark.read.parquet(f"{path}/residents/batch=*")), spec)
+    handed = spark.read.parquet(f"{path}/counters/batch=*").select(*CELL, "v")
+    counters = handed.unionByName(universal_build(losers, spec)).groupBy(*CELL).agg(F.sum("v").alias("v"))
+    return heavy, counters.filter(F.col("v") != 0)
 
 
 def reset_epoch(stream: DataFrame, epoch_rows: int) -> DataFrame:

@@ -51,7 +51,7 @@ def test_linear_sketch(spark, folder, arrivals):
 
 @pytest.mark.parametrize("strategy", ["elastic", "guardian", "frequent"])
 def test_heavy_fold(spark, folder, arrivals, strategy):
-    out = G.drain(G.stream_heavy_fold(source(spark, folder), SPEC, strategy))
+    out = G.drain(G.stream_heavy_fold(source(spark, folder), SPEC, strategy, shards=1))
     whole = H.heavy_fold(arrivals, SPEC, strategy)
     columns = ("bucket", "key", "v", "flag")
     assert rows(G.latest_residents(out).select(*columns)) == rows(H.heavy_query_all(whole).select(*columns))
@@ -66,11 +66,33 @@ def test_shards_keep_all_weight(spark, folder, arrivals):
     assert held + handed == arrivals.count()
 
 
-def test_extract(spark, folder, arrivals):
+@pytest.mark.parametrize("shards", [1, 3])
+def test_extract(spark, folder, arrivals, shards):
     path = scratch_path(spark, "extract")
-    G.stream_extract(source(spark, folder), SPEC, "elastic", path)
-    heavy, counters = G.load_stream_extract(spark, path)
-    whole = H.heavy_fold(arrivals, SPEC, "elastic")
-    built = U.universal_build(H.heavy_evictions(whole), SPEC)
+    G.stream_extract(source(spark, folder), SPEC, "elastic", path, shards)
+    heavy, counters = G.load_stream_extract(spark, path, SPEC)
+    dealt = arrivals.withColumn("seq", F.col("seq") % shards * 10_000 + F.floor(F.col("seq") / shards))
+    residents, residual = H.merge_shards(H.heavy_fold(dealt, SPEC, "elastic", 10_000), SPEC)
+    built = U.universal_build(residual, SPEC)
     assert rows(counters.select(*built.columns)) == rows(built)
-    assert rows(heavy.select("key", "v")) == rows(H.heavy_query_all(whole).select("key", "v"))
+    assert rows(heavy.select("key", "v", "flag")) == rows(residents.select("key", "v", "flag"))
+
+
+def test_only_changed_slots_are_emitted_and_restarts_go_on(spark):
+    """Six triggers, the query stopped after each; all but the first touch one key."""
+    source_path, path = scratch_path(spark, "drip"), scratch_path(spark, "drip-out")
+    spec = SPEC.with_sizes(buckets=2, slots=8)
+    keys = list(range(14)) + [3] * 5
+    whole = []
+    for i, keys_now in enumerate([keys[:14], *([k] for k in keys[14:])]):
+        part = [(len(whole) + j, k, 1) for j, k in enumerate(keys_now)]
+        whole += part
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source_path)
+        stream_ = spark.readStream.schema(SCHEMA).parquet(source_path)
+        G.run_available(G.stream_heavy_fold(stream_, spec, "frequent", shards=1), "append", path)
+    out = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    emitted = {r["batch"]: r["count"] for r in out.filter("kind = 'heavy'").groupBy("batch").count().collect()}
+    assert len(emitted) == 6 and all(emitted[b] <= 1 for b in list(sorted(emitted))[1:])
+    folded = H.heavy_fold(spark.createDataFrame(whole, SCHEMA), spec, "frequent")
+    columns = ("bucket", "key", "v", "flag")
+    assert rows(G.latest_residents(out).select(*columns)) == rows(H.heavy_query_all(folded).select(*columns))
