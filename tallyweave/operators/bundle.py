@@ -26,11 +26,12 @@ class Bundle:
 
 
 def bundle_build(stream: DataFrame, spec: SketchSpec, use_elastic: bool = True,
-                 parts: tuple[str, ...] = ("point", "join", "registers"), light_limit: int | None = elastic.LIGHT_MAX) -> Bundle:
+                 parts: tuple[str, ...] = ("point", "join", "registers"), light_limit: int | None = elastic.LIGHT_MAX,
+                 heavy_threshold: int = joinsketch.HEAVY_THRESHOLD) -> Bundle:
     """Build the parts a caller is going to ask: ``point`` answers, ``join`` and ``registers``.
 
     ``light_limit`` is the largest value of a light cell of the elastic part, one byte as in the
-    comparisons this bundle is for; None keeps whole sums.
+    comparisons this bundle is for; None keeps whole sums. From ``heavy_threshold`` on the join part counts a key as heavy.
     """
     t: dict[str, DataFrame] = {}
     if "point" in parts and use_elastic:
@@ -42,7 +43,7 @@ def bundle_build(stream: DataFrame, spec: SketchSpec, use_elastic: bool = True,
         folded = materialize(waving.waving_build(stream, spec))
         t["slots"], t["casts"] = (materialize(part) for part in waving.waving_tables(folded, spec))
     if "join" in parts:
-        tiers = joinsketch.tiers_of_fold(materialize(joinsketch.three_tier_fold(stream, spec)), spec)
+        tiers = joinsketch.tiers_of_fold(materialize(joinsketch.three_tier_fold(stream, spec, heavy_threshold)), spec, heavy_threshold)
         t["heavy"], t["middle"], t["light"] = tiers.heavy, tiers.middle, tiers.light
     if "registers" in parts:
         t["registers"] = materialize(maxlog_build(stream, spec))

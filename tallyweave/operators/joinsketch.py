@@ -168,15 +168,17 @@ def three_tier_heavy_check(keys: DataFrame, t: Tiers) -> DataFrame:
     return keys.join(t.heavy.select("key"), "key", "left_semi")
 
 
-def three_tier_join(a: Tiers, b: Tiers) -> DataFrame:
+def three_tier_join(a: Tiers, b: Tiers, g=None) -> DataFrame:
     """Join size as the five products of the expansion (h + m + l)A x (h + m + l)B.
 
     light x light, heavy A x all of B, (middle + light) A x heavy B,
-    middle A x (middle + light) B, light A x middle B.
+    middle A x (middle + light) B, light A x middle B. With ``g`` each product of two counts goes through it
+    before it is added, in the light part those of common cells, row by row; ``g(0)`` should be 0.
     """
     spec = a.spec
-    dot = lambda df: df.agg(F.coalesce(F.sum(F.col("v") * F.col("est")), F.lit(0.0)).alias("t"))
-    light = row_products(a.light, b.light, spec.rows).agg(median_of_group(F.col("p")).alias("t"))
+    weigh = g or (lambda product: product)
+    dot = lambda df: df.agg(F.coalesce(F.sum(weigh(F.col("v").cast("double") * F.col("est"))), F.lit(0.0)).alias("t"))
+    light = row_products(a.light, b.light, spec.rows, g).agg(median_of_group(F.col("p")).alias("t"))
     terms = [
         dot(three_tier_query(a.heavy, b)),
         dot(three_tier_query_middle(b.heavy, a)),

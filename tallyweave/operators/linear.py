@@ -217,10 +217,11 @@ def fagms_query(keys: DataFrame, counters: DataFrame, spec: SketchSpec) -> DataF
     return count_sketch_query(keys, counters, spec, role="fagms")
 
 
-def row_products(a: DataFrame, b: DataFrame, rows: int) -> DataFrame:
-    """Dot product of two counter tables per row; rows without common cells give 0."""
+def row_products(a: DataFrame, b: DataFrame, rows: int, g=None) -> DataFrame:
+    """Dot product of two counter tables per row, or the sum of ``g`` of the products of common cells; without any it is 0."""
+    g = g or (lambda product: product)
     products = a.join(b.select("row", "idx", F.col("v").alias("v2")), ["row", "idx"]).select(
-        "row", (F.col("v").cast("double") * F.col("v2")).alias("p"))
+        "row", g(F.col("v").cast("double") * F.col("v2")).cast("double").alias("p"))
     zeros = a.sparkSession.range(rows).select(F.col("id").cast("int").alias("row"), F.lit(0.0).alias("p"))
     return products.unionByName(zeros).groupBy("row").agg(F.sum("p").alias("p"))
 

@@ -45,7 +45,9 @@ def gsum2_exact(pairs: DataFrame, g: Callable[[Column, Column], Column]) -> Data
 
 
 def inner_product_exact(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(F.coalesce(F.sum(F.col("fa") * F.col("fb")), F.lit(0)).alias("inner_product"))
+    """Exact also beyond 64 bits: a DECIMAL(38,0)."""
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    return pairs.agg(F.coalesce(F.sum(whole("fa") * whole("fb")), F.lit(0)).cast("decimal(38,0)").alias("inner_product"))
 
 
 def cosine_exact(pairs: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def gsum_add_exact(pairs: DataFrame, g: G) -> DataFrame:
 
 def gsum_mul_exact(pairs: DataFrame, g: G) -> DataFrame:
     common = pairs.filter((F.col("fa") > 0) & (F.col("fb") > 0))
-    return gsum_exact(common.select("key", (F.col("fa") * F.col("fb")).alias("f")), g)
+    return gsum_exact(common.select("key", (F.col("fa").cast("double") * F.col("fb")).alias("f")), g)
 
 
 def _one_row(**parts: DataFrame) -> DataFrame:

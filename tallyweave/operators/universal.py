@@ -223,7 +223,7 @@ def product_candidates(cand_a: DataFrame, cand_b: DataFrame) -> DataFrame:
     """Keys present in both lists of a level, valued by the product: ``(level, key, v)``."""
     other = cand_b.select("level", "key", F.col("v").alias("v2"))
     return cand_a.join(other, ["level", "key"]).select(
-        "level", "key", (F.col("v") * F.col("v2")).alias("v")).filter(F.col("v") > 0)
+        "level", "key", (F.col("v").cast("double") * F.col("v2")).alias("v")).filter(F.col("v") > 0)
 
 
 def universal_gsum_add(cand_a, counters_a, cand_b, counters_b, spec: SketchSpec, g: G) -> DataFrame:

@@ -14,6 +14,7 @@ from tallyweave.operators.exact import key_counts
 from tallyweave.operators.linear import count_min_build
 from tallyweave.plans import linear_queries as LQ
 from tallyweave.plans import sqltext as Q
+from tallyweave.plans import summary_queries as M
 from tallyweave.plans import streams as S
 from tallyweave.plans.exact_queries import rounded
 from tallyweave.plans.registry import query
@@ -285,18 +286,18 @@ def skim(spark, d, side):
 SKIM_CTES = skim_ctes(A, "a_") | skim_ctes(AB_B, "b_")
 
 
-@query("skim_heavy", Q.chain("SELECT key, k FROM a_h", **SKIM_CTES))
+@query("skim_heavy", Q.chain("SELECT 'A' AS stream, key, k FROM a_h UNION ALL SELECT 'B', key, k FROM b_h", **SKIM_CTES))
 def _(spark, d):
-    return skim(spark, d, "A")[0]
+    return LQ.both_sides(*(skim(spark, d, s)[0] for s in "AB"))
 
 
-@query("skim_out", Q.chain("SELECT * FROM a_s", **SKIM_CTES))
+@query("skim_out", Q.chain("SELECT 'A' AS stream, * FROM a_s UNION ALL SELECT 'B', * FROM b_s", **SKIM_CTES))
 def _(spark, d):
-    return skim(spark, d, "A")[1]
+    return LQ.both_sides(*(skim(spark, d, s)[1] for s in "AB"))
 
 
-def _dot_sql(a: str, b: str, rows: int) -> str:
-    return (f"SELECT median(p)::DOUBLE AS t FROM (SELECT r.row, coalesce(sum(x.v * y.v), 0)::BIGINT AS p FROM (SELECT unnest(range({rows})) AS row) r "
+def _dot_sql(a: str, b: str, rows: int, g=lambda x: x, kind: str = "BIGINT") -> str:
+    return (f"SELECT median(p)::DOUBLE AS t FROM (SELECT r.row, coalesce(sum({g('x.v * y.v')}), 0)::{kind} AS p FROM (SELECT unnest(range({rows})) AS row) r "
             f"LEFT JOIN ({a} x JOIN {b} y USING (row, idx)) ON x.row = r.row GROUP BY r.row)")
 
 
@@ -398,13 +399,19 @@ def _(spark, d):
 
 _ua, _ub = (f"SELECT key, seq, weight FROM ({S.USERS_AB}) WHERE stream = '{s}'" for s in "AB")
 PAIR_TIERS = tier_ctes(_ua, "a_") | tier_ctes(_ub, "b_")
-_products = lambda values, keys: f"(SELECT coalesce(sum(q.est * z.v), 0.0) FROM ({values}) q JOIN {keys} z USING (key))"
-TIER_JOIN = " + ".join([
-    f"(SELECT t FROM ({_dot_sql('a_t', 'b_t', TIERS.rows)}))",
-    _products(tier_value("SELECT key FROM a_h", "b_"), "a_h"),
-    _products(tier_value("SELECT key FROM b_h", "a_", heavy=False), "b_h"),
-    _products(tier_value("SELECT key FROM a_m", "b_", heavy=False), "a_m"),
-    _products(tier_value("SELECT key FROM b_m", "a_", heavy=False, middle=False), "b_m")])
+
+
+def tier_join(g=lambda x: x, kind: str = "BIGINT") -> str:
+    products = lambda values, keys: f"(SELECT coalesce(sum({g('q.est * z.v')}), 0.0) FROM ({values}) q JOIN {keys} z USING (key))"
+    return " + ".join([
+        f"(SELECT t FROM ({_dot_sql('a_t', 'b_t', TIERS.rows, g, kind)}))",
+        products(tier_value("SELECT key FROM a_h", "b_"), "a_h"),
+        products(tier_value("SELECT key FROM b_h", "a_", heavy=False), "b_h"),
+        products(tier_value("SELECT key FROM a_m", "b_", heavy=False), "a_m"),
+        products(tier_value("SELECT key FROM b_m", "a_", heavy=False, middle=False), "b_m")])
+
+
+TIER_JOIN = tier_join()
 TIER_SQUARES = lambda p: (f"((SELECT coalesce(sum(v * v), 0)::DOUBLE FROM (SELECT v FROM {p}h UNION ALL SELECT v FROM {p}m)) + "
                           f"(SELECT median(s) FROM (SELECT r.row, coalesce(sum(v * v), 0)::DOUBLE AS s FROM (SELECT unnest(range({TIERS.rows})) AS row) r LEFT JOIN {p}t t ON t.row = r.row GROUP BY r.row)))")
 
@@ -414,6 +421,13 @@ def _(spark, d):
     return rounded(J.three_tier_join(tiers(spark, d, "A"), tiers(spark, d, "B")), "join_size")
 
 
+@query("three_tier_join_entropy", Q.chain(
+    f"SELECT round({tier_join(lambda x: Q.g_sql('entropy', x), 'DOUBLE')}, 6) AS join_size", **PAIR_TIERS))
+def _(spark, d):
+    """A weight of each product instead of the product."""
+    return rounded(J.three_tier_join(tiers(spark, d, "A"), tiers(spark, d, "B"), WEIGHTS["entropy"]), "join_size")
+
+
 @query("three_tier_gsum", Q.chain(f"SELECT {TIER_SQUARES('')} AS gsum", **tier_ctes(S.USERS)))
 def _(spark, d):
     return J.three_tier_gsum(tiers(spark, d), lambda v: v.cast("double") * v.cast("double"))
@@ -483,6 +497,26 @@ def _(spark, d):
     return B.bundle_heavy_hitters(bundle(spark, d, BUNDLE, False), 70)
 
 
+def pair_bundles(spark, d, part):
+    both = S.users_ab(spark, d)
+    return [B.bundle_build(S.side(both, s), TIERS, parts=(part,), heavy_threshold=TIER_AT) for s in "AB"]
+
+
+@query("bundle_inner_product", Q.chain(f"SELECT round({TIER_JOIN}, 6) AS inner_product", **PAIR_TIERS))
+def _(spark, d):
+    return rounded(B.bundle_inner_product(*pair_bundles(spark, d, "join")), "inner_product")
+
+
+@query("bundle_cosine", Q.chain(f"SELECT round(({TIER_JOIN}) / sqrt({TIER_SQUARES('a_')}) / sqrt({TIER_SQUARES('b_')}), 6) AS cosine", **PAIR_TIERS))
+def _(spark, d):
+    return rounded(B.bundle_cosine(*pair_bundles(spark, d, "join")), "cosine")
+
+
+@query("bundle_jaccard", Q.chain(M.conflicts_sql(TIERS), a=M.registers_sql(_ua, TIERS), b=M.registers_sql(_ub, TIERS)))
+def _(spark, d):
+    return rounded(B.bundle_jaccard(*pair_bundles(spark, d, "registers")), "jaccard")
+
+
 # --- size distribution ------------------------------------------------------------------
 
 COUNTERS = SketchSpec(rows=1, width=3000, seed=35)

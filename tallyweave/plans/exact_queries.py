@@ -291,9 +291,11 @@ def _(spark, d):
     return rounded(T.gsum2_exact(pairs(spark, d), g2_mul), "gsum")
 
 
-@query("inner_product_exact", f"SELECT sum(fa * fb)::BIGINT AS inner_product FROM ({PAIRS})")
+@query("inner_product_exact", f"SELECT TRY_CAST(p AS BIGINT) AS inner_product, CAST(p AS VARCHAR) AS digits FROM (SELECT coalesce(sum(fa::HUGEINT * fb), 0) AS p FROM ({PAIRS}))")
 def _(spark, d):
-    return T.inner_product_exact(pairs(spark, d))
+    """As a BIGINT, null beyond 64 bits, and with all digits."""
+    return T.inner_product_exact(pairs(spark, d)).select(
+        F.col("inner_product").try_cast("bigint").alias("inner_product"), F.col("inner_product").cast("string").alias("digits"))
 
 
 @query("cosine_exact", f"SELECT round(sum(fa * fb) / sqrt(sum(fa * fa)) / sqrt(sum(fb * fb)), 9) AS cosine FROM ({PAIRS})")

@@ -229,6 +229,11 @@ def _(spark, d):
     return rounded(L.agms_join(*(_agms(S.side(both, s)) for s in ("A", "B"))), "join_size")
 
 
+def both_sides(a, b):
+    """What the streams A and B give, with a column that tells them apart."""
+    return a.withColumn("stream", F.lit("A")).unionByName(b.withColumn("stream", F.lit("B")))
+
+
 def _fagms_ab(spark, d):
     both = S.customers_ab(spark, d)
     return [L.fagms_build(S.side(both, s), SPEC) for s in ("A", "B")]
@@ -237,9 +242,9 @@ def _fagms_ab(spark, d):
 FAGMS = {"a": Q.cells(_cust_a, SPEC, "fagms"), "b": Q.cells(_cust_b, SPEC, "fagms")}
 
 
-@query("fagms_build", FAGMS["a"])
+@query("fagms_build", Q.chain("SELECT 'A' AS stream, * FROM a UNION ALL SELECT 'B', * FROM b", **FAGMS))
 def _(spark, d):
-    return _fagms_ab(spark, d)[0]
+    return both_sides(*_fagms_ab(spark, d))
 
 
 @query("fagms_delete", FAGMS["b"])
@@ -254,10 +259,11 @@ def _(spark, d):
     return L.fagms_join(*_fagms_ab(spark, d), SPEC)
 
 
-@query("fagms_query", Q.chain(Q.estimates(_cust_a, "t", SPEC, "fagms"), t=FAGMS["a"]))
+@query("fagms_query", Q.chain(f"SELECT 'A' AS stream, * FROM ({Q.estimates(_cust_a, 'a', SPEC, 'fagms')}) "
+                              f"UNION ALL SELECT 'B', * FROM ({Q.estimates(_cust_b, 'b', SPEC, 'fagms')})", **FAGMS))
 def _(spark, d):
-    keys = S.side(S.customers_ab(spark, d), "A").select("key").distinct()
-    return L.fagms_query(keys, _fagms_ab(spark, d)[0], SPEC)
+    streams = S.customers_ab(spark, d)
+    return both_sides(*(L.fagms_query(S.side(streams, s).select("key").distinct(), built, SPEC) for s, built in zip("AB", _fagms_ab(spark, d))))
 
 
 @query("counter_gsum", Q.chain("SELECT median(s)::DOUBLE AS gsum FROM (SELECT row, sum(v::DOUBLE * v) AS s FROM t GROUP BY row)", t=CELLS))

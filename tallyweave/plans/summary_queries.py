@@ -13,6 +13,7 @@ from tallyweave.operators.exact import key_counts, stream_totals
 from tallyweave.plans import sqltext as Q
 from tallyweave.plans import streams as S
 from tallyweave.plans.exact_queries import part_counts, rounded
+from tallyweave.plans.linear_queries import both_sides
 from tallyweave.plans.registry import query
 from tallyweave.sources.scratch import materialize
 from tallyweave.spec import SketchSpec
@@ -550,23 +551,25 @@ def _(spark, d):
 REGISTERS = SketchSpec(width=512, seed=26)
 
 
-def registers_sql(stream: str) -> str:
-    h = Q.one_hash("key", REGISTERS.seed, "maxlog")
+def registers_sql(stream: str, spec: SketchSpec = REGISTERS) -> str:
+    h = Q.one_hash("key", spec.seed, "maxlog")
     return Q.chain(
         "SELECT bucket, lvl, count(DISTINCT key) = 1 AS unique FROM t WHERE lvl = (SELECT max(lvl) FROM t u WHERE u.bucket = t.bucket) GROUP BY bucket, lvl",
-        t=f"SELECT DISTINCT {Q.bucket_sql('key', REGISTERS.seed, REGISTERS.width, 'register')} AS bucket, key, "
+        t=f"SELECT DISTINCT {Q.bucket_sql('key', spec.seed, spec.width, 'register')} AS bucket, key, "
           f"(31 - length(bin({h})) + CASE WHEN {h} = 0 THEN 1 ELSE 0 END)::INTEGER AS lvl FROM ({stream})")
 
 
-@query("maxlog_build", registers_sql(A))
+@query("maxlog_build", Q.chain("SELECT 'A' AS stream, * FROM a UNION ALL SELECT 'B', * FROM b", a=registers_sql(A), b=registers_sql(B)))
 def _(spark, d):
-    return T.maxlog_build(S.side(S.customers_ab(spark, d), "A"), REGISTERS)
+    return both_sides(*(T.maxlog_build(S.side(S.customers_ab(spark, d), s), REGISTERS) for s in "AB"))
 
 
-@query("maxlog_jaccard", Q.chain(
-    f"""SELECT round(1.0 - count(*) FILTER ((la > lb AND ua) OR (la < lb AND ub)) / ({REGISTERS.width} * 0.7213), 6) AS jaccard FROM
- (SELECT coalesce(a.lvl, 0) AS la, coalesce(a.unique, false) AS ua, coalesce(b.lvl, 0) AS lb, coalesce(b.unique, false) AS ub FROM a FULL JOIN b USING (bucket))""",
-    a=registers_sql(A), b=registers_sql(B)))
+def conflicts_sql(spec: SketchSpec) -> str:
+    return f"""SELECT round(1.0 - count(*) FILTER ((la > lb AND ua) OR (la < lb AND ub)) / ({spec.width} * 0.7213), 6) AS jaccard FROM
+ (SELECT coalesce(a.lvl, 0) AS la, coalesce(a.unique, false) AS ua, coalesce(b.lvl, 0) AS lb, coalesce(b.unique, false) AS ub FROM a FULL JOIN b USING (bucket))"""
+
+
+@query("maxlog_jaccard", Q.chain(conflicts_sql(REGISTERS), a=registers_sql(A), b=registers_sql(B)))
 def _(spark, d):
     both = S.customers_ab(spark, d)
     return rounded(T.maxlog_jaccard(*(T.maxlog_build(S.side(both, s), REGISTERS) for s in ("A", "B")), REGISTERS), "jaccard")

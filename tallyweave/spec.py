@@ -46,6 +46,8 @@ class SketchSpec:
         for name in ("rows", "width", "levels", "capacity", "slots", "shard_rows"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
+        if self.buckets < (1 if self.uses_heavy else 0):
+            raise ValueError("a heavy part needs a bucket at least")
         if self.levels > 31:
             raise ValueError("levels come from the bits of one 31-bit hash")
         if self.rows > 16:

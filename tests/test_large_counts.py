@@ -4,7 +4,9 @@ import math
 
 import pytest
 
+from tallyweave.functions.weights import WEIGHTS
 from tallyweave.operators import elastic as E
+from tallyweave.operators import extract as E2
 from tallyweave.operators import heavy as H
 from tallyweave.operators import joinsketch as J
 from tallyweave.operators import linear as L
@@ -29,6 +31,13 @@ def test_products_of_large_counts(spark, heavy_stream):
     assert L.count_sketch_f2(L.count_sketch_build(heavy_stream, SPEC)).first()[0] >= MANY * MANY
     pairs = spark.createDataFrame([(1, MANY, MANY), (2, MANY, 0)], "key long, fa long, fb long")
     assert math.isclose(T.cosine_exact(pairs).first()[0], math.sqrt(0.5))
+    assert T.inner_product_exact(pairs).first()[0] == MANY * MANY
+    assert math.isclose(T.gsum_mul_exact(pairs, WEIGHTS["sum"]).first()[0], float(MANY) * MANY)
+    listed = spark.createDataFrame([(0, 1, MANY), (0, 2, 1)], "level int, key long, v long")
+    assert U.product_candidates(listed, listed).agg({"v": "max"}).first()[0] == float(MANY) * MANY
+    built = E2.extract_build(heavy_stream, SPEC)
+    assert math.isclose(E2.extract_gsum_mul(built, built, WEIGHTS["sum"]).first()[0], 2 * float(MANY) * MANY)
+    assert T.jaccard_est(built, built).first()[0] == 1.0
     heavy = spark.createDataFrame([(1, MANY)], "key long, k long")
     empty = L.count_sketch_build(heavy_stream.limit(0), SPEC)
     assert J.skim_join(heavy, empty, heavy, empty, SPEC).first()[0] == float(MANY) * MANY
@@ -79,9 +88,15 @@ def test_elastic_counts_what_a_shard_passed_on(spark):
 
 
 def test_streamed_residents_are_one_row_per_key(spark, tmp_path):
-    rows = [(0, 0, 1, 5, False, "heavy", 1), (1, 0, 1, 6, False, "heavy", 2), (0, 0, 2, 4, False, "heavy", 1)]
-    spark.createDataFrame(rows, "shard int, bucket long, key long, f long, flag boolean, kind string, seq long").write.parquet(
+    rows = [(0, 0, 1, 5, False, "heavy", 1, 0), (1, 0, 1, 6, False, "heavy", 2, 0), (0, 0, 2, 4, False, "heavy", 1, 1)]
+    spark.createDataFrame(rows, "shard int, bucket long, key long, f long, flag boolean, kind string, seq long, pos long").write.parquet(
         str(tmp_path / "residents" / "batch=0"))
     spark.createDataFrame([(0, 0, 1, 1)], "level int, row int, idx long, v long").write.parquet(str(tmp_path / "counters" / "batch=0"))
-    heavy, _ = load_stream_extract(spark, str(tmp_path))
+    heavy, _ = load_stream_extract(spark, str(tmp_path), SPEC)
     assert sorted((r.key, r.v, r.flag) for r in heavy.collect()) == [(1, 11, False), (2, 4, True)]
+
+
+def test_a_heavy_part_without_buckets_is_refused():
+    with pytest.raises(ValueError):
+        SketchSpec(buckets=0)
+    assert SketchSpec(buckets=0, heavy_ratio=0.0).heavy_rows == 0
