@@ -4,9 +4,9 @@ Every word of a text begins one window: its language, itself and up to three wor
 count of a phrase is the number of windows that it begins, so one weighted automaton over windows holds the counts of
 all phrases.
 
-* Single words are counted first. No phrase that counts holds a word below the threshold, so while the words that
-  reach it can be broadcast, windows end before any other word and begin with none. Beyond that they are not cut; the
-  result is the same.
+* Single words are counted first, then pairs, then longer phrases. No phrase that counts holds a word or a pair below
+  the threshold, so while those that reach it can be broadcast, windows end where another comes. Beyond that they
+  are not cut; the result is the same.
 * A task reads texts into *shards* of a bounded number of words. A shard's windows are sorted and summed, cut at the
   limits of prefix ranges, and each stretch becomes an acyclic automaton: states are shared from the end
   inwards where a single arc with one label and one weight (or target) leads on, final arcs carry the counts.
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -49,7 +50,7 @@ from tallyweave.sources.scratch import materialize
 WORDS = 4
 #: Bytes of text that are cut into words at once.
 CHUNK_BYTES = 1 << 18
-#: Words of eight bytes each that are sent to all executors at most, to end windows at rarer ones.
+#: Words, and pairs of words, of eight bytes each that are sent to all executors at most, to end windows at rarer ones.
 BROADCAST_WORDS = 4_000_000
 #: Words that a shard holds before it is sorted and sent.
 SHARD_WORDS = 1_000_000
@@ -150,13 +151,39 @@ def languages(column: pa.Array, seed: int) -> tuple[dict[int, bytes], np.ndarray
     return dict(zip(codes, names)), np.array(codes, np.uint64)[spoken.indices.to_numpy()] if names else np.zeros(0, np.uint64)
 
 
-def usual(symbols: np.ndarray, pieces: np.ndarray, langs: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words whose sorted keys are ``wanted``; every other word ends a piece."""
-    if wanted is None:
-        return symbols, pieces, langs
-    key = word_key(langs, symbols)
-    keep = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key if len(wanted) else np.zeros(len(key), bool)
-    return symbols[keep], (pieces + np.cumsum(~keep))[keep], langs[keep]
+def word_key(langs: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """One number for a word of a language. Where two agree, windows are only cut less."""
+    return mix(symbols ^ mix(langs))
+
+
+def pair_key(langs: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(word_key(langs, first) + second)
+
+
+def listed(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys if len(wanted) else np.zeros(len(keys), bool)
+
+
+@dataclass(frozen=True)
+class Usual:
+    """Sorted keys of the words and of the pairs that can be in a phrase that counts; None where they are too many."""
+
+    words: np.ndarray | None = None
+    pairs: np.ndarray | None = None
+
+    def cut(self, symbols: np.ndarray, pieces: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The usual words, with pieces that end at any other word or pair, and how many pieces were ended so."""
+        ended = 0
+        if self.words is not None:
+            keep = listed(word_key(langs, symbols), self.words)
+            pieces = (pieces + np.cumsum(~keep))[keep]
+            symbols, langs, ended = symbols[keep], langs[keep], int((~keep).sum())
+        if self.pairs is not None and len(symbols) > 1:
+            strange = np.zeros(len(symbols), bool)
+            strange[1:] = ~listed(pair_key(langs[:-1], symbols[:-1], symbols[1:]), self.pairs)
+            pieces = pieces + np.cumsum(strange)
+            ended += int(strange.sum())
+        return symbols, pieces, langs, ended
 
 
 # ---- windows and automata
@@ -187,8 +214,8 @@ class Windows:
         return cls(langs, vocabulary, high[at], low[at], counts)
 
     @classmethod
-    def of_words(cls, symbols: np.ndarray, pieces: np.ndarray, langs: np.ndarray, starts: int) -> Windows:
-        """Of the windows of two words and more that the first ``starts`` words begin."""
+    def of_words(cls, symbols: np.ndarray, pieces: np.ndarray, langs: np.ndarray, starts: int, least: int = 2, most: int = WORDS) -> Windows:
+        """Of the windows of ``least`` words or more, cut at ``most``, that the first ``starts`` words begin."""
         vocabulary, ids = np.unique(np.append(symbols, np.uint64(0)), return_inverse=True)
         named, lang = np.unique(langs, return_inverse=True)
         b = cls.bits(vocabulary)
@@ -198,8 +225,11 @@ class Windows:
             n = max(0, min(starts, len(ids) - k))
             number = high if k < 2 else low
             number <<= b
+            if k >= most:
+                continue
             number[:n] |= np.where(pieces[k: k + n] == pieces[:n], ids[k: k + n], 0).astype(np.uint64)
-        several = (high & ((np.uint64(1) << b) - np.uint64(1))) > 0
+        last = [high >> b, high, low >> b, low][least - 1]
+        several = (last & ((np.uint64(1) << b) - np.uint64(1))) > 0
         return cls.summed(named, vocabulary, high[several], low[several])
 
     def columns(self, part: slice = slice(None)) -> list[np.ndarray]:
@@ -324,11 +354,6 @@ GRAM_TYPES = pa.schema([(c, pa.int64()) for c in PATH] + [
     ("size", pa.int32()), ("f", pa.int64()), ("word", pa.string()), ("clash", pa.bool_())])
 
 
-def word_key(langs: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """One number for a word of a language. Where two agree, windows are only cut less."""
-    return mix(symbols ^ mix(langs))
-
-
 def pack_words(lang: bytes, words: list[bytes], counts: np.ndarray, clash: bool) -> bytes:
     """Words hold no blank, so blanks part them."""
     return pack([np.frombuffer(lang, np.uint8), np.frombuffer(b" ".join(words), np.uint8), narrow(counts), np.array([clash])])
@@ -406,15 +431,15 @@ def word_counts(docs: DataFrame, buckets: int, threshold: int, seed: int, shard_
     return docs.mapInArrow(build, "r int, payload binary").groupBy("r").applyInArrow(count, GRAMS)
 
 
-def counted_phrases(windows: Windows, threshold: int) -> pa.Table:
-    """Phrases of one range that reach the threshold, and those at its ends, which other ranges may share."""
+def counted_phrases(windows: Windows, threshold: int, least: int) -> pa.Table:
+    """Phrases of ``least`` words or more of one range that reach the threshold, and those at its ends, which other ranges may share."""
     columns = windows.columns()
     out = [[] for _ in range(WORDS + 3)]
     changed = np.zeros(len(windows.counts), bool)
     changed[0] = True
     for depth, column in enumerate(columns):
         changed[1:] |= column[1:] != column[:-1]
-        if depth < 2:  # languages and single words have been counted
+        if depth < least:  # shorter ones have been counted
             continue
         at = np.flatnonzero(changed)
         f = np.add.reduceat(windows.counts, at)
@@ -434,7 +459,7 @@ def counted_phrases(windows: Windows, threshold: int) -> pa.Table:
          pa.nulls(n, pa.string()), pa.array(np.zeros(n, bool))], schema=GRAM_TYPES)
 
 
-def sampled_limits(docs: DataFrame, rows: int, ranges: int, seed: int, wanted: np.ndarray | None = None) -> np.ndarray:
+def sampled_limits(docs: DataFrame, rows: int, ranges: int, seed: int, usual: Usual) -> np.ndarray:
     """Windows that part all windows in about equal ranges, from sampled documents; they settle balance only."""
     if ranges < 2:
         return np.zeros((0, WORDS + 1), np.uint64)
@@ -449,7 +474,7 @@ def sampled_limits(docs: DataFrame, rows: int, ranges: int, seed: int, wanted: n
                 lang = int(codes[k])
                 parts = list(reader.read(batch.column(1).slice(k, 1)))
                 symbols, pieces = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in (0, 1))
-                symbols, pieces, _ = usual(symbols, pieces, np.full(len(symbols), lang, np.uint64), wanted)
+                symbols, pieces, _, _ = usual.cut(symbols, pieces, np.full(len(symbols), lang, np.uint64))
                 at = np.unique(np.linspace(0, len(symbols) - 1, min(SAMPLE_WINDOWS, len(symbols))).astype(np.int64)) if len(symbols) else []
                 out = [
                     [lang, *(int(symbols[x + d]) if x + d < len(symbols) and pieces[x + d] == pieces[x] else 0 for d in range(WORDS)), -(-len(symbols) // len(at))]
@@ -465,12 +490,9 @@ def sampled_limits(docs: DataFrame, rows: int, ranges: int, seed: int, wanted: n
     return np.unique(sample[at, : WORDS + 1], axis=0) if len(sample) else sample[:, : WORDS + 1]
 
 
-def phrase_counts(docs: DataFrame, limits: np.ndarray, threshold: int, seed: int, wanted: np.ndarray | None = None,
+def phrase_counts(docs: DataFrame, limits: np.ndarray, threshold: int, seed: int, usual: Usual, least: int, most: int,
                   shard_words: int = SHARD_WORDS, hop: int = HOP) -> DataFrame:
-    """Rows of GRAMS: phrases of two words and more with their counts; those at the ends of ranges come in several rows.
-
-    ``docs`` has lang and text; ``wanted`` are the sorted keys of the words that can be in such a phrase.
-    """
+    """(PATH, size, f) of the phrases of ``least`` to ``most`` words that reach the threshold. ``docs`` has lang and text."""
     finer = ceil((len(limits) + 1) / hop)
     coarse = limits[finer - 1:: finer]
 
@@ -481,7 +503,7 @@ def phrase_counts(docs: DataFrame, limits: np.ndarray, threshold: int, seed: int
             nonlocal held, size
             symbols, pieces, langs = (np.concatenate([h[k] for h in held]) for k in range(3))
             starts = len(symbols) if last else len(symbols) - (WORDS - 1)
-            rows = list(Windows.of_words(symbols, pieces, langs, starts).stretches(coarse)) if starts > 0 else []
+            rows = list(Windows.of_words(symbols, pieces, langs, starts, least, most).stretches(coarse)) if starts > 0 else []
             held = [(symbols[starts:], pieces[starts:], langs[starts:])]
             size = len(symbols) - starts
             for i in range(0, len(rows), 64):
@@ -491,8 +513,8 @@ def phrase_counts(docs: DataFrame, limits: np.ndarray, threshold: int, seed: int
         for batch in batches:
             _, codes = languages(batch.column(0), seed)
             for symbols, pieces, rows in reader.read(batch.column(1)):
-                symbols, pieces, langs = usual(symbols, pieces, codes[rows], wanted)
-                reader.pieces += len(rows) - len(symbols)  # the words left out have ended pieces, too
+                symbols, pieces, langs, ended = usual.cut(symbols, pieces, codes[rows])
+                reader.pieces += ended
                 held.append((symbols, pieces.astype(np.uint32), langs))  # only neighbours' pieces are compared
                 size += len(symbols)
                 if size > shard_words:
@@ -506,13 +528,21 @@ def phrase_counts(docs: DataFrame, limits: np.ndarray, threshold: int, seed: int
         return pa.table({"r": pa.array([c[0] for c in cut], pa.int32()), "payload": pa.array([c[1] for c in cut], pa.binary())})
 
     def count(group: pa.Table) -> pa.Table:
-        return counted_phrases(united(group["payload"].to_pylist()), threshold)
+        return counted_phrases(united(group["payload"].to_pylist()), threshold, least)
 
     blobs = docs.mapInArrow(build, "r int, payload binary")
     if finer > 1:
         group = F.pmod(F.xxhash64("payload"), F.lit(finer)).alias("shards")
         blobs = blobs.select("*", group).groupBy("r", "shards").applyInArrow(refine, "r int, payload binary")
-    return blobs.groupBy("r").applyInArrow(count, GRAMS)
+    counted = blobs.groupBy("r").applyInArrow(count, GRAMS)  # those at the ends of ranges come in several rows
+    return counted.groupBy(*PATH, "size").agg(F.sum("f").alias("f")).where(F.col("f") >= threshold)
+
+
+def sorted_keys(grams: DataFrame, key, columns: list[str]) -> np.ndarray | None:
+    """The keys of ``grams``, where they may be sent to all executors."""
+    if grams.count() > BROADCAST_WORDS:
+        return None
+    return np.sort(key(*(c.to_numpy().view(np.uint64) for c in grams.select(*columns).toArrow().columns)))
 
 
 # ---- part lookups
@@ -645,13 +675,11 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
         if not words.where("clash").limit(1).count():
             break
         seed += 1
-    wanted = None
-    if words.where("size = 1").count() <= BROADCAST_WORDS:
-        keys = words.where("size = 1").select("lang", "w1").toArrow()
-        wanted = np.sort(word_key(*(c.to_numpy().view(np.uint64) for c in keys.columns)))
-    limits = sampled_limits(docs, size.rows, ranges, seed, wanted)
-    counted = phrase_counts(docs, limits, least, seed, wanted, shard_words, hop)
-    phrases = materialize(counted.groupBy(*PATH, "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    usual = Usual(sorted_keys(words.where("size = 1"), word_key, ["lang", "w1"]))
+    limits = sampled_limits(docs, size.rows, ranges, seed, usual)
+    pairs = materialize(phrase_counts(docs, limits, least, seed, usual, 2, 2, shard_words, hop))
+    usual = Usual(usual.words, sorted_keys(pairs, pair_key, PATH[:3]))
+    phrases = materialize(pairs.union(phrase_counts(docs, limits, least, seed, usual, 3, WORDS, shard_words, hop)))
     candidates = materialize(uncovered(phrases, covered))
     several = phrases.where(F.col("size") < WORDS).select(*PATH, "size", "f", F.lit(None).cast("string").alias("word"))
     single = words.where("size = 1").select(*PATH, "size", "f", "word")
