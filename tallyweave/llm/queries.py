@@ -10,7 +10,9 @@ from tallyweave.llm import (
     phrase_automata, simhash_windows, source_mixing, threshold_clusters, url_reputation,
 )
 from tallyweave.llm.inputs import table
-from tallyweave.llm.sqltext import BLOCK_NAMES_SQL, CLUSTERS_SQL, LICENCE_SQL, LINES_SQL, MIXING_SQL, PHRASES_SQL, WINDOWS_SQL
+from tallyweave.llm.sqltext import (
+    BLOCK_NAMES_SQL, CLUSTERS_SQL, JACCARD_SQL, LICENCE_SQL, LINES_SQL, MIXING_SQL, PHRASES_SQL, WINDOWS_SQL, urls_sql,
+)
 from tallyweave.sources.scratch import scratch_path
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -90,6 +92,6 @@ QUERIES = {
 
 SQL = {
     "op1_simhash_windows": WINDOWS_SQL, "op2_licence_digests": LICENCE_SQL, "op4_block_names": BLOCK_NAMES_SQL,
-    "op5_source_mixing": MIXING_SQL, "op11_threshold_clusters": CLUSTERS_SQL, "op12_line_dedup": LINES_SQL,
+    "op5_source_mixing": MIXING_SQL, "op9_url_reputation": urls_sql(URL_RULES), "op10_jaccard_regions": JACCARD_SQL, "op11_threshold_clusters": CLUSTERS_SQL, "op12_line_dedup": LINES_SQL,
     "op13_phrase_automata": PHRASES_SQL,
 }

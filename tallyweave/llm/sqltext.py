@@ -161,6 +161,55 @@ FROM z JOIN c{rounds} AS c USING (cluster)
 """
 
 
+def urls_sql(rules: list[tuple[str, str]], start: float = 0.5, strength: float = 2.0, deviations: float = 1.645, least: float = 0.5) -> str:
+    """Three levels of shrinkage, one after the other; hosts here are names of two or three labels under suffixes of one."""
+    fits = lambda base, path: f"((host = '{base}' OR ends_with(host, '.{base}')) AND starts_with(path, '{path}'))"
+    cases = lambda said: " ".join(
+        f"WHEN {fits(text.partition('/')[0], '/' + text.partition('/')[2])} THEN '{said(text, verdict)}'"
+        for text, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])))
+    steps = []
+    for name, keys, parent in (("s", "suffix", "m"), ("d", "suffix, domain", "s"), ("h", "domain, host", "d")):
+        prior = "(SELECT m FROM whole)" if parent == "m" else "p.share"
+        join = "" if parent == "m" else f"JOIN {parent}4 AS p USING ({keys.split(', ')[0]})"
+        steps.append(f"""
+{name}1 AS (SELECT {keys}, sum(n) AS n, sum(g) AS g FROM c GROUP BY ALL),
+{name}2 AS (SELECT {name}1.*, {prior} AS prior FROM {name}1 {join}),
+{name}3 AS (SELECT 1 / least(greatest(coalesce(CASE WHEN t > k THEN (s - k) / (t - k) END, 0.5), 0.001), 0.5) - 1 AS x FROM (
+    SELECT sum(n * pow(g / n - prior, 2) / (prior * (1 - prior))) AS s, count(*) AS k, sum(n) AS t FROM {name}2 WHERE n > 0)),
+{name}4 AS (SELECT {keys.split(', ')[-1]}, n, (g + x * prior) / (n + x) AS share, n + x AS total FROM {name}2, {name}3)""")
+    return rf"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM r),
+o AS (SELECT page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM p
+      JOIN labels ON labels.doc_id = TRY_CAST(regexp_extract(path, '^/[a-z]+/(\d{{1,18}})', 1) AS BIGINT) GROUP BY page_id),
+c AS (SELECT regexp_extract(host, '[^.]*$') AS suffix, regexp_extract(host, '[^.]*(\.[^.]*)?$') AS domain, host,
+      count(good) AS n, coalesce(sum(good), 0)::DOUBLE AS g FROM p LEFT JOIN o USING (page_id) GROUP BY ALL),
+whole AS (SELECT (coalesce(sum(g), 0) + {strength * start}) / (coalesce(sum(n), 0) + {strength}) AS m FROM c),
+{",".join(steps)},
+b AS (SELECT host, n, share - {deviations} * sqrt(share * (1 - share) / (total + 1)) AS bound FROM h4)
+SELECT page_id, host, path, CASE {cases(lambda text, verdict: text)} END AS rule,
+       CASE {cases(lambda text, verdict: verdict)} WHEN bound >= {least} THEN 'allow' ELSE 'block' END AS verdict,
+       CAST(n AS BIGINT) AS labelled, round(bound, 6) AS bound
+FROM p JOIN b USING (host)
+"""
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+      list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13),
+      'abcdefghijklmnopqrstuvwxyz' || repeat(' ', 5)), ' '), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, hash(g) AS h, md5(g) AS g FROM (SELECT r, array_to_string(w[i + 1 : i + 5], ' ') AS g
+      FROM (SELECT r, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0))),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS MATERIALIZED (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.h = b.h AND a.g = b.g AND a.r <> b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM pairs JOIN n AS x ON x.r = a JOIN n AS y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT r, r AS other FROM d UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach ON reach.r = d.r JOIN d AS o ON o.r = reach.other GROUP BY d.r, d.doc_id
+"""
+
+
 LICENCE_SQL = _licences()
 CLUSTERS_SQL = _clusters()
 MIXING_SQL = _mixing(MIX_WEIGHTS, MIX_SHARE)

@@ -17,6 +17,7 @@ of one page the worst holds. Columns named like a result are replaced; others ar
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ from pyspark.sql import functions as F
 from tallyweave.sources.scratch import materialize
 
 LEVELS = ("suffix", "domain", "host")
+# Public suffixes of two labels under which many owners register; others can be given.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "sch.uk", "com.au", "edu.au", "gov.au", "net.au",
+    "org.au", "co.nz", "govt.nz", "net.nz", "org.nz", "co.jp", "ac.jp", "ne.jp", "or.jp", "go.jp", "co.kr", "or.kr", "com.br", "gov.br", "org.br",
+    "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.tw", "com.hk", "com.sg", "co.in", "net.in", "org.in", "co.za", "org.za", "com.mx",
+    "com.ar", "com.co", "com.tr", "com.pl", "com.ua", "co.il", "com.my", "co.th", "co.id", "com.ph", "com.vn", "com.sa", "com.eg", "com.ng",
+)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -49,16 +57,23 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
     return name, verdict
 
 
-def host_levels(host: Column) -> dict[str, Column]:
-    """Host, its registered domain (the last two labels) and its suffix (the last one)."""
+def host_levels(host: Column, suffixes: Sequence[str] = SUFFIXES) -> dict[str, Column]:
+    """Host, its registered domain and its suffix.
+
+    The suffix is one of ``suffixes`` or the last label, the domain that and one label more. Both leave out a
+    port. An IP address is its own domain and suffix.
+    """
+    bare = F.regexp_replace(host, r":\d*$", "")
+    address = bare.rlike(r"^(\d+\.){3}\d+$|^\[")
+    ends = "|".join([*(s.replace(".", r"\.") for s in suffixes), "[^.]*"])
     return {
-        "suffix": F.regexp_extract(host, r"[^.]*$", 0),
-        "domain": F.regexp_extract(host, r"[^.]*(\.[^.]*)?$", 0),
+        "suffix": F.when(address, bare).otherwise(F.regexp_extract(bare, rf"(?:^|\.)({ends})$", 1)),
+        "domain": F.when(address, bare).otherwise(F.regexp_extract(bare, rf"(?:^|\.)((?:[^.]*\.)?(?:{ends}))$", 1)),
         "host": host,
     }
 
 
-def reputations(outcomes: DataFrame, start: float, top_strength: float, deviations: float) -> DataFrame:
+def reputations(outcomes: DataFrame, start: float, top_strength: float, deviations: float, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """For each host of ``outcomes`` (host, good 0/1 or null): the lower bound of its good share.
 
     ``top_strength`` is the weight, in pages, of the share over all pages when it is shrunk to
@@ -68,7 +83,7 @@ def reputations(outcomes: DataFrame, start: float, top_strength: float, deviatio
     """
     counts = materialize(
         outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
-        .select(*(c.alias(k) for k, c in host_levels(F.col("host")).items()), "n", "g"))
+        .select(*(c.alias(k) for k, c in host_levels(F.col("host"), suffixes).items()), "n", "g"))
     whole = counts.agg(
         ((F.coalesce(F.sum("g"), F.lit(0)) + top_strength * start) / (F.coalesce(F.sum("n"), F.lit(0)) + top_strength)).alias("m"))
     table, mean, above = None, whole.scalar(), None
@@ -76,7 +91,7 @@ def reputations(outcomes: DataFrame, start: float, top_strength: float, deviatio
         parent = LEVELS[LEVELS.index(level) - 1] if level != LEVELS[0] else None
         keys = [k for k in (parent, level) if k]
         own = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-        own = own.join(above, parent) if parent else own.withColumn("prior", mean)
+        own = materialize(own.join(above, parent) if parent else own.withColumn("prior", mean))
         spread = own.where("n > 0").agg(
             F.sum(F.col("n") * F.pow(F.col("g") / F.col("n") - F.col("prior"), 2) / (F.col("prior") * (1 - F.col("prior")))).alias("s"),
             F.count("*").alias("k"), F.sum("n").alias("t"))
@@ -85,6 +100,7 @@ def reputations(outcomes: DataFrame, start: float, top_strength: float, deviatio
         a = F.col("g") + strength * F.col("prior")
         b = F.col("n") - F.col("g") + strength * (1 - F.col("prior"))
         shrunk = own.select(*keys, "n", "g", (a / (a + b)).alias("share"), (a + b).alias("total"))
+        shrunk = materialize(shrunk)  # each level once; the next ones and their scalars read it
         if level == "host":
             table = shrunk
         else:
@@ -95,7 +111,7 @@ def reputations(outcomes: DataFrame, start: float, top_strength: float, deviatio
 
 def judge_urls(
     pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], *, least: float = 0.5,
-    start: float = 0.5, top_strength: float = 2.0, deviations: float = 1.645,
+    start: float = 0.5, top_strength: float = 2.0, deviations: float = 1.645, suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, labelled, bound for every page.
 
@@ -104,7 +120,7 @@ def judge_urls(
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     seen = parts.join(outcomes.where("good IS NOT NULL").groupBy("page_id").agg(F.min("good").alias("good")), "page_id", "left")
-    known = materialize(reputations(seen.select("host", "good"), start, top_strength, deviations))
+    known = materialize(reputations(seen.select("host", "good"), start, top_strength, deviations, suffixes))
     rule, said = rule_column(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("bound") >= least, "allow").otherwise("block")
     return parts.join(known, "host", "left").select(
