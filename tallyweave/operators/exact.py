@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.weights import g_cardinality, g_entropy, g_sqr, g_sum
@@ -19,10 +19,12 @@ G = Callable[[Column], Column]
 SPREAD = 64
 # Per-group cutoffs are broadcast up to this many groups; more groups are small anyway.
 BROADCAST_GROUPS = 1_000_000
-# Width of the seq bins used to cut a stream at an arrival number.
-LIMIT_BIN = 1_000_000
+# Parts in which the numbers of a stream are counted at a time, to find a cut.
+LIMIT_BINS = 4096
 # Keys of a hash part, about; the frequent-items aggregate tracks at most a million.
 PART_KEYS = 200_000
+# Up to so many rows of a group Spark cuts a ranking inside each task, before the shuffle.
+RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 # Up to here every task simply hands on its first rows.
 SMALL_LIMIT = 1000
 
@@ -42,31 +44,39 @@ def keyed_stream(df: DataFrame, key: str | Column, seq: str | Column | None = No
     return stream.filter("key IS NOT NULL" if seq is None else "key IS NOT NULL AND seq IS NOT NULL")
 
 
-def read_limit(stream: DataFrame, n: int, bin_rows: int = LIMIT_BIN) -> DataFrame:
-    """First ``n`` arrivals by ``seq``; -1 keeps all.
+def read_limit(stream: DataFrame, n: int, bins: int = LIMIT_BINS) -> DataFrame:
+    """First ``n`` arrivals by ``seq``; -1 keeps all. Of equal numbers at the cut any stay.
 
-    Large cuts never sort the stream: whole bins of ``seq`` are kept by their cumulative
-    count and only the bin holding the cut is ranked.
+    Large cuts never sort the stream: its range of numbers is counted in ``bins`` equal parts, then the part that
+    holds the cut, and so on, until what is left of it is small or one number. Each step is one count with at
+    most ``bins`` rows, however sparse the numbers are.
     """
     if n < 0:
         return stream
     if n <= SMALL_LIMIT:
         return stream.orderBy("seq").limit(n)
-    binned = stream.withColumn("_bin", F.floor(F.col("seq") / F.lit(bin_rows)))
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .filter(F.col("_before") < n)
-    )
-    joined = binned.join(bins, "_bin")
-    whole = joined.filter(F.col("_before") + F.col("_n") <= n)
-    cut = (
-        joined.filter(F.col("_before") + F.col("_n") > n)
-        .withColumn("_r", F.row_number().over(Window.partitionBy("_bin").orderBy("seq")))
-        .filter(F.col("_before") + F.col("_r") <= n)
-    )
-    return whole.select(*stream.columns).unionByName(cut.select(*stream.columns))
+    ends = stream.agg(F.min("seq").alias("a"), F.max("seq").alias("z")).first()
+    low, high, wanted = ends.a, ends.z, n
+    while low is not None:
+        width = -(-(high - low + 1) // bins)
+        inside = stream.filter((F.col("seq") >= low) & (F.col("seq") <= high))
+        part = F.expr(f"CAST((CAST(seq AS DECIMAL(20,0)) - ({low})) DIV {width} AS BIGINT)")
+        counts = sorted((r.part, r.n) for r in inside.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+        held = 0
+        for place, count in counts:
+            if held + count > wanted:
+                break
+            held += count
+        else:
+            return stream  # no more rows than wanted
+        low, high, wanted = low + place * width, min(low + (place + 1) * width - 1, high), wanted - held
+        if wanted == 0:
+            return stream.filter(F.col("seq") < low)
+        if width == 1 or count <= SMALL_LIMIT:
+            rest = stream.filter((F.col("seq") >= low) & (F.col("seq") <= high))
+            rest = rest.orderBy("seq").limit(wanted) if low < high else rest.limit(wanted)
+            return stream.filter(F.col("seq") < low).unionByName(rest)
+    return stream
 
 
 def key_counts(stream: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -200,6 +210,12 @@ def value_cutoffs(df: DataFrame, group: Sequence[str], value: str, k: int) -> Da
     return reached.groupBy(*group).agg(F.min(value).alias("_cut"))
 
 
+def cut_before_shuffle(spark: SparkSession, k: int) -> None:
+    """Let Spark keep only the ``k`` first rows of each group and task before it shuffles them for a ranking."""
+    if int(spark.conf.get(RANK_LIMIT)) < k:
+        spark.conf.set(RANK_LIMIT, str(k))
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
                   spread_on: Sequence[str], spread: int = SPREAD, value: str | None = None,
                   groups: int = 0) -> DataFrame:
@@ -214,6 +230,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         cutoffs = F.broadcast(value_cutoffs(df, group, value, k))
         df = df.join(cutoffs, list(group)).filter(F.col(value) >= F.col("_cut")).drop("_cut")
     part = F.pmod(F.xxhash64(*spread_on), F.lit(spread)).cast("int")
+    cut_before_shuffle(df.sparkSession, k)
     local = Window.partitionBy(*group, "_part").orderBy(*order)
     whole = Window.partitionBy(*group).orderBy(*order)
     return (

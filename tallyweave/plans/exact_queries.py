@@ -36,7 +36,7 @@ def _(spark, d):
 
 @query("read_limit_large", f"SELECT * FROM ({S.CUSTOMERS}) ORDER BY seq LIMIT 7321")
 def _(spark, d):
-    return X.read_limit(S.customers(spark, d), 7321, bin_rows=1000)
+    return X.read_limit(S.customers(spark, d), 7321, bins=64)
 
 
 @query("read_limit_all", f"SELECT count(*) AS n FROM ({S.USERS})")

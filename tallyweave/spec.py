@@ -7,6 +7,7 @@ broadcast or keep in one task.
 
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import asdict, dataclass, replace
 
@@ -82,6 +83,11 @@ class SketchSpec:
         return asdict(self)
 
 
+def levels_for(keys: int, capacity: int) -> int:
+    """Levels after which a list of ``capacity`` holds all keys that are sampled into the last one, by expectation."""
+    return min(31, max(1, math.ceil(math.log2(max(1, keys) / max(1, capacity))) + 1))
+
+
 def sketch_params_from_memory(
     mem_bytes: int,
     heavy_ratio: float = 0.6,

@@ -13,7 +13,7 @@ from tallyweave.operators import twostream as T
 from tallyweave.operators import universal as U
 from tallyweave.operators import waving as V
 from tallyweave.sources.scratch import materialize
-from tallyweave.spec import SketchSpec, distinct_seeds, sketch_params_from_memory
+from tallyweave.spec import SketchSpec, distinct_seeds, levels_for, sketch_params_from_memory
 
 FULL = SketchSpec(rows=3, width=64, levels=8, capacity=10_000, buckets=4, slots=3, seed=5)
 ODD_KEYS = [0, 0, 0, -1, -1, -(2**62), 2**62, 2**31 + 5, 7, 7, 7, 7, 0, 9, 10, 11, 12, 13]
@@ -193,9 +193,27 @@ def test_sizes_from_memory(spark):
     assert len(set(distinct_seeds(50))) == 50
 
 
-def test_read_limit_cuts_exactly(spark):
-    s = stream(spark, list(range(100))).orderBy(F.rand(1))
-    for n in (0, 1, 19, 20, 21, 100, 500):
-        kept = [r["seq"] for r in X.read_limit(s, n, bin_rows=10).collect()]
-        assert sorted(kept) == list(range(min(n, 100)))
-    assert X.read_limit(s, -1).count() == 100
+@pytest.mark.parametrize("bins", [50, 4096])
+@pytest.mark.parametrize("kind", ["dense", "sparse", "ends", "ties"])
+def test_read_limit_cuts_exactly(spark, monkeypatch, kind, bins):
+    monkeypatch.setattr(X, "SMALL_LIMIT", 3)
+    numbers = {"dense": list(range(100)), "sparse": [i ** 9 for i in range(100)], "ends": [-(1 << 63), -5, 0, 7, (1 << 63) - 1] * 20,
+               "ties": [4] * 60 + [5] * 40}[kind]
+    s = spark.createDataFrame([(k, k, 1) for k in numbers], "seq long, key long, weight long").repartition(4)
+    for n in (1, 37, 60, 100):
+        kept = [r["seq"] for r in X.read_limit(s, n, bins=bins).collect()]
+        assert sorted(kept) == sorted(numbers)[:n]
+    assert X.read_limit(s, -1).count() == 100 and X.read_limit(s.limit(0), 50).count() == 0
+
+
+def test_ranking_is_cut_before_the_shuffle(spark):
+    counts = spark.range(20_000).selectExpr("id AS key", "id % 997 AS f")
+    spec = SketchSpec(rows=3, width=64, levels=5, capacity=1024, seed=2)
+    plan = U.universal_candidates(counts, spec, "estimated", U.universal_build(counts.selectExpr("key", "f AS weight"), spec))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in text and "Partial" in text
+    assert plan.groupBy("level").count().agg(F.max("count")).first()[0] == 1024
+
+
+def test_levels_follow_the_keys():
+    assert [levels_for(n, 256) for n in (1, 256, 257, 1 << 20, 10 ** 12, 10 ** 30)] == [1, 1, 2, 13, 31, 31]
