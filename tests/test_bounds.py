@@ -125,7 +125,7 @@ def salsa_by_arrivals(cells, w):
     return {i: value.get(start[i], 0) for i in range(w) if value.get(start[i], 0)}
 
 
-@settings(max_examples=12, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @example([(2, 256)], 3)
 @example([(k, 70_000) for k in range(3)], 6)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 700)), min_size=1, max_size=30), st.integers(3, 12))
