@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.hashing import hash_bucket
 from tallyweave.operators.heavy import heavy_fold, heavy_table, merge_shards
 from tallyweave.operators.linear import is_text
-from tallyweave.spec import SketchSpec
+from tallyweave.spec import SHARD_ROWS, SketchSpec
 
 G = Callable[[Column], Column]
 # Usable slots of a bucket (the eighth holds the guard), and the largest value of a one-byte
@@ -61,7 +61,7 @@ def elastic_light(folded: DataFrame, spec: SketchSpec, block: int | None = None,
     first = folded.agg(F.min("shard").alias("s")).scalar()
     raises = (F.col("kind") == "evict") & ~F.col("flag") & (F.col("shard") == F.col("_first"))
     moves = folded.filter(F.col("kind") != "heavy").withColumn("_first", first).select(
-        cell, "seq", F.floor(F.col("seq") / F.lit(block or spec.shard_rows)).alias("block"),
+        cell, "seq", F.floor(F.col("seq") / F.lit(block or spec.shard_rows or SHARD_ROWS)).alias("block"),
         F.when(raises, zero).otherwise(F.col("f")).alias("a"),
         F.when(raises, capped(F.col("f"))).otherwise(zero).alias("m"))
     # Inside a block: what each raise is worth at the end of the block.

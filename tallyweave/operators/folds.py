@@ -33,15 +33,16 @@ def out_schema(key_type: str) -> str:
 
 
 def ordered_fold(bucketed: DataFrame, machine: Callable[[], Machine],
-                 shard_rows: int = SHARD_ROWS) -> DataFrame:
+                 shard_rows: int | None = SHARD_ROWS) -> DataFrame:
     """Fold ``(bucket, seq, key, weight)`` rows; the result is independent of partitioning.
 
+    Without ``shard_rows`` each bucket is replayed from its first arrival to its last, as one shard.
     Rows without a key or an arrival number are no arrivals.
     """
     bucketed = bucketed.filter("key IS NOT NULL AND seq IS NOT NULL")
     key_type = dict(bucketed.dtypes)["key"]
     types = dict(INT_COLUMNS, **({} if key_type == "string" else {"key": "Int64"}))
-    shard = F.floor(F.col("seq") / F.lit(shard_rows)).cast("bigint")
+    shard = (F.lit(0) if shard_rows is None else F.floor(F.col("seq") / F.lit(shard_rows))).cast("bigint")
     ordered = (
         bucketed.select(shard.alias("shard"), "bucket", "seq", "key", "weight")
         .repartition("shard", "bucket")

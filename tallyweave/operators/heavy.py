@@ -87,7 +87,7 @@ def bounded_split(stream: DataFrame, spec: SketchSpec, size: int | None = None,
     """
     size = size or max(1, spec.heavy_rows)
     if "seq" in stream.columns:
-        found = spacesaving_tree(stream, size, shard_rows or spec.shard_rows).select("key")
+        found = spacesaving_tree(stream, size, shard_rows or spec.shard_rows or SHARD_ROWS).select("key")
     else:
         found = partition_candidates(stream, size)
     small = F.broadcast(found) if size <= BROADCAST_HEAVY else found

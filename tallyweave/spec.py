@@ -41,11 +41,12 @@ class SketchSpec:
     slots: int = SLOTS
     heavy_ratio: float = 0.6
     seed: int = 1
-    shard_rows: int = SHARD_ROWS
+    #: Arrivals of a shard of an ordered replay; None replays the whole stream as one, bucket by bucket.
+    shard_rows: int | None = SHARD_ROWS
 
     def __post_init__(self):
         for name in ("rows", "width", "levels", "capacity", "slots", "shard_rows"):
-            if getattr(self, name) < 1:
+            if (size := getattr(self, name)) is not None and size < 1:
                 raise ValueError(f"{name} must be at least 1")
         if self.buckets < (1 if self.uses_heavy else 0):
             raise ValueError("a heavy part needs a bucket at least")
