@@ -25,9 +25,12 @@ SALSA = SketchSpec(rows=3, width=250, seed=14)
 # --- scalar functions -------------------------------------------------------------------
 
 def _signed_keys(spark, d):
-    """Part keys spread over all 64 bits, negatives included."""
-    return S.table(spark, d, "lineitem").select(
-        ((F.col("l_partkey") - 700) * F.lit(4000000007) * (F.col("l_suppkey") + 1)).alias("key"))
+    """Part keys spread over all 64 bits, negatives included; products beyond them keep their lowest 64 bits."""
+    # In halves of 32 bits, where no step passes 64; exact while part keys are below 2^31.
+    halves = S.table(spark, d, "lineitem").selectExpr(
+        "l_partkey - 700 AS a", "shiftright((l_suppkey + 1) * 4000000007L, 32) AS high", "(l_suppkey + 1) * 4000000007L & 4294967295L AS low")
+    carried = "a * high + shiftright(a * low, 32)"
+    return halves.selectExpr(f"shiftleft({carried}, 32) | (a * low & 4294967295L) AS key")
 
 
 SIGNED_KEYS = "SELECT (l_partkey - 700) * 4000000007 * (l_suppkey + 1) AS key FROM lineitem"

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tallyweave.plans import load_queries
+from tallyweave.plans.linear_queries import SIGNED_KEYS
 from tests.compare import TABLES, difference
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -27,3 +28,14 @@ def large(tmp_path_factory):
 def test_replays_do_not_end_at_an_edge_of_shards(spark, large, name):
     q = load_queries()[name]
     assert difference(q.build(spark, large), q.sql, large) is None
+
+
+@pytest.mark.parametrize("name", ["hash_bucket", "hash_two_universal"])
+def test_keys_beyond_64_bits_keep_their_lowest_bits(spark, tmp_path, name):
+    pairs = [(1, 0), (701, 5), (1_199_999, 59_999), (300_000, 40_000), (650, 59_999), (1, 4_000_000), (90_000_000, 2_000_000)]
+    spark.createDataFrame(pairs, "l_partkey bigint, l_suppkey bigint").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    keys = [((p - 700) * 4000000007 * (s + 1) + 2**63) % 2**64 - 2**63 for p, s in pairs]
+    q = load_queries()[name]
+    given = " UNION ALL ".join(f"SELECT {k}::BIGINT AS key" for k in keys)
+    wanted = duckdb.execute(q.sql.replace(SIGNED_KEYS, given)).fetchall()
+    assert sorted(map(tuple, q.build(spark, str(tmp_path)).collect())) == sorted(wanted)
