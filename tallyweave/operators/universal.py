@@ -25,6 +25,8 @@ from tallyweave.spec import SketchSpec
 
 G = Callable[[Column], Column]
 CELL = ("level", "row", "idx")
+# Longest list of frequent keys that a task keeps for one level.
+LISTED_KEYS = 1 << 16
 
 
 def with_depth(df: DataFrame, spec: SketchSpec) -> DataFrame:
@@ -100,7 +102,7 @@ def universal_estimates(pairs: DataFrame, counters: DataFrame, spec: SketchSpec,
 
 def universal_candidates(counts: DataFrame, spec: SketchSpec, mode: str = "tracked",
                          counters: DataFrame | None = None) -> DataFrame:
-    """The ``capacity`` largest keys of each level: ``(level, key, v)``.
+    """The ``capacity`` largest keys of each level, or all keys where it is None: ``(level, key, v)``.
 
     ``tracked`` ranks by exact counts. ``estimated`` ranks the distinct keys by
     ``max(1, estimate)`` from the counters, so it needs no exact count.
@@ -118,7 +120,12 @@ def universal_candidates(counts: DataFrame, spec: SketchSpec, mode: str = "track
 
 
 def cut_candidates(sampled: DataFrame, spec: SketchSpec, value: str | None = None) -> DataFrame:
-    """``value`` names a cheap exact count, to drop most keys before any sort."""
+    """``value`` names a cheap exact count, to drop most keys before any sort.
+
+    Without a capacity every key stays, and nothing is ranked.
+    """
+    if spec.capacity is None:
+        return sampled.select("level", "key", "v")
     top = top_per_group(sampled, ["level"], [F.desc("v"), F.col("key")], spec.capacity, ["key"],
                         value=value, groups=spec.levels)
     return top.select("level", "key", "v")
@@ -128,9 +135,12 @@ def local_candidates(stream: DataFrame, spec: SketchSpec, share: int = 2) -> Dat
     """Candidate pairs without a key shuffle: the heaviest local keys of every partition.
 
     Each task keeps at most ``share * capacity`` keys per level; the union is bounded by
-    partitions x levels x that number and is re-estimated from the merged counters.
+    partitions x levels x that number and is re-estimated from the merged counters. Lists of more than
+    ``LISTED_KEYS`` would fill a task; there all keys are candidates, told apart by Spark, which can spill them.
     """
     sampled = sampled_levels(long_tasks(stream.select("key", "weight")), spec)
+    if spec.capacity is None or share * spec.capacity > LISTED_KEYS:
+        return sampled.select("level", "key").distinct()
     return frequent_per_partition(sampled, ["level"], share * spec.capacity).select("level", "key").distinct()
 
 
@@ -160,9 +170,13 @@ def level_weight(spec: SketchSpec) -> Column:
 
 def universal_gsum(candidates: DataFrame, spec: SketchSpec, g: G, value: str = "v",
                    by: Sequence[str] = ()) -> DataFrame:
-    """``sum g(f)`` estimated from the candidates, as one aggregation."""
-    terms = with_depth(candidates, spec).select(*by, (level_weight(spec) * g(F.col(value))).alias("_t"))
-    return terms.groupBy(*by).agg(F.coalesce(F.sum("_t"), F.lit(0.0)).alias("gsum"))
+    """``sum g(f)`` estimated from the candidates, as one aggregation.
+
+    Summed over the histogram of values, where the coefficients are whole numbers and add up without rounding.
+    """
+    terms = with_depth(candidates, spec).select(*by, F.col(value).alias("_v"), level_weight(spec).alias("_w"))
+    sizes = terms.groupBy(*by, "_v").agg(F.sum("_w").alias("_w"))
+    return sizes.groupBy(*by).agg(F.coalesce(F.sum(g(F.col("_v")) * F.col("_w")), F.lit(0.0)).alias("gsum"))
 
 
 def universal_gsum_subset(candidates: DataFrame, spec: SketchSpec, g: G, check: G) -> DataFrame:

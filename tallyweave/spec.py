@@ -36,7 +36,8 @@ class SketchSpec:
     rows: int = 5
     width: int = 1024
     levels: int = LEVELS
-    capacity: int = 256
+    #: Candidates of a level; None keeps every key.
+    capacity: int | None = 256
     buckets: int = 64
     slots: int = SLOTS
     heavy_ratio: float = 0.6

@@ -3,8 +3,11 @@
 import duckdb
 import pytest
 
-from tallyweave.plans import load_queries
+from tallyweave.functions.weights import WEIGHTS
+from tallyweave.operators.universal import local_candidates, universal_candidates
+from tallyweave.plans import io_queries, load_queries
 from tallyweave.plans.linear_queries import SIGNED_KEYS
+from tallyweave.spec import SketchSpec
 from tests.compare import TABLES, difference
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -39,3 +42,38 @@ def test_keys_beyond_64_bits_keep_their_lowest_bits(spark, tmp_path, name):
     given = " UNION ALL ".join(f"SELECT {k}::BIGINT AS key" for k in keys)
     wanted = duckdb.execute(q.sql.replace(SIGNED_KEYS, given)).fetchall()
     assert sorted(map(tuple, q.build(spark, str(tmp_path)).collect())) == sorted(wanted)
+
+
+WHOLE_SUMS = [f"universal_gsum_{g}" for g in WEIGHTS] + [
+    "universal_gsum_subset", "universal_entropy", "universal_gsum_mul", "extract_gsum_full", "extract_gsum_subset", "extract_only_universal"]
+
+
+@pytest.mark.parametrize("name", WHOLE_SUMS)
+def test_full_sketches_give_the_exact_sum(spark, name):
+    """Every key counts: the SQL is a plain sum over all of them, without lists, levels or limits."""
+    q = load_queries()[name]
+    assert difference(q.build(spark, SF_DIR), q.sql, SF_DIR) is None
+    assert "QUALIFY" not in q.sql and "level" not in q.sql
+
+
+def test_uncut_levels_are_not_ranked(spark, capsys):
+    counts = spark.range(5000).selectExpr("id AS key", "id % 7 + 1 AS f")
+    spec = SketchSpec(levels=6, capacity=None, seed=5)
+    found = universal_candidates(counts, spec)
+    found.explain()
+    assert found.filter("level = 0").count() == 5000 and "Window" not in capsys.readouterr().out
+
+
+def test_long_lists_are_not_kept_by_tasks(spark, capsys):
+    stream = spark.range(3000).selectExpr("id % 1000 AS key", "1L AS weight")
+    found = local_candidates(stream, SketchSpec(levels=4, capacity=1 << 20, seed=5))
+    found.explain()
+    assert "Pandas" not in capsys.readouterr().out and found.filter("level = 0").count() == 1000
+
+
+def test_tasks_of_the_sweep_hold_a_fixed_number_of_positions(spark, monkeypatch):
+    monkeypatch.setattr(io_queries, "SWEPT_ROWS", 1000)
+    swept, dealt = io_queries.Z.zipf_sweep, []
+    monkeypatch.setattr(io_queries.Z, "zipf_sweep", lambda numbers, *args: dealt.append(numbers.rdd.getNumPartitions()) or swept(numbers, *args))
+    q = load_queries()["zipf_sweep"]
+    assert difference(q.build(spark, SF_DIR), q.sql, SF_DIR) is None and dealt == [10]
