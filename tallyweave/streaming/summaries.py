@@ -23,6 +23,10 @@ from tallyweave.spec import SketchSpec
 
 #: Independent states that the arrivals of each bucket are dealt to.
 STREAM_SHARDS = 4
+#: Arrivals of one landed file, about, and so of one micro-batch; what a task can hold if all are of one bucket.
+LANDED_ROWS = 1_000_000
+#: Arrivals of a state that are replayed between two pieces of output.
+REPLAYED_ROWS = 50_000
 # Fixed value: the state store that has map state.
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -56,21 +60,27 @@ class HeavyProcessor(StatefulProcessor):
         bucket.guard = int(guard)
         before = {int(slot[0]): (place[0], int(place[1]), bool(place[2])) for slot, place in self.places.iterator()}
         bucket.held = {k: [count, admitted, slot] for slot, (k, count, admitted) in before.items()}
+        types = dict(INT_COLUMNS, **({} if self.key_type == "string" else {"key": "Int64"}))
+        frame = lambda out: pd.DataFrame(out, columns=("shard", "bucket", *OUT)).astype(types)
         arrivals = pd.concat(list(rows)).sort_values("seq")
-        unit, out = tuple(int(x) for x in key), []
-        for seq, k, f in zip(*(arrivals[c].tolist() for c in ("seq", "key", "weight"))):
-            row = bucket.step(seq, k, f)
-            if row is not None:
-                out.append(unit + row)
-        version = int(version) + 1
+        unit = tuple(int(x) for x in key)
+        for start in range(0, len(arrivals), REPLAYED_ROWS):
+            part, out = arrivals.iloc[start:start + REPLAYED_ROWS], []
+            for seq, k, f in zip(*(part[c].tolist() for c in ("seq", "key", "weight"))):
+                row = bucket.step(seq, k, f)
+                if row is not None:
+                    out.append(unit + row)
+            if out:
+                yield frame(out)
+        version, out = int(version) + 1, []
         for k, (count, admitted, slot) in bucket.held.items():
             place = (k, count, admitted)
             if before.get(slot) != place:
                 self.places.updateValue((slot,), place)
                 out.append(unit + ("heavy", version, slot, k, count, admitted))
         self.guard.update((bucket.guard, version))
-        types = dict(INT_COLUMNS, **({} if self.key_type == "string" else {"key": "Int64"}))
-        yield pd.DataFrame(out, columns=("shard", "bucket", *OUT)).astype(types)
+        if out:
+            yield frame(out)
 
     def close(self) -> None:
         pass
@@ -101,6 +111,30 @@ def latest_residents(rows: DataFrame) -> DataFrame:
     return heavy.groupBy("shard", "bucket", "pos").agg(newest.alias("_new")).select("shard", "bucket", "_new.*")
 
 
+def land_in_order(arrivals: DataFrame, rows: int = LANDED_ROWS) -> DataFrame:
+    """A table with ``seq`` as an unbounded stream whose micro-batches hold about ``rows`` arrivals each, in order.
+
+    Blocks of arrival numbers are counted, small neighbours are put together, and each lands as a file after the one
+    before it; a trigger takes one file, as the file source goes by their times. Only one block is ever in a state's hands.
+    """
+    spark = arrivals.sparkSession
+    path = scratch_path(spark, "landed")
+    block = F.expr(f"(seq - pmod(seq, {rows}L)) div {rows}L").alias("block")
+    counts = sorted(map(tuple, arrivals.groupBy(block).agg(F.count(F.lit(1)).alias("n")).collect()))
+    spans: list[list[int]] = []
+    for number, n in counts:
+        if spans and spans[-1][2] + n <= rows:
+            spans[-1][1:] = [number, spans[-1][2] + n]
+        else:
+            spans.append([number, number, n])
+    for first, last, _ in spans:
+        inside = arrivals.filter((F.col("seq") >= first * rows) & (F.col("seq") < (last + 1) * rows))
+        inside.repartition(1).write.mode("append").parquet(path)
+    if not spans:
+        arrivals.limit(0).write.parquet(path)
+    return spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def run_available(stream: DataFrame, mode: str, path: str) -> None:
     """Process what is there now; each batch overwrites its own ``batch=N`` folder."""
 

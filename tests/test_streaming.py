@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from tallyweave.operators import exact as X
 from tallyweave.operators import heavy as H
 from tallyweave.operators import universal as U
-from tallyweave.sources.scratch import scratch_path
+from tallyweave.plans import streams as S
+from tallyweave.sources.scratch import materialize, scratch_path
 from tallyweave.spec import SketchSpec
 from tallyweave.streaming import summaries as G
 from tests.test_invariants import rows, stream
 
 SPEC = SketchSpec(rows=3, width=64, levels=6, capacity=100, buckets=3, slots=4, seed=8)
+SF_DIR = "/root/testdata/sf0.01"
 SCHEMA = "seq bigint, key bigint, weight bigint"
 
 
@@ -96,3 +98,24 @@ def test_only_changed_slots_are_emitted_and_restarts_go_on(spark):
     folded = H.heavy_fold(spark.createDataFrame(whole, SCHEMA), spec, "frequent")
     columns = ("bucket", "key", "v", "flag")
     assert rows(G.latest_residents(out).select(*columns)) == rows(H.heavy_query_all(folded).select(*columns))
+
+
+def test_micro_batches_are_bounded_and_in_order(spark):
+    """However the arrivals lie in files, states see blocks of them in order and end where one replay ends."""
+    users = S.users(spark, SF_DIR).repartition(5)
+    spec = SketchSpec(rows=3, width=64, levels=8, capacity=64, buckets=8, slots=4, seed=3, shard_rows=None)
+    rows = materialize(G.drain(G.stream_heavy_fold(G.land_in_order(users, 1500), spec, "frequent", shards=1)))
+    assert rows.select("batch").distinct().count() == 7
+    assert rows.filter("kind <> 'heavy'").groupBy("batch").count().agg({"count": "max"}).first()[0] <= 1500
+    folded = H.heavy_fold(users, spec, "frequent")
+    whole = lambda df: sorted(map(tuple, df.select("bucket", "key", "v", "flag").collect()))
+    assert whole(G.latest_residents(rows)) == whole(H.heavy_query_all(folded))
+    moved = lambda df: sorted(map(tuple, df.filter("kind <> 'heavy'").select("kind", "seq", "key", "f", "flag").collect()))
+    assert moved(rows) == moved(folded)
+
+
+def test_sparse_and_negative_numbers_land_whole(spark):
+    numbers = [-(2**61), -1501, -1, 0, 7, 1499, 1500, 2**60 + 1, 2**60 + 3]
+    users = spark.createDataFrame([(i, n, 1) for i, n in enumerate(numbers)], "key bigint, seq bigint, weight bigint")
+    found = G.drain(G.land_in_order(users, 3)).select("batch", "seq").orderBy("batch", "seq").collect()
+    assert [r.seq for r in found] == numbers and {r.batch for r in found} == {0, 1, 2}
