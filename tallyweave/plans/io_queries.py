@@ -91,6 +91,8 @@ def _(spark, d):
 
 # Skews from 1 to 3 in steps of a tenth.
 ALPHAS = [round(1 + i / 10, 1) for i in range(21)]
+# Positions of one task of the sweep.
+SWEPT_ROWS = 200_000
 
 
 @query("zipf_sweep", " UNION ALL ".join(
@@ -98,7 +100,10 @@ ALPHAS = [round(1 + i / 10, 1) for i in range(21)]
 def _(spark, d):
     """All skews in one scan, one folder each, read back."""
     path = scratch_path(spark, "zipf")
-    Z.zipf_sweep(positions(spark, d), N_KEYS, ALPHAS, SEED).write.partitionBy("alpha").parquet(path)
+    numbers = positions(spark, d)
+    # A task sorts what it writes by folder, so it gets a fixed number of positions however large the input's splits are.
+    dealt = numbers.repartition(-(-numbers.count() // SWEPT_ROWS) or 1)
+    Z.zipf_sweep(dealt, N_KEYS, ALPHAS, SEED).write.partitionBy("alpha").parquet(path)
     return spark.read.parquet(path).groupBy(F.col("alpha").cast("double"), "rank").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -168,6 +173,11 @@ def user_stream(spark, d):
     return keyed_stream(events, "user_id", seq="event_id")
 
 
+def ordered_user_stream(spark, d):
+    """The same with micro-batches of bounded size that follow each other by arrival number."""
+    return G.land_in_order(S.users(spark, d))
+
+
 @query("stream_key_counts", S.counts_sql(S.USERS))
 def _(spark, d):
     return G.last_batch(G.drain(G.stream_key_counts(user_stream(spark, d)), "complete"))
@@ -199,12 +209,12 @@ _fold = {"s": Q.heavy_replay(S.USERS, M.FOLD, "elastic"), "h": Q.replay_heavy("s
 
 @query("stream_heavy_fold", Q.chain("SELECT bucket, key, v, flag FROM h", **_fold))
 def _(spark, d):
-    return G.latest_residents(G.drain(G.stream_heavy_fold(user_stream(spark, d), M.FOLD, "elastic", shards=1))).drop("shard")
+    return G.latest_residents(G.drain(G.stream_heavy_fold(ordered_user_stream(spark, d), M.FOLD, "elastic", shards=1))).drop("shard")
 
 
 @query("stream_heavy_evictions", Q.chain("SELECT kind, bucket, seq, key, f FROM m", **_fold))
 def _(spark, d):
-    rows = G.drain(G.stream_heavy_fold(user_stream(spark, d), M.FOLD, "elastic", shards=1))
+    rows = G.drain(G.stream_heavy_fold(ordered_user_stream(spark, d), M.FOLD, "elastic", shards=1))
     return rows.filter(F.col("kind") != "heavy").select("kind", "bucket", "seq", "key", "f")
 
 
@@ -218,12 +228,12 @@ _sharded = {"st": Q.heavy_replay(S.USERS, M.FOLD, "frequent", bucket=_dealt), "h
 
 @query("stream_heavy_fold_sharded", Q.chain("SELECT bucket // 1000 AS shard, bucket % 1000 AS bucket, key, v, flag FROM hs", **{k: _sharded[k] for k in ("st", "hs")}))
 def _(spark, d):
-    return G.latest_residents(G.drain(G.stream_heavy_fold(user_stream(spark, d), M.FOLD, "frequent")))
+    return G.latest_residents(G.drain(G.stream_heavy_fold(ordered_user_stream(spark, d), M.FOLD, "frequent")))
 
 
 def _streamed(spark, d, strategy="elastic", **options):
     path = scratch_path(spark, "extract")
-    G.stream_extract(user_stream(spark, d), M.FOLD, strategy, path, **options)
+    G.stream_extract(ordered_user_stream(spark, d), M.FOLD, strategy, path, **options)
     return G.load_stream_extract(spark, path, M.FOLD)
 
 
