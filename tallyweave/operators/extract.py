@@ -75,7 +75,7 @@ def extract_build(stream: DataFrame, spec: SketchSpec, route: str = "lossless",
         residual = stream.join(heavy_table(heavy.select("key"), spec), "key", "left_anti").select("key", "weight")
     else:
         # Both outputs come from one replay, so it is written once.
-        heavy, residual = merge_shards(materialize(heavy_fold(stream, spec, route, shard_rows)), spec)
+        heavy, residual = merge_shards(materialize(heavy_fold(stream, spec, route, shard_rows, totals=True)), spec)
         heavy = materialize(heavy)
     if not spec.uses_universal:
         residual = residual.limit(0)

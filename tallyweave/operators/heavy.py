@@ -31,6 +31,8 @@ from tallyweave.spec import ELASTIC_FACTOR, GUARDIAN_BASE, GUARDIAN_GAP, SHARD_R
 
 # A heavy table is broadcast up to this many rows.
 BROADCAST_HEAVY = 2_000_000
+# Keys whose hand-ons one bucket adds up before it lets go of the oldest.
+REST_KEYS = 100_000
 
 
 def with_bucket(df: DataFrame, spec: SketchSpec) -> DataFrame:
@@ -158,10 +160,11 @@ def heavy_make(strategy: str, seed: int = 1) -> Guard:
 class BucketState:
     """Residents of one bucket: key -> [count, admitted by a swap?, slot]."""
 
-    __slots__ = ("rule", "slots", "guard", "held")
+    __slots__ = ("rule", "slots", "guard", "held", "victim")
 
     def __init__(self, rule: Guard, slots: int):
         self.rule, self.slots, self.guard, self.held = rule, slots, 0, {}
+        self.victim = None  # the smallest resident, while nothing has happened that could change it
 
     def step(self, seq: int, key, f: int):
         """Returns None when the arrival is kept, else what is handed on."""
@@ -169,17 +172,21 @@ class BucketState:
         here = held.get(key)
         if here is not None:
             here[0] += f
+            if f < 0 or key == self.victim:
+                self.victim = None
             return None
         if len(held) < self.slots:
             held[key] = [f, False, len(held)]
             return None
-        victim = min(held, key=lambda k: (held[k][0], held[k][2]))
+        victim = self.victim
+        if victim is None:
+            victim = self.victim = min(held, key=lambda k: (held[k][0], held[k][2]))
         smallest, admitted, slot = held[victim]
         guard = self.guard + 1 if self.rule.grow(self.guard, smallest, seq) else self.guard
         if not self.rule.full(guard, smallest):
             self.guard = guard
             return ("pass", seq, None, key, f, False)
-        self.guard = 0
+        self.guard, self.victim = 0, None
         del held[victim]
         held[key] = [f, True, slot]
         return ("evict", seq, slot, victim, smallest, admitted)
@@ -189,16 +196,44 @@ class BucketState:
             yield ("heavy", None, slot, key, count, admitted)
 
 
+class BucketTotals(BucketState):
+    """The same with hand-ons added up by key: rows of kind ``pass`` without an arrival number."""
+
+    __slots__ = ("rest", "most")
+
+    def __init__(self, rule: Guard, slots: int, most: int):
+        super().__init__(rule, slots)
+        self.rest, self.most = {}, most
+
+    def step(self, seq: int, key, f: int):
+        row = super().step(seq, key, f)
+        if row is None:
+            return None
+        rest, gone = self.rest, row[3]
+        rest[gone] = rest.get(gone, 0) + row[4]
+        if len(rest) <= self.most:
+            return None
+        oldest = next(iter(rest))
+        return ("pass", None, None, oldest, rest.pop(oldest), False)
+
+    def close(self):
+        yield from super().close()
+        for key, weight in self.rest.items():
+            yield ("pass", None, None, key, weight, False)
+
+
 def heavy_fold(stream: DataFrame, spec: SketchSpec, strategy: str,
-               shard_rows: int | None = None) -> DataFrame:
+               shard_rows: int | None = None, totals: bool = False) -> DataFrame:
     """Replay a stream in ``seq`` order through its buckets.
 
     Rows of ``kind`` ``heavy`` are the residents at the end (``seq`` null), ``evict`` a resident
     swapped out by the arrival ``seq``, ``pass`` an arrival handed on. ``flag`` tells whether
-    the resident had been admitted by a swap.
+    the resident had been admitted by a swap. With ``totals`` what is handed on is added up by key, for those
+    who only sum it: about a row for each key instead of one for each arrival.
     """
-    rule, slots = heavy_make(strategy, spec.seed), spec.slots
-    return ordered_fold(with_bucket(stream, spec), lambda: BucketState(rule, slots), shard_rows or spec.shard_rows)
+    rule, slots, most = heavy_make(strategy, spec.seed), spec.slots, REST_KEYS
+    machine = (lambda: BucketTotals(rule, slots, most)) if totals else (lambda: BucketState(rule, slots))
+    return ordered_fold(with_bucket(stream, spec), machine, shard_rows or spec.shard_rows)
 
 
 def heavy_query_all(folded: DataFrame) -> DataFrame:

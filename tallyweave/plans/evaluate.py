@@ -144,9 +144,9 @@ def sweep_errors(counts: DataFrame, counters: DataFrame, specs: Sequence[SketchS
 # --- jobs -------------------------------------------------------------------------------
 
 def sweep_specs(memory: Iterable[int], trials: int, rows: int = 5, seed: int = 1) -> list[tuple[int, SketchSpec]]:
-    """One spec per memory size and trial; trials differ in their seeds only."""
+    """One spec per memory size and trial; trials differ in their seeds only. Arrivals are replayed as one shard."""
     return [
-        (mem, sketch_params_from_memory(mem, DEFAULT_HEAVY_RATIO, rows, DEFAULT_COUNTER_RATIO, seed=seed).with_trial(t))
+        (mem, sketch_params_from_memory(mem, DEFAULT_HEAVY_RATIO, rows, DEFAULT_COUNTER_RATIO, seed=seed).with_trial(t).with_sizes(shard_rows=None))
         for mem in memory for t in range(trials)]
 
 

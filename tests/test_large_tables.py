@@ -2,11 +2,16 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave.functions.weights import WEIGHTS
+from tallyweave.operators import heavy
+from tallyweave.operators.heavy import heavy_fold
 from tallyweave.operators.universal import local_candidates, universal_candidates
 from tallyweave.plans import io_queries, load_queries
+from tallyweave.plans import streams as S
 from tallyweave.plans.linear_queries import SIGNED_KEYS
+from tallyweave.sources.scratch import materialize
 from tallyweave.spec import SketchSpec
 from tests.compare import TABLES, difference
 
@@ -77,3 +82,16 @@ def test_tasks_of_the_sweep_hold_a_fixed_number_of_positions(spark, monkeypatch)
     monkeypatch.setattr(io_queries.Z, "zipf_sweep", lambda numbers, *args: dealt.append(numbers.rdd.getNumPartitions()) or swept(numbers, *args))
     q = load_queries()["zipf_sweep"]
     assert difference(q.build(spark, SF_DIR), q.sql, SF_DIR) is None and dealt == [10]
+
+
+@pytest.mark.parametrize("strategy", ["elastic", "guardian", "frequent"])
+def test_hand_ons_are_added_up_by_key(spark, monkeypatch, strategy):
+    spec, users = SketchSpec(buckets=4, slots=5, seed=9, shard_rows=None), S.users(spark, SF_DIR)
+    plain = materialize(heavy_fold(users, spec, strategy))
+    sums = lambda folded: sorted(map(tuple, folded.groupBy("key", F.expr("kind = 'heavy'")).agg(F.sum("f")).collect()))
+    for most in (100_000, 3):
+        monkeypatch.setattr(heavy, "REST_KEYS", most)
+        totals = materialize(heavy_fold(users, spec, strategy, totals=True))
+        assert sums(totals) == sums(plain)
+        rest = totals.filter("kind <> 'heavy'")
+        assert most == 3 or rest.count() == rest.select("key").distinct().count()
