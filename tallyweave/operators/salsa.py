@@ -9,7 +9,9 @@ total, as does a block of four, so that no estimate is below the truth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators.linear import (
@@ -22,17 +24,21 @@ ROLE = "salsa"
 
 def salsa_build(stream: DataFrame, spec: SketchSpec) -> DataFrame:
     """``(row, idx, start, size, v)``: for every non-zero cell, the block holding it."""
-    cells = unsigned_build(stream, spec, ROLE)
+    return salsa_blocks(unsigned_build(stream, spec, ROLE), F.lit(spec.width))
+
+
+def salsa_blocks(cells: DataFrame, width: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Blocks of the sums ``(by..., row, idx, v)``."""
     quad = F.floor(F.col("idx") / F.lit(4)).cast("bigint")
     part = lambda j: F.sum(F.when(F.col("idx") % 4 == j, F.col("v")).otherwise(F.lit(0)))
-    four = cells.groupBy("row", quad.alias("quad")).agg(*[part(j).alias(f"c{j}") for j in range(4)])
+    four = cells.groupBy(*by, "row", quad.alias("quad")).agg(*[part(j).alias(f"c{j}") for j in range(4)])
 
     first = F.col("quad") * F.lit(4)
     c = [F.col(f"c{j}") for j in range(4)]
     low, high = c[0] + c[1], c[2] + c[3]
-    pair_low = (F.greatest(c[0], c[1]) >= 2**8) & (first + 1 < spec.width)
-    pair_high = (F.greatest(c[2], c[3]) >= 2**8) & (first + 3 < spec.width)
-    whole = ((pair_low & (low >= 2**16)) | (pair_high & (high >= 2**16))) & (first + 3 < spec.width)
+    pair_low = (F.greatest(c[0], c[1]) >= 2**8) & (first + 1 < width)
+    pair_high = (F.greatest(c[2], c[3]) >= 2**8) & (first + 3 < width)
+    whole = ((pair_low & (low >= 2**16)) | (pair_high & (high >= 2**16))) & (first + 3 < width)
 
     def block(j: int):
         pair, total = (pair_low, low) if j < 2 else (pair_high, high)
@@ -43,8 +49,8 @@ def salsa_build(stream: DataFrame, spec: SketchSpec) -> DataFrame:
 
     return (
         four.withColumn("whole", whole)
-        .select("row", F.explode(F.array(*[block(j) for j in range(4)])).alias("b"))
-        .select("row", "b.idx", "b.start", "b.size", "b.v")
+        .select(*by, "row", F.explode(F.array(*[block(j) for j in range(4)])).alias("b"))
+        .select(*by, "row", "b.idx", "b.start", "b.size", "b.v")
         .filter(F.col("v") > 0)
     )
 
