@@ -58,6 +58,22 @@ def of(result):
     return {(r["mem"], r["algo"]): r["value"] for r in result.collect()}
 
 
+@pytest.mark.parametrize("weight", ["sqr"])
+def test_gsum_job(spark, streams, weight):
+    g, algos = WEIGHTS[weight], ["H", A.BASELINE]
+    real = materialize(gsum_exact(key_counts(streams), g))
+
+    def value(mem, spec, algo):
+        if algo != A.BASELINE:
+            return A.relative_error(E.extract_gsum(summary(streams, mem, spec, algo), g), real)
+        if weight == "sqr":
+            b = B.bundle_build(streams, spec, parts=("join",))
+            return A.relative_error(B.bundle_inner_product(b, b), real)
+        return A.relative_error(B.bundle_gsum(B.bundle_build(streams, spec, parts=("point",)), weight), real)
+
+    assert of(A.eval_gsum_job(streams, weight, MEMORY, TRIALS, algos)) == one_by_one(A.sweep_specs(MEMORY, TRIALS), algos, value)
+
+
 @pytest.mark.parametrize("task", list(A.SIMILARITIES))
 def test_similarity_job(spark, streams, task):
     exact, estimate, baseline, part = {
