@@ -58,7 +58,7 @@ def of(result):
     return {(r["mem"], r["algo"]): r["value"] for r in result.collect()}
 
 
-@pytest.mark.parametrize("weight", ["sqr"])
+@pytest.mark.parametrize("weight", ["entropy", "sqr"])
 def test_gsum_job(spark, streams, weight):
     g, algos = WEIGHTS[weight], ["H", A.BASELINE]
     real = materialize(gsum_exact(key_counts(streams), g))
