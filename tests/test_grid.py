@@ -58,6 +58,14 @@ def of(result):
     return {(r["mem"], r["algo"]): r["value"] for r in result.collect()}
 
 
+def test_frequency_job(spark, streams):
+    counts, g = materialize(key_counts(streams)), WEIGHTS["sum"]
+    asked = lambda mem, spec, algo: (B.bundle_query(counts, B.bundle_build(streams, spec, parts=("point",))) if algo == A.BASELINE
+                                     else E.extract_query(counts, summary(streams, mem, spec, algo)))
+    wanted = one_by_one(A.sweep_specs(MEMORY, TRIALS), A.ALGORITHMS, lambda *setting: A.frequency_error(asked(*setting), g))
+    assert of(A.eval_frequency_job(streams, "sum", MEMORY, TRIALS)) == wanted
+
+
 @pytest.mark.parametrize("weight", ["entropy", "sqr"])
 def test_gsum_job(spark, streams, weight):
     g, algos = WEIGHTS[weight], ["H", A.BASELINE]
