@@ -82,6 +82,22 @@ def test_gsum_job(spark, streams, weight):
     assert of(A.eval_gsum_job(streams, weight, MEMORY, TRIALS, algos)) == one_by_one(A.sweep_specs(MEMORY, TRIALS), algos, value)
 
 
+def test_heavy_hitter_job(spark, streams):
+    counts, g, lam, algos = materialize(key_counts(streams)), WEIGHTS["sum"], 0.002, ["L", A.UNIVERSAL, A.BASELINE]
+    truth = materialize(heavy_hitters_exact(counts, g, lam))
+    threshold = float(int(gsum_exact(counts, g).first()["gsum"] * lam))
+
+    def value(mem, spec, algo):
+        if algo == A.BASELINE:
+            b = B.bundle_build(streams, spec, use_elastic=False, parts=("point",))
+            reported = B.bundle_heavy_hitters(b, 1).filter(g(F.col("v")) >= threshold)
+        else:
+            reported = E.extract_g_heavy_hitters(summary(streams, mem, spec, algo), g, threshold)
+        return A.heavy_hitter_scores(reported, truth).select("f1")
+
+    assert of(A.eval_heavy_hitter_job(streams, "sum", lam, MEMORY, TRIALS, algos)) == one_by_one(A.sweep_specs(MEMORY, TRIALS), algos, value)
+
+
 @pytest.mark.parametrize("task", list(A.SIMILARITIES))
 def test_similarity_job(spark, streams, task):
     exact, estimate, baseline, part = {
